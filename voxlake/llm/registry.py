@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from voxlake.llm.bpe import op3_bpe
 from voxlake.llm.urls import OP8_SQL, op8_url_filter
 
-QUERIES = {"op8_url_filter": op8_url_filter}
+QUERIES = {"op3_bpe": op3_bpe, "op8_url_filter": op8_url_filter}
 ORACLES = {"op8_url_filter": OP8_SQL}
