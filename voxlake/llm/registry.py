@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from voxlake.llm.bpe import op3_bpe
+from voxlake.llm.toxicity import op2_toxicity
 from voxlake.llm.urls import OP8_SQL, op8_url_filter
 
-QUERIES = {"op3_bpe": op3_bpe, "op8_url_filter": op8_url_filter}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op8_url_filter": op8_url_filter}
 ORACLES = {"op8_url_filter": OP8_SQL}
