@@ -70,7 +70,7 @@ def allocate(low: int, high: int, difference: int) -> tuple[int, int, int]:
     near = (difference + 1) // 2
     rest = difference + 1 - 2 * near
     empty = np.exp(-size / exact) * exact
-    price_exact = exact + (200 * empty if empty * 2 > exact - difference else 0)
+    price_exact = exact + (200 * empty if empty + 2 * np.sqrt(empty) > exact - difference else 0)
     return (exact, 0, difference) if price_exact <= size + near + rest + 1 else (rest, near, difference)
 
 
