@@ -16,11 +16,17 @@ from voxlake.llm.urls import listed_keys
 
 WORDS, NUM, DEN = 5, 75, 100
 #: Tokens that a task gathers before it sends them on, and tokens of a group of the shuffle, on average.
-GATHER, GROUP = 2_000_000, 2_000_000
+GATHER, GROUP = 1_000_000, 1_000_000
 #: Segments per difference that the pigeonhole principle asks for: with more, true pairs share many segments.
 SLACK = 1.5
 #: Rounds that join clusters through likely links before what remains is compared exhaustively.
-ROUNDS = 2
+ROUNDS = 1
+#: Centers that a set is compared with in such a round.
+TRIES = 3
+#: Tokens of a block in the final comparison, on average.
+BLOCK_TOKENS = 1_000_000
+#: One in so many index entries serves those rounds; the final comparison uses all of them.
+LIKELY = 4
 U = np.uint64
 A, B, C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)  # odd multipliers of splitmix64
 
@@ -113,17 +119,18 @@ def _send(keys: np.ndarray, of: np.ndarray, tokens: np.ndarray, groups: int) ->
     return rows
 
 
-def _received(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, keys) of a group, sorted by both."""
-    toks, keys = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+def _received(group: pa.Table, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, keys) of a group, sorted by both; with a width, keys are rows of so many numbers."""
+    shape = (-1,) if width == 1 else (-1, width)
+    toks, keys = [np.zeros(0, U)], [np.zeros(0, np.int64).reshape(shape)]
     for k, places, t in zip(*([x.as_buffer() for x in group[c] if x.is_valid] for c in ("keys", "places", "tokens"))):
         places = memoryview(places)
-        t, k = np.frombuffer(t, U), np.frombuffer(k, np.int64)
+        t, k = np.frombuffer(t, U), np.frombuffer(k, np.int64).reshape(shape)
         at = np.cumsum(np.frombuffer(places, np.uint16 if places.nbytes == 2 * len(t) else np.uint32).astype(np.int64))
         toks.append(t)
         keys.append(k[at])
     toks, keys = np.concatenate(toks), np.concatenate(keys)
-    order = np.lexsort((keys, toks))
+    order = np.lexsort((keys if width == 1 else keys[:, 0], toks))
     return toks[order], keys[order]
 
 
@@ -222,48 +229,53 @@ def _read_sets(batch: pa.RecordBatch):
         yield None, k, np.frombuffer(t, U)
 
 
-def _candidates(sets: DataFrame, groups: int, starts: np.ndarray, num: int, den: int) -> DataFrame:
-    """(cell, key, center, weight): which sets share index entries. A cell stands for `weight` entries that the same sets share."""
+def _candidates(sets: DataFrame, groups: int, starts: np.ndarray, num: int, den: int, one_in: int) -> DataFrame:
+    """(cell, key, root, weight): which sets of different clusters share index entries.
+
+    sets: key, tokens, root (the cluster so far). A cell stands for `weight` entries that the same
+    sets share; entries whose sets are all of one cluster are left out. one_in: looks at one in so
+    many entries, 1 for all.
+    """
+    names = ["cell", "key", "root", "weight"]
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sigs, size = [], [], 0
+        nodes, sigs, size = [], [], 0
         for batch in batches:
-            for _, key, toks in _read_sets(batch):
+            for (_, key, toks), root in zip(_read_sets(batch), batch.column(2).to_pylist()):
                 band = int(np.searchsorted(starts, len(toks), "right")) - 1
                 found = np.concatenate([signatures(toks, g, starts, num, den) for g in (band - 1, band) if g >= 0])
-                keys.append(key)
+                found = found[found % U(one_in) == 0] if one_in > 1 else found
+                nodes.append((key, root))
                 sigs.append(found)
                 size += len(found)
                 if size >= GATHER:
-                    yield _frame(_send(np.array(keys, np.int64), np.repeat(np.arange(len(keys)), [len(s) for s in sigs]), np.concatenate(sigs), groups))
-                    keys, sigs, size = [], [], 0
-        if keys:
-            yield _frame(_send(np.array(keys, np.int64), np.repeat(np.arange(len(keys)), [len(s) for s in sigs]), np.concatenate(sigs), groups))
-
-    names = ["cell", "key", "center", "weight"]
+                    yield _frame(_send(np.array(nodes, np.int64), np.repeat(np.arange(len(nodes)), [len(s) for s in sigs]), np.concatenate(sigs), groups))
+                    nodes, sigs, size = [], [], 0
+        if nodes:
+            yield _frame(_send(np.array(nodes, np.int64), np.repeat(np.arange(len(nodes)), [len(s) for s in sigs]), np.concatenate(sigs), groups))
 
     def gather(group: pa.Table) -> pa.Table:
-        sig, key = _received(group)
-        fresh = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])) if len(sig) else np.zeros(0, bool)
-        sig, key = sig[fresh], key[fresh]
+        sig, node = _received(group, 2)
+        key, root = node[:, 0], node[:, 1]
         first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+        if not len(first):
+            return pa.table([pa.array([], pa.int64())] * 4, names)
         size = np.diff(np.append(first, len(sig)))
-        many = np.repeat(size > 1, size)
-        sig, key = sig[many], key[many]
+        several = np.repeat(np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first), size)
+        sig, key, root = sig[several], key[several], root[several]
         if not len(sig):
             return pa.table([pa.array([], pa.int64())] * 4, names)
         first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         size = np.diff(np.append(first, len(sig)))
         content = np.add.reduceat(mixed(key.astype(U) + A), first)
         _, rep, weight = np.unique(content, return_index=True, return_counts=True)
-        take = np.zeros(len(first), bool)
-        take[rep] = True
         share = np.zeros(len(first), np.int64)
         share[rep] = weight
-        rows = np.repeat(take, size)
-        cols = (sig >> U(1))[rows].astype(np.int64), key[rows], np.repeat(key[first], size)[rows], np.repeat(share, size)[rows]
+        rows = np.repeat(share > 0, size)
+        cols = (sig >> U(1))[rows].astype(np.int64), key[rows], root[rows], np.repeat(share, size)[rows]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names)
 
-    return sets.select("key", "tokens").mapInArrow(send, BLOB).groupBy("p").applyInArrow(gather, "cell long, key long, center long, weight long")
+    return sets.select("key", "tokens", "root").mapInArrow(send, BLOB).groupBy("p").applyInArrow(gather, "cell long, key long, root long, weight long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -340,32 +352,80 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     again = _support(sets.select("key", "tokens"), _read_sets, False, _groups(spark, totals[0]))
     alive = _living(again.withColumn("doc_id", F.col("key")), num, den).select("key")
     sets = stored(sets.join(alive, "key", "left_semi"), "living")
-    cells = stored(_candidates(sets, _groups(spark, totals[0]), band_starts(int(totals[1]) * 2, num, den), num, den), "cells")
-    roots = None
-    links = None
+    starts, groups = band_starts(int(totals[1]) * 2, num, den), _groups(spark, totals[0])
+    links = roots = None
     for turn in range(ROUNDS):
-        if roots is None:
-            likely = cells.filter("key <> center").groupBy(F.col("key").alias("b"), F.col("center").alias("a")).agg(F.sum("weight").alias("w"))
-        else:
-            open_cells = _open_cells(cells, roots)
-            pick = open_cells.groupBy("cell").agg(F.max_by("key", F.xxhash64("key", F.lit(turn))).alias("a"), F.max_by("root", F.xxhash64("key", F.lit(turn))).alias("root_a"))
-            likely = open_cells.join(pick, "cell").filter("root <> root_a").groupBy(F.col("key").alias("b"), "a").agg(F.sum("weight").alias("w"))
-        best = likely.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
-        found = stored(_verified(best, sets, num, den), "links")
+        cells = stored(_candidates(_rooted(sets, roots), groups, starts, num, den, LIKELY), "cells")
+        degree = cells.groupBy("key").agg(F.sum("weight").alias("degree"))
+        mark = F.struct(F.col("degree") if turn % 2 == 0 else F.xxhash64("key", F.lit(turn)), "key")
+        center = cells.join(degree, "key").groupBy("cell").agg(F.max_by(F.struct("key", "root"), mark).alias("c"))
+        likely = cells.join(center, "cell").filter("root <> c.root").groupBy(F.col("key").alias("b"), F.col("c.key").alias("a")).agg(F.sum("weight").alias("w"))
+        likely = likely.groupBy("b").agg(F.expr(f"slice(sort_array(collect_list(struct(w, a)), false), 1, {TRIES})").alias("best")).select("b", F.explode("best.a").alias("a"))
+        found = stored(_verified(likely, sets, num, den), "links")
         links = found if links is None else links.unionByName(found)
         roots = stored(connected(links, "stars"), "roots")
-    open_cells = stored(_open_cells(cells, roots), "open")
-    left, right = (open_cells.select("cell", F.col("key").alias(k), F.col("root").alias("r_" + k), "weight") for k in "ab")
-    pairs = left.join(right.drop("weight"), "cell").filter("r_a < r_b").select("a", "b").distinct()
-    links = links.unionByName(stored(_verified(pairs, sets, num, den), "links"))
+    cells = stored(_candidates(_rooted(sets, roots), groups, starts, num, den, 1), "cells")
+    links = links.unionByName(stored(_remaining_links(cells, sets, num, den), "links"))
     return _classes(rows, stored(connected(links, "stars"), "roots"))
 
 
-def _open_cells(cells: DataFrame, roots: DataFrame) -> DataFrame:
-    """Cells whose sets lie in several clusters, with each set's cluster."""
-    seen = cells.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed_cells = seen.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("cell")
-    return seen.join(mixed_cells, "cell", "left_semi")
+def _remaining_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join what cells still hold apart: enough of them to connect all that is linked.
+
+    Sets that cells connect form a neighbourhood; only inside one can links remain. A neighbourhood
+    of more than BLOCK_TOKENS tokens is cut into blocks, and each pair of its blocks is a task, so
+    a task's input is bounded. No pairs leave a task but links found.
+    """
+    first = cells.groupBy("cell").agg(F.min("key").alias("a"))
+    near = stored(connected(cells.join(first, "cell").select("a", F.col("key").alias("b")).distinct(), "stars"), "near")
+    held = near.withColumnRenamed("root", "place").join(cells.groupBy("key").agg(F.min("root").alias("root")), "key").join(sets, "key")
+    blocks = near.withColumnRenamed("root", "place").join(sets.select("key", "n"), "key").groupBy("place").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
+    mine = F.pmod(F.xxhash64("key", F.lit(5)), F.col("blocks"))
+    dealt = held.join(blocks, "place").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("place", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "root", "tokens")
+
+    def compare(group: pa.Table) -> pa.Table:
+        keys, roots, side = (group[c].to_numpy() for c in ("key", "root", "mine"))
+        data = [np.frombuffer(t.as_buffer(), U) for t in group["tokens"]]
+        size = np.array([len(t) for t in data])
+        across = group["i"][0].as_py() != group["j"][0].as_py()
+        token = np.unique(np.concatenate(data), return_inverse=True)[1]
+        of = np.repeat(np.arange(len(data)), size)
+        order = np.argsort(token, kind="stable")
+        holders = of[order]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(token))])
+        ends = np.cumsum(size)
+        names, root, members = np.unique(roots, return_inverse=True, return_counts=True)
+        parent = np.arange(len(names))
+
+        def top(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        found = []
+        largest = int(np.argmax(members))
+        for b in np.flatnonzero(root != largest).tolist():
+            own = token[ends[b] - size[b] : ends[b]]
+            count = np.bincount(np.concatenate([holders[begin[t] : begin[t + 1]] for t in own]), minlength=len(data))
+            link = (count * den >= num * (size + size[b] - count)) & (root != root[b])
+            if across:
+                link &= side != side[b]
+            for c in np.flatnonzero(link).tolist():
+                x, y = top(int(root[b])), top(int(root[c]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    found.append((keys[b], keys[c]))
+        cols = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+        return pa.table(cols, ["a", "b"])
+
+    return dealt.groupBy("place", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _rooted(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return sets.withColumn("root", F.col("key"))
+    return sets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
 def _classes(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
