@@ -1,10 +1,59 @@
-"""The corpus pipeline: stages over `documents`."""
+"""The corpus pipeline: five stages over `documents`, each written and read again before the next.
+
+Toxic documents go, one document of each near-duplicate group stays, repeated passages are cut
+out, documents are taken at rates that meet domain targets, and what is left is encoded.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from voxlake.llm.bpe import encode_decode, public_vocabulary
+from voxlake.llm.common import stored, table
+from voxlake.llm.jaccard import keep_one_each
+from voxlake.llm.mixing import domains_of_labels, mixed
+from voxlake.llm.suffixes import drop_repeats
+from voxlake.llm.toxicity import reject_toxic
+
+#: Target shares of the token budget, and the budget in units of the tokens at hand: above 1, so that clean documents are repeated rather than dropped.
+TARGETS, BUDGET = {"high": 0.91, "low": 0.09}, 1.1
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_each(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_repeats(docs)
+
+
+def at_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labelled = domains_of_labels(table(spark, sf_dir, "labels")).filter("domain <> 'toxic'")
+    return mixed(docs, labelled, TARGETS, BUDGET)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_decode(docs, public_vocabulary(), with_ids=True).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("ngram_jaccard_join", without_near_copies),
+    ("suffix_array_dedup", without_repeats),
+    ("mixing", at_target_weights),
+    ("bpe", encoded),
+]
+#: The stages learn, search and iterate; tests/llm checks them against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; what each keeps is a table in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -260,20 +260,19 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
                 batch = whole.slice(at, 500)
                 texts = batch.column(1).to_pylist()
                 found = bpe.encode_bytes(texts)
-                cols: list[list] = [[], [], [], [], [], []]
-                for text, ids in zip(texts, found):
-                    numbers = np.frombuffer(ids, "<u4")
-                    decoded = bpe.decode_bytes(numbers)
-                    cols[0].append(len(numbers))
-                    cols[1].append(hashlib.sha256(ids).hexdigest())
-                    cols[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    cols[3].append(decoded == (text or ""))
-                    if with_ids:
-                        cols[4].append(numbers.tolist())
-                        cols[5].append(decoded)
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.string()]
-                names = ["n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "ids", "decoded"][: len(kinds) if with_ids else 4]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds[: len(names)]))], ["doc_id", *names])
+                decoded = [bpe.decode_bytes(np.frombuffer(ids, "<u4")) for ids in found]
+                cols = {
+                    "doc_id": batch.column(0),
+                    "n_tokens": pa.array([len(ids) // 4 for ids in found], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(ids).hexdigest() for ids in found], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()),
+                    "round_trip": pa.array([d == (t or "") for d, t in zip(decoded, texts)], pa.bool_()),
+                }
+                if with_ids:
+                    ends = np.cumsum([0, *(len(ids) // 4 for ids in found)]).astype(np.int32)
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                    cols["decoded"] = pa.array(decoded, pa.string())
+                yield pa.RecordBatch.from_pydict(cols)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 

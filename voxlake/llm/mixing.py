@@ -117,12 +117,12 @@ def domains_of_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> DataFrame:
+def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS, budget: float = 1.0) -> DataFrame:
     """doc_id, tokens, posteriors (one column p_<domain> each) and rate for every row of docs (doc_id, text).
 
     labelled: (doc_id, domain). A rate is how often a row should be taken; expected token totals
-    of the domains, sum(rate * tokens * p), then match targets times all tokens as nearly as rates
-    >= 0 allow. Null and empty texts have no tokens, and a rate like any other row; null or
+    of the domains, sum(rate * tokens * p), then match targets times budget times all tokens as nearly
+    as rates >= 0 allow. Null and empty texts have no tokens, and a rate like any other row; null or
     repeated ids are rows of their own; without labelled rows posteriors follow the tiny equal
     priors; an empty table gives an empty result; other columns are ignored.
     """
@@ -130,9 +130,21 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     share = sum(targets.values())
     base = measured(docs)
     rows = stored(base.withColumn("p", posterior(F.col("x"), fit_posteriors(docs, labelled, domains))).select("doc_id", "tokens", "p"), "posteriors")
-    pulls = fit_rates(rows.select("tokens", "p"), [targets[d] / share for d in domains], steps)
+    pulls = fit_rates(rows.select("tokens", "p"), [budget * targets[d] / share for d in domains], steps)
     return rows.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], rate_of(pulls).alias("rate"))
 
 
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float) -> DataFrame:
+    """docs with each row taken floor(rate + u) times, u a hash of its doc_id in [0, 1); the columns stay.
+
+    Repeated ids use the mean of their rates, a null id is taken once.
+    """
+    rates = mixing_rates(docs, labelled, targets, budget=budget).groupBy("doc_id").agg(F.avg("rate").alias("_rate"))
+    u = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) / float(1 << 20)
+    take = F.floor(F.coalesce("_rate", F.lit(1.0)) + F.when(F.col("_rate").isNull(), 0.0).otherwise(u)).cast("int")
+    times = docs.join(rates, "doc_id", "left").withColumn("_n", take).filter("_n > 0")
+    return times.withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+
+
 def op7_mixing(spark, sf_dir):
     return mixing_rates(table(spark, sf_dir, "documents"), domains_of_labels(table(spark, sf_dir, "labels")))

@@ -311,7 +311,7 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], [], [], [], [], []]
                 for key, text, firsts, lasts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
                     data = text.as_buffer().to_pybytes()
                     a, b = firsts.values.to_numpy(), lasts.values.to_numpy()
@@ -320,12 +320,12 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
                     np.add.at(mark, b + 1, -1)
                     begin, end = spans_of(np.flatnonzero(np.cumsum(mark)[:-1] > 0), length)
                     kept = b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(data)]))
-                    for col, v in zip(cols, (key, begin.tolist(), end.tolist(), kept, hashlib.sha256(kept).hexdigest())):
+                    for col, v in zip(cols, (key, begin.tolist(), end.tolist(), kept, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))):
                         col.append(v)
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), longs, longs, pa.binary(), pa.string()))], ["key", "from", "to", "kept", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), longs, longs, pa.binary(), pa.string(), pa.string()))], ["key", "from", "to", "kept", "kept_sha256", "kept_text"])
 
-    return texts.select("key", "text", "firsts", "lasts").mapInArrow(run, "key long, from array<long>, to array<long>, kept binary, kept_sha256 string")
+    return texts.select("key", "text", "firsts", "lasts").mapInArrow(run, "key long, from array<long>, to array<long>, kept binary, kept_sha256 string, kept_text string")
 
 
 def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -350,5 +350,23 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     )
 
 
+def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs with repeated byte strings cut out of text; the other columns stay, n_chars follows the text where there is one.
+
+    Characters that lose a byte go whole. Rows stay even if nothing of their text does.
+    """
+    rows, cuts = repeated_spans(docs, length, gram)
+    copies = rows.filter(F.col("n_bytes") >= length).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_key"), F.lit("").alias("_left"))
+    left = cuts.select(F.col("key").alias("_key"), "kept_text").join(copies.select("_key"), "_key", "left_anti").withColumnRenamed("kept_text", "_left").unionByName(copies)
+    left = stored(left, "left")
+    key = F.conv(F.substring(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256), 1, 15), 16, 10).cast("long")
+    dealt = listed_keys(docs.withColumn("_key", key), left.select("_key"))
+    cols = docs.columns
+    changed = dealt.filter("_listed").drop("text").join(left, "_key").withColumnRenamed("_left", "text")
+    if "n_chars" in cols:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return dealt.filter("not _listed").select(*cols).unionByName(changed.select(*cols))
+
+
 def op1_suffix_dedup(spark, sf_dir):
     return repeats_removed(table(spark, sf_dir, "documents")).drop("kept")
