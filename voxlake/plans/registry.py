@@ -1,6 +1,562 @@
-"""The library's registered queries and their DuckDB twins."""
+"""The library's registered queries and their DuckDB twins, on the driver's tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from voxlake.functions import text as T
+from voxlake.operators import documents as D
+from voxlake.operators import library as L
+from voxlake.operators import routing as R
+from voxlake.operators import search as S
+from voxlake.operators import summaries as M
+from voxlake.operators import vectors as V
+from voxlake.plans import fixtures as X
+from voxlake.sources import ingest as I  # noqa: E741
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def rid(column: str) -> str:
+    return f"'00000000-0000-4000-8000-' || lpad(CAST({column} AS VARCHAR), 12, '0')"
+
+
+# ---- sources -------------------------------------------------------------------------------------
+
+
+@query("""
+WITH d AS (SELECT doc_id, sha256(text) AS sha256 FROM documents)
+SELECT doc_id, sha256, count(*) OVER (PARTITION BY sha256) AS n_sources,
+  CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY sha256) THEN 'hashed' ELSE 'duplicate' END AS state FROM d""")
+def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = X.read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return I.deduplicate_content(d, "doc_id").select("doc_id", "sha256", "n_sources", "state")
+
+
+@query("""
+WITH b AS (SELECT url, sha256(html) AS v FROM pages WHERE page_id % 10 <> 0),
+n AS (SELECT url, sha256(html || CASE WHEN page_id % 11 = 0 THEN '<!-- edited -->' ELSE '' END) AS v FROM pages WHERE page_id % 7 <> 0),
+bb AS (SELECT url, max(v) AS v FROM b GROUP BY 1), nn AS (SELECT url, max(v) AS v FROM n GROUP BY 1)
+SELECT coalesce(bb.url, nn.url) AS url, CASE WHEN bb.v IS NULL THEN 'new' WHEN nn.v IS NULL THEN 'missing' WHEN bb.v <> nn.v THEN 'changed' ELSE 'unchanged' END AS change
+FROM bb FULL JOIN nn ON bb.url = nn.url""")
+def source_reconcile(spark, sf_dir):
+    """Two snapshots of the pages, as the fixture mapping defines them."""
+    p = X.read(spark, sf_dir, "pages")
+    edit = F.when(F.col("page_id") % 11 == 0, F.lit("<!-- edited -->")).otherwise("")
+    version = lambda c: F.sha2(c.cast("binary"), 256)
+    before = p.filter("page_id % 10 <> 0").groupBy("url").agg(F.max(version(F.col("html"))).alias("v"))
+    now = p.filter("page_id % 7 <> 0").groupBy("url").agg(F.max(version(F.concat("html", edit))).alias("v"))
+    return I.reconcile_sources(before, now, "url", "v")
+
+
+@query("""
+WITH d AS (SELECT page_id, url, length(url) AS n, html IS NOT NULL AS present, regexp_extract(url, '://([^/]+)', 1) AS host FROM pages)
+SELECT host, arg_min(page_id, (n, page_id)) AS canonical_page, count(*) AS sources, bool_or(present) AS present FROM d GROUP BY host""")
+def canonical_source(spark, sf_dir):
+    """The shortest url of each host is its canonical source; a host is present if any source is."""
+    p = X.read(spark, sf_dir, "pages").withColumn("host", F.regexp_extract("url", "://([^/]+)", 1))
+    return p.groupBy("host").agg(F.min_by("page_id", F.struct(F.length("url"), "page_id")).alias("canonical_page"), F.count("*").alias("sources"), F.bool_or(F.col("html").isNotNull()).alias("present"))
+
+
+@query("""
+SELECT o_orderkey AS recording_id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) + INTERVAL 10 YEAR + INTERVAL 1 SECOND * (o_orderkey % 86400) END AS recorded_at FROM orders""")
+def recorded_at_from_name(spark, sf_dir):
+    o = X.read(spark, sf_dir, "orders")
+    s = F.col("o_orderkey") % 86400
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    clock = F.concat(two(F.floor(s / 3600)), two(F.floor(s / 60) % 60), two(s % 60))
+    good = F.concat(F.lit("rec "), F.date_format(F.add_months("o_orderdate", 120), "yyyy-MM-dd"), F.lit(" "), clock, F.lit(".m4a"))
+    name = F.when(F.col("o_orderkey") % 5 == 0, F.lit("meeting notes.m4a")).otherwise(good)
+    return o.select(F.col("o_orderkey").alias("recording_id"), I.recorded_at(name).alias("recorded_at"))
+
+
+@query("""
+WITH f AS (
+  SELECT conv_id AS file_id, turn, text,
+    CASE WHEN conv_id % 11 = 1 AND turn = 1 THEN -5 WHEN conv_id % 13 = 3 AND turn = 4 THEN 0 ELSE turn * 1000 END AS s,
+    CASE WHEN conv_id % 7 = 2 AND turn = 2 THEN turn * 1000 - 1 ELSE (turn + 1) * 1000 END AS e
+  FROM conversations WHERE conv_id % 17 <> 5),
+c AS (SELECT *, max(s) OVER (PARTITION BY file_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM f),
+k AS (SELECT *, CASE WHEN s < 0 OR e < 0 THEN 'invalid_timestamp' WHEN e < s THEN 'end_before_start' WHEN s < top - 2000 THEN 'non_monotonic_start' END AS category FROM c)
+SELECT file_id, arg_min(category, turn) AS category, CAST(min(turn) AS INT) AS ordinal FROM k WHERE category IS NOT NULL GROUP BY 1
+UNION ALL SELECT DISTINCT conv_id, 'malformed_json', NULL FROM conversations WHERE conv_id % 17 = 5""")
+def transcript_quarantine(spark, sf_dir):
+    """Conversations as transcript files with planted faults; the first fault of each file."""
+    c = X.read(spark, sf_dir, "conversations")
+    start = F.when((F.col("conv_id") % 11 == 1) & (F.col("turn") == 1), -5).when((F.col("conv_id") % 13 == 3) & (F.col("turn") == 4), 0).otherwise(F.col("turn") * 1000)
+    end = F.when((F.col("conv_id") % 7 == 2) & (F.col("turn") == 2), F.col("turn") * 1000 - 1).otherwise((F.col("turn") + 1) * 1000)
+    item = F.struct("turn", F.struct(start.alias("start"), end.alias("end"), F.col("role").alias("speaker"), "text").alias("s"))
+    files = c.groupBy(F.col("conv_id").alias("file_id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.s).alias("segments"))
+    raw = F.when(F.col("file_id") % 17 == 5, F.lit("{broken")).otherwise(F.to_json(F.struct("segments")))
+    return I.quarantine(I.parse_transcripts(files.select("file_id", raw.alias("raw"))))
+
+
+LINES_SQL = f"""lines AS (
+  SELECT {rid('conv_id')} AS recording_id, turn AS ordinal,
+    '[' || lpad(CAST(turn // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') || '] ' || role || ': ' || text AS line FROM conversations)"""
+
+
+@query(f"WITH {LINES_SQL} SELECT recording_id, sha256(string_agg(line, chr(10) ORDER BY ordinal)) AS digest, count(*) AS lines FROM lines GROUP BY 1")
+def timestamped_export(spark, sf_dir):
+    lines = I.timestamped_lines(X.segments(spark, sf_dir))
+    body = I.export_text(lines, "line")
+    return body.select("recording_id", F.sha2("body", 256).alias("digest"), F.size(F.split("body", "\n\\[")).cast("long").alias("lines"))
+
+
+@query(f"SELECT {rid('conv_id')} AS recording_id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")
+def transcript_export(spark, sf_dir):
+    return I.export_text(X.segments(spark, sf_dir), "text")
+
+
+# ---- library -------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT o_orderkey AS recording_id, CAST(o_orderdate AS TIMESTAMP) AS effective_at, coalesce(nullif(c_name, ''), 'Untitled recording') AS title,
+  strftime(o_orderdate, '%B %Y') AS month FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def effective_and_title(spark, sf_dir):
+    r = X.recordings(spark, sf_dir)
+    return r.select("recording_id", F.col("recorded_at").alias("effective_at"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled recording")).alias("title"), L.month_label(F.col("recorded_at")).alias("month"))
+
+
+@query(f"""
+WITH {X.RECORDINGS_SQL}
+SELECT recording_id, title, recorded_at, processing_status FROM recordings
+WHERE recorded_at >= TIMESTAMP '1996-01-01' AND recorded_at < TIMESTAMP '1998-01-01' AND processing_status IN ('transcribed', 'needs_review')
+  AND tag IN ('1-URGENT', '2-HIGH') ORDER BY recorded_at DESC, recording_id LIMIT 25 OFFSET 25""")
+def library_filtered_page(spark, sf_dir):
+    r = X.recordings(spark, sf_dir)
+    tags = r.select("recording_id", "tag").filter(F.col("tag").isin("1-URGENT", "2-HIGH"))
+    f = L.library_filter(r, since=F.lit("1996-01-01").cast("timestamp"), until=F.lit("1998-01-01").cast("timestamp"), statuses=("transcribed", "needs_review"), tags=tags)
+    return L.page(f.select("recording_id", "title", "recorded_at", "processing_status"), [F.desc("recorded_at"), F.col("recording_id")], 2)
+
+
+TAGS_SQL = """tags AS (SELECT doc_id AS recording_id, 'quality' AS tag, quality = 1 AS is_active FROM labels UNION ALL SELECT doc_id, 'toxic', toxic = 1 FROM labels)"""
+
+
+def _tags(spark, sf_dir):
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), (F.col(t) == 1).alias("is_active")) for t in ("quality", "toxic")])).alias("t")
+    return X.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("recording_id"), pairs).select("recording_id", "t.tag", "t.is_active")
+
+
+@query(f"WITH {TAGS_SQL} SELECT doc_id AS recording_id FROM documents WHERE doc_id IN (SELECT recording_id FROM tags WHERE is_active)")
+def tag_filter_any(spark, sf_dir):
+    d = X.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"))
+    return L.library_filter(d, tags=_tags(spark, sf_dir).filter("is_active"))
+
+
+@query(f"WITH {TAGS_SQL} SELECT doc_id AS recording_id FROM documents WHERE doc_id IN (SELECT recording_id FROM tags WHERE is_active GROUP BY 1 HAVING count(DISTINCT tag) = 2)")
+def tag_filter_all(spark, sf_dir):
+    d = X.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"))
+    return L.library_filter(d, tags=_tags(spark, sf_dir).filter("is_active"), every_tag=2)
+
+
+@query(f"WITH {TAGS_SQL} SELECT tag, count(*) AS total, count(*) FILTER (is_active) AS active FROM tags GROUP BY 1 UNION ALL SELECT 'unused', 0, 0")
+def tag_overview(spark, sf_dir):
+    known = spark.createDataFrame([("quality",), ("toxic",), ("unused",)], "tag string")
+    return L.tag_overview(known, _tags(spark, sf_dir))
+
+
+STATUSES = ("discovered", "routing", "ready_to_transcribe", "transcribed", "needs_review", "failed")
+
+
+@query(f"""
+WITH {X.RECORDINGS_SQL}, known AS (SELECT unnest({list(STATUSES)}) AS processing_status)
+SELECT processing_status, count(recording_id) AS n FROM known LEFT JOIN recordings USING (processing_status) GROUP BY 1""")
+def status_counts(spark, sf_dir):
+    return L.status_counts(X.recordings(spark, sf_dir), STATUSES)
+
+
+STATE_SQL = f"""{X.ATTEMPTS_SQL}, state AS (
+  SELECT recording_id, count(*) AS attempts, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'success') AS succeeded,
+    count(*) FILTER (outcome IS NULL) AS unfinished, arg_max(outcome, ordinal) FILTER (outcome IS NOT NULL) AS last_outcome FROM attempts GROUP BY 1)"""
+
+
+@query(f"WITH {STATE_SQL} SELECT * FROM state")
+def attempt_state(spark, sf_dir):
+    return L.attempt_state(X.attempts(spark, sf_dir))
+
+
+@query(f"""
+WITH {STATE_SQL}
+SELECT recording_id, 'needs_review' AS kind FROM state WHERE unfinished > 5 UNION ALL SELECT recording_id, 'failed_last' FROM state WHERE last_outcome = 'failed'
+UNION ALL SELECT recording_id, 'failed_often' FROM state WHERE failed > succeeded UNION ALL SELECT recording_id, 'awaiting' FROM state WHERE succeeded = 0 AND failed = 0""")
+def review_report(spark, sf_dir):
+    return L.review_report(L.attempt_state(X.attempts(spark, sf_dir)))
+
+
+@query(f"WITH {STATE_SQL} SELECT count(*) AS badge FROM state WHERE unfinished > 5 OR last_outcome = 'failed' OR failed > succeeded OR (succeeded = 0 AND failed = 0)")
+def review_badge(spark, sf_dir):
+    return L.review_report(L.attempt_state(X.attempts(spark, sf_dir))).agg(F.countDistinct("recording_id").alias("badge"))
+
+
+@query(f"""
+WITH {X.ATTEMPTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY ordinal DESC) AS place, count(*) OVER (PARTITION BY recording_id) AS n FROM attempts)
+SELECT recording_id, attempt_id, CAST(place AS INT) AS place, n > 100 AS truncated FROM r WHERE place <= 100""")
+def newest_history(spark, sf_dir):
+    return L.newest(X.attempts(spark, sf_dir), "recording_id", [F.desc("ordinal")], 100).select("recording_id", "attempt_id", F.col("at").alias("place"), "truncated")
+
+
+@query(f"""
+WITH {X.ATTEMPTS_SQL}, s AS (SELECT recording_id, ordinal, stage AS status, lag(stage) OVER (PARTITION BY recording_id ORDER BY ordinal) AS before FROM attempts)
+SELECT recording_id, ordinal, before, status FROM s WHERE before <> status AND NOT (before IN ('signup', 'view') AND status IN ('view', 'click')) AND NOT (before = 'click' AND status = 'purchase')""")
+def illegal_transitions(spark, sf_dir):
+    edges = [(a, b) for a in ("signup", "view") for b in ("view", "click")] + [("click", "purchase")]
+    return L.illegal_transitions(X.attempts(spark, sf_dir).select("recording_id", "ordinal", F.col("stage").alias("status")), edges)
+
+
+@query(f"""
+WITH {X.ATTEMPTS_SQL}, w AS (SELECT recording_id, stage, ordinal, started_at, lead(started_at) OVER (PARTITION BY recording_id, stage ORDER BY ordinal) AS superseded_at FROM attempts WHERE outcome = 'success')
+SELECT recording_id, stage, ordinal, superseded_at, superseded_at IS NULL AS is_active FROM w""")
+def active_versions(spark, sf_dir):
+    w = Window.partitionBy("recording_id", "stage").orderBy("ordinal")
+    a = X.attempts(spark, sf_dir).filter("outcome = 'success'").withColumn("superseded_at", F.lead("started_at").over(w))
+    return a.select("recording_id", "stage", "ordinal", "superseded_at", F.col("superseded_at").isNull().alias("is_active"))
+
+
+@query(f"""
+WITH {X.ATTEMPTS_SQL}, has AS (SELECT DISTINCT recording_id FROM attempts WHERE outcome = 'success')
+SELECT attempt_id, recording_id, 'interrupted' AS outcome, CASE WHEN h.recording_id IS NULL THEN 'ready_to_transcribe' ELSE 'transcribed' END AS status
+FROM attempts LEFT JOIN has h USING (recording_id) WHERE outcome IS NULL""")
+def interruption_recovery(spark, sf_dir):
+    a = X.attempts(spark, sf_dir)
+    return L.recover(a, a.filter("outcome = 'success'").select("recording_id").distinct())
+
+
+@query(f"WITH {X.ATTEMPTS_SQL} SELECT attempt_id, recording_id, stage, started_at FROM attempts WHERE outcome = 'failed' ORDER BY started_at DESC, attempt_id DESC LIMIT 20")
+def recent_errors(spark, sf_dir):
+    return X.attempts(spark, sf_dir).filter("outcome = 'failed'").orderBy(F.desc("started_at"), F.desc("attempt_id")).limit(20).select("attempt_id", "recording_id", "stage", "started_at")
+
+
+@query(f"""
+WITH {X.SECTIONS_SQL}
+SELECT s.transcript_id, v.transcript_id IS NOT NULL AS valid, coalesce(k.n_sections, 0) AS n_sections FROM stats s LEFT JOIN valid v USING (transcript_id)
+LEFT JOIN (SELECT transcript_id, count(*) AS n_sections FROM sections GROUP BY 1) k USING (transcript_id)""")
+def layout_validity(spark, sf_dir):
+    return L.valid_layouts(*X.layouts(spark, sf_dir))
+
+
+@query(f"""
+WITH {X.SECTIONS_SQL}
+SELECT c.conv_id AS transcript_id, CAST(c.turn AS INT) AS ordinal, CASE WHEN v.transcript_id IS NULL THEN 'r:' || {rid('c.conv_id')} WHEN s.section_id IS NOT NULL THEN 's:' || s.section_id END AS item_key
+FROM conversations c LEFT JOIN valid v ON v.transcript_id = c.conv_id
+LEFT JOIN sections s ON v.transcript_id IS NOT NULL AND s.transcript_id = c.conv_id AND c.turn >= s.start_ordinal AND c.turn < s.end_ordinal""")
+def item_mapping(spark, sf_dir):
+    return L.segment_items(X.segments(spark, sf_dir), *X.layouts(spark, sf_dir))
+
+
+@query(f"""
+WITH {X.SECTIONS_SQL}
+SELECT section_id, CASE WHEN count(c.turn) > 0 THEN (max(c.turn) - min(c.turn) + 1) * 1.0 END AS duration FROM sections s
+LEFT JOIN conversations c ON c.conv_id = s.transcript_id AND c.turn >= s.start_ordinal AND c.turn < s.end_ordinal GROUP BY 1""")
+def section_duration(spark, sf_dir):
+    return L.section_durations(X.segments(spark, sf_dir), X.layouts(spark, sf_dir)[1])
+
+
+@query(f"""
+WITH {X.SECTIONS_SQL}
+SELECT 'r:' || {rid('transcript_id')} AS item_key, transcript_id FROM stats WHERE transcript_id NOT IN (SELECT transcript_id FROM valid)
+UNION ALL SELECT 's:' || section_id, transcript_id FROM sections WHERE transcript_id IN (SELECT transcript_id FROM valid)""")
+def library_items(spark, sf_dir):
+    lay, sec = X.layouts(spark, sf_dir)
+    valid = L.valid_layouts(lay, sec).filter("valid").select("transcript_id")
+    whole = lay.join(valid, "transcript_id", "left_anti").select(F.concat(F.lit("r:"), X.recording_id(F.col("transcript_id"))).alias("item_key"), "transcript_id")
+    return whole.unionByName(sec.join(valid, "transcript_id", "left_semi").select(F.concat(F.lit("s:"), F.col("section_id").cast("string")).alias("item_key"), "transcript_id"))
+
+
+@query("SELECT conv_id AS transcript_id, count(*) AS n, CAST(min(turn) AS INT) AS first, CAST(max(turn) AS INT) AS last, count(*) = max(turn) - min(turn) + 1 AS contiguous FROM conversations GROUP BY 1")
+def segment_stats(spark, sf_dir):
+    return X.segments(spark, sf_dir).groupBy("transcript_id").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), (F.count("*") == F.max("ordinal") - F.min("ordinal") + 1).alias("contiguous"))
+
+
+# ---- languages, tags, summaries ------------------------------------------------------------------
+
+
+ROUTE_SQL = "CASE WHEN l.quality = 0 THEN 'cantonese' WHEN l.toxic = 1 THEN 'european' END"
+
+
+@query(f"""
+SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN CASE WHEN split_part(lang, '-', 1) IN ('zh', 'yue', 'cmn') THEN 'zh-Hant' ELSE 'en' END WHEN {ROUTE_SQL} IN ('cantonese', 'mandarin') THEN 'zh-Hant'
+  WHEN split_part(lang, '-', 1) IN ('zh', 'yue', 'cmn') THEN 'zh-Hant' ELSE 'en' END AS language FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def default_language(spark, sf_dir):
+    d = X.read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("observed")).join(X.read(spark, sf_dir, "labels"), "doc_id", "left")
+    d = d.withColumn("verified_by", F.when(F.col("toxic") == 1, "user")).withColumn("route", F.when(F.col("quality") == 0, "cantonese").when(F.col("toxic") == 1, "european"))
+    return d.select("doc_id", L.default_language().alias("language"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, text, length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g')) AS n, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS tokens FROM documents)
+SELECT doc_id, 0.0 AS cjk, round(len(list_filter(tokens, lambda x: length(x) <= 2)) / len(tokens), 6) AS nonsense FROM t""")
+def cjk_metrics(spark, sf_dir):
+    d = X.read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.round(T.cjk_ratio(F.col("text")), 6).alias("cjk"), F.round(T.nonsense_ratio(F.col("text")), 6).alias("nonsense"))
+
+
+@query()
+def route_verdict(spark, sf_dir):
+    """Every document as a European candidate beside Chinese ones made from its id; evidence, verdict, gate and reason."""
+    d = X.read(spark, sf_dir, "documents")
+    hk = F.when(F.col("doc_id") % 3 == 0, "佢哋唔喺嗰度嘅國學").when(F.col("doc_id") % 3 == 1, "他们不在那里的国学").otherwise(F.substring("text", 1, 40))
+    e = R.evidence(d.select(F.col("doc_id").alias("key"), hk.alias("hk_text"), hk.alias("cn_text"), F.col("text").alias("eu_text")))
+    e = e.withColumns({"verdict": R.verdict(), "family": R.family(), "gate": R.gate(F.lit(3)), "classifier": F.when(F.col("key") % 4 != 0, F.lit("chinese")), "confidence": F.lit(0.9)})
+    return e.withColumn("reason", R.route())
+
+
+@query("SELECT doc_id, CASE WHEN lang IN ('en', 'fr', 'de', 'es') THEN lang ELSE 'und' END AS language, 'ok' AS fault FROM documents")
+def language_backfill(spark, sf_dir):
+    d = X.read(spark, sf_dir, "documents")
+    code = T.canonical_language(F.col("lang"))
+    language = F.when(T.cjk_ratio(F.col("text")) >= 0.25, "zh-Hant").when((code != "") & ~T.is_chinese(code), code).otherwise("und")
+    return d.select("doc_id", language.alias("language"), M.language_fault(F.col("text"), F.col("lang")).alias("fault"))
+
+
+CURRENT_SQL = f"""{TAGS_SQL}, suggested AS (SELECT recording_id AS item, tag FROM tags WHERE is_active),
+current AS (SELECT doc_id AS item, CASE WHEN doc_id % 2 = 0 THEN 'quality' ELSE 'toxic' END AS tag,
+  CASE WHEN doc_id % 3 = 0 THEN 'manual' ELSE 'suggested' END AS origin, doc_id % 5 <> 0 AS is_active, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN doc_id % 10 = 0 THEN 'user' ELSE 'model' END END AS deactivated_by FROM documents)"""
+
+
+def _current(spark, sf_dir):
+    i = F.col("doc_id")
+    off = i % 5 == 0
+    return X.read(spark, sf_dir, "documents").select(
+        i.alias("item"), F.when(i % 2 == 0, "quality").otherwise("toxic").alias("tag"), F.when(i % 3 == 0, "manual").otherwise("suggested").alias("origin"),
+        (~off).alias("is_active"), F.when(off, F.when(i % 10 == 0, "user").otherwise("model")).alias("deactivated_by"))
+
+
+@query(f"""
+WITH {CURRENT_SQL}
+SELECT item, tag, CASE WHEN c.origin IS NULL THEN 'create' WHEN c.is_active AND c.origin = 'suggested' AND s.w THEN 'refresh' WHEN c.is_active AND c.origin = 'suggested' THEN 'deactivate'
+  WHEN NOT c.is_active AND c.deactivated_by = 'model' AND s.w THEN 'reactivate' ELSE 'keep' END AS action
+FROM (SELECT *, true AS w FROM suggested) s FULL JOIN current c USING (item, tag)""")
+def tag_materialise(spark, sf_dir):
+    return L.materialise_tags(_tags(spark, sf_dir).filter("is_active").select(F.col("recording_id").alias("item"), "tag"), _current(spark, sf_dir))
+
+
+@query(f"""
+WITH {CURRENT_SQL}
+SELECT item, tag, CASE WHEN c.is_active IS NULL THEN 'create' WHEN NOT c.is_active AND s.w THEN 'reactivate' WHEN c.is_active AND s.w IS NULL THEN 'suppress' ELSE 'unchanged' END AS action
+FROM (SELECT *, true AS w FROM suggested) s FULL JOIN current c USING (item, tag)""")
+def bulk_selection(spark, sf_dir):
+    return L.select_tags(_tags(spark, sf_dir).filter("is_active").select(F.col("recording_id").alias("item"), "tag"), _current(spark, sf_dir).select("item", "tag", "is_active"))
+
+
+@query("""
+WITH c AS (SELECT lower(c_name) AS name_key, 'd' || c_nationkey AS want FROM customer WHERE c_custkey % 3 <> 0),
+k AS (SELECT lower(c_name) AS name_key, 'd' || (c_nationkey % 20) AS description, c_custkey % 5 <> 0 AS is_configured, CASE WHEN c_custkey % 4 = 0 THEN 'custom' ELSE 'config' END AS origin FROM customer WHERE c_custkey % 7 <> 0)
+SELECT name_key, concat_ws(',', CASE WHEN k.origin IS NULL THEN 'created' END, CASE WHEN c.want IS NOT NULL AND NOT is_configured THEN 'reactivated' END,
+  CASE WHEN c.want IS NOT NULL AND origin = 'custom' THEN 'promoted' END, CASE WHEN c.want IS NOT NULL AND origin IS NOT NULL AND want <> description THEN 'updated' END,
+  CASE WHEN c.want IS NULL AND is_configured AND origin = 'config' THEN 'retired' END) AS changes FROM c FULL JOIN k USING (name_key)""")
+def tag_sync(spark, sf_dir):
+    c = X.read(spark, sf_dir, "customer")
+    i, n = F.col("c_custkey"), F.col("c_nationkey")
+    conf = c.filter(i % 3 != 0).select(F.lower("c_name").alias("name_key"), F.concat(F.lit("d"), n.cast("string")).alias("description"))
+    known = c.filter(i % 7 != 0).select(F.lower("c_name").alias("name_key"), F.concat(F.lit("d"), (n % 20).cast("string")).alias("description"), (i % 5 != 0).alias("is_configured"), F.when(i % 4 == 0, "custom").otherwise("config").alias("origin"))
+    return L.sync_tags(conf, known)
+
+
+@query(f"""
+WITH {X.ATTEMPTS_SQL}, v AS (SELECT recording_id, stage AS language, max(ordinal) FILTER (outcome = 'success' AND ordinal % 2 = 0) AS s_at,
+  max(ordinal) FILTER (outcome = 'failed' OR ordinal % 7 = 0) AS f_at FROM attempts GROUP BY 1, 2)
+SELECT recording_id, language, CASE WHEN s_at IS NOT NULL THEN 'current' WHEN f_at IS NOT NULL THEN 'failed' ELSE 'missing' END AS state, coalesce(f_at > s_at, false) AS regeneration_failed FROM v""")
+def variant_state(spark, sf_dir):
+    a = X.attempts(spark, sf_dir).withColumn("language", F.col("stage"))
+    return L.variant_states(a.select("recording_id", "language").distinct(), a.filter("outcome = 'success' and ordinal % 2 = 0"), a.filter("outcome = 'failed' or ordinal % 7 = 0"))
+
+
+@query()
+def chunk_plan(spark, sf_dir):
+    return M.plan_chunks(X.segments(spark, sf_dir), 400, 80).select("transcript_id", "chunk_no", F.length("text").alias("characters"), F.sha2("text", 256).alias("digest"))
+
+
+@query()
+def map_reduce_summary(spark, sf_dir):
+    """A stub model: the first ten characters of each chunk, joined."""
+    return M.summarise(M.plan_chunks(X.segments(spark, sf_dir), 400, 80), lambda ts: [t[:10] for t in ts], " / ".join)
+
+
+@query("""
+SELECT conv_id AS transcript_id, '# ' || max(CASE WHEN turn = 0 THEN role END) || chr(10) || chr(10) || count(*) || chr(10) || chr(10) ||
+  string_agg(CASE WHEN turn % 2 = 0 THEN (turn // 2 + 1) || '. ' ELSE (turn // 2 + 1) || '.1 ' END || role, chr(10) ORDER BY turn) || chr(10) AS body FROM conversations GROUP BY 1""")
+def summary_render(spark, sf_dir):
+    s = X.segments(spark, sf_dir)
+    points = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "speaker"))), lambda x: F.struct(x.speaker.alias("text"), (x.ordinal % 2 + 1).alias("level")))
+    g = s.groupBy("transcript_id").agg(points.alias("points"), F.count("*").cast("string").alias("overview"), F.max(F.when(F.col("ordinal") == 0, F.col("speaker"))).alias("title"))
+    return g.select("transcript_id", M.render_markdown(F.col("title"), F.col("overview"), F.col("points")).alias("body"))
+
+
+# ---- search documents ----------------------------------------------------------------------------
+
+
+def _documents(spark, sf_dir):
+    return D.documents_from_segments(X.segments(spark, sf_dir))
+
+
+def _summaries(spark, sf_dir):
+    d = X.read(spark, sf_dir, "documents")
+    return D.documents_from_summaries(d.select(F.col("doc_id").alias("summary_id"), X.recording_id(F.col("doc_id") % 100).alias("recording_id"), F.col("lang").alias("language"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("body"), F.col("source").alias("aux")))
+
+
+def framed(*parts: str) -> str:
+    return " || ".join(f"coalesce('S' || octet_length(encode({p})) || ':' || {p}, 'N')" for p in parts)
+
+
+DOCS_SQL = f"""docs AS (
+  SELECT 'segment:' || conv_id || ':' || turn AS document_key, 'segment' AS doc_type, {rid('conv_id')} AS recording_id, CAST(NULL AS VARCHAR) AS output_language, '' AS title_text, text AS body_text, role AS aux_text FROM conversations WHERE trim(text) <> ''
+  UNION ALL SELECT 'summary:' || doc_id, 'summary', {rid('doc_id % 100')}, lang, substr(text, 1, 40), text, source FROM documents),
+hashed AS (SELECT *, sha256({framed('document_key', 'doc_type', 'recording_id', 'output_language', 'title_text', 'body_text', 'aux_text')}) AS content_hash FROM docs)"""
+
+
+@query(f"WITH {DOCS_SQL} SELECT document_key, doc_type, recording_id, output_language, title_text, body_text, aux_text, content_hash, '1' AS index_version FROM hashed")
+def search_documents(spark, sf_dir):
+    return _documents(spark, sf_dir).unionByName(_summaries(spark, sf_dir))
+
+
+def _index_state(spark, sf_dir):
+    d = search_documents(spark, sf_dir)
+    mark = F.crc32("document_key") % 20
+    expected = d.select("document_key", "content_hash", "index_version").filter(mark != 0)
+    registry = d.filter(mark != 1).select("document_key", F.when(mark == 2, "old").otherwise(F.col("content_hash")).alias("content_hash"), F.when(mark == 3, "0").otherwise(F.col("index_version")).alias("index_version"))
+    index = d.filter(~mark.isin(1, 4)).select("document_key", F.when(mark == 5, "old").otherwise(F.col("content_hash")).alias("content_hash"))
+    return expected, registry, index
+
+
+@query()
+def index_status(spark, sf_dir):
+    return D.index_report(D.index_differences(*_index_state(spark, sf_dir)))
+
+
+@query(f"""
+WITH {DOCS_SQL}, e AS (SELECT document_key, content_hash AS e FROM hashed WHERE length(body_text) % 7 <> 0),
+s AS (SELECT document_key, CASE WHEN length(body_text) % 5 = 0 THEN 'old' ELSE content_hash END AS s FROM hashed WHERE length(body_text) % 11 <> 0)
+SELECT document_key, CASE WHEN s IS NULL THEN 'insert' WHEN e IS NULL THEN 'delete' WHEN e <> s THEN 'update' ELSE 'skip' END AS action FROM e FULL JOIN s USING (document_key)""")
+def index_sync_diff(spark, sf_dir):
+    d = search_documents(spark, sf_dir)
+    n = F.length("body_text")
+    stored = d.filter(n % 11 != 0).select("document_key", F.when(n % 5 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"))
+    return D.sync_plan(d.filter(n % 7 != 0), stored)
+
+
+@query(f"WITH {DOCS_SQL} SELECT doc_type, count(*) AS n, count(*) FILTER (output_language IS NULL) AS without_language FROM docs GROUP BY 1")
+def document_counts(spark, sf_dir):
+    return search_documents(spark, sf_dir).groupBy("doc_type").agg(F.count("*").alias("n"), F.count_if(F.col("output_language").isNull()).alias("without_language"))
+
+
+QUERY = "the on"
+RANKED_SQL = f"""{DOCS_SQL}, folded AS (SELECT document_key, doc_type, recording_id, {', '.join(f"replace(lower(nfc_normalize({c})), 'ß', 'ss') AS {c}" for c in S.FIELD_COLUMNS)} FROM docs),
+scored AS (
+  SELECT *, greatest({', '.join(f"CASE WHEN contains(title_text, '{t}') THEN 0 WHEN contains(body_text, '{t}') THEN 1 WHEN contains(aux_text, '{t}') THEN 2 ELSE 9 END" for t in QUERY.split())}) AS worst,
+    CASE doc_type WHEN 'summary' THEN 0 WHEN 'recording' THEN 1 ELSE 2 END AS type,
+    {' + '.join(f"CAST((length({c}) - length(replace({c}, '{t}', ''))) / {len(t)} AS BIGINT)" for t in QUERY.split() for c in S.FIELD_COLUMNS)} AS occurrences,
+    least({', '.join(f"CASE WHEN contains({c}, '{t}') THEN instr({c}, '{t}') - 1 END" for t in QUERY.split() for c in S.FIELD_COLUMNS)}) AS first
+  FROM folded),
+held AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY type, document_key) AS place FROM scored WHERE worst < 9),
+best AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY worst, type, occurrences DESC, first, document_key) AS b FROM held WHERE place <= 100),
+ranked AS (SELECT recording_id, document_key, CAST(worst AS INT) AS worst, occurrences, CAST(first AS INT) AS first,
+  CAST(row_number() OVER (ORDER BY worst, type, occurrences DESC, first, document_key, recording_id) AS INT) AS rank FROM best WHERE b = 1 ORDER BY rank LIMIT 50)"""
+
+
+@query(f"WITH {RANKED_SQL} SELECT * FROM ranked")
+def keyword_search(spark, sf_dir):
+    return S.keyword_search(S.folded(search_documents(spark, sf_dir)), QUERY)
+
+
+@query(f"WITH {DOCS_SQL} SELECT document_key FROM docs WHERE contains(replace(lower(nfc_normalize(body_text)), 'ß', 'ss'), 'tion the')")
+def trigram_search(spark, sf_dir):
+    """Documents whose body holds a phrase: trigram postings narrow, the literal test decides."""
+    d = S.folded(search_documents(spark, sf_dir))
+    near = S.trigram_candidates(S.trigram_postings(d), "tion the")
+    return d.join(near, "document_key", "left_semi").filter(F.col("body_text_fold").contains("tion the")).select("document_key")
+
+
+@query()
+def snippet_ranges(spark, sf_dir):
+    d = S.folded(search_documents(spark, sf_dir))
+    return S.with_snippets(S.keyword_search(d, QUERY), d, QUERY).select("document_key", "rank", "snippet")
+
+
+# ---- vectors -------------------------------------------------------------------------------------
+
+
+def _vectors(spark, sf_dir):
+    e = X.read(spark, sf_dir, "embeddings")
+    return e.select(F.concat(F.lit("segment:"), F.col("vec_id").cast("string")).alias("document_key"), F.col("label").alias("unit"), F.lit(2).alias("type"), "embedding", "vec_id")
+
+
+@query("""
+WITH d AS (SELECT vec_id, 'h' || vec_id AS d FROM embeddings WHERE vec_id % 13 <> 0),
+v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'old' ELSE 'h' || vec_id END AS v, vec_id % 5 = 0 AS bad FROM embeddings WHERE vec_id % 11 <> 0)
+SELECT category, count(*) AS n FROM (SELECT CASE WHEN d IS NULL THEN 'orphan' WHEN v IS NULL THEN 'missing_document' WHEN d <> v THEN 'stale_content' WHEN bad THEN 'invalid_vector' ELSE 'ok' END AS category FROM d FULL JOIN v USING (vec_id)) GROUP BY 1""")
+def vector_status(spark, sf_dir):
+    """Vectors with injected faults against their documents."""
+    e = X.read(spark, sf_dir, "embeddings").withColumn("document_key", F.col("vec_id").cast("string"))
+    h = F.concat(F.lit("h"), F.col("vec_id").cast("string"))
+    i = F.col("vec_id")
+    bad = F.when(i % 10 == 0, F.slice("embedding", 1, 3)).when(i % 5 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    docs = e.filter(i % 13 != 0).select("document_key", h.alias("content_hash"))
+    vec = e.filter(i % 11 != 0).select("document_key", F.when(i % 7 == 0, "old").otherwise(h).alias("source_content_hash"), bad.alias("embedding"))
+    return V.fault_counts(V.classify_vectors(docs, vec, 64))
+
+
+COSINE_SQL = """q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id < 5),
+s AS (SELECT query_id, 'segment:' || vec_id AS document_key, label AS unit, list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS cosine FROM q, embeddings)"""
+
+
+def _queries(spark, sf_dir):
+    return X.read(spark, sf_dir, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(f"""
+WITH {COSINE_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id, unit ORDER BY cosine DESC, document_key) AS b FROM s),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_key, unit) AS INT) AS rank FROM b WHERE b = 1)
+SELECT query_id, unit, document_key, round(cosine, 6) AS cosine, rank FROM r WHERE rank <= 50""")
+def semantic_item_topk(spark, sf_dir):
+    return V.semantic_search(_queries(spark, sf_dir), _vectors(spark, sf_dir)).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(f"""
+WITH {COSINE_SQL}, u AS (SELECT *, row_number() OVER (PARTITION BY query_id, unit ORDER BY cosine DESC, document_key) AS u FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_key, unit) AS t FROM u WHERE u <= 3)
+SELECT query_id, 'C' || t AS citation, document_key, unit FROM t WHERE t <= 12""")
+def evidence_topk(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    texts = v.select("document_key", F.concat(F.lit("text of "), "document_key").alias("text"))
+    return V.evidence(_queries(spark, sf_dir), v, texts).drop("excerpt")
+
+
+@query(f"""
+WITH {COSINE_SQL}, sem AS (SELECT query_id, document_key, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_key) AS semantic_rank FROM s WHERE document_key <> 'segment:' || query_id),
+kw AS (SELECT query_id, 'segment:' || vec_id AS document_key, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id * 7), vec_id) AS keyword_rank FROM q, embeddings),
+f AS (SELECT query_id, document_key, k.keyword_rank, s.semantic_rank, coalesce(1.0 / (60 + keyword_rank), 0) + coalesce(1.0 / (60 + semantic_rank), 0) AS score
+  FROM (SELECT * FROM kw WHERE keyword_rank <= 200) k FULL JOIN (SELECT * FROM sem WHERE semantic_rank <= 200) s USING (query_id, document_key))
+SELECT query_id, document_key, CAST(keyword_rank AS INT) AS keyword_rank, CAST(semantic_rank AS INT) AS semantic_rank, round(score, 9) AS score FROM f""")
+def hybrid_rrf(spark, sf_dir):
+    """Two rank lists of depth 200 a query, fused: cosine, and distance of ids as a stand-in for a keyword rank."""
+    q, v = _queries(spark, sf_dir), _vectors(spark, sf_dir)
+    scored = V.semantic_scores(q, v).filter(F.col("document_key") != F.concat(F.lit("segment:"), F.col("query_id").cast("string")))
+    sem = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "document_key"))).filter("rank <= 200")
+    near = Window.partitionBy("query_id").orderBy(F.abs(F.col("vec_id") - F.col("query_id") * 7), "vec_id")
+    kw = v.join(F.broadcast(q.select("query_id"))).withColumn("rank", F.row_number().over(near)).filter("rank <= 200")
+    return S.fuse(kw, sem, ["query_id", "document_key"]).withColumn("score", F.round("score", 9))
+
+
+@query("""
+WITH a AS (SELECT conv_id * 1000 + turn AS question_id, turn % 4 AS k FROM conversations)
+SELECT question_id, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'unknown_citation' WHEN 2 THEN 'no_citation' ELSE 'undeclared_citation' END AS fault FROM a""")
+def answer_validation(spark, sf_dir):
+    c = X.read(spark, sf_dir, "conversations")
+    k = F.col("turn") % 4
+    answer = F.when(k == 0, "Yes [C1], and [C2].").when(k == 1, "Yes [C9].").when(k == 2, "Yes.").otherwise("Yes [C1].")
+    declared = F.when(k == 0, F.array(F.lit(1), F.lit(2))).when(k == 1, F.array(F.lit(9))).otherwise(F.array(F.lit(2)))
+    return V.answer_faults(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), answer.alias("answer"), declared.alias("declared"), F.lit(3).alias("n_evidence")))
