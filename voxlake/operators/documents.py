@@ -72,7 +72,8 @@ def sync_plan(expected: DataFrame, stored: DataFrame) -> DataFrame:
 
 def apply_sync(expected: DataFrame, stored: DataFrame, touched: DataFrame) -> DataFrame:
     """stored with the documents of touched recordings replaced by the expected ones; applying it twice changes nothing."""
-    return stored.join(touched, "recording_id", "left_anti").unionByName(expected.join(touched, "recording_id", "left_semi"))
+    kept = stored.join(touched, "recording_id", "left_anti").select(*stored.columns)
+    return kept.unionByName(expected.join(touched, "recording_id", "left_semi"))
 
 
 def set_digest(documents: DataFrame, buckets: int = 256) -> DataFrame:

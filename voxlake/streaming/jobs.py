@@ -51,8 +51,9 @@ def interrupted(attempts: DataFrame, wait: str = "30 minutes", late: str = "5 mi
 
     A left outer stream-stream join; the watermark bounds its state and releases the unmatched starts.
     """
-    starts = attempts.filter("kind = 'start'").select(F.col("attempt_id").alias("s_id"), F.col("ts").alias("s_ts")).withWatermark("s_ts", late)
-    ends = attempts.filter("kind = 'finish'").select(F.col("attempt_id").alias("f_id"), F.col("ts").alias("f_ts")).withWatermark("f_ts", late)
+    seen = attempts.withWatermark("ts", late)  # before the split, so that either kind moves both watermarks
+    starts = seen.filter("kind = 'start'").select(F.col("attempt_id").alias("s_id"), F.col("ts").alias("s_ts"))
+    ends = seen.filter("kind = 'finish'").select(F.col("attempt_id").alias("f_id"), F.col("ts").alias("f_ts"))
     near = F.expr(f"s_id = f_id AND f_ts >= s_ts AND f_ts <= s_ts + INTERVAL {wait}")
     return starts.join(ends, near, "leftOuter").filter("f_id is null").select(F.col("s_id").alias("attempt_id"), F.col("s_ts").alias("started_at"))
 
