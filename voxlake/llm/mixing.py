@@ -142,8 +142,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budge
     rates = mixing_rates(docs, labelled, targets, budget=budget).groupBy("doc_id").agg(F.avg("rate").alias("_rate"))
     u = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) / float(1 << 20)
     take = F.floor(F.coalesce("_rate", F.lit(1.0)) + F.when(F.col("_rate").isNull(), 0.0).otherwise(u)).cast("int")
-    times = docs.join(rates, "doc_id", "left").withColumn("_n", take).filter("_n > 0")
-    return times.withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id")  # whole rows, whatever their columns are called
+    times = packed.join(rates, "doc_id", "left").withColumn("_n", take).filter("_n > 0")
+    return times.withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).select("_row.*")
 
 
 def op7_mixing(spark, sf_dir):

@@ -360,12 +360,13 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     left = cuts.select(F.col("key").alias("_key"), "kept_text").join(copies.select("_key"), "_key", "left_anti").withColumnRenamed("kept_text", "_left").unionByName(copies)
     left = stored(left, "left")
     key = F.conv(F.substring(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256), 1, 15), 16, 10).cast("long")
-    dealt = listed_keys(docs.withColumn("_key", key), left.select("_key"))
-    cols = docs.columns
-    changed = dealt.filter("_listed").drop("text").join(left, "_key").withColumnRenamed("_left", "text")
-    if "n_chars" in cols:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return dealt.filter("not _listed").select(*cols).unionByName(changed.select(*cols))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"))  # whole rows, whatever their columns are called
+    dealt = listed_keys(packed, left.select("_key"))
+    row = F.col("_row").withField("text", F.col("_left"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("_left").cast(docs.schema["n_chars"].dataType))
+    changed = dealt.filter("_listed").join(left, "_key").select(row.alias("_row"))
+    return dealt.filter("not _listed").select("_row.*").unionByName(changed.select("_row.*"))
 
 
 def op1_suffix_dedup(spark, sf_dir):
