@@ -87,6 +87,16 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], width:
     return theta[:-1], float(theta[-1])
 
 
+def matched_bias(weights: np.ndarray, bias: float, unlabelled: list[np.ndarray], prior: float) -> float:
+    """The bias with which the mean score of unlabelled texts is the class prior."""
+    z = np.array([weights[x].sum() for x in unlabelled])
+    low, high = bias - 40, bias + 40
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (1 / (1 + np.exp(-np.clip(z + mid, -40, 40)))).mean() < prior else (low, mid)
+    return (low + high) / 2
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, modulo 4, is 2; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -154,7 +164,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
     as_array = lambda r: np.array(r["cols"], np.int64)
     pos, unl = [as_array(r) for r in rows if r["p"]], [as_array(r) for r in rows if r["u"]]
     fits = [train_nnpu(pos, unl, len(index), prior, seed) for seed in range(members)]
-    return NnPuModel(index, np.array([w for w, _ in fits]), np.array([b for _, b in fits]), None)
+    return NnPuModel(index, np.array([w for w, _ in fits]), np.array([matched_bias(w, b, unl, prior) for w, b in fits]), None)
 
 
 def score_toxicity(docs: DataFrame, model: NnPuModel, threshold: float = 0.3) -> DataFrame:
