@@ -197,3 +197,33 @@ def recover(attempts: DataFrame, active: DataFrame) -> DataFrame:
     """Unfinished attempts with the status that their recording falls back to."""
     lost = attempts.filter("outcome is null").join(active.select("recording_id", F.lit(True).alias("has")), "recording_id", "left")
     return lost.select("attempt_id", "recording_id", F.lit("interrupted").alias("outcome"), F.when(F.col("has"), "transcribed").otherwise("ready_to_transcribe").alias("status"))
+
+
+def next_ordinals(rows: DataFrame, new: DataFrame, scope: str, order: Column) -> DataFrame:
+    """new rows with the ordinals that follow the greatest one of their scope."""
+    top = rows.groupBy(scope).agg(F.max("ordinal").alias("_top"))
+    at = F.row_number().over(Window.partitionBy(scope).orderBy(order))
+    return new.join(top, scope, "left").withColumn("ordinal", F.coalesce("_top", F.lit(-1)) + at).drop("_top")
+
+
+def work_queue(state: DataFrame) -> DataFrame:
+    """recording_id and the next permitted action of each recording (processing_status, archived, has_transcript, summary); a failed transcription outranks a failed summary."""
+    status, summary = F.col("processing_status"), F.col("summary")
+    action = (
+        F.when(F.col("archived"), "none").when(status.isin("discovered", "routing"), "route").when(status == "failed", "retry").when(status == "ready_to_transcribe", "transcribe")
+        .when(~F.col("has_transcript"), "none").when(summary == "failed", "retry_summary").when(summary == "missing", "first_summary").otherwise("regenerate")
+    )
+    return state.select("recording_id", action.alias("action"))
+
+
+def archived_listing(recordings: DataFrame, sections: DataFrame, limit: int = 200) -> DataFrame:
+    """item_key and archived_at of archived recordings, and of archived sections whose recording is not archived, newest first."""
+    gone = recordings.filter("archived_at is not null")
+    parts = sections.filter("archived_at is not null").join(gone.select("recording_id"), "recording_id", "left_anti")
+    both = gone.select(F.concat(F.lit("r:"), F.col("recording_id").cast("string")).alias("item_key"), "archived_at")
+    both = both.unionByName(parts.select(F.concat(F.lit("s:"), F.col("section_id").cast("string")).alias("item_key"), "archived_at"))
+    return both.orderBy(F.desc("archived_at"), "item_key").limit(limit)
+
+
+def temporary_title(ordinal: Column, started: Column, zone: str = "UTC") -> Column:
+    return F.concat(F.lit("Segment "), ordinal.cast("string"), F.lit(" of "), F.date_format(F.from_utc_timestamp(started, zone), "yyyyMMddHHmm"))

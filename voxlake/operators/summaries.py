@@ -89,3 +89,26 @@ def key_point_lines(points: Column) -> Column:
 
 def render_markdown(title: Column, overview: Column, points: Column) -> Column:
     return F.concat(F.lit("# "), title, F.lit("\n\n"), overview, F.lit("\n\n"), F.array_join(key_point_lines(points), "\n"), F.lit("\n"))
+
+
+PAYLOAD = "title string, overview string, key_points array<struct<text: string, level: int>>, tags array<string>"
+
+
+def check_payloads(payloads: DataFrame, allowed: list[str], max_title: int = 255, max_points: int = 50) -> DataFrame:
+    """id, fault (the first broken rule, `ok` for none), tags that are allowed, and unknown tags of payloads (id, raw)."""
+    p = payloads.select("id", F.get_json_object("raw", "$").isNull().alias("bad"), F.from_json("raw", PAYLOAD).alias("j"))
+    j = F.col("j")
+    known = F.array(*[F.lit(t) for t in allowed])
+    tags = F.coalesce(F.array_distinct(j["tags"]), F.array().cast("array<string>"))
+    fault = (
+        F.when(F.col("bad"), "malformed_json").when(j["title"].isNull() | (F.trim(j["title"]) == ""), "missing_title").when(F.length(j["title"]) > max_title, "long_title")
+        .when(j["overview"].isNull(), "missing_overview").when(F.size(j["key_points"]) > max_points, "too_many_points")
+        .when(F.exists(F.coalesce(j["key_points"], F.array().cast("array<struct<text: string, level: int>>")), lambda x: x.text.isNull() | ~x.level.between(0, 3)), "invalid_point").otherwise("ok")
+    )
+    return p.select("id", fault.alias("fault"), F.array_sort(F.array_intersect(tags, known)).alias("tags"), F.array_sort(F.array_except(tags, known)).alias("unknown_tags"))
+
+
+def embedding_text(marker: str = "voxlake-embedding-v1") -> Column:
+    """What a document's vector is made from: type, title, body and aux, each with its length in bytes."""
+    part = lambda c: F.concat(F.lit(f"{c} "), F.octet_length(F.coalesce(c, F.lit(""))).cast("string"), F.lit(":"), F.coalesce(c, F.lit("")))
+    return F.concat_ws("\n", F.lit(marker), part("doc_type"), part("title_text"), part("body_text"), part("aux_text"))

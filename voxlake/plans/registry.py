@@ -560,3 +560,109 @@ def answer_validation(spark, sf_dir):
     answer = F.when(k == 0, "Yes [C1], and [C2].").when(k == 1, "Yes [C9].").when(k == 2, "Yes.").otherwise("Yes [C1].")
     declared = F.when(k == 0, F.array(F.lit(1), F.lit(2))).when(k == 1, F.array(F.lit(9))).otherwise(F.array(F.lit(2)))
     return V.answer_faults(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), answer.alias("answer"), declared.alias("declared"), F.lit(3).alias("n_evidence")))
+
+
+# ---- further library rows ------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {X.ATTEMPTS_SQL}, old AS (SELECT recording_id, max(ordinal) AS top FROM attempts WHERE attempt_id % 2 = 0 GROUP BY 1)
+SELECT n.attempt_id, n.recording_id, CAST(coalesce(top, -1) + row_number() OVER (PARTITION BY n.recording_id ORDER BY n.attempt_id) AS INT) AS ordinal
+FROM attempts n LEFT JOIN old USING (recording_id) WHERE n.attempt_id % 2 = 1""")
+def next_ordinals(spark, sf_dir):
+    a = X.attempts(spark, sf_dir)
+    new = a.filter("attempt_id % 2 = 1").select("attempt_id", "recording_id")
+    return L.next_ordinals(a.filter("attempt_id % 2 = 0"), new, "recording_id", F.col("attempt_id")).select("attempt_id", "recording_id", "ordinal")
+
+
+@query(f"""
+WITH {X.RECORDINGS_SQL}
+SELECT recording_id, CASE WHEN tag = '5-LOW' THEN 'none' WHEN processing_status = 'ready_to_transcribe' THEN 'transcribe' WHEN tag = '4-NOT SPECIFIED' THEN 'none'
+  WHEN processing_status = 'needs_review' THEN 'retry_summary' WHEN size < 100000 THEN 'first_summary' ELSE 'regenerate' END AS action FROM recordings""")
+def work_queue(spark, sf_dir):
+    r = X.recordings(spark, sf_dir)
+    summary = F.when(F.col("processing_status") == "needs_review", "failed").when(F.col("size") < 100000, "missing").otherwise("current")
+    return L.work_queue(r.select("recording_id", "processing_status", (F.col("tag") == "5-LOW").alias("archived"), (F.col("tag") != "4-NOT SPECIFIED").alias("has_transcript"), summary.alias("summary")))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS recording_id, CASE WHEN o_orderpriority = '5-LOW' THEN o_orderdate END AS archived_at FROM orders),
+s AS (SELECT l_orderkey * 10 + l_linenumber AS section_id, l_orderkey AS recording_id, CASE WHEN l_returnflag = 'R' THEN l_shipdate END AS archived_at FROM lineitem),
+b AS (SELECT 'r:' || recording_id AS item_key, archived_at FROM r WHERE archived_at IS NOT NULL
+  UNION ALL SELECT 's:' || section_id, archived_at FROM s WHERE archived_at IS NOT NULL AND recording_id NOT IN (SELECT recording_id FROM r WHERE archived_at IS NOT NULL))
+SELECT item_key, archived_at FROM b ORDER BY archived_at DESC, item_key LIMIT 200""")
+def archived_listing(spark, sf_dir):
+    o, li = X.read(spark, sf_dir, "orders"), X.read(spark, sf_dir, "lineitem")
+    r = o.select(F.col("o_orderkey").alias("recording_id"), F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderdate")).alias("archived_at"))
+    s = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("section_id"), F.col("l_orderkey").alias("recording_id"), F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("archived_at"))
+    return L.archived_listing(r, s)
+
+
+@query("SELECT o_orderkey AS recording_id, 'Segment ' || (o_custkey % 9 + 1) || ' of ' || strftime(o_orderdate, '%Y%m%d%H%M') AS title FROM orders")
+def temporary_titles(spark, sf_dir):
+    o = X.read(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("recording_id"), L.temporary_title(F.col("o_custkey") % 9 + 1, F.col("o_orderdate")).alias("title"))
+
+
+@query("""
+SELECT doc_id % 100 AS recording, list_sort(list(DISTINCT lang)) AS languages FROM (SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id, 'en' FROM labels WHERE quality = 1) GROUP BY 1""")
+def existing_languages(spark, sf_dir):
+    d = X.read(spark, sf_dir, "documents").select("doc_id", "lang")
+    v = X.read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit("en").alias("lang"))
+    return d.unionByName(v).groupBy((F.col("doc_id") % 100).alias("recording")).agg(F.array_sort(F.collect_set("lang")).alias("languages"))
+
+
+@query(f"""
+WITH {X.ATTEMPTS_SQL} SELECT recording_id, stage, count(*) AS n FROM attempts WHERE outcome = 'success' AND ordinal % 10 = 0 GROUP BY 1, 2 HAVING count(*) > 1""")
+def duplicate_active(spark, sf_dir):
+    a = X.attempts(spark, sf_dir).withColumn("is_active", F.coalesce((F.col("outcome") == "success") & (F.col("ordinal") % 10 == 0), F.lit(False)))
+    return L.duplicate_active(a, ["recording_id", "stage"])
+
+
+@query(f"WITH {DOCS_SQL} SELECT count(*) FILTER (b.content_hash IS NULL) AS missing, count(*) FILTER (a.content_hash IS NULL) AS extra FROM hashed a FULL JOIN (SELECT * FROM hashed WHERE length(body_text) % 9 <> 0) b ON a.document_key = b.document_key AND a.content_hash = b.content_hash")
+def set_equality(spark, sf_dir):
+    """Documents against a store that lacks some: rows in one and not in the other."""
+    d = search_documents(spark, sf_dir).select("document_key", "content_hash", "body_text")
+    keep = d.filter(F.length("body_text") % 9 != 0).drop("body_text")
+    whole = d.drop("body_text")
+    side = whole.exceptAll(keep).select(F.lit("missing").alias("s")).unionByName(keep.exceptAll(whole).select(F.lit("extra").alias("s")))
+    return side.agg(F.count_if(F.col("s") == "missing").alias("missing"), F.count_if(F.col("s") == "extra").alias("extra"))
+
+
+@query()
+def set_digest(spark, sf_dir):
+    return D.set_digest(search_documents(spark, sf_dir))
+
+
+@query(f"""WITH {DOCS_SQL} SELECT document_key, sha256('voxlake-embedding-v1' || {' || '.join(f"chr(10) || '{c} ' || octet_length(encode(coalesce({c}, ''))) || ':' || coalesce({c}, '')" for c in ('doc_type', 'title_text', 'body_text', 'aux_text'))}) AS digest FROM docs""")
+def embedding_texts(spark, sf_dir):
+    return search_documents(spark, sf_dir).select("document_key", F.sha2(M.embedding_text(), 256).alias("digest"))
+
+
+@query("""
+SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'malformed_json' WHEN 1 THEN 'missing_title' WHEN 2 THEN 'invalid_point' ELSE 'ok' END AS fault,
+  CASE WHEN doc_id % 5 = 0 OR lang NOT IN ('en', 'fr') THEN [] ELSE [lang] END AS tags, CASE WHEN doc_id % 5 = 0 THEN [] WHEN lang IN ('en', 'fr') THEN ['x'] ELSE list_sort([lang, 'x']) END AS unknown_tags FROM documents""")
+def payload_validation(spark, sf_dir):
+    d = X.read(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 5
+    point = F.struct(F.lit("p").alias("text"), F.when(k == 2, 7).otherwise(1).alias("level"))
+    raw = F.to_json(F.struct(F.when(k == 1, F.lit("")).otherwise(F.substring("text", 1, 20)).alias("title"), F.lit("o").alias("overview"), F.array(point).alias("key_points"), F.array("lang", F.lit("x"), "lang").alias("tags")))
+    title = F.when(k == 0, F.lit("{no")).otherwise(F.regexp_replace(raw, '"title":"[ \\\\\\\\n]*"', '"title":""'))
+    return M.check_payloads(d.select(F.col("doc_id").alias("id"), title.alias("raw")), ["en", "fr"])
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'missing' WHEN 2 THEN 'resources' ELSE 'other' END AS category,
+  CASE event_id % 4 WHEN 0 THEN 'Read timed out' WHEN 1 THEN 'No such file <path>' WHEN 2 THEN 'Out of memory' ELSE 'odd ' || event_type END AS message FROM events WHERE event_type = 'error'""")
+def error_categories(spark, sf_dir):
+    e = X.read(spark, sf_dir, "events").filter("event_type = 'error'")
+    k = F.col("event_id") % 4
+    said = F.when(k == 0, F.lit("Read timed out")).when(k == 1, F.concat(F.lit("No such file /data/in/"), F.col("event_id").cast("string"), F.lit(".wav"))).when(k == 2, F.lit("Out of memory")).otherwise(F.concat(F.lit("odd "), "event_type"))
+    return e.select("event_id", T.error_category(said).alias("category"), T.sanitize_error(said).alias("message"))
+
+
+@query("SELECT o_orderkey AS recording_id FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-14 21:00:00' AND o_orderdate < TIMESTAMP '1996-06-15 21:00:00'")
+def local_day_filter(spark, sf_dir):
+    """Recordings of one local calendar day, in summer time."""
+    lo, hi = L.local_day_bounds("1996-06-15", "Europe/Helsinki")
+    return L.library_filter(X.recordings(spark, sf_dir), since=lo, until=hi).select("recording_id")
