@@ -190,11 +190,32 @@ def _support(sets: DataFrame, read, half: bool, groups: int) -> DataFrame:
         size = np.diff(np.append(first, len(toks)))
         shared = np.repeat(keys[first] != keys[first + size - 1], size)
         held, number = np.unique(keys[shared], return_counts=True)
+        number = number.astype(np.int64)
+        q = held % groups
+        order = np.argsort(q, kind="stable")
+        held, number, q = held[order], number[order], q[order]
+        cut = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+        spans = [*zip(cut.tolist(), [*cut[1:].tolist(), len(q)])]
+        none = pa.nulls(len(cut), pa.int64())
+        packed = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (held, number)]
+        more = pa.table([pa.array(q[cut], pa.int32()), none, none, none, none, none, *packed], ["p", *names, "held", "number"])
+        plain = group.filter(pc.is_null(group["tokens"])).select(["p", *names])
+        blank = pa.nulls(plain.num_rows, pa.binary())
+        return pa.concat_tables([plain.append_column("held", blank).append_column("number", blank), more])
+
+    def add(group: pa.Table) -> pa.Table:
+        """The sums of a range of keys: one row a key, beside the input's rows."""
+        blobs = group.filter(group["held"].is_valid())
+        parts = [[np.frombuffer(x.as_buffer(), np.int64) for x in blobs[c]] for c in ("held", "number")]
+        held, at = np.unique(np.concatenate([np.zeros(0, np.int64), *parts[0]]), return_inverse=True)
+        number = np.bincount(at, weights=np.concatenate([np.zeros(0, np.int64), *parts[1]]), minlength=len(held)).astype(np.int64)
         none = pa.nulls(len(held), pa.int64())
-        more = pa.table([none, none, none, pa.array(held, pa.int64()), pa.array(number, pa.int64())], names)
-        return pa.concat_tables([group.filter(pc.is_null(group["tokens"])).select(names), more])
+        sums = pa.table([none, none, none, pa.array(held, pa.int64()), pa.array(number, pa.int64())], names)
+        return pa.concat_tables([group.filter(group["held"].is_null()).select(names), sums])
 
-    return sets.mapInArrow(send, BLOB).groupBy("p").applyInArrow(count, "doc_id long, n long, c long, key long, shared long")
+    schema = ", ".join(f"{n} long" for n in names)
+    counted = sets.mapInArrow(send, BLOB).groupBy("p").applyInArrow(count, f"p int, {schema}, held binary, number binary")
+    return counted.groupBy("p").applyInArrow(add, schema)
 
 
 def _groups(spark, tokens: float) -> int:
@@ -299,6 +320,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.select("a", "b").join(one, "a").join(two, "b").filter(fits).select("a", "b", "t_a", "t_b").mapInArrow(check, "a long, b long")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every a has one b, and no b is an a."""
+    roles = edges.select(F.col("a").alias("k"), F.lit(1).alias("r")).unionByName(edges.select(F.col("b").alias("k"), F.lit(2).alias("r")))
+    odd = roles.groupBy("k").agg(F.bit_or("r").alias("r"), F.count_if(F.col("r") == 1).alias("n")).filter("r = 3 or n > 1")
+    return not odd.limit(1).count()
+
+
 def connected(edges: DataFrame, label: str) -> DataFrame:
     """(key, root) for every node of edges (a, b): root is the smallest key of its component.
 
@@ -306,19 +334,13 @@ def connected(edges: DataFrame, label: str) -> DataFrame:
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    last = None
-    while True:
+    while not _stars(now):
         least = both(now).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both(now).join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        low = large.filter("a <> b").distinct().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         floor = low.groupBy("a").agg(F.min("b").alias("m"))
         small = low.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(floor.select("a", F.col("m").alias("b")))
         now = stored(small.filter("a <> b").distinct(), label)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("key"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
 
