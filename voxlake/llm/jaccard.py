@@ -24,7 +24,7 @@ ROUNDS = 1
 #: Centers that a set is compared with in such a round.
 TRIES = 3
 #: Tokens of a block in the final comparison, on average.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 200_000
 #: One in so many index entries serves those rounds; the final comparison uses all of them.
 LIKELY = 4
 U = np.uint64
@@ -413,9 +413,6 @@ def _remaining_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> D
         across = group["i"][0].as_py() != group["j"][0].as_py()
         token = np.unique(np.concatenate(data), return_inverse=True)[1]
         of = np.repeat(np.arange(len(data)), size)
-        order = np.argsort(token, kind="stable")
-        holders = of[order]
-        begin = np.concatenate([[0], np.cumsum(np.bincount(token))])
         ends = np.cumsum(size)
         names, root, members = np.unique(roots, return_inverse=True, return_counts=True)
         parent = np.arange(len(names))
@@ -426,18 +423,24 @@ def _remaining_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> D
             return r
 
         found = []
-        largest = int(np.argmax(members))
-        for b in np.flatnonzero(root != largest).tolist():
-            own = token[ends[b] - size[b] : ends[b]]
-            count = np.bincount(np.concatenate([holders[begin[t] : begin[t + 1]] for t in own]), minlength=len(data))
-            link = (count * den >= num * (size + size[b] - count)) & (root != root[b])
-            if across:
-                link &= side != side[b]
-            for c in np.flatnonzero(link).tolist():
-                x, y = top(int(root[b])), top(int(root[c]))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    found.append((keys[b], keys[c]))
+        asks = root != int(np.argmax(members))  # sets of the largest cluster need not ask: the others ask them
+        for held in np.unique(side) if across else (None,):
+            mine = np.ones(len(data), bool) if held is None else side == held
+            at = np.flatnonzero(mine[of])
+            order = at[np.argsort(token[at], kind="stable")]
+            holders = of[order]
+            begin = np.concatenate([[0], np.cumsum(np.bincount(token[at], minlength=int(token.max()) + 1))])
+            for b in np.flatnonzero(asks if held is None else asks & ~mine).tolist():
+                own = token[ends[b] - size[b] : ends[b]]
+                low, many = begin[own], begin[own + 1] - begin[own]
+                places = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+                count = np.bincount(holders[places], minlength=len(data))
+                link = (count * den >= num * (size + size[b] - count)) & (root != root[b]) & mine
+                for c in np.flatnonzero(link).tolist():
+                    x, y = top(int(root[b])), top(int(root[c]))
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        found.append((keys[b], keys[c]))
         cols = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
         return pa.table(cols, ["a", "b"])
 
