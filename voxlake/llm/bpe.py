@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from voxlake.llm.common import table
+from voxlake.llm.common import returning_memory, small_batches, table
 
 #: The pattern that splits text into words before merging (a fixed value of this public vocabulary).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -255,7 +255,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for whole in batches:
+        for whole in returning_memory(batches):
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 texts = batch.column(1).to_pylist()
@@ -274,7 +274,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
                     cols["decoded"] = pa.array(decoded, pa.string())
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:

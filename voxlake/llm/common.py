@@ -17,6 +17,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch of whole texts: with the default of 10,000, batches of long texts fill an executor's memory outside the heap.
+TEXT_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most TEXT_ROWS rows; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > TEXT_ROWS:
+        df.sparkSession.conf.set(name, str(TEXT_ROWS))
+    return df
+
+
+def returning_memory(batches):
+    """The batches of a task; at its end Arrow's unused memory goes back to the system, as workers outlive tasks."""
+    import pyarrow as pa
+
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; no run ever reuses another's."""
     return f"{shared_dir(spark)}/voxlake-{label}-{uuid.uuid4().hex}"

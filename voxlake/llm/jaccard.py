@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import stored, table
+from voxlake.llm.common import returning_memory, small_batches, stored, table
 from voxlake.llm.urls import listed_keys
 
 WORDS, NUM, DEN = 5, 75, 100
@@ -169,7 +169,7 @@ def _support(sets: DataFrame, read, half: bool, groups: int) -> DataFrame:
             rows = [{"p": int(k % groups), "key": int(k), "shared": int(s)} for k, s in zip(keys, known) if s]
             yield _frame(rows + _send(keys, of[~third], toks[~third], groups))  # two sets are enough to make a token shared
 
-        for batch in batches:
+        for batch in returning_memory(batches):
             rows = []
             for doc_id, key, toks in read(batch):
                 looked = toks[np.searchsorted(toks, U(1) << U(63)) :] if half else toks
@@ -235,7 +235,7 @@ def _sets_of(docs: DataFrame, living: DataFrame, words: int) -> DataFrame:
     near = listed_keys(docs.select(F.col("doc_id").alias("_key"), "text"), chosen.select("_key").distinct()).filter("_listed").select("_key", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in returning_memory(batches):
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 found = [(k, shingles(t, words)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
@@ -356,7 +356,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     other columns are ignored; an empty table gives an empty result. component_id is the smallest
     doc_id of the class.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

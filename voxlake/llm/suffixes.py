@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import stored, table
+from voxlake.llm.common import returning_memory, small_batches, stored, table
 from voxlake.llm.jaccard import BLOB, GATHER, U, _frame, _groups, _received, _send, mixed
 from voxlake.llm.urls import listed_keys
 
@@ -164,7 +164,7 @@ def _shared_anchors(texts: DataFrame, groups: int, length: int, gram: int) -> Da
             toks = np.concatenate([np.zeros(0, U), *once])
             yield _frame(rows + _send(keys, np.repeat(np.arange(len(keys)), [len(u) for u in once]), toks, groups))
 
-        for batch in batches:
+        for batch in returning_memory(batches):
             for key, _, (_, h, _, _) in _pick_hashes(batch, length, gram):
                 if len(h) and key not in held:
                     held[key] = h
@@ -202,7 +202,7 @@ def _segments(texts: DataFrame, with_bytes: bool, length: int, gram: int) -> Dat
     wanted: packed hashes of anchors, or an array of segment keys with with_bytes.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in returning_memory(batches):
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
                 cols: list[list] = [[], [], [], [], []]
@@ -276,7 +276,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     key names a text (60 bits of its SHA-256). Texts that occur more than once lose everything if
     they have `length` bytes; they are looked at once, so a large group of copies is one text.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     keyed = docs.select("doc_id", data.alias("data")).withColumn("sha", F.sha2("data", 256))
     keyed = keyed.withColumn("key", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
@@ -308,7 +308,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
 def _cut(texts: DataFrame, length: int) -> DataFrame:
     """Kept bytes and removed runs of each text (key, text, firsts, lasts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in returning_memory(batches):
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 cols: list[list] = [[], [], [], [], [], []]

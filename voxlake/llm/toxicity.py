@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import table
+from voxlake.llm.common import small_batches, table
 
 #: Bounds of the training sample (documents with a positive label; documents of any kind), least hash first.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -121,7 +121,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
     unlabelled) is a distributed count; the driver gets at most FEATURES names and the sample's
     feature numbers. Without positives or texts the model scores a constant: the prior, or 0.
     """
-    sample, prior = _sampled(docs, labels, positives, unlabelled)
+    sample, prior = _sampled(small_batches(docs), labels, positives, unlabelled)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, u, n = Counter(), Counter(), [0, 0]
