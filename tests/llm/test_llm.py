@@ -294,6 +294,19 @@ def test_mixing_meets_targets_and_equals_brute_force(spark):
     assert mixing.mixing_rates(frame(spark, []), labels).count() == 0
 
 
+def test_mixing_tells_domains_by_words(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 40) + (" vile " if i % 5 == 0 else " ") + prose(rng, 40)) for i in range(300)]
+    labels = spark.createDataFrame([(i, "toxic" if i % 5 == 0 else "high") for i in range(200)], "doc_id long, domain string")
+    out = mixing.mixing_rates(frame(spark, rows), labels, {"toxic": 0.05, "high": 0.95}).toPandas()
+    bad = out["doc_id"] % 5 == 0
+    assert out["p_toxic"][bad].min() > 0.9 and out["p_toxic"][~bad].max() < 0.1
+    true = (out["rate"] * out["tokens"])[bad].sum() / (out["rate"] * out["tokens"]).sum()
+    assert abs(true - 0.05) < 0.02  # the true share, not only the expected one
+    counts = frame(spark, [(1, "a  b\t\nc "), (2, " "), (3, None)]).select(mixing.token_count(F.col("text"))).collect()
+    assert [r[0] for r in counts] == [3, 0, 0]
+
+
 def test_toxicity_finds_held_out_words(spark):
     rng = random.Random(6)
     bad = ["vile", "nasty", "foul"]

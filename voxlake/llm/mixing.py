@@ -13,6 +13,8 @@ from voxlake.llm.common import stored, table
 #: Most labelled rows that the classifier is fitted on (least hash first).
 LABELLED = 50_000
 STEPS = 25
+#: A word of the lexicon stands in so many of its labelled texts and has such log-odds for some domain, at least; the strongest are kept.
+SUPPORT, STRONG, LEXICON = 5, 2.0, 50_000
 #: Domains and their target shares of all tokens, for the registered query.
 TARGETS = {"low": 0.10, "high": 0.88, "toxic": 0.02}
 
@@ -34,27 +36,66 @@ def traits(text: Column) -> list[Column]:
 
 
 def token_count(text: Column) -> Column:
-    """Blank-separated words of a text: one more than its blanks and line ends, 0 for a blank or null text."""
-    gaps = 2 * F.length(text) - F.length(F.replace(text, F.lit(" "))) - F.length(F.replace(text, F.lit("\n")))
-    return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) == 0, 0).otherwise(gaps + 1).cast("long")
+    """Words of a text, which blanks of any kind and number part; 0 for a blank or null text."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
+
+
+def words_of(text: Column) -> Column:
+    """Runs of letters and digits of the lower-cased text."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def fit_words(docs: DataFrame, few: DataFrame, domains: list[str]) -> DataFrame:
+    """(word, odds): the log-odds of a text that holds the word for each domain against all others, from the rows of few (doc_id, domain)."""
+    seen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    got = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    total = sum(got.values())
+    held = seen.select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
+    held = held.groupBy("word").agg(F.count("*").alias("n"), *[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]).filter(F.col("n") >= SUPPORT)
+    odds = []
+    for i, d in enumerate(domains):
+        own, rest = got.get(d, 0), total - got.get(d, 0)
+        gap = F.log((F.col(f"n{i}") + 0.5) / (own + 1.0)) - F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (rest + 1.0))
+        odds.append(gap if own and rest else F.lit(0.0))
+    return held.select("word", F.array(*odds).alias("odds")).filter(F.array_max("odds") >= STRONG).orderBy(F.desc(F.array_max("odds")), "word").limit(LEXICON)
+
+
+def with_words(rows: DataFrame, docs: DataFrame, lexicon: DataFrame, domains: list[str]) -> DataFrame:
+    """rows of measured() whose x goes on with the text's strongest word for each domain: its log-odds, 0 without one.
+
+    Equal texts hold equal words, so words are summed up by text and joined back by the text's hash.
+    """
+    found = docs.select(F.xxhash64("text").alias("text_hash"), F.explode(words_of(F.col("text"))).alias("word")).join(F.broadcast(lexicon), "word")
+    found = found.groupBy("text_hash").agg(F.array(*[F.greatest(F.lit(0.0), F.max(F.col("odds")[i])) for i in range(len(domains))]).alias("_w"))
+    none = F.array(*[F.lit(0.0) for _ in domains])
+    return rows.join(found, "text_hash", "left").withColumn("x", F.concat("x", F.coalesce("_w", none))).drop("_w", "text_hash")
 
 
 def measured(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, more, tokens and x (the traits, as an array) of each row; a null text is an empty one."""
+    """doc_id, more, tokens, text_hash and x (the traits, as an array) of each row; a null text is an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", *more, token_count(text).alias("tokens"), F.array(*[c.cast("double") for c in traits(text)]).alias("x"))
+    return docs.select("doc_id", *more, token_count(text).alias("tokens"), F.xxhash64("text").alias("text_hash"), F.array(*[c.cast("double") for c in traits(text)]).alias("x"))
+
+
+def few_labelled(labelled: DataFrame, limit: int = LABELLED) -> DataFrame:
+    """(doc_id, domain, fits_words) of at most `limit` labelled ids; words are fitted on one half, by hash, and their weight is judged on the other."""
+    few = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return few.withColumn("fits_words", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)) == 0)
 
 
-def fit_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], limit: int = LABELLED, rounds: int = 40) -> tuple[list, list, list]:
-    """(prior logs, means, deviations a domain) of a naive Gaussian classifier over the traits.
+def fit_posteriors(docs: DataFrame, few: DataFrame, lexicon: DataFrame, domains: list[str]) -> tuple[list, list, list]:
+    """(prior logs, means, deviations a domain) of a naive Gaussian classifier over the traits and the strongest words.
 
-    labelled: (doc_id, domain); at most `limit` of its rows are used. Aggregation alone fits it; the
-    driver gets one row a domain. A domain without rows gets a prior of almost nothing.
+    few: as from few_labelled. Aggregation alone fits it; the driver gets one row a domain. What the
+    lexicon was fitted on does not count for the words, unless a domain has nothing else. A domain
+    without rows gets a prior of almost nothing.
     """
-    few = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    width = len(TRAITS)
-    seen = measured(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), "domain")
-    got = {r["domain"]: r for r in seen.groupBy("domain").agg(F.count("*").alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(width)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(width)]).collect()}
+    width = len(TRAITS) + len(domains)
+    own = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    seen = with_words(measured(own, "domain", "fits_words"), own, lexicon, domains)
+    fresh = lambda i: F.col("x")[i] if i < len(TRAITS) else F.when(~F.col("fits_words"), F.col("x")[i])
+    both = lambda f, i: F.coalesce(f(fresh(i)), f(F.col("x")[i]))
+    got = {r["domain"]: r for r in seen.groupBy("domain").agg(F.count("*").alias("n"), *[both(F.avg, i).alias(f"m{i}") for i in range(width)], *[both(F.stddev_pop, i).alias(f"s{i}") for i in range(width)]).collect()}
     total = sum(r["n"] for r in got.values()) or 1
     prior = [float(np.log((got[d]["n"] if d in got else 1e-3) / total)) for d in domains]
     mean = [[float(got[d][f"m{i}"]) if d in got else 0.0 for i in range(width)] for d in domains]
@@ -128,8 +169,10 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     """
     domains = sorted(targets)
     share = sum(targets.values())
-    base = measured(docs)
-    rows = stored(base.withColumn("p", posterior(F.col("x"), fit_posteriors(docs, labelled, domains))).select("doc_id", "tokens", "p"), "posteriors")
+    few = stored(few_labelled(labelled), "labelled")
+    lexicon = stored(fit_words(docs, few.filter("fits_words"), domains), "lexicon")
+    base = with_words(measured(docs), docs, lexicon, domains)
+    rows = stored(base.withColumn("p", posterior(F.col("x"), fit_posteriors(docs, few, lexicon, domains))).select("doc_id", "tokens", "p"), "posteriors")
     pulls = fit_rates(rows.select("tokens", "p"), [budget * targets[d] / share for d in domains], steps)
     return rows.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], rate_of(pulls).alias("rate"))
 
