@@ -143,6 +143,27 @@ def test_jaccard_empty_and_kept_rows(spark):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 7, 8, 9]
 
 
+def test_jaccard_keeps_rows_not_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = lambda text, k: " ".join(w if i != k else "edit" for i, w in enumerate(text.split()))
+    rows = [(5, a), (5, b), (3, b), (6, c), (6, c), (None, d), (None, d), (None, near(d, 30)), (None, None), (None, None), (8, ""), (8, "")]
+    got = Counter((r.doc_id, r.text) for r in jaccard.keep_one_each(frame(spark, rows)).collect())
+    d_kept = [t for t in (d, near(d, 30)) if got[(None, t)]]
+    assert len(d_kept) == 1
+    assert got == Counter({(5, a): 1, (3, b): 1, (6, c): 1, (None, d_kept[0]): 1, (None, None): 2, (8, ""): 2})
+
+
+def test_jaccard_links_through_rows_without_id(spark):
+    words = prose(random.Random(13), 100).split()
+    edit = lambda *at: " ".join("edit" if i in at else w for i, w in enumerate(words))
+    rows = [(1, edit(10, 30)), (None, edit()), (2, edit(60, 80))]
+    sets = [set(jaccard.shingles(t).tolist()) for _, t in rows]
+    ratio = lambda x, y: len(x & y) / len(x | y)
+    assert ratio(sets[0], sets[2]) < 0.75 <= min(ratio(sets[0], sets[1]), ratio(sets[1], sets[2]))
+    assert {r.component_id for r in jaccard.jaccard_classes(frame(spark, rows)).collect()} == {1}
+
+
 @pytest.mark.parametrize("low", [1, 2, 3, 5, 9, 17, 40, 90, 200, 1000])
 def test_allocation_catches_every_pair(low):
     starts = jaccard.band_starts(2000)

@@ -134,22 +134,22 @@ def _received(group: pa.Table, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return toks[order], keys[order]
 
 
-BLOB = "p int, doc_id long, n long, c long, key long, shared long, keys binary, places binary, tokens binary"
+BLOB = "p int, doc_id long, t long, n long, c long, key long, shared long, keys binary, places binary, tokens binary"
 
 
 def _frame(rows: list[dict]) -> pa.RecordBatch:
     kinds = {"p": pa.int32(), "keys": pa.binary(), "places": pa.binary(), "tokens": pa.binary()}
-    cols = ["p", "doc_id", "n", "c", "key", "shared", "keys", "places", "tokens"]
+    cols = ["p", "doc_id", "t", "n", "c", "key", "shared", "keys", "places", "tokens"]
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds.get(c, pa.int64())) for c in cols], cols)
 
 
 def _support(sets: DataFrame, read, half: bool, groups: int) -> DataFrame:
-    """(doc_id, n, c, key, shared): a row for each input row, and rows that add to a key's shared.
+    """(doc_id, t, n, c, key, shared): a row for each input row, and rows that add to a key's shared.
 
     shared counts (never too low) how many of a set's c looked-at tokens some other set holds. half:
     only tokens in the upper half of the hash range are looked at.
     """
-    names = ["doc_id", "n", "c", "key", "shared"]
+    names = ["doc_id", "t", "n", "c", "key", "shared"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray]] = []
@@ -171,9 +171,9 @@ def _support(sets: DataFrame, read, half: bool, groups: int) -> DataFrame:
 
         for batch in returning_memory(batches):
             rows = []
-            for doc_id, key, toks in read(batch):
+            for doc_id, t, key, toks in read(batch):
                 looked = toks[np.searchsorted(toks, U(1) << U(63)) :] if half else toks
-                rows.append({"p": key % groups, "doc_id": doc_id, "n": len(toks), "c": len(looked), "key": key})
+                rows.append({"p": key % groups, "doc_id": doc_id, "t": t, "n": len(toks), "c": len(looked), "key": key})
                 if len(looked):
                     held.append((key, looked))
                     size += len(looked)
@@ -198,7 +198,7 @@ def _support(sets: DataFrame, read, half: bool, groups: int) -> DataFrame:
         spans = [*zip(cut.tolist(), [*cut[1:].tolist(), len(q)])]
         none = pa.nulls(len(cut), pa.int64())
         packed = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (held, number)]
-        more = pa.table([pa.array(q[cut], pa.int32()), none, none, none, none, none, *packed], ["p", *names, "held", "number"])
+        more = pa.table([pa.array(q[cut], pa.int32()), *[none] * len(names), *packed], ["p", *names, "held", "number"])
         plain = group.filter(pc.is_null(group["tokens"])).select(["p", *names])
         blank = pa.nulls(plain.num_rows, pa.binary())
         return pa.concat_tables([plain.append_column("held", blank).append_column("number", blank), more])
@@ -210,7 +210,7 @@ def _support(sets: DataFrame, read, half: bool, groups: int) -> DataFrame:
         held, at = np.unique(np.concatenate([np.zeros(0, np.int64), *parts[0]]), return_inverse=True)
         number = np.bincount(at, weights=np.concatenate([np.zeros(0, np.int64), *parts[1]]), minlength=len(held)).astype(np.int64)
         none = pa.nulls(len(held), pa.int64())
-        sums = pa.table([none, none, none, pa.array(held, pa.int64()), pa.array(number, pa.int64())], names)
+        sums = pa.table([none, none, none, none, pa.array(held, pa.int64()), pa.array(number, pa.int64())], names)
         return pa.concat_tables([group.filter(group["held"].is_null()).select(names), sums])
 
     schema = ", ".join(f"{n} long" for n in names)
@@ -223,10 +223,10 @@ def _groups(spark, tokens: float) -> int:
 
 
 def _living(support: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, doc_id): sets that can have a partner, each with one of its rows: all but n - ceil(n num/den) tokens must be shared."""
-    sums = support.groupBy("key").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.sum("shared").alias("shared"), F.min("doc_id").alias("doc_id"))
+    """(key, doc_id, t, n): sets that can have a partner, each with the id of one of its rows, and a text's hash where no row has an id: all but n - ceil(n num/den) tokens must be shared."""
+    sums = support.groupBy("key").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.sum("shared").alias("shared"), F.min("doc_id").alias("doc_id"), F.min("t").alias("t"))
     spare = F.expr(f"n - ({num} * n + {den - 1}) div {den}")
-    return sums.filter((F.col("n") > 0) & (F.coalesce("shared", F.lit(0)) >= F.col("c") - spare)).select("key", "doc_id", "n")
+    return sums.filter((F.col("n") > 0) & (F.coalesce("shared", F.lit(0)) >= F.col("c") - spare)).select("key", "doc_id", "t", "n")
 
 
 def _sets_of(docs: DataFrame, living: DataFrame, words: int) -> DataFrame:
@@ -242,12 +242,14 @@ def _sets_of(docs: DataFrame, living: DataFrame, words: int) -> DataFrame:
                 found = [(k, t) for k, t in found if set_key(t) == k]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([len(t) for _, t in found], pa.int64()), pa.array([t.tobytes() for _, t in found], pa.binary())], ["key", "n", "tokens"])
 
-    return near.join(chosen, "_key").select("key", "text").mapInArrow(read, "key long, n long, tokens binary").dropDuplicates(["key"])
+    bare = living.filter("doc_id is null").select("key", "t")
+    lone = docs.filter("doc_id is null").select(F.xxhash64("text").alias("t"), "text").dropDuplicates().join(bare, "t").select("key", "text")
+    return near.join(chosen, "_key").select("key", "text").unionByName(lone).mapInArrow(read, "key long, n long, tokens binary").dropDuplicates(["key"])
 
 
 def _read_sets(batch: pa.RecordBatch):
     for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        yield None, k, np.frombuffer(t, U)
+        yield None, None, k, np.frombuffer(t, U)
 
 
 def _candidates(sets: DataFrame, groups: int, starts: np.ndarray, num: int, den: int, one_in: int) -> DataFrame:
@@ -262,7 +264,7 @@ def _candidates(sets: DataFrame, groups: int, starts: np.ndarray, num: int, den:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, sigs, size = [], [], 0
         for batch in batches:
-            for (_, key, toks), root in zip(_read_sets(batch), batch.column(2).to_pylist()):
+            for (_, _, key, toks), root in zip(_read_sets(batch), batch.column(2).to_pylist()):
                 band = int(np.searchsorted(starts, len(toks), "right")) - 1
                 found = np.concatenate([signatures(toks, g, starts, num, den) for g in (band - 1, band) if g >= 0])
                 found = found[found % U(one_in) == 0] if one_in > 1 else found
@@ -356,21 +358,26 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     other columns are ignored; an empty table gives an empty result. component_id is the smallest
     doc_id of the class.
     """
+    return _classes(_labelled_rows(docs, words, num, den))
+
+
+def _labelled_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(doc_id, t, n, label) for every row of docs: t is its text's hash, label its class, null without shingles."""
     spark = small_batches(docs).sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def read(batch: pa.RecordBatch):
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc_id, text, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
             toks = shingles(text, words)
-            yield doc_id, set_key(toks), toks
+            yield doc_id, t, set_key(toks), toks
 
     support = stored(_support(docs, read, True, _groups(spark, size / 12)), "support")
-    rows = support.filter("n is not null").select("doc_id", "n", "key")
+    rows = support.filter("n is not null").select("doc_id", "t", "n", "key")
     sets = stored(_sets_of(docs, _living(support, num, den), words), "sets")
     totals = sets.agg(F.sum("n"), F.max("n")).first()
     if not totals[0]:
-        return _classes(rows, None)
+        return _labelled(rows, None)
     again = _support(sets.select("key", "tokens"), _read_sets, False, _groups(spark, totals[0]))
     alive = _living(again.withColumn("doc_id", F.col("key")), num, den).select("key")
     sets = stored(sets.join(alive, "key", "left_semi"), "living")
@@ -388,7 +395,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
         roots = stored(connected(links, "stars"), "roots")
     cells = stored(_candidates(_rooted(sets, roots), groups, starts, num, den, 1), "cells")
     links = links.unionByName(stored(_remaining_links(cells, sets, num, den), "links"))
-    return _classes(rows, stored(connected(links, "stars"), "roots"))
+    return _labelled(rows, stored(connected(links, "stars"), "roots"))
 
 
 def _remaining_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -453,20 +460,40 @@ def _rooted(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
     return sets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
-def _classes(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     label: Column = F.col("key")
     if roots is not None:
         rows, label = rows.join(roots, "key", "left"), F.coalesce("root", "key")
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, label).alias("label"))
+    return rows.select("doc_id", "t", "n", F.when(F.col("n") > 0, label).alias("label"))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "label")
     least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = rows.filter("label is not null").join(least, "label").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.filter("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one_each(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """docs without all but one row of each class; the row with the smallest doc_id stays, rows without an id too."""
-    keep = jaccard_classes(docs, words, num, den).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_anti")
+    """docs without all but one row of each class: the one with the smallest doc_id (null last), then text hash.
+
+    Rows are told apart by id and text together, so a repeated id loses only the texts that are copies.
+    Of rows with the same id and text one stays. Texts without shingles are in no class and all stay.
+    """
+    rows = stored(_labelled_rows(docs, words, num, den).filter("label is not null"), "rows")
+    many = rows.groupBy("label", "doc_id", "t").agg(F.count("*").alias("many"))
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "t")).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("t") == F.col("best.t"))
+    marks = stored(many.join(best, "label").select(F.col("doc_id").alias("_i"), F.col("t").alias("_h"), stays.alias("stays"), "many").filter("not stays or many > 1"), "marks")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_t"))  # whole rows, whatever their columns are called
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_h"))
+    out = packed.join(marks.filter("not stays"), same, "left_anti")
+    repeated = marks.filter("stays")
+    if repeated.limit(1).count():
+        order = F.xxhash64(*[F.col(f"_row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+        one = out.join(repeated, same, "left_semi").groupBy("_id", "_t").agg(F.min_by("_row", order).alias("_row"))
+        out = out.join(repeated, same, "left_anti").select("_row").unionByName(one.select("_row"))
+    return out.select("_row.*")
 
 
 def op10_jaccard(spark, sf_dir):
