@@ -295,6 +295,18 @@ def test_licences(spark):
     assert licences.scan_licences(frame(spark, [])).count() == 0
 
 
+def test_licences_over_several_lines(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "Redistribution and use in source\nand binary forms, with or without\nmodification, are permitted provided that"
+    texts = {
+        1: gpl, 2: "words before\n\n" + bsd + "\n \nwords after", 3: bsd.replace("\n", "\r\n") + "\n" + gpl, 4: gpl + "\n\n" + gpl,
+        5: "under the GNU Lesser General Public License", 6: "Redistribution and use in\n\nsource and binary forms with\n\nor without modification", 7: "one\ntwo\n\nthree",
+    }
+    got = {r.doc_id: (r.licences, r.n_notices) for r in licences.scan_licences(frame(spark, texts.items())).collect()}
+    assert {k: got[k] for k in (1, 2, 3, 4, 7)} == {1: (["gpl-3.0"], 1), 2: (["bsd-3-clause"], 1), 3: (["bsd-3-clause", "gpl-3.0"], 2), 4: (["gpl-3.0"], 2), 7: ([], 0)}
+    assert got[5] == (["unknown"], 1) and "bsd-3-clause" not in got[6][0]
+
+
 def test_mixing_meets_targets_and_equals_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randint(1, 200)) if i % 4 else "%% ## " * rng.randint(5, 80)) for i in range(200)] + [(500, None), (501, ""), (None, "a b")]

@@ -40,9 +40,15 @@ def pairs_of(words: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, para, words): every line of every whole text that has words; null texts have none."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("para", "line"))
-    return lines.select("doc_id", "para", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    """(doc_id, para, line, words): every line of every whole text that has words, and each paragraph of several lines as a whole, as line -1.
+
+    Blank lines part paragraphs. Null texts have none.
+    """
+    blocks = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n")).alias("para", "block"))
+    blocks = blocks.withColumn("lines", F.split("block", "\n")).withColumn("n", F.size("lines"))
+    units = blocks.select("doc_id", "para", "n", F.posexplode(F.when(F.col("n") > 1, F.concat("lines", F.array("block"))).otherwise(F.col("lines"))).alias("at", "text"))
+    line = F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(-1)
+    return units.select("doc_id", "para", line.alias("line"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
 
 
 def template_pairs(spark: SparkSession, templates: dict = TEMPLATES) -> DataFrame:
@@ -71,7 +77,7 @@ def fit_licences(docs: DataFrame, known: DataFrame, epochs: int = EPOCHS) -> Dat
     """
     vocabulary = known.agg(F.sort_array(F.collect_set("pair")).alias("vocabulary"))
     few = docs.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(BACKGROUND_DOCS)
-    back = paragraphs(few).orderBy(F.xxhash64("doc_id", "para"), "doc_id", "para").limit(BACKGROUND).select(pairs_of(F.col("words")).alias("pairs"))
+    back = paragraphs(few).filter("line >= 0").orderBy(F.xxhash64("doc_id", "para", "line"), "doc_id", "para", "line").limit(BACKGROUND).select(pairs_of(F.col("words")).alias("pairs"))
     back = back.crossJoin(F.broadcast(vocabulary)).select(F.sort_array(F.array_intersect("pairs", "vocabulary")).alias("pairs"))
     back = back.filter(F.size("pairs") < 3).groupBy("pairs").agg(F.count("*").cast("double").alias("n")).select(F.lit(UNKNOWN).alias("family"), "pairs", "n")
     own = known.groupBy("family", "template").agg(F.collect_set("pair").alias("pairs")).select("family", "pairs", F.lit(20.0).alias("n"))
@@ -92,30 +98,49 @@ def fit_licences(docs: DataFrame, known: DataFrame, epochs: int = EPOCHS) -> Dat
 
 
 def licence_notices(docs: DataFrame, templates: dict = TEMPLATES, confirm: float = CONFIRM) -> DataFrame:
-    """(doc_id, para, family, score, share) for each line of docs (doc_id, text) that carries a licence notice.
+    """(doc_id, para, line, family, score, share) for each notice in docs (doc_id, text); line is -1 where it runs over several lines.
 
     A line is a notice of its best-scoring family if the score passes that family's margin and a template of
-    the family confirms it; else its class is unknown and it gives no row. Only lines with some template word
-    are expanded into pairs, as the others cannot score above the bias.
+    the family confirms it. A paragraph of several lines is, besides, a notice of each family that a template confirms
+    in it as a whole and that none of its lines is a notice of; pairs that only other confirmed families explain do
+    not count in the score then. A paragraph without any notice where it or a line of it scores past the best
+    family's margin is one of the family unknown. Only units with some template word are expanded into pairs,
+    as the others cannot score above the bias.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     known = stored(template_pairs(spark, templates), "templates")
     weights = stored(fit_licences(docs, known), "weights")
     keys = F.array(*[F.lit(w) for w in _key_words(spark, templates)])
-    lines = paragraphs(docs).filter(F.arrays_overlap("words", keys)).select("doc_id", "para", F.explode(pairs_of(F.col("words"))).alias("pair"))
-    hits = stored(lines.join(F.broadcast(known.select("pair").distinct()), "pair", "left_semi"), "hits")
-    line = ["doc_id", "para"]
+    para, unit = ["doc_id", "para"], ["doc_id", "para", "line"]
+    units = paragraphs(docs).filter(F.arrays_overlap("words", keys)).select(*unit, F.explode(pairs_of(F.col("words"))).alias("pair"))
+    hits = stored(units.join(F.broadcast(known.select("pair").distinct()), "pair", "left_semi"), "hits")
     base = weights.filter("pair in ('', '?')").groupBy("family").pivot("pair", ["", "?"]).agg(F.first("w")).toDF("family", "bias", "margin")
-    scored = hits.join(F.broadcast(weights), "pair").groupBy(*line, "family").agg(F.sum("w").alias("z")).join(F.broadcast(base), "family")
+
+    def same(on: list[str], *more: Column) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on] + list(more))
+
+    scored = hits.join(F.broadcast(weights), "pair").groupBy(*unit, "family").agg(F.sum("w").alias("z")).join(F.broadcast(base), "family")
     scored = scored.withColumn("score", F.col("z") + F.col("bias"))
-    best = scored.groupBy(*line).agg(F.max_by(F.struct("family", "score", "margin"), F.struct("score", "family")).alias("b"))
+    best = scored.groupBy(*unit).agg(F.max_by(F.struct("family", "score", "margin"), F.struct("score", "family")).alias("b")).filter("b.score >= b.margin")
+    best = stored(best.select(*unit, "b.family", "b.score"), "best")
     sizes = known.groupBy("template").agg(F.count("*").alias("pairs"))
-    shares = hits.join(F.broadcast(known), "pair").groupBy(*line, "family", "template").agg(F.count("*").alias("n")).join(F.broadcast(sizes), "template")
-    shares = shares.groupBy(*line, "family").agg(F.max(F.col("n") / F.col("pairs")).alias("share"))
-    same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in line])
-    out = best.alias("l").join(shares.alias("r"), same & (F.col("l.b.family") == F.col("r.family")))
-    return out.filter((F.col("b.score") >= F.col("b.margin")) & (F.col("share") >= confirm)).select("l.doc_id", "l.para", "r.family", "b.score", "share")
+    shares = hits.join(F.broadcast(known), "pair").groupBy(*unit, "family", "template").agg(F.count("*").alias("n")).join(F.broadcast(sizes), "template")
+    shares = stored(shares.groupBy(*unit, "family").agg(F.max(F.col("n") / F.col("pairs")).alias("share")).filter(F.col("share") >= confirm), "shares")
+    out = [*unit, "family", "score", "share"]
+    by_line = best.filter("line >= 0").alias("l").join(shares.alias("r"), same([*unit, "family"])).select("l.*", "r.share").select(*out)
+    by_line = stored(by_line, "notices")
+    # paragraphs as wholes: a family's own pairs count, and those that no confirmed family has
+    sure = shares.filter("line = -1").join(F.broadcast(known.groupBy("family").agg(F.collect_set("pair").alias("own"))), "family")
+    every = sure.groupBy(*unit).agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("all"))
+    open_ = sure.alias("l").join(every.alias("r"), same(unit)).select("l.*", "r.all").alias("l").join(hits.alias("r"), same(unit))
+    open_ = open_.filter(F.array_contains("own", F.col("pair")) | ~F.array_contains("all", F.col("pair"))).select("l.*", "r.pair")
+    summed = open_.join(F.broadcast(weights), ["family", "pair"]).groupBy(*unit, "family", "share").agg(F.sum("w").alias("z")).join(F.broadcast(base), "family")
+    whole = summed.withColumn("score", F.col("z") + F.col("bias")).filter("score >= margin").select(*out)
+    whole = whole.alias("l").join(by_line.alias("r"), same([*para, "family"]), "left_anti").select(*out)
+    notices = stored(by_line.unionByName(whole), "notices")
+    odd = best.alias("l").join(notices.alias("r"), same(para), "left_anti").groupBy(*para).agg(F.min("line").alias("line"), F.max("score").alias("score"))
+    return notices.unionByName(odd.select(*unit, F.lit(UNKNOWN).alias("family"), "score", F.lit(None).cast("double").alias("share")))
 
 
 def scan_licences(docs: DataFrame, templates: dict = TEMPLATES, confirm: float = CONFIRM) -> DataFrame:
@@ -123,7 +148,8 @@ def scan_licences(docs: DataFrame, templates: dict = TEMPLATES, confirm: float =
 
     Rows without a notice get an empty array, 0 and null; so do null and empty texts. Rows that share
     a doc_id (null included) are judged together and all get the joint result. Long texts are read
-    whole, repeated lines count each; an empty table gives an empty result; other columns are ignored.
+    whole, repeated lines count each, a notice over several lines counts once a paragraph and family;
+    `unknown` stands for paragraphs that score as licence text and match no template; an empty table gives an empty result; other columns are ignored.
     """
     found = licence_notices(docs, templates, confirm).groupBy("doc_id").agg(
         F.sort_array(F.collect_set("family")).alias("licences"), F.count("*").alias("n_notices"), F.max("score").alias("best_score"))
