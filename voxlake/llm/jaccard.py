@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import returning_memory, small_batches, stored, table
@@ -24,7 +24,7 @@ ROUNDS = 1
 #: Centers that a set is compared with in such a round.
 TRIES = 3
 #: Tokens of a block in the final comparison, on average.
-BLOCK_TOKENS = 200_000
+BLOCK_TOKENS = 1_000_000
 #: One in so many index entries serves those rounds; the final comparison uses all of them.
 LIKELY = 4
 U = np.uint64
@@ -80,15 +80,35 @@ def allocate(low: int, high: int, difference: int) -> tuple[int, int, int]:
     return (exact, 0, difference) if price_exact <= size + near + rest + 1 else (rest, near, difference)
 
 
+def plan(group: int, starts: np.ndarray, num: int, den: int) -> tuple[int, int, int]:
+    """allocate() for the bands group and group + 1."""
+    low, high = int(starts[group]), int(starts[min(group + 2, len(starts) - 1)]) - 1
+    mid = int(starts[group + 1]) - 1
+    return allocate(low, high, (den - num) * (mid + high) // (den + num))
+
+
+def segment_of(tokens: np.ndarray, m: int) -> np.ndarray:
+    return (((tokens >> U(32)) * U(m)) >> U(32)).astype(np.int64)
+
+
+def needed(tokens: np.ndarray, group: int, starts: np.ndarray, num: int = NUM, den: int = DEN) -> int:
+    """How many entries, at least, this set shares in the pair of bands with every set that it links to.
+
+    At most `difference` segments of a linked pair differ. The equal ones are entries of both sets,
+    but for segments that are empty in both: no more than this set has.
+    """
+    exact, near, difference = plan(group, starts, num, den)
+    if near:
+        return 1
+    return max(1, len(np.unique(segment_of(tokens, exact))) - difference)
+
+
 def signatures(tokens: np.ndarray, group: int, starts: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """Index entries of a set for the bands group and group + 1: its segments' contents, or those and all one-deletion neighbours."""
     n = len(tokens)
-    low, high = int(starts[group]), int(starts[min(group + 2, len(starts) - 1)]) - 1
-    mid = int(starts[group + 1]) - 1
-    difference = (den - num) * (mid + high) // (den + num)
-    exact, near, difference = allocate(low, high, difference)
+    exact, near, difference = plan(group, starts, num, den)
     m = exact + near
-    seg = (((tokens >> U(32)) * U(m)) >> U(32)).astype(np.int64)
+    seg = segment_of(tokens, m)
     first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
     item = mixed(tokens + A)
     sums = np.add.reduceat(item, first)
@@ -103,7 +123,7 @@ def signatures(tokens: np.ndarray, group: int, starts: np.ndarray, num: int = NU
         soft = seg >= exact
         whole = np.repeat(sums, np.diff(np.append(first, n)))
         out.append(tag(whole[soft] - item[soft], seg[soft]))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out) & ~U(2) | U(2 * (group & 1)))  # bit 1 tells the two pairs of bands of a set apart
 
 
 def _send(keys: np.ndarray, of: np.ndarray, tokens: np.ndarray, groups: int) -> list[dict]:
@@ -253,13 +273,13 @@ def _read_sets(batch: pa.RecordBatch):
 
 
 def _candidates(sets: DataFrame, groups: int, starts: np.ndarray, num: int, den: int, one_in: int) -> DataFrame:
-    """(cell, key, root, weight): which sets of different clusters share index entries.
+    """(cell, key, root, weight, members): which sets of different clusters share index entries.
 
-    sets: key, tokens, root (the cluster so far). A cell stands for `weight` entries that the same
-    sets share; entries whose sets are all of one cluster are left out. one_in: looks at one in so
-    many entries, 1 for all.
+    sets: key, tokens, root (the cluster so far). A cell stands for `weight` entries of one pair of
+    bands (told by the cell's last bit) that the same `members` sets share; entries whose sets are
+    all of one cluster are left out. one_in: looks at one in so many entries, 1 for all.
     """
-    names = ["cell", "key", "root", "weight"]
+    names = ["cell", "key", "root", "weight", "members"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, sigs, size = [], [], 0
@@ -267,7 +287,7 @@ def _candidates(sets: DataFrame, groups: int, starts: np.ndarray, num: int, den:
             for (_, _, key, toks), root in zip(_read_sets(batch), batch.column(2).to_pylist()):
                 band = int(np.searchsorted(starts, len(toks), "right")) - 1
                 found = np.concatenate([signatures(toks, g, starts, num, den) for g in (band - 1, band) if g >= 0])
-                found = found[found % U(one_in) == 0] if one_in > 1 else found
+                found = found[(found >> U(8)) % U(one_in) == 0] if one_in > 1 else found
                 nodes.append((key, root))
                 sigs.append(found)
                 size += len(found)
@@ -282,23 +302,25 @@ def _candidates(sets: DataFrame, groups: int, starts: np.ndarray, num: int, den:
         key, root = node[:, 0], node[:, 1]
         first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
         if not len(first):
-            return pa.table([pa.array([], pa.int64())] * 4, names)
+            return pa.table([pa.array([], pa.int64())] * 5, names)
         size = np.diff(np.append(first, len(sig)))
         several = np.repeat(np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first), size)
         sig, key, root = sig[several], key[several], root[several]
         if not len(sig):
-            return pa.table([pa.array([], pa.int64())] * 4, names)
+            return pa.table([pa.array([], pa.int64())] * 5, names)
         first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         size = np.diff(np.append(first, len(sig)))
-        content = np.add.reduceat(mixed(key.astype(U) + A), first)
+        parity = sig[first] & U(2)
+        content = mixed(np.add.reduceat(mixed(key.astype(U) + A), first) + parity)
         _, rep, weight = np.unique(content, return_index=True, return_counts=True)
         share = np.zeros(len(first), np.int64)
         share[rep] = weight
         rows = np.repeat(share > 0, size)
-        cols = (sig >> U(1))[rows].astype(np.int64), key[rows], root[rows], np.repeat(share, size)[rows]
+        sig, key, root, size, share = sig[rows], key[rows], root[rows], size[share > 0], share[share > 0]
+        cols = (sig >> U(1)).astype(np.int64), key, root, np.repeat(share, size), np.repeat(size, size)
         return pa.table([pa.array(c, pa.int64()) for c in cols], names)
 
-    return sets.select("key", "tokens", "root").mapInArrow(send, BLOB).groupBy("p").applyInArrow(gather, "cell long, key long, root long, weight long")
+    return sets.select("key", "tokens", "root").mapInArrow(send, BLOB).groupBy("p").applyInArrow(gather, ", ".join(f"{n} long" for n in names))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -352,7 +374,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
 
     Steps: a cheap exact test removes sets that cannot have a partner (too few of their shingles occur
     elsewhere); the others enter the universe-partition index; likely links join clusters first, then
-    every pair that shares an entry and still lies in different clusters is compared. Null, empty or
+    every pair that shares enough entries and still lies in different clusters is compared. Null, empty or
     word-less texts have no shingles and link with nothing; equal texts are in one class whatever
     their number; null ids stay null unless their class has another row; repeated ids are kept;
     other columns are ignored; an empty table gives an empty result. component_id is the smallest
@@ -394,24 +416,42 @@ def _labelled_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame
         links = found if links is None else links.unionByName(found)
         roots = stored(connected(links, "stars"), "roots")
     cells = stored(_candidates(_rooted(sets, roots), groups, starts, num, den, 1), "cells")
-    links = links.unionByName(stored(_remaining_links(cells, sets, num, den), "links"))
+    links = links.unionByName(stored(_remaining_links(cells, sets, starts, num, den), "links"))
     return _labelled(rows, stored(connected(links, "stars"), "roots"))
 
 
-def _remaining_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _remaining_links(cells: DataFrame, sets: DataFrame, starts: np.ndarray, num: int, den: int) -> DataFrame:
     """Links (a, b) that join what cells still hold apart: enough of them to connect all that is linked.
 
-    Sets that cells connect form a neighbourhood; only inside one can links remain. A neighbourhood
-    of more than BLOCK_TOKENS tokens is cut into blocks, and each pair of its blocks is a task, so
-    a task's input is bounded. No pairs leave a task but links found.
+    A set leaves out its entries with most members, as long as a linked partner must still share one with it:
+    needed() says how many they share at least, and all sets leave entries out in the same order. Sets
+    that the other entries connect form a neighbourhood; only inside one can links remain. One of more
+    than BLOCK_TOKENS tokens is cut into blocks, and each pair of its blocks is a group of the shuffle
+    under a key of its own. No pairs leave a task but links found.
     """
-    first = cells.groupBy("cell").agg(F.min("key").alias("a"))
-    near = stored(connected(cells.join(first, "cell").select("a", F.col("key").alias("b")).distinct(), "stars"), "near")
-    held = near.withColumnRenamed("root", "place").join(cells.groupBy("key").agg(F.min("root").alias("root")), "key").join(sets, "key")
-    blocks = near.withColumnRenamed("root", "place").join(sets.select("key", "n"), "key").groupBy("place").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for _, _, key, toks in _read_sets(batch):
+                band = int(np.searchsorted(starts, len(toks), "right")) - 1
+                rows += [(key, g & 1, needed(toks, g, starts, num, den)) for g in (band - 1, band) if g >= 0]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["key", "side", "need"])
+
+    need = sets.select("key", "tokens").mapInArrow(needs, "key long, side long, need long")
+    hottest = Window.partitionBy("key", "side").orderBy(F.desc("members"), F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
+    own = cells.withColumn("side", F.col("cell").bitwiseAND(F.lit(1))).join(need, ["key", "side"])
+    own = stored(own.withColumn("out", F.sum("weight").over(hottest)).filter("out >= need").select("cell", "key", "root"), "entries")
+    first = own.groupBy("cell").agg(F.min("key").alias("a"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("cell", "a")
+    near = stored(connected(own.join(first, "cell").select("a", F.col("key").alias("b")).distinct(), "stars"), "near")
+    near = near.select("key", F.col("root").alias("place"))
+    large = near.join(sets.select("key", "n"), "key").groupBy("place").agg(F.sum("n").alias("n")).filter(F.col("n") > BLOCK_TOKENS)
+    blocks = large.select("place", F.ceil(F.col("n") / BLOCK_TOKENS).alias("blocks"))  # never more rows than tokens / BLOCK_TOKENS
+    held = near.join(F.broadcast(blocks), "place", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    held = held.join(own.groupBy("key").agg(F.min("root").alias("root")), "key").join(sets.select("key", "tokens"), "key")
     mine = F.pmod(F.xxhash64("key", F.lit(5)), F.col("blocks"))
-    dealt = held.join(blocks, "place").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("place", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "root", "tokens")
+    dealt = held.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    dealt = dealt.select(F.concat_ws(":", "place", "i", "j").alias("task"), "i", "j", "mine", "key", "root", "tokens")
 
     def compare(group: pa.Table) -> pa.Table:
         keys, roots, side = (group[c].to_numpy() for c in ("key", "root", "mine"))
@@ -451,7 +491,7 @@ def _remaining_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> D
         cols = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
         return pa.table(cols, ["a", "b"])
 
-    return dealt.groupBy("place", "i", "j").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy("task").applyInArrow(compare, "a long, b long")
 
 
 def _rooted(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
