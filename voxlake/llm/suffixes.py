@@ -6,29 +6,32 @@ strings pick equal anchors at equal offsets. Around each anchor that occurs more
 segment: all bytes of the strings that picked it. Segments of one anchor form a collection, laid
 out with the anchor in the same column. From the last column to the first, each round inserts one
 symbol for each segment, updates the order of all segment suffixes (the collection's transform)
-and the common prefixes of neighbours; columns come from and go to sequential files.
+and the common prefixes of neighbours; both, and the columns, are sequential files in the shared folder.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import returning_memory, small_batches, stored, table
+from voxlake.llm.common import new_folder, returning_memory, small_batches, stored, table
 from voxlake.llm.jaccard import BLOB, GATHER, U, _frame, _groups, _received, _send, mixed
 from voxlake.llm.urls import listed_keys
 
 LENGTH, GRAM = 200, 50
-#: Distinct segments of one anchor that meet in a task; a larger collection is cut and its parts are compared by string hashes.
+#: Distinct segments of one anchor that meet in a task; a larger collection is cut into chunks that meet pair by pair.
 CHUNK = 20_000
+#: Places of one segment that a task joins.
+PLACES = 100_000
 PAD = 256  # symbol outside a segment
 PIECE = 1 << 19  # strings of a document that are looked at in one go
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -83,47 +86,71 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
 def repeated_strings(segments: list[bytes], left: list[int], collection: np.ndarray, length: int = LENGTH, gram: int = GRAM, folder: str | None = None) -> np.ndarray:
     """(segments, length - gram + 1) booleans: whether the string that starts in a column occurs in another segment of its collection.
 
-    left: how many bytes a segment has before its anchor. One column of symbols is in memory at a
-    time; columns are read from one file and the transform is written to another, both in order.
+    left: how many bytes a segment has before its anchor. The columns of symbols and, after each round,
+    the order of all suffixes (whose symbols are the collection's transform) and the common
+    prefixes of neighbours are files below folder (a URI) that are written and read from front to back; a
+    round holds one column and one state.
     """
     span = length - gram
     width, m = 2 * span + gram, len(segments)
     out = np.zeros((m, span + 1), bool)
     if m < 2:
         return out
-    with tempfile.TemporaryDirectory(dir=folder) as tmp:
+    with _Files(folder) as files:
         grid = np.full((m, width), PAD, np.uint16)
         for i, (s, before) in enumerate(zip(segments, left)):
             grid[i, span - before : span - before + len(s)] = np.frombuffer(s, np.uint8)
-        with open(os.path.join(tmp, "columns"), "wb") as f:
-            for j in range(width - 1, -1, -1):
-                f.write(np.ascontiguousarray(grid[:, j]).tobytes())
+        files.write("columns", (np.ascontiguousarray(grid[:, j]) for j in range(width - 1, -1, -1)))
         del grid
         group = np.unique(collection, return_inverse=True)[1].astype(np.int64)
         order = np.argsort(group, kind="stable")
         common = np.where(np.append(True, group[order][1:] != group[order][:-1]), -1, 0)  # -1: another collection
-        with open(os.path.join(tmp, "columns"), "rb") as columns, open(os.path.join(tmp, "transform"), "wb") as transform:
-            for j in range(width - 1, -1, -1):
-                symbol = np.frombuffer(columns.read(2 * m), np.uint16)[order].astype(np.int64)
-                transform.write(symbol.astype(np.uint16).tobytes())
-                g = group[order]
-                key = g * (PAD + 1) + symbol
-                place = np.argsort(key, kind="stable")
-                key = key[place]
-                same = np.append(False, key[1:] == key[:-1])
-                fresh = np.where(np.append(True, g[place][1:] != g[place][:-1]), -1, 0)
-                at = np.flatnonzero(same)
-                if len(at):
-                    fresh[at] = np.minimum(length, 1 + _range_min(common, place[at - 1] + 1, place[at]))
-                order, common = order[place], fresh
-                if j <= span:
-                    hit = common >= length
-                    both = hit.copy()
-                    both[:-1] |= hit[1:]
-                    out[order[both], j] = True
+        files.write("state-0", (order.astype(np.int32), common.astype(np.int16)))
+        columns = files.read("columns")
+        for turn, j in enumerate(range(width - 1, -1, -1)):
+            state = files.read(f"state-{turn % 2}")
+            order, common = np.frombuffer(state.read(4 * m), np.int32), np.frombuffer(state.read(2 * m), np.int16).astype(np.int64)
+            g = group[order]
+            key = g * (PAD + 1) + np.frombuffer(columns.read(2 * m), np.uint16)[order]  # the transform, by collection
+            place = np.argsort(key, kind="stable")
+            key = key[place]
+            same = np.append(False, key[1:] == key[:-1])
+            fresh = np.where(np.append(True, g[place][1:] != g[place][:-1]), -1, 0)
+            at = np.flatnonzero(same)
+            if len(at):
+                fresh[at] = np.minimum(length, 1 + _range_min(common, place[at - 1] + 1, place[at]))
+            order, common = order[place], fresh
+            files.write(f"state-{1 - turn % 2}", (order, common.astype(np.int16)))
+            if j <= span:
+                hit = common >= length
+                both = hit.copy()
+                both[:-1] |= hit[1:]
+                out[order[both], j] = True
     return out
 
 
+class _Files:
+    """Sequential files in a folder of their own below a URI that all executors can write to, gone at the end; a task that dies leaves them behind, and its next try takes another folder."""
+
+    def __init__(self, folder: str | None):
+        self.fs, self.path = pa_fs.FileSystem.from_uri(f"{folder or 'file://' + tempfile.gettempdir()}/columns-{uuid.uuid4().hex}")
+
+    def __enter__(self) -> _Files:
+        self.fs.create_dir(self.path)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.fs.delete_dir(self.path)
+
+    def write(self, name: str, parts) -> None:
+        with self.fs.open_output_stream(f"{self.path}/{name}", buffer_size=1 << 20) as f:
+            for part in parts:
+                f.write(part.tobytes())
+
+    def read(self, name: str):
+        return self.fs.open_input_stream(f"{self.path}/{name}", buffer_size=1 << 20)
+
+
 def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Least of values[low..high] for each pair, both ends included, from doubling tables."""
     need = high - low + 1
@@ -232,33 +259,36 @@ def _segments(texts: DataFrame, with_bytes: bool, length: int, gram: int) -> Dat
     return texts.mapInArrow(run, schema)
 
 
-def _compare(segments: DataFrame, sizes: DataFrame, groups: int, length: int, gram: int) -> DataFrame:
-    """(seg, starts): for each distinct segment the columns (counted from its first byte) whose strings occur in another one."""
-    chunks = sizes.select("anchor", F.ceil(F.col("distinct") / CHUNK).alias("chunks"))
-    cut = F.pmod(F.xxhash64("seg"), F.col("chunks"))
-    dealt = segments.join(chunks, "anchor").withColumn("p", F.pmod(F.xxhash64("anchor", cut), F.lit(groups)))
+def _compare(segments: DataFrame, seen: DataFrame, groups: int, length: int, gram: int) -> DataFrame:
+    """(seg, firsts, lasts): for each segment the runs of columns (counted from its first byte) whose strings occur elsewhere in its collection.
+
+    seen: anchor, seg, n. A segment that occurs more than once is in its collection twice, so the construction
+    finds its strings repeated. A collection of more than CHUNK distinct segments is cut into
+    chunks, and each pair of its chunks is a group of its own: any two segments still meet.
+    """
+    chunks = seen.groupBy("anchor").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = segments.join(chunks, "anchor").join(seen.select("anchor", "seg", "n"), ["anchor", "seg"])
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("seg"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    pair = F.concat_ws(":", "anchor", F.least("mine", "other"), F.greatest("mine", "other"))
+    dealt = dealt.withColumn("p", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("anchor"), F.lit(groups)).cast("string")).otherwise(pair))
     span = length - gram
+    folder = new_folder(segments.sparkSession, "columns")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        anchor, seg, left, more = (group[c].to_numpy() for c in ("anchor", "seg", "left", "more"))
+        anchor, seg, left, more, n = (group[c].to_numpy() for c in ("anchor", "seg", "left", "more", "n"))
         data = group["bytes"].to_pylist()
-        found = repeated_strings(data, left.tolist(), anchor, length, gram)
-        starts, hashes = [], []
-        for i, (row, before, last, parts) in enumerate(zip(found, left.tolist(), more.tolist(), group["chunks"].to_pylist())):
-            own = row[span - before : span - before + last + 1]
-            starts.append(np.flatnonzero(own).tolist())
-            hashes.append(gram_hashes(np.frombuffer(data[i], np.uint8), length).astype(np.int64).tolist() if parts > 1 else None)
-        cols = [pa.array(anchor, pa.int64()), pa.array(seg, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))]
-        return pa.table(cols, ["anchor", "seg", "starts", "hashes"])
-
-    out = dealt.select("p", "anchor", "seg", "left", "more", "bytes", "chunks").groupBy("p").applyInArrow(run, "anchor long, seg long, starts array<int>, hashes array<long>")
-    out = stored(out, "compared")
-    # strings of collections that were cut: repeated if another part holds an equal hash at the same anchor
-    lone = out.filter("hashes is not null").select("anchor", "seg", F.posexplode("hashes").alias("at", "hash"))
-    again = lone.groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    extra = lone.join(again, ["anchor", "hash"]).groupBy("seg").agg(F.collect_list("at").alias("starts"))
-    return out.select("seg", "starts").unionByName(extra)
+        twice = np.flatnonzero(n > 1)
+        found = repeated_strings(data + [data[i] for i in twice], [*left.tolist(), *left[twice].tolist()], np.append(anchor, anchor[twice]), length, gram, folder)
+        firsts, lasts = [], []
+        for row, before, last in zip(found, left.tolist(), more.tolist()):
+            own = np.diff(np.concatenate([[0], row[span - before : span - before + last + 1].astype(np.int8), [0]]))
+            firsts.append(np.flatnonzero(own == 1).tolist())
+            lasts.append((np.flatnonzero(own == -1) - 1).tolist())
+        cols = [pa.array(seg, pa.int64()), pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32()))]
+        return pa.table(cols, ["seg", "firsts", "lasts"])
+
+    return dealt.select("p", "anchor", "seg", "left", "more", "bytes", "n").groupBy("p").applyInArrow(run, "seg long, firsts array<int>, lasts array<int>")
 
 
 def spans_of(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -291,17 +321,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
 
     places = stored(_segments(texts, False, length, gram), "places")
     seen = places.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min("key").alias("key"))
-    seen = stored(seen, "seen")
-    sizes = seen.groupBy("anchor").agg(F.count("*").alias("distinct")).filter("distinct > 1")
-    unclear = seen.join(sizes.select("anchor"), "anchor", "left_semi")
-    asked = unclear.groupBy("key").agg(F.collect_set("seg").alias("wanted"))
+    some = seen.groupBy("anchor").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("anchor")
+    seen = stored(seen.join(some, "anchor", "left_semi"), "seen")  # collections of one place hold no repeat
+    asked = seen.groupBy("key").agg(F.collect_set("seg").alias("wanted"))
     pieces = _segments(texts.select("key", "text").join(asked, "key").select("key", "text", "wanted"), True, length, gram).dropDuplicates(["anchor", "seg"])
-    compared = _compare(pieces, sizes, _groups(spark, size / 2000), length, gram)
-
-    several = seen.filter("n > 1").select("seg").distinct()
-    whole = places.join(several, "seg", "left_semi").select("key", F.col("lo").alias("first"), F.col("hi").alias("last"))
-    part = places.join(compared, "seg").select("key", F.expr("explode(transform(starts, s -> lo + s))").alias("first")).withColumn("last", F.col("first"))
-    found = whole.unionByName(part).groupBy("key").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    compared = stored(_compare(pieces, seen, _groups(spark, size / 2000), length, gram).filter(F.size("firsts") > 0), "compared")
+
+    # a segment with very many places is dealt by text as well, so that no task holds all of them
+    often = seen.groupBy("seg").agg(F.sum("n").alias("n")).filter(F.col("n") > PLACES)
+    often = often.select("seg", F.ceil(F.col("n") / PLACES).alias("parts"))  # never more rows than places / PLACES
+    parts = lambda df: df.join(F.broadcast(often), "seg", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    mine = parts(places).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    told = parts(compared).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    runs = mine.select("key", "seg", "part", "lo").join(told.select("seg", "part", "firsts", "lasts"), ["seg", "part"])
+    runs = runs.select("key", F.transform("firsts", lambda x: F.col("lo") + x).alias("firsts"), F.transform("lasts", lambda x: F.col("lo") + x).alias("lasts"))
+    found = runs.groupBy("key").agg(F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list("lasts")).alias("lasts"))
     return rows, stored(_cut(texts.select("key", "text").join(found, "key"), length), "cuts")
 
 
