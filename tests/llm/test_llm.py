@@ -136,6 +136,20 @@ def test_jaccard_many_edits_of_one_text(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_classes(rows))
 
 
+def test_jaccard_hot_entries_and_blocks(spark, monkeypatch):
+    """Texts that share a passage and are else apart, beside near copies: entries are left out, neighbourhoods dealt in blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 300)
+    rng = random.Random(5)
+    passage = prose(rng, 60)
+    rows = []
+    for i in range(40):
+        words = rows[-1][1].split()[60:] if i % 2 else prose(rng, 25).split()  # pairs of near copies
+        words[rng.randrange(len(words))] = f"w{i}"
+        rows.append((i, " ".join([*passage.split(), *words])))
+    got = jaccard.jaccard_classes(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_classes(rows))
+
+
 def test_jaccard_empty_and_kept_rows(spark):
     assert jaccard.jaccard_classes(frame(spark, [])).count() == 0
     df = frame(spark, [(1, "a b c d e f g h"), (5, "A b C d e f g h"), (7, "other words in this one here"), (8, None), (9, "")])
@@ -234,13 +248,34 @@ def test_exact_top_k(spark, block):
 def test_neighbours_recall_and_scores(spark):
     rows = vector_rows()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = vectors.near_neighbours(df, F.col("vec_id") % 100 == 0, candidates=100).collect()
+    got = vectors.near_neighbours(df.withColumns({"rank": F.lit(1), "score": F.lit(2.0), "vec": F.lit(3)}), F.col("vec_id") % 100 == 0).collect()
     good = {i: np.array(v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     want = {(q, i) for q in good if q % 100 == 0 for _, i in sorted((float(np.sqrt(((good[q] - v) ** 2).sum())), i) for i, v in good.items() if i != q)[:10]}
     assert len({(r.query_id, r.vec_id) for r in got} & want) >= 0.9 * len(want)
     assert all(abs(r.score - np.sqrt(((good[r.query_id] - good[r.vec_id]) ** 2).sum())) < 1e-9 for r in got)
 
 
+@pytest.mark.parametrize("clusters", [0, 200])
+def test_neighbours_of_full_blocks(spark, clusters):
+    """Default parameters on 20,000 rows: without structure a large part of a block must be offered, with it a small one; recall holds for both."""
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(20_000, 64))
+    if clusters:
+        data = data * 0.05 + rng.normal(size=(clusters, 64))[rng.integers(0, clusters, len(data))]
+    share = vectors.calibrated(data[:4096], 10)
+    assert share < 0.2 if clusters else share > 0.2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in vectors.near_neighbours(df, F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(data), 100):
+        far = ((data - data[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(found[q] & set(np.argpartition(far, 10)[:10].tolist()))
+    assert hits >= 0.9 * 10 * 200
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert vectors.exact_top_k(df, F.col("vec_id") % 100 == 0).count() == 0
