@@ -10,9 +10,12 @@ import duckdb
 import numpy as np
 import pytest
 
+from voxlake.plans import catalog  # noqa: F401  (adds its queries)
 from voxlake.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: Queries that SQL cannot express, with the test that holds them against brute force.
+BRUTE_FORCE = {"snippet_ranges": "test_library.py::test_snippets_equal_brute_force"}
 
 
 def plain(v):
@@ -38,7 +41,8 @@ def duck():
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     rows = df.collect()
-    if name not in ORACLES:
+    if name in BRUTE_FORCE:
+        assert rows and name not in ORACLES
         return
     want = duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)

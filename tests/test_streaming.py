@@ -34,7 +34,7 @@ def test_interrupted(spark, tmp_path):
     for part in rows:
         spark.createDataFrame(part, "attempt_id long, kind string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     got = drain(spark, J.interrupted(J.replay(spark, f"{tmp_path}/in", "attempt_id long, kind string, ts timestamp")), "lost")
-    assert 2 in {r.attempt_id for r in got} and 1 not in {r.attempt_id for r in got}
+    assert sorted(r.attempt_id for r in got) == [2, 3]  # 4 may still finish
 
 
 def test_running_counts_and_first_contents(spark, tmp_path):

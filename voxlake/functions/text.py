@@ -35,6 +35,11 @@ def tag_name_key(name: Column) -> Column:
     return fold(F.trim(name))
 
 
+def strip(text: Column | str) -> Column:
+    """Text without white space of any kind, and without separators, at its ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def visible(text: Column) -> Column:
     """Number of characters that are not white space."""
     return F.length(F.regexp_replace(text, r"\s", ""))
@@ -87,10 +92,22 @@ def is_chinese(code: Column) -> Column:
 
 
 def output_language(code: Column) -> Column:
-    """What a summary of a text in this language is written in."""
+    """What a default summary of a text in this language is written in."""
     return F.when(is_chinese(code), "zh-Hant").otherwise("en")
 
 
+def original_language(code: Column) -> Column:
+    """The language of a summary in the source's own language; empty if that is unknown."""
+    own = canonical_language(code)
+    return F.when(own == "", "").when(is_chinese(own), "zh-Hant").otherwise(own)
+
+
+def is_output_identity(code: Column) -> Column:
+    """Whether a code may name a summary's language: canonical, not `und`, Chinese only as zh-Hant."""
+    own = canonical_language(code)
+    return F.coalesce((own != "") & (own == F.trim(code)) & (own != "und") & (~is_chinese(own) | (own == "zh-Hant")), F.lit(False))
+
+
 def excerpt(text: Column, limit: int = 200) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, limit)
 
@@ -114,6 +131,14 @@ def sanitize_error(text: Column, limit: int = 200) -> Column:
     return F.substring(F.regexp_replace(text, r"(/[\w.\-]+)+", "<path>"), 1, limit)
 
 
+def error_detail(text: Column, limit: int = 200) -> Column:
+    """The first line that starts with `Error:` and the two after it, else the last line; blank lines do not count. Sanitised."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+    at = F.array_position(F.transform(lines, lambda x: F.lower(x).startswith("error:")), True)
+    picked = F.when(at > 0, F.slice(lines, F.greatest(at, F.lit(1)).cast("int"), 3)).otherwise(F.slice(lines, F.greatest(F.size(lines), F.lit(1)), 1))
+    return sanitize_error(F.array_join(picked, " | "), limit)
+
+
 def error_category(text: Column) -> Column:
     low = F.lower(text)
     return (

@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+import datetime
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def title_fault(title: Column) -> Column:
+    """blank_title, long_title or control_character; null for a good section title."""
+    from voxlake.functions.text import strip
+
+    return F.when(title.isNull() | (strip(title) == ""), "blank_title").when(F.length(title) > 255, "long_title").when(title.rlike(r"[\x00-\x1f\x7f]"), "control_character")
+
+
 def valid_layouts(layouts: DataFrame, sections: DataFrame) -> DataFrame:
     """transcript_id, valid and n_sections of layouts (transcript_id, is_active, start_ordinal, end_ordinal).
 
-    Valid: active; 2 to 200 sections with ordinals 1..N, titles that are not blank and at most 255
-    long, non-empty ranges that follow each other from the layout's start to its end.
+    Valid: active; 2 to 200 sections with ordinals 1..N, good titles (title_fault()), temporary ones as
+    `Segment <ordinal> of <12 digits>`, non-empty ranges that follow each other from the layout's start
+    to its end. With transcript_active and n columns the transcript must be active and hold the range.
     """
     w = Window.partitionBy("transcript_id").orderBy("ordinal")
     s = sections.withColumn("before", F.lag("end_ordinal").over(w)).withColumn("at", F.row_number().over(w))
-    s = s.join(layouts.select("transcript_id", "is_active", F.col("start_ordinal").alias("lo"), F.col("end_ordinal").alias("hi")), "transcript_id")
+    more = [F.col(c).alias(a) for c, a in (("transcript_active", "transcript_active"), ("n", "n_segments")) if c in layouts.columns]
+    s = s.join(layouts.select("transcript_id", "is_active", F.col("start_ordinal").alias("lo"), F.col("end_ordinal").alias("hi"), *more), "transcript_id")
     good = (
         (F.col("ordinal") == F.col("at")) & (F.col("start_ordinal") == F.coalesce("before", "lo")) & (F.col("start_ordinal") < F.col("end_ordinal"))
-        & (F.trim("title") != "") & (F.length("title") <= 255) & F.col("is_active")
+        & title_fault(F.col("title")).isNull() & F.col("is_active")
     )
+    if "title_is_temporary" in sections.columns:
+        good = good & (~F.col("title_is_temporary") | F.col("title").rlike(r"^Segment \d+ of \d{12}$") & (F.split_part("title", F.lit(" "), F.lit(2)) == F.col("ordinal").cast("string")))
+    for c, rule in (("transcript_active", F.col("transcript_active")), ("n", (F.col("lo") >= 0) & (F.col("hi") <= F.col("n_segments")))):
+        if c in layouts.columns:
+            good = good & rule
     found = s.groupBy("transcript_id").agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("rows_good"), F.count("*").alias("n_sections"), F.max("end_ordinal").alias("last"), F.max("hi").alias("hi"))
     found = found.withColumn("valid", F.col("rows_good") & F.col("n_sections").between(2, 200) & (F.col("last") == F.col("hi")))
     out = layouts.select("transcript_id").join(found.select("transcript_id", "valid", "n_sections"), "transcript_id", "left")
@@ -44,8 +61,10 @@ def section_durations(segments: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def local_day_bounds(day: str, zone: str) -> tuple[Column, Column]:
-    """Half-open UTC bounds of a local calendar day."""
-    return F.to_utc_timestamp(F.lit(f"{day} 00:00:00").cast("timestamp"), zone), F.to_utc_timestamp(F.date_add(F.lit(day).cast("date"), 1).cast("timestamp"), zone)
+    """Half-open UTC bounds of a local calendar day, whatever the session's zone is."""
+    first = datetime.date.fromisoformat(day)
+    at = lambda d: F.lit(datetime.datetime.combine(d, datetime.time(), ZoneInfo(zone)).astimezone(datetime.timezone.utc).isoformat()).cast("timestamp")
+    return at(first), at(first + datetime.timedelta(days=1))
 
 
 def library_filter(items: DataFrame, *, since: Column | None = None, until: Column | None = None, statuses: tuple[str, ...] = (), review: bool = False, tags: DataFrame | None = None, every_tag: int = 0) -> DataFrame:
@@ -89,6 +108,44 @@ def status_counts(items: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
     return F.broadcast(known).join(found, "processing_status", "left").select("processing_status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def review_kinds(recordings: DataFrame) -> DataFrame:
+    """recording_id and kind, a row for each review category that a recording (not archived) is in, from one scan."""
+    status, summary = F.col("processing_status"), F.col("summary_status")
+    kinds = [
+        F.when(status == "needs_review", "needs_review_before_transcription"), F.when((status == "transcribed") & F.col("retranscription_failed"), "failed_retranscription"),
+        F.when(status == "failed", F.concat(F.lit("failed_"), F.coalesce("failure_stage", F.lit("unknown")))), F.when((status == "transcribed") & (summary == "missing"), "awaiting_summary"),
+        F.when(summary == "failed", "failed_summary"), F.when(F.col("resummarization_failed"), "failed_resummarization"), F.when(F.col("audio_status") == "missing", "missing_audio"),
+    ]
+    return recordings.filter("archived_at is null").select("recording_id", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
+
+
+def summary_counts(recordings: DataFrame) -> DataFrame:
+    """One row: recordings that await a summary, failed at it, have one, failed at a second one, or at a second transcription."""
+    status, summary = F.col("processing_status"), F.col("summary_status")
+    done, again = status == "transcribed", F.col("resummarization_failed")
+    return recordings.agg(
+        F.count_if(done & (summary == "missing")).alias("awaiting_summary"), F.count_if(summary == "failed").alias("summary_failed"), F.count_if(done & (summary == "current") & ~again).alias("summarized"),
+        F.count_if(again).alias("failed_resummarization"), F.count_if(done & F.col("retranscription_failed")).alias("failed_retranscriptions"),
+    )
+
+
+def recent_errors(attempts: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest attempts with an error code."""
+    return attempts.filter(F.coalesce("error_code", F.lit("")) != "").orderBy(F.desc("started_at"), F.desc("attempt_id")).limit(limit).select("attempt_id", "recording_id", "stage", "error_code", "started_at")
+
+
+def status_report(recordings: DataFrame, attempts: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
+    """section, name and n: counts of all statuses, the summary counts, failures by stage, recent errors by stage and code."""
+    row = lambda df, s, name, n: df.select(F.lit(s).alias("section"), name.alias("name"), n.alias("n"))
+    counts = row(status_counts(recordings, statuses), "status", F.col("processing_status"), F.col("n"))
+    five = summary_counts(recordings)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in five.columns])).alias("p")
+    summary = row(five.select(pairs), "summary", F.col("p.name"), F.col("p.n"))
+    failed = recordings.filter("processing_status = 'failed'").groupBy(F.coalesce("failure_stage", F.lit("unknown")).alias("stage")).agg(F.count("*").alias("n"))
+    errors = recent_errors(attempts).groupBy(F.concat_ws("/", "stage", "error_code").alias("name")).agg(F.count("*").alias("n"))
+    return counts.unionByName(summary).unionByName(row(failed, "failure", F.col("stage"), F.col("n"))).unionByName(row(errors, "recent_error", F.col("name"), F.col("n")))
+
+
 def review_report(state: DataFrame) -> DataFrame:
     """recording_id and kind, a row for each review category that a recording is in, from one scan."""
     kinds = {
@@ -169,6 +226,70 @@ def sync_tags(configured: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("name_key", F.array_join(changes, ",").alias("changes"))
 
 
+def tag_sync_counts(changes: DataFrame) -> DataFrame:
+    """One row: how many tags of sync_tags() were created, updated, retired, reactivated and promoted; one may count several times."""
+    kinds = ("created", "updated", "retired", "reactivated", "promoted")
+    return changes.agg(*[F.count_if(F.array_contains(F.split("changes", ","), k)).alias(k) for k in kinds])
+
+
+def kept_names(configured: DataFrame, known: DataFrame) -> DataFrame:
+    """name_key and display name after a sync: a known tag keeps its first name, unless it was a custom one that is configured now.
+
+    configured: name_key, name; known: name_key, name, origin.
+    """
+    c = configured.groupBy("name_key").agg(F.min("name").alias("_c"))
+    both = c.join(known.select("name_key", F.col("name").alias("_k"), "origin"), "name_key", "full_outer")
+    taken = F.when(F.col("_k").isNull() | ((F.col("origin") == "custom") & F.col("_c").isNotNull()), F.col("_c")).otherwise(F.col("_k"))
+    return both.select("name_key", taken.alias("name"))
+
+
+def eligible(recordings: DataFrame, stage: str) -> DataFrame:
+    """Recordings that a stage takes: route (being routed), transcribe (ready), summarise (transcribed, no summary); archived ones never."""
+    conditions = {"route": F.col("processing_status") == "routing", "transcribe": F.col("processing_status") == "ready_to_transcribe", "summarise": (F.col("processing_status") == "transcribed") & (F.col("summary_status") == "missing")}
+    if stage not in conditions:
+        raise ValueError(f"stage is one of {sorted(conditions)}")
+    return recordings.filter(F.col("archived_at").isNull() & conditions[stage])
+
+
+def version_counts(layouts: DataFrame, sections: DataFrame, segments: DataFrame) -> DataFrame:
+    """transcript_id, segment_count and topic_count of each layout; zeros where there are none."""
+    n = segments.groupBy("transcript_id").agg(F.count("*").alias("segment_count"))
+    k = sections.groupBy("transcript_id").agg(F.count("*").alias("topic_count"))
+    out = layouts.select("transcript_id").join(n, "transcript_id", "left").join(k, "transcript_id", "left")
+    return out.select("transcript_id", F.coalesce("segment_count", F.lit(0)).alias("segment_count"), F.coalesce("topic_count", F.lit(0)).alias("topic_count"))
+
+
+VARIANT = ["recording_id", "transcript_id", "section_id", "language"]
+#: Outcomes of a summary attempt that count as its failure.
+FAILED = ("failed", "interrupted")
+
+
+def section_variant_states(variants: DataFrame, summaries: DataFrame, attempts: DataFrame) -> DataFrame:
+    """VARIANT, state, regeneration_failed and failed_at of variants (VARIANT): from active summaries (VARIANT, ordinal of the attempt) and attempts.
+
+    attempts: VARIANT, stage, ordinal, outcome, finished. Only finished attempts of stage summarization with a failing outcome and the very same
+    transcript, section and language count, and beside a summary only newer ones. failed_at is the newest such attempt.
+    """
+    bad = attempts.filter((F.col("stage") == "summarization") & F.col("finished") & F.col("outcome").isin(*FAILED))
+    f = bad.groupBy(*VARIANT).agg(F.max("ordinal").alias("f_at"))
+    s = summaries.groupBy(*VARIANT).agg(F.max("ordinal").alias("s_at"))
+    out = variants.select(*VARIANT).join(s, VARIANT, "left").join(f, VARIANT, "left")
+    state = F.when(F.col("s_at").isNotNull(), "current").when(F.col("f_at").isNotNull(), "failed").otherwise("missing")
+    newer = F.when(F.col("s_at").isNull() | (F.col("f_at") > F.col("s_at")), F.col("f_at"))
+    return out.select(*VARIANT, state.alias("state"), (F.col("s_at").isNotNull() & newer.isNotNull()).alias("regeneration_failed"), newer.alias("failed_at"))
+
+
+def rolled_up(states: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """recording_id, summary_status and resummarization_failed: the state of section 0 in the default language of each active transcript; not_ready without a transcript.
+
+    transcripts: recording_id, transcript_id (null without one), default_language.
+    """
+    whole = states.filter("section_id = 0").select("recording_id", "transcript_id", F.col("language").alias("default_language"), "state", "regeneration_failed")
+    out = transcripts.join(whole, ["recording_id", "transcript_id", "default_language"], "left")
+    status = F.when(F.col("transcript_id").isNull(), "not_ready").otherwise(F.coalesce("state", F.lit("missing")))
+    return out.select("recording_id", status.alias("summary_status"), F.coalesce("regeneration_failed", F.lit(False)).alias("resummarization_failed"))
+
+
 def variant_states(variants: DataFrame, summaries: DataFrame, failures: DataFrame) -> DataFrame:
     """state and regeneration_failed of variants (recording_id, language): current with a summary, failed with a failure alone, else missing.
 
@@ -182,6 +303,15 @@ def variant_states(variants: DataFrame, summaries: DataFrame, failures: DataFram
     return out.select(*keys, state.alias("state"), F.coalesce(F.col("f_at") > F.col("s_at"), F.lit(False)).alias("regeneration_failed"))
 
 
+def resolve_output(selector: str) -> Column:
+    """The language that a selector (default, original, en, zh-Hant) means for a transcript row; empty for the original of an unknown source."""
+    from voxlake.functions.text import original_language
+
+    if selector not in ("default", "original", "en", "zh-Hant"):
+        raise ValueError(f"unsupported language target: {selector}")
+    return default_language() if selector == "default" else original_language(F.col("observed")) if selector == "original" else F.lit(selector)
+
+
 def default_language() -> Column:
     """Language of a transcript's default summary: the user's word first, then routing, then what was observed."""
     from voxlake.functions.text import output_language

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.functions.text import CJK, visible
+from voxlake.functions.text import CJK, canonical_language, strip, visible
 
 CHUNK, OVERLAP, MAX_CHUNKS, MAX_CHARS = 24000, 1000, 8, 960000
 
@@ -38,13 +39,25 @@ def pack(texts: list[str], limit: int = CHUNK, overlap: int = OVERLAP) -> list[s
     return [*chunks, "\n".join(held)] if held else chunks
 
 
-def plan_chunks(segments: DataFrame, limit: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """transcript_id, chunk_no and text. Sequential inside a transcript, hence grouped by it; transcripts are bounded by MAX_CHARS."""
+def transcript_sizes(segments: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """transcript_id, characters and status: too_long for transcripts that no plan is made for."""
+    found = segments.groupBy("transcript_id").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("characters"))
+    return found.withColumn("status", F.when(F.col("characters") > max_chars, "too_long").otherwise("ok"))
+
+
+def plan_chunks(segments: DataFrame, limit: int = CHUNK, overlap: int = OVERLAP, max_chars: int = MAX_CHARS) -> DataFrame:
+    """transcript_id, chunk_no and text of transcripts of at most max_chars characters (see transcript_sizes() for the others).
+
+    Packing is sequential inside a transcript, hence grouped by it; sizes are summed before, so that only
+    bounded groups are gathered. Rows without text carry nothing and do not count.
+    """
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        chunks = pack(df.sort_values("ordinal")["text"].fillna("").tolist(), limit, overlap)
+        chunks = pack(df.sort_values("ordinal")["text"].tolist(), limit, overlap)
         return pd.DataFrame({"transcript_id": df["transcript_id"].iloc[0], "chunk_no": range(len(chunks)), "text": chunks})
 
-    return segments.select("transcript_id", "ordinal", "text").groupBy("transcript_id").applyInPandas(run, "transcript_id long, chunk_no int, text string")
+    fits = transcript_sizes(segments, max_chars).filter("status = 'ok'").select("transcript_id")
+    held = segments.select("transcript_id", "ordinal", "text").filter(F.coalesce("text", F.lit("")) != "").join(fits, "transcript_id", "left_semi")
+    return held.groupBy("transcript_id").applyInPandas(run, "transcript_id long, chunk_no int, text string")
 
 
 def chunk_limits(chunks: DataFrame, max_chunks: int = MAX_CHUNKS, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -53,17 +66,67 @@ def chunk_limits(chunks: DataFrame, max_chunks: int = MAX_CHUNKS, max_chars: int
     return found.withColumn("status", F.when(F.col("characters") > max_chars, "too_long").when(F.col("chunks") > max_chunks, "too_many_chunks").otherwise("ok"))
 
 
-def summarise(chunks: DataFrame, map_fn: Callable[[list[str]], list[str]], reduce_fn: Callable[[list[str]], str]) -> DataFrame:
-    """transcript_id and summary: map_fn over batches of chunks, reduce_fn over a transcript's mapped chunks in order."""
+def summarise(chunks: DataFrame, map_fn: Callable[[list[str]], list[str]], reduce_fn: Callable[[list[str]], str], cap: int = CHUNK) -> DataFrame:
+    """transcript_id, chunks, status and summary: map_fn over batches of chunks, reduce_fn over a transcript's mapped chunks in order.
+
+    A single chunk goes to reduce_fn as it is. Mapped chunks of more than cap characters together are reduced in
+    two halves once; if a half or the two results are still over the cap, the transcript is `too_long`.
+    """
+    only = Window.partitionBy("transcript_id")
+    counted = chunks.withColumn("_n", F.count("*").over(only).cast("int"))
+
     def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            yield df.assign(text=map_fn(list(df["text"])))
+            several = df["_n"] > 1
+            df = df.copy()
+            if several.any():
+                df.loc[several, "text"] = map_fn(list(df.loc[several, "text"]))
+            yield df
 
     def reduced(df: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"transcript_id": [df["transcript_id"].iloc[0]], "summary": [reduce_fn(list(df.sort_values("chunk_no")["text"]))]})
+        texts = list(df.sort_values("chunk_no")["text"])
+        size = lambda parts: sum(map(len, parts))
+        if size(texts) > cap and len(texts) > 1:
+            half = len(texts) // 2
+            parts = [texts[:half], texts[half:]]
+            texts = [reduce_fn(p) for p in parts] if all(size(p) <= cap for p in parts) else texts
+        good = len(texts) == 1 or size(texts) <= cap
+        return pd.DataFrame({"transcript_id": [df["transcript_id"].iloc[0]], "chunks": [len(df)], "status": ["ok" if good else "too_long"], "summary": [reduce_fn(texts) if good else None]})
+
+    schema = "transcript_id long, chunk_no int, text string, _n int"
+    out = counted.select("transcript_id", "chunk_no", "text", "_n").mapInPandas(mapped, schema)
+    return out.groupBy("transcript_id").applyInPandas(reduced, "transcript_id long, chunks int, status string, summary string")
 
-    schema = "transcript_id long, chunk_no int, text string"
-    return chunks.mapInPandas(mapped, schema).groupBy("transcript_id").applyInPandas(reduced, "transcript_id long, summary string")
+
+def detect_languages(texts: DataFrame, detector: Callable[[list[str]], list[str | None]], retries: int = 1, batch: int = 64) -> DataFrame:
+    """transcript_id, language, provenance and failure of transcripts (transcript_id, observed, sample).
+
+    An observed language stays as it is; else the caller's detector is asked, again for replies that are no language
+    tag, `retries` times at most. Failures: no_text, no_reply, invalid_reply.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            said = pd.Series([None] * len(df), index=df.index, dtype=object)
+            todo = [i for i in df.index if not df["observed"][i] and (df["sample"][i] or "").strip()]
+            for _ in range(retries + 1):
+                again = []
+                for at in range(0, len(todo), batch):
+                    part = todo[at : at + batch]
+                    for i, reply in zip(part, detector([df["sample"][i] for i in part])):
+                        said[i] = reply
+                        if not re.fullmatch(r"[A-Za-z]{2,3}([-_][A-Za-z]{4})?([-_]([A-Za-z]{2}|[0-9]{3}))?", reply or ""):
+                            again.append(i)
+                todo = again
+            yield df.assign(said=said)[["transcript_id", "observed", "sample", "said"]]
+
+    rows = texts.select(F.col("transcript_id").cast("long").alias("transcript_id"), F.coalesce("observed", F.lit("")).alias("observed"), "sample")
+    rows = rows.mapInPandas(run, "transcript_id long, observed string, sample string, said string")
+    known, found = canonical_language(F.col("observed")), canonical_language(F.col("said"))
+    failure = F.when(known != "", None).when(F.trim(F.coalesce("sample", F.lit(""))) == "", "no_text").when(F.col("said").isNull(), "no_reply").when(found == "", "invalid_reply")
+    return rows.select(
+        "transcript_id", F.coalesce(F.nullif(known, F.lit("")), F.nullif(found, F.lit(""))).alias("language"),
+        F.when(known != "", "observed").when(found != "", "detected").alias("provenance"), failure.alias("failure"),
+    )
 
 
 def language_fault(text: Column, language: Column) -> Column:
@@ -73,18 +136,77 @@ def language_fault(text: Column, language: Column) -> Column:
 
 
 def key_point_lines(points: Column) -> Column:
-    """Lines of an array of (text, level): numbers like 1, 1.1, 1.1.1 by level, bullets at level 0."""
+    """Lines of an array of (text, level): numbers like 1., 1.1, 1.1.1 at levels 1 to 3, bullets at any other; blank points are left out."""
     zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), F.array().cast("array<string>").alias("lines"))
+    kept = F.filter(F.transform(points, lambda p: F.struct(strip(F.coalesce(p.text, F.lit(""))).alias("text"), F.when(p.level.between(1, 3), p.level).otherwise(0).alias("level"))), lambda p: p.text != "")
 
     def step(acc: Column, p: Column) -> Column:
         a = F.when(p.level == 1, acc.a + 1).otherwise(acc.a)
         b = F.when(p.level == 2, acc.b + 1).when(p.level == 1, 0).otherwise(acc.b)
-        c = F.when(p.level >= 3, acc.c + 1).when(p.level.isin(1, 2), 0).otherwise(acc.c)
+        c = F.when(p.level == 3, acc.c + 1).when(p.level.isin(1, 2), 0).otherwise(acc.c)
         s = lambda x: x.cast("string")
-        mark = F.when(p.level <= 0, F.lit("-")).when(p.level == 1, F.concat(s(a), F.lit("."))).when(p.level == 2, F.concat_ws(".", s(a), s(b))).otherwise(F.concat_ws(".", s(a), s(b), s(c)))
+        mark = F.when(p.level == 0, F.lit("-")).when(p.level == 1, F.concat(s(a), F.lit("."))).when(p.level == 2, F.concat_ws(".", s(a), s(b))).otherwise(F.concat_ws(".", s(a), s(b), s(c)))
         return F.struct(a.alias("a"), b.alias("b"), c.alias("c"), F.concat(acc.lines, F.array(F.concat_ws(" ", mark, p.text))).alias("lines"))
 
-    return F.aggregate(points, zero, step, lambda acc: acc.lines)
+    return F.aggregate(kept, zero, step, lambda acc: acc.lines)
+
+
+def action_line(text: Column, owner: Column, due: Column) -> Column:
+    """An action item as text, with owner and due date in brackets where there are any."""
+    some = lambda c, mark: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(mark), c))
+    detail = F.concat_ws("; ", some(owner, "owner: "), some(due, "due: "))
+    return F.concat(F.coalesce(text, F.lit("")), F.when(detail != "", F.concat(F.lit(" ("), detail, F.lit(")"))).otherwise(""))
+
+
+def _lines(values: Column, mark: str = "- ") -> Column:
+    return F.transform(values, lambda x: F.concat(F.lit(mark), x))
+
+
+LISTS = (("people", "People"), ("organizations", "Organizations"), ("topics", "Topics"))
+
+
+def _rendered(title: str, overview: str, points: str, actions: str, section: Callable[[str], list[str]], gap: list[str], tags: Callable[[Column], Column]) -> Column:
+    none = F.array().cast("array<string>")
+    lit = lambda *xs: F.array(*[F.lit(x) for x in xs]) if xs else none
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    parts = [
+        F.array(F.concat(F.lit(title), F.coalesce("title", F.lit(""))), F.lit(""), *[F.lit(x) for x in gap], F.concat(F.lit(overview), F.coalesce("overview", F.lit("")))),
+        F.when(some("key_points"), F.concat(lit("", points), key_point_lines(F.col("key_points")))).otherwise(none), lit("", actions),
+        F.when(some("action_items"), F.transform("action_items", lambda x: F.concat(F.lit("- "), action_line(x.text, x.owner, x.due_date)))).otherwise(lit("- No action items identified.")),
+        *[F.when(some(c), F.concat(lit(*section(name)), _lines(F.col(c)))).otherwise(none) for c, name in LISTS],
+        F.when(some("tags"), tags(F.array_join("tags", ", "))).otherwise(none),
+    ]
+    return F.concat(F.array_join(F.concat(*parts), "\n"), F.lit("\n"))
+
+
+def summary_markdown() -> Column:
+    """A summary row (title, overview, key_points, action_items, people, organizations, topics, tags) as Markdown."""
+    return _rendered("# ", "", "## Key points", "## Action items", lambda n: ["", f"## {n}"], ["## Overview", ""], lambda t: F.array(F.lit(""), F.lit("## Tags"), F.lit(""), t))
+
+
+def summary_text() -> Column:
+    """The same as plain text."""
+    return _rendered("Title: ", "Overview: ", "Key points:", "Action items:", lambda n: ["", f"{n}:"], [], lambda t: F.array(F.lit(""), F.concat(F.lit("Tags: "), t)))
+
+
+def summary_json() -> Column:
+    """The same as JSON with all fields."""
+    return F.to_json(F.struct("title", "overview", "key_points", "action_items", "people", "organizations", "topics", "tags"), {"ignoreNullFields": "false"})
+
+
+def summary_body() -> Column:
+    """Searchable prose of a summary row: overview, then the texts of key points and action items, blank ones left out."""
+    edge = lambda x: F.regexp_replace(x, r"^[\r\n]+|[\r\n]+$", "")
+    none = F.array().cast("array<string>")
+    texts = lambda c: F.coalesce(F.transform(c, lambda x: edge(F.coalesce(x.text, F.lit("")))), none)
+    return F.array_join(F.filter(F.concat(F.array(edge(F.coalesce("overview", F.lit("")))), texts("key_points"), texts("action_items")), lambda x: x != ""), "\n")
+
+
+def summary_aux(tag_names: Column | None = None) -> Column:
+    """Searchable names of a summary row: people, organisations, topics, and a section's tag names."""
+    none = F.array().cast("array<string>")
+    lists = [F.coalesce(c, none) for c, _ in LISTS] + ([] if tag_names is None else [F.coalesce(tag_names, none)])
+    return F.array_join(F.filter(F.transform(F.concat(*lists), strip), lambda x: x != ""), "\n")
 
 
 def render_markdown(title: Column, overview: Column, points: Column) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from voxlake.functions.vectors import dot, norm, usability
+from voxlake.functions.vectors import usability
 
 EVIDENCE, PER_RECORDING, EVIDENCE_CHARS, BUDGET_CHARS = 12, 3, 1000, 8000
 
@@ -43,41 +47,159 @@ def repair(documents: DataFrame, vectors: DataFrame, dimensions: int, embedder:
     return kept.select("document_key", "source_content_hash", "embedding").unionByName(embed(work, embedder))
 
 
-def semantic_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id with every vector's document_key, unit, type and cosine.
+class IntegrityError(ValueError):
+    """A stored vector does not fit its document: searches refuse rather than leave it out."""
 
-    queries: (query_id, query) is a short stated set, checked here and only then broadcast; the
-    vectors stay where they are. Rows that are not usable must be gone before.
-    """
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 queries: search in several calls")
-    q = queries.select("query_id", F.col("query").alias("_q"), norm(F.col("query")).alias("_n"))
-    pairs = vectors.withColumn("_m", norm(F.col("embedding"))).join(F.broadcast(q))
-    return pairs.select("query_id", "document_key", "unit", "type", (dot(F.col("_q"), F.col("embedding")) / (F.col("_n") * F.col("_m"))).alias("cosine"))
+
+def assert_whole(documents: DataFrame, vectors: DataFrame, dimensions: int) -> None:
+    """Raise IntegrityError if any vector is missing, stale, orphan, zero or invalid."""
+    counts = {r["category"]: r["n"] for r in fault_counts(classify_vectors(documents, vectors, dimensions)).collect() if r["category"] != "ok"}
+    if counts:
+        raise IntegrityError(f"embedding index integrity: {counts}")
+
+
+#: Vectors and queries of a pair of blocks, on average: what a task of a search holds.
+BLOCK_ROWS, QUERY_ROWS = 32_768, 4096
 
 
-def semantic_search(queries: DataFrame, vectors: DataFrame, limit: int = 50) -> DataFrame:
-    """query_id, unit, document_key, cosine and rank: each unit's best document, then the best units."""
-    scored = semantic_scores(queries, vectors)
+def best_documents(queries: DataFrame, vectors: DataFrame, per_unit: int, total: int, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """query_id, unit, document_key, type and cosine: for each query the `total` best documents with at most per_unit of a unit.
+
+    queries: (query_id long, query), vectors: (document_key, unit, type, embedding), both usable. Every block of
+    vectors meets every block of queries; a task keeps only rows that can be in the answer, so what is ranked
+    at the end is `total` rows a block and query. Order: cosine, type, document_key, unit.
+    """
+    n, q = vectors.count(), queries.count()
+    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-q // query_rows))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    none = vectors.select("document_key", "unit", "type").schema
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in none]
+    mine = vectors.select(F.lit(None).cast("long").alias("query_id"), "document_key", "unit", "type", F.col("embedding").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("document_key"), F.lit(blocks)).cast("int").alias("b"), every(query_blocks).alias("q"))
+    asks = queries.select(F.col("query_id").cast("long").alias("query_id"), *blank, F.col("query").cast("array<double>").alias("vec"), every(blocks).alias("b"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("q"))
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        asked = df["query_id"].notna()
+        held = df[~asked].sort_values(["type", "document_key", "unit"], kind="stable").reset_index(drop=True)
+        found = []
+        if len(held):
+            data = np.stack(held["vec"].to_list())
+            size = np.sqrt(np.einsum("ij,ij->i", data, data))
+            codes = held["unit"].factorize(use_na_sentinel=False)[0]
+            for qid, v in zip(df.loc[asked, "query_id"], df.loc[asked, "vec"]):
+                v = np.asarray(v)
+                cos = np.einsum("ij,j->i", data, v) / (np.sqrt(np.einsum("i,i->", v, v)) * size)
+                order = np.argsort(-cos, kind="stable")
+                by_unit = np.argsort(codes[order], kind="stable")
+                c = codes[order][by_unit]
+                first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+                nth = np.empty(len(c), np.int64)
+                nth[by_unit] = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
+                take = order[nth < per_unit][:total]
+                found.append(held.loc[take, ["document_key", "unit", "type"]].assign(query_id=int(qid), cosine=cos[take]))
+        columns = ["query_id", "document_key", "unit", "type", "cosine"]
+        return pd.concat(found)[columns] if found else pd.DataFrame({c: [] for c in columns})
+
+    schema = StructType([StructField("query_id", LongType()), *none.fields, StructField("cosine", DoubleType())])
+    local = mine.unionByName(asks).groupBy("b", "q").applyInPandas(run, schema)
     order = [F.desc("cosine"), F.col("type"), F.col("document_key"), F.col("unit")]
-    best = scored.withColumn("_b", F.row_number().over(Window.partitionBy("query_id", "unit").orderBy(*order))).filter("_b = 1")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= limit)
-    return ranked.select("query_id", "unit", "document_key", "cosine", "rank")
+    few = local.withColumn("_u", F.row_number().over(Window.partitionBy("query_id", "unit").orderBy(*order))).filter(F.col("_u") <= per_unit)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= total).drop("_u")
+
+
+def semantic_search(queries: DataFrame, vectors: DataFrame, limit: int = 50, documents: DataFrame | None = None, dimensions: int | None = None) -> DataFrame:
+    """query_id, unit, document_key, cosine and rank: each unit's best document, then the best units.
+
+    With documents (document_key, content_hash) and dimensions the whole index is checked first, and one
+    faulty vector anywhere fails the search; without them the caller has done so.
+    """
+    if documents is not None:
+        assert_whole(documents, vectors, dimensions)
+    return best_documents(queries, vectors, 1, limit).select("query_id", "unit", "document_key", "cosine", "rank")
+
+
+#: Document types that can be evidence: summaries and segments, as search.TYPE_RANK numbers them.
+EVIDENCE_TYPES = (0, 2)
 
 
 def evidence(queries: DataFrame, vectors: DataFrame, texts: DataFrame, total: int = EVIDENCE, per_unit: int = PER_RECORDING, chars: int = EVIDENCE_CHARS, budget: int = BUDGET_CHARS) -> DataFrame:
-    """query_id, citation (C1...), document_key, unit and excerpt: best documents, few a unit, within a budget of characters.
+    """query_id, citation (C1...), document_key, unit, content_hash and excerpt: best segments and summaries, few a unit, within a budget of characters.
 
-    The budget keeps the longest prefix of the ranking; empty texts are skipped before.
+    texts: (document_key, content_hash, text). The budget keeps the longest prefix of the ranking; empty texts
+    are skipped before. Archived units must be gone before (without_archived()).
     """
-    scored = semantic_scores(queries, vectors)
-    order = [F.desc("cosine"), F.col("type"), F.col("document_key"), F.col("unit")]
-    few = scored.withColumn("_u", F.row_number().over(Window.partitionBy("query_id", "unit").orderBy(*order))).filter(F.col("_u") <= per_unit)
-    top = few.withColumn("_t", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("_t") <= total)
+    top = best_documents(queries, vectors.filter(F.col("type").isin(*EVIDENCE_TYPES)), per_unit, total)
     held = top.join(texts, "document_key").withColumn("excerpt", F.substring("text", 1, chars)).filter("excerpt <> ''")
-    w = Window.partitionBy("query_id").orderBy("_t")
+    w = Window.partitionBy("query_id").orderBy("rank")
     held = held.withColumn("_sum", F.sum(F.length("excerpt")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") <= budget)
-    return held.withColumn("citation", F.concat(F.lit("C"), F.row_number().over(w).cast("string"))).select("query_id", "citation", "document_key", "unit", "excerpt")
+    return held.withColumn("citation", F.concat(F.lit("C"), F.row_number().over(w).cast("string"))).select("query_id", "citation", "document_key", "unit", "content_hash", "excerpt")
+
+
+def evidence_text() -> Column:
+    """What a document says as evidence: a segment its body, a summary its body, else its title, and for whole recordings else its aux text."""
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    return F.coalesce(F.when(F.col("doc_type") == "segment", some("body_text")).when(F.col("section_id").isNotNull(), F.coalesce(some("body_text"), some("title_text"))).otherwise(F.coalesce(some("body_text"), some("title_text"), some("aux_text"))), F.lit(""))
+
+
+def without_archived(documents: DataFrame, recordings: DataFrame, sections: DataFrame) -> DataFrame:
+    """documents (recording_id, transcript_id, segment_ordinal, section_id) without those of archived recordings, of segments inside archived sections, and of summaries of such.
+
+    recordings: recording_id, archived_at; sections: valid ones (section_id, transcript_id, start_ordinal, end_ordinal, archived_at). Summaries of whole recordings stay.
+    """
+    gone = sections.filter("archived_at is not null")
+    live = documents.join(recordings.filter("archived_at is not null").select("recording_id"), "recording_id", "left_anti")
+    live = live.join(gone.select("section_id"), "section_id", "left_anti").alias("d")
+    inside = (F.col("d.transcript_id") == F.col("s.transcript_id")) & (F.col("d.segment_ordinal") >= F.col("s.start_ordinal")) & (F.col("d.segment_ordinal") < F.col("s.end_ordinal"))
+    return live.join(gone.alias("s"), inside, "left_anti").select(*documents.columns)
+
+
+def revalidated(chosen: DataFrame, live: DataFrame) -> DataFrame:
+    """query_id and valid: whether all chosen evidence (query_id, document_key, content_hash) is still what the live documents (document_key, content_hash) hold."""
+    now = live.select("document_key", "content_hash", F.lit(True).alias("_same"))
+    return chosen.join(now, ["document_key", "content_hash"], "left").groupBy("query_id").agg(F.bool_and(F.coalesce("_same", F.lit(False))).alias("valid"))
+
+
+def ask(questions: DataFrame, chosen: DataFrame, chat: Callable[[list[str]], list[str]], retries: int = 1) -> DataFrame:
+    """query_id, state, answer, citations and calls for questions (query_id, question) with their evidence (from evidence()).
+
+    chat takes prompts and returns JSON texts {"answer", "citations": [1, ...], "insufficient"}. A reply that is
+    no such JSON, or whose citations break a rule of answer_faults(), is asked for once more. A question
+    without evidence is `insufficient` without a call. At most EVIDENCE rows belong to a question.
+    """
+    held = F.array_sort(F.collect_list(F.struct(F.substring("citation", 2, 9).cast("int").alias("n"), "excerpt")))
+    rows = questions.select("query_id", "question").join(chosen.groupBy("query_id").agg(held.alias("held")), "query_id", "left")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            out = {i: ("insufficient", None, [], 0) for i in df.index}
+            todo = [i for i in df.index if df["held"][i] is not None and len(df["held"][i])]
+            for call in range(1, retries + 2):
+                prompts = ["\n".join([str(df["question"][i]), *[f"[C{e['n']}] {e['excerpt']}" for e in df["held"][i]]]) for i in todo]
+                again = []
+                for i, reply in zip(todo, chat(prompts) if todo else []):
+                    said = _parsed_answer(reply, len(df["held"][i]))
+                    if said is None:
+                        out[i] = ("failed", None, [], call)
+                        again.append(i)
+                    else:
+                        out[i] = (*said, call)
+                todo = again
+            yield pd.DataFrame([(q, *out[i]) for i, q in df["query_id"].items()], columns=["query_id", "state", "answer", "citations", "calls"])
+
+    return rows.mapInPandas(run, "query_id long, state string, answer string, citations array<int>, calls int")
+
+
+def _parsed_answer(reply: str, n_evidence: int) -> tuple[str, str | None, list[int]] | None:
+    try:
+        said = json.loads(reply)
+        if said.get("insufficient") is True:
+            return "insufficient", None, []
+        answer, declared = said["answer"], said["citations"]
+        inline = {int(c) for c in re.findall(r"\[C(\d+)\]", answer)}
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return None
+    if not inline or any(type(c) is not int for c in declared) or len(set(declared)) != len(declared) or set(declared) != inline or not inline <= set(range(1, n_evidence + 1)):
+        return None
+    return "answered", answer, sorted(inline)
 
 
 def fault_counts(classified: DataFrame) -> DataFrame:

@@ -93,14 +93,14 @@ k AS (SELECT *, CASE WHEN s < 0 OR e < 0 THEN 'invalid_timestamp' WHEN e < s THE
 SELECT file_id, arg_min(category, turn) AS category, CAST(min(turn) AS INT) AS ordinal FROM k WHERE category IS NOT NULL GROUP BY 1
 UNION ALL SELECT DISTINCT conv_id, 'malformed_json', NULL FROM conversations WHERE conv_id % 17 = 5""")
 def transcript_quarantine(spark, sf_dir):
-    """Conversations as transcript files with planted faults; the first fault of each file."""
+    """Conversations as transcript files with planted faults; the first fault of each file. Broken files have no rows to check."""
     c = X.read(spark, sf_dir, "conversations")
-    start = F.when((F.col("conv_id") % 11 == 1) & (F.col("turn") == 1), -5).when((F.col("conv_id") % 13 == 3) & (F.col("turn") == 4), 0).otherwise(F.col("turn") * 1000)
-    end = F.when((F.col("conv_id") % 7 == 2) & (F.col("turn") == 2), F.col("turn") * 1000 - 1).otherwise((F.col("turn") + 1) * 1000)
-    item = F.struct("turn", F.struct(start.alias("start"), end.alias("end"), F.col("role").alias("speaker"), "text").alias("s"))
-    files = c.groupBy(F.col("conv_id").alias("file_id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.s).alias("segments"))
-    raw = F.when(F.col("file_id") % 17 == 5, F.lit("{broken")).otherwise(F.to_json(F.struct("segments")))
-    return I.quarantine(I.parse_transcripts(files.select("file_id", raw.alias("raw"))))
+    i, turn = F.col("conv_id"), F.col("turn")
+    start = F.when((i % 11 == 1) & (turn == 1), -5).when((i % 13 == 3) & (turn == 4), 0).otherwise(turn * 1000)
+    end = F.when((i % 7 == 2) & (turn == 2), turn * 1000 - 1).otherwise((turn + 1) * 1000)
+    rows = c.filter(i % 17 != 5).select(i.alias("file_id"), turn.cast("int").alias("ordinal"), start.alias("start_ms"), end.alias("end_ms"), F.col("role").alias("speaker"), "text")
+    broken = I.parse_transcripts(c.filter(i % 17 == 5).select(i.alias("file_id"), F.lit("{broken").alias("raw")).distinct())
+    return I.quarantine(I.segment_faults(rows).unionByName(broken))
 
 
 LINES_SQL = f"""lines AS (
@@ -108,14 +108,14 @@ LINES_SQL = f"""lines AS (
     '[' || lpad(CAST(turn // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') || '] ' || role || ': ' || text AS line FROM conversations)"""
 
 
-@query(f"WITH {LINES_SQL} SELECT recording_id, sha256(string_agg(line, chr(10) ORDER BY ordinal)) AS digest, count(*) AS lines FROM lines GROUP BY 1")
+@query(f"WITH {LINES_SQL} SELECT recording_id, CAST(ordinal // 5000 AS INT) AS part, sha256(string_agg(line, chr(10) ORDER BY ordinal)) AS digest, count(*) AS lines FROM lines GROUP BY 1, 2")
 def timestamped_export(spark, sf_dir):
     lines = I.timestamped_lines(X.segments(spark, sf_dir))
     body = I.export_text(lines, "line")
-    return body.select("recording_id", F.sha2("body", 256).alias("digest"), F.size(F.split("body", "\n\\[")).cast("long").alias("lines"))
+    return body.select("recording_id", "part", F.sha2("body", 256).alias("digest"), F.size(F.split("body", "\n\\[")).cast("long").alias("lines"))
 
 
-@query(f"SELECT {rid('conv_id')} AS recording_id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")
+@query(f"SELECT {rid('conv_id')} AS recording_id, CAST(turn // 5000 AS INT) AS part, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1, 2")
 def transcript_export(spark, sf_dir):
     return I.export_text(X.segments(spark, sf_dir), "text")
 
@@ -304,14 +304,45 @@ def cjk_metrics(spark, sf_dir):
     return d.select("doc_id", F.round(T.cjk_ratio(F.col("text")), 6).alias("cjk"), F.round(T.nonsense_ratio(F.col("text")), 6).alias("nonsense"))
 
 
-@query()
+MARKED = ("佢哋唔喺嗰度嘅國學", "你们什么吗这车", "係唔係佢嘅 們這說", "他在那里")
+CANDIDATES_SQL = f"""c AS (SELECT doc_id, text, CASE doc_id % 5 {' '.join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MARKED))} ELSE text END AS hk, CASE (doc_id + 1) % 5 {' '.join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MARKED))} ELSE text END AS cn FROM documents),
+t AS (SELECT doc_id, unnest(['hk', 'cn', 'eu']) AS k, unnest([hk, cn, text]) AS t FROM c),
+m AS (SELECT doc_id, k, length(regexp_replace(t, '\\s', '', 'g')) AS n, len(regexp_extract_all(t, '[一-鿿]')) AS cjk, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS tokens,
+  {' + '.join(f"(length(t) - length(replace(t, '{w}', ''))) / {len(w)}" for w in R.CANTONESE)} AS yue, {' + '.join(f"(length(t) - length(replace(t, '{w}', ''))) / {len(w)}" for w in R.MANDARIN)} AS cmn,
+  len(regexp_extract_all(t, '[{R.TRADITIONAL}]')) AS trad, len(regexp_extract_all(t, '[{R.SIMPLIFIED}]')) AS simp FROM t),
+r AS (SELECT doc_id, k, CASE WHEN n > 0 THEN cjk / n ELSE 0 END AS cjk, CASE WHEN n > 0 THEN round(yue * 100.0 / n, 2) ELSE 0 END AS yue, CASE WHEN n > 0 THEN round(cmn * 100.0 / n, 2) ELSE 0 END AS cmn,
+  CASE WHEN trad + simp > 0 THEN round(trad / (trad + simp), 3) ELSE 0.5 END AS trad, CASE WHEN len(tokens) > 0 THEN round(len(list_filter(tokens, lambda x: length(x) <= 2 AND NOT regexp_matches(x, '[一-鿿]'))) / len(tokens), 3) ELSE 1.0 END AS nonsense FROM m),
+e AS (SELECT h.doc_id, h.yue AS hk_cantonese, h.cmn AS hk_mandarin, c.yue AS cn_cantonese, c.cmn AS cn_mandarin, h.trad AS hk_trad, c.trad AS cn_trad, round(greatest(h.cjk, c.cjk), 3) AS zh_cjk, round(u.cjk, 3) AS eu_cjk, u.nonsense
+  FROM r h JOIN r c ON c.doc_id = h.doc_id AND c.k = 'cn' JOIN r u ON u.doc_id = h.doc_id AND u.k = 'eu' WHERE h.k = 'hk'),
+v AS (SELECT *, hk_cantonese + 0.1 * hk_trad AS hk, cn_mandarin + 0.1 * (1 - cn_trad) AS cn, doc_id % 4 AS q FROM e),
+w AS (SELECT *, CASE WHEN hk <= 0 AND cn <= 0 THEN 'uncertain' WHEN hk >= 2 * greatest(cn, 0.001) THEN 'cantonese' WHEN cn >= 2 * greatest(hk, 0.001) THEN 'mandarin' ELSE 'uncertain' END AS verdict,
+  CASE WHEN zh_cjk >= 0.25 AND eu_cjk < 0.25 THEN 'chinese' WHEN eu_cjk < 0.25 AND nonsense < 0.5 THEN 'european' WHEN zh_cjk >= 0.25 THEN 'chinese' ELSE 'uncertain' END AS family FROM v),
+g AS (SELECT *, family = 'chinese' AND zh_cjk >= 0.6 AND verdict = 'cantonese' AND hk_cantonese >= 4 AND hk_cantonese >= 3 * greatest(hk_mandarin, cn_mandarin, 0.01) AND greatest(hk_mandarin, cn_mandarin) <= 0.5 AS ghk,
+  family = 'chinese' AND zh_cjk >= 0.6 AND verdict = 'mandarin' AND cn_mandarin >= 4 AND cn_mandarin >= 3 * greatest(hk_cantonese, cn_cantonese, 0.01) AND greatest(hk_cantonese, cn_cantonese) <= 0.5 AS gcn FROM w),
+x AS (SELECT *, CASE WHEN ghk AND NOT gcn THEN 'cantonese' WHEN gcn AND NOT ghk THEN 'mandarin' END AS gate FROM g),
+y AS (SELECT *, CASE WHEN doc_id % 31 = 0 THEN 'silent' WHEN q = 0 THEN CASE WHEN gate IS NOT NULL THEN 'auto_confident_heuristic_unavailable' ELSE 'classifier_unavailable' END WHEN family <> 'chinese' THEN 'contradictory_evidence'
+  WHEN verdict = 'uncertain' THEN 'zh_ambiguous' WHEN q = 1 THEN 'low_confidence' ELSE 'auto_confident' END AS reason FROM x)
+SELECT doc_id AS key, hk_cantonese, cn_mandarin, zh_cjk, family, verdict, gate, reason, CASE WHEN reason IN ('auto_confident', 'low_confidence') THEN CASE WHEN family = 'chinese' THEN verdict ELSE family END WHEN reason LIKE 'auto_confident_heuristic%' THEN gate ELSE 'uncertain' END AS route FROM y"""
+
+
+@query(f"WITH {CANDIDATES_SQL}")
 def route_verdict(spark, sf_dir):
-    """Every document as a European candidate beside Chinese ones made from its id; evidence, verdict, gate and reason."""
+    """Every document as a European candidate beside Chinese ones: marked texts, or the document's own; evidence, verdict, gate, reason and route."""
     d = X.read(spark, sf_dir, "documents")
-    hk = F.when(F.col("doc_id") % 3 == 0, "佢哋唔喺嗰度嘅國學").when(F.col("doc_id") % 3 == 1, "他们不在那里的国学").otherwise(F.substring("text", 1, 40))
-    e = R.evidence(d.select(F.col("doc_id").alias("key"), hk.alias("hk_text"), hk.alias("cn_text"), F.col("text").alias("eu_text")))
-    e = e.withColumns({"verdict": R.verdict(), "family": R.family(), "gate": R.gate(F.lit(3)), "classifier": F.when(F.col("key") % 4 != 0, F.lit("chinese")), "confidence": F.lit(0.9)})
-    return e.withColumn("reason", R.route())
+    i = F.col("doc_id")
+
+    def candidate(shift: int):
+        out = F.when((i + shift) % 5 == 0, MARKED[0])
+        for k, text in enumerate(MARKED[1:], 1):
+            out = out.when((i + shift) % 5 == k, text)
+        return out.otherwise(F.col("text"))
+
+    rows = R.evidence(d.select(i.alias("key"), candidate(0).alias("hk_text"), candidate(1).alias("cn_text"), F.col("text").alias("eu_text")))
+    rows = rows.withColumns({
+        "enabled": F.lit(True), "sampling": F.lit(None).cast("string"), "silent": F.col("key") % 31 == 0, "complete": F.lit(True), "windows": F.lit(3), "loud": F.lit(2),
+        "classifier": F.when(F.col("key") % 4 != 0, F.lit("chinese")), "confidence": F.when(F.col("key") % 4 == 1, 0.5).otherwise(0.9),
+    })
+    return R.routed(rows).select("key", "hk_cantonese", "cn_mandarin", "zh_cjk", "family", "verdict", "gate", "reason", "route")
 
 
 @query("SELECT doc_id, CASE WHEN lang IN ('en', 'fr', 'de', 'es') THEN lang ELSE 'und' END AS language, 'ok' AS fault FROM documents")
@@ -375,14 +406,31 @@ def variant_state(spark, sf_dir):
     return L.variant_states(a.select("recording_id", "language").distinct(), a.filter("outcome = 'success' and ordinal % 2 = 0"), a.filter("outcome = 'failed' or ordinal % 7 = 0"))
 
 
-@query()
+#: Greedy packing as a recursion over the pieces of a transcript; held is the open chunk, closed and full what a step closes.
+CHUNKS_SQL = """cut AS (SELECT conv_id, turn, unnest(range(0, length(text), 400)) AS pos, text FROM conversations WHERE text <> ''),
+pieces AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS INT) AS i, substr(text, CAST(pos + 1 AS INT), 400) AS p FROM cut),
+steps AS (
+  SELECT conv_id, 0 AS i, CAST([] AS VARCHAR[]) AS held, CAST(NULL AS VARCHAR) AS closed, CAST(NULL AS VARCHAR) AS filled FROM (SELECT DISTINCT conv_id FROM pieces)
+  UNION ALL
+  SELECT conv_id, i, CASE WHEN length(array_to_string(now, chr(10))) >= 400 THEN CAST([] AS VARCHAR[]) ELSE now END, closed, CASE WHEN length(array_to_string(now, chr(10))) >= 400 THEN array_to_string(now, chr(10)) END FROM (
+    SELECT conv_id, i, CASE WHEN over THEN array_to_string(held, chr(10)) END AS closed, list_append(CASE WHEN over THEN held[len(held) - tail + 1:] ELSE held END, p) AS now FROM (
+      SELECT s.conv_id, x.i, s.held, x.p, len(s.held) > 0 AND length(array_to_string(list_append(s.held, x.p), chr(10))) > 400 AS over,
+        coalesce(list_max(list_filter(range(1, len(s.held) + 1), lambda k: length(array_to_string(s.held[len(s.held) - k + 1:], chr(10))) <= 80 AND length(array_to_string(list_append(s.held[len(s.held) - k + 1:], x.p), chr(10))) <= 400)), 0) AS tail
+      FROM steps s JOIN pieces x ON x.conv_id = s.conv_id AND x.i = s.i + 1))),
+closed AS (SELECT conv_id, i, 0 AS part, closed AS text FROM steps WHERE closed IS NOT NULL UNION ALL SELECT conv_id, i, 1, filled FROM steps WHERE filled IS NOT NULL
+  UNION ALL SELECT conv_id, i, 2, array_to_string(held, chr(10)) FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS r FROM steps) WHERE r = 1 AND len(held) > 0),
+chunks AS (SELECT conv_id AS transcript_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY i, part) - 1 AS INT) AS chunk_no, text FROM closed)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT transcript_id, chunk_no, CAST(length(text) AS INT) AS characters, sha256(text) AS digest FROM chunks")
 def chunk_plan(spark, sf_dir):
     return M.plan_chunks(X.segments(spark, sf_dir), 400, 80).select("transcript_id", "chunk_no", F.length("text").alias("characters"), F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKS_SQL}, n AS (SELECT transcript_id, count(*) AS n FROM chunks GROUP BY 1)
+SELECT transcript_id, CAST(n AS INT) AS chunks, 'ok' AS status, string_agg(CASE WHEN n = 1 THEN text ELSE substr(text, 1, 10) END, ' / ' ORDER BY chunk_no) AS summary FROM chunks JOIN n USING (transcript_id) GROUP BY 1, 2""")
 def map_reduce_summary(spark, sf_dir):
-    """A stub model: the first ten characters of each chunk, joined."""
+    """A stub model: the first ten characters of each chunk, joined; a single chunk as it is."""
     return M.summarise(M.plan_chunks(X.segments(spark, sf_dir), 400, 80), lambda ts: [t[:10] for t in ts], " / ".join)
 
 
@@ -412,27 +460,34 @@ def framed(*parts: str) -> str:
     return " || ".join(f"coalesce('S' || octet_length(encode({p})) || ':' || {p}, 'N')" for p in parts)
 
 
+FRAMED = framed(*[c if c.endswith("_text") or c in ("document_key", "doc_type", "recording_id", "summary_id", "output_language") else f"CAST({c} AS VARCHAR)" for c in D.FIELDS])
 DOCS_SQL = f"""docs AS (
-  SELECT 'segment:' || conv_id || ':' || turn AS document_key, 'segment' AS doc_type, {rid('conv_id')} AS recording_id, CAST(NULL AS VARCHAR) AS output_language, '' AS title_text, text AS body_text, role AS aux_text FROM conversations WHERE trim(text) <> ''
-  UNION ALL SELECT 'summary:' || doc_id, 'summary', {rid('doc_id % 100')}, lang, substr(text, 1, 40), text, source FROM documents),
-hashed AS (SELECT *, sha256({framed('document_key', 'doc_type', 'recording_id', 'output_language', 'title_text', 'body_text', 'aux_text')}) AS content_hash FROM docs)"""
+  SELECT 'segment:' || conv_id || ':' || turn AS document_key, 'segment' AS doc_type, {rid('conv_id')} AS recording_id, conv_id AS transcript_id, CAST(NULL AS VARCHAR) AS summary_id, CAST(NULL AS BIGINT) AS section_id, CAST(turn AS INT) AS segment_ordinal,
+    CAST(turn * 1000 AS BIGINT) AS start_ms, CAST((turn + 1) * 1000 AS BIGINT) AS end_ms, CAST(NULL AS VARCHAR) AS output_language, '' AS title_text, text AS body_text, role AS aux_text FROM conversations WHERE trim(text) <> ''
+  UNION ALL SELECT 'summary:' || doc_id, 'summary', {rid('doc_id % 100')}, NULL, CAST(doc_id AS VARCHAR), NULL, NULL, NULL, NULL, lang, substr(text, 1, 40), text, source FROM documents),
+hashed AS (SELECT *, sha256({FRAMED}) AS content_hash FROM docs)"""
 
 
-@query(f"WITH {DOCS_SQL} SELECT document_key, doc_type, recording_id, output_language, title_text, body_text, aux_text, content_hash, '1' AS index_version FROM hashed")
+@query(f"WITH {DOCS_SQL} SELECT *, '2' AS index_version FROM hashed")
 def search_documents(spark, sf_dir):
     return _documents(spark, sf_dir).unionByName(_summaries(spark, sf_dir))
 
 
 def _index_state(spark, sf_dir):
     d = search_documents(spark, sf_dir)
-    mark = F.crc32("document_key") % 20
+    mark = F.conv(F.substring(F.md5("document_key"), 1, 8), 16, 10).cast("long") % 20
     expected = d.select("document_key", "content_hash", "index_version").filter(mark != 0)
     registry = d.filter(mark != 1).select("document_key", F.when(mark == 2, "old").otherwise(F.col("content_hash")).alias("content_hash"), F.when(mark == 3, "0").otherwise(F.col("index_version")).alias("index_version"))
     index = d.filter(~mark.isin(1, 4)).select("document_key", F.when(mark == 5, "old").otherwise(F.col("content_hash")).alias("content_hash"))
     return expected, registry, index
 
 
-@query()
+@query(f"""
+WITH {DOCS_SQL}, d AS (SELECT document_key, CAST('0x' || substr(md5(document_key), 1, 8) AS BIGINT) % 20 AS m FROM hashed),
+f AS (SELECT document_key, unnest(list_filter([CASE WHEN m = 1 THEN 'missing_from_registry' END, CASE WHEN m = 3 THEN 'version_mismatch' END, CASE WHEN m = 2 THEN 'stale_content' END, CASE WHEN m = 4 THEN 'missing_from_index' END,
+  CASE WHEN m IN (2, 5) THEN 'content_mismatch' END, CASE WHEN m = 0 THEN 'orphan_document' END], lambda x: x IS NOT NULL)) AS category FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY document_key) AS pos FROM f)
+SELECT category, count(*) AS n, list(document_key ORDER BY document_key) FILTER (pos <= 20) AS samples, greatest(count(*) - 20, 0) AS omitted FROM r GROUP BY 1""")
 def index_status(spark, sf_dir):
     return D.index_report(D.index_differences(*_index_state(spark, sf_dir)))
 
@@ -454,15 +509,15 @@ def document_counts(spark, sf_dir):
 
 
 QUERY = "the on"
-RANKED_SQL = f"""{DOCS_SQL}, folded AS (SELECT document_key, doc_type, recording_id, {', '.join(f"replace(lower(nfc_normalize({c})), 'ß', 'ss') AS {c}" for c in S.FIELD_COLUMNS)} FROM docs),
+SCORED_SQL = f"""{{docs}}, folded AS (SELECT document_key, doc_type, recording_id, segment_ordinal, {', '.join(f"replace(lower(nfc_normalize({c})), 'ß', 'ss') AS {c}" for c in S.FIELD_COLUMNS)} FROM docs),
 scored AS (
   SELECT *, greatest({', '.join(f"CASE WHEN contains(title_text, '{t}') THEN 0 WHEN contains(body_text, '{t}') THEN 1 WHEN contains(aux_text, '{t}') THEN 2 ELSE 9 END" for t in QUERY.split())}) AS worst,
     CASE doc_type WHEN 'summary' THEN 0 WHEN 'recording' THEN 1 ELSE 2 END AS type,
     {' + '.join(f"CAST((length({c}) - length(replace({c}, '{t}', ''))) / {len(t)} AS BIGINT)" for t in QUERY.split() for c in S.FIELD_COLUMNS)} AS occurrences,
     least({', '.join(f"CASE WHEN contains({c}, '{t}') THEN instr({c}, '{t}') - 1 END" for t in QUERY.split() for c in S.FIELD_COLUMNS)}) AS first
-  FROM folded),
-held AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY type, document_key) AS place FROM scored WHERE worst < 9),
-best AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY worst, type, occurrences DESC, first, document_key) AS b FROM held WHERE place <= 100),
+  FROM folded)"""
+RANKED_SQL = f"""{SCORED_SQL.format(docs=DOCS_SQL)},
+best AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY worst, type, occurrences DESC, first, document_key) AS b FROM scored WHERE worst < 9),
 ranked AS (SELECT recording_id, document_key, CAST(worst AS INT) AS worst, occurrences, CAST(first AS INT) AS first,
   CAST(row_number() OVER (ORDER BY worst, type, occurrences DESC, first, document_key, recording_id) AS INT) AS rank FROM best WHERE b = 1 ORDER BY rank LIMIT 50)"""
 
@@ -474,9 +529,9 @@ def keyword_search(spark, sf_dir):
 
 @query(f"WITH {DOCS_SQL} SELECT document_key FROM docs WHERE contains(replace(lower(nfc_normalize(body_text)), 'ß', 'ss'), 'tion the')")
 def trigram_search(spark, sf_dir):
-    """Documents whose body holds a phrase: trigram postings narrow, the literal test decides."""
+    """Documents whose body holds a phrase: postings of its trigrams narrow, the literal test decides."""
     d = S.folded(search_documents(spark, sf_dir))
-    near = S.trigram_candidates(S.trigram_postings(d), "tion the")
+    near = S.trigram_candidates(S.trigram_postings(d, S.grams_of("tion the")), "tion the")
     return d.join(near, "document_key", "left_semi").filter(F.col("body_text_fold").contains("tion the")).select("document_key")
 
 
@@ -509,12 +564,12 @@ def vector_status(spark, sf_dir):
     return V.fault_counts(V.classify_vectors(docs, vec, 64))
 
 
-COSINE_SQL = """q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id < 5),
+COSINE_SQL = """q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, 'segment:' || vec_id AS document_key, label AS unit, list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS cosine FROM q, embeddings)"""
 
 
 def _queries(spark, sf_dir):
-    return X.read(spark, sf_dir, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return X.read(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 @query(f"""
@@ -527,39 +582,59 @@ def semantic_item_topk(spark, sf_dir):
 
 @query(f"""
 WITH {COSINE_SQL}, u AS (SELECT *, row_number() OVER (PARTITION BY query_id, unit ORDER BY cosine DESC, document_key) AS u FROM s),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_key, unit) AS t FROM u WHERE u <= 3)
-SELECT query_id, 'C' || t AS citation, document_key, unit FROM t WHERE t <= 12""")
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_key, unit) AS t FROM u WHERE u <= 3),
+x AS (SELECT t.*, substr(d.text, 1, 1000) AS excerpt FROM t JOIN documents d ON 'segment:' || d.doc_id = document_key WHERE t <= 12 AND substr(d.text, 1, 1000) <> ''),
+b AS (SELECT *, sum(length(excerpt)) OVER (PARTITION BY query_id ORDER BY t) AS used FROM x)
+SELECT query_id, 'C' || row_number() OVER (PARTITION BY query_id ORDER BY t) AS citation, document_key, unit, sha256(excerpt) AS digest FROM b WHERE used <= 8000""")
 def evidence_topk(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    texts = v.select("document_key", F.concat(F.lit("text of "), "document_key").alias("text"))
-    return V.evidence(_queries(spark, sf_dir), v, texts).drop("excerpt")
-
-
-@query(f"""
-WITH {COSINE_SQL}, sem AS (SELECT query_id, document_key, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_key) AS semantic_rank FROM s WHERE document_key <> 'segment:' || query_id),
-kw AS (SELECT query_id, 'segment:' || vec_id AS document_key, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id * 7), vec_id) AS keyword_rank FROM q, embeddings),
-f AS (SELECT query_id, document_key, k.keyword_rank, s.semantic_rank, coalesce(1.0 / (60 + keyword_rank), 0) + coalesce(1.0 / (60 + semantic_rank), 0) AS score
-  FROM (SELECT * FROM kw WHERE keyword_rank <= 200) k FULL JOIN (SELECT * FROM sem WHERE semantic_rank <= 200) s USING (query_id, document_key))
-SELECT query_id, document_key, CAST(keyword_rank AS INT) AS keyword_rank, CAST(semantic_rank AS INT) AS semantic_rank, round(score, 9) AS score FROM f""")
+    """Evidence for each query, whose texts are the documents with the vectors' numbers."""
+    texts = X.read(spark, sf_dir, "documents").select(F.concat(F.lit("segment:"), F.col("doc_id").cast("string")).alias("document_key"), F.sha2("text", 256).alias("content_hash"), "text")
+    return V.evidence(_queries(spark, sf_dir), _vectors(spark, sf_dir), texts).select("query_id", "citation", "document_key", "unit", F.sha2("excerpt", 256).alias("digest"))
+
+
+HYBRID_SQL = f"""{DOCS_SQL}, q AS (SELECT vec_id AS query_id, embedding AS query, list_filter(string_split(replace(lower(nfc_normalize(text)), 'ß', 'ss'), ' '), lambda w: length(w) >= 4 AND NOT regexp_matches(w, '\\s'))[1:2] AS terms
+  FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
+asked AS (SELECT * FROM q WHERE len(terms) > 0),
+f AS (SELECT document_key, doc_type, recording_id, replace(lower(nfc_normalize(title_text)), 'ß', 'ss') AS a, replace(lower(nfc_normalize(body_text)), 'ß', 'ss') AS b, replace(lower(nfc_normalize(aux_text)), 'ß', 'ss') AS c FROM docs),
+m AS (SELECT query_id, f.*, list_max(list_transform(terms, lambda t: CASE WHEN contains(a, t) THEN 0 WHEN contains(b, t) THEN 1 WHEN contains(c, t) THEN 2 ELSE 9 END)) AS worst, CASE doc_type WHEN 'summary' THEN 0 WHEN 'recording' THEN 1 ELSE 2 END AS type,
+  list_sum(list_transform(terms, lambda t: CAST((length(a) - length(replace(a, t, '')) + length(b) - length(replace(b, t, '')) + length(c) - length(replace(c, t, ''))) / length(t) AS BIGINT))) AS occurrences,
+  list_min(list_transform(terms, lambda t: least(CASE WHEN contains(a, t) THEN instr(a, t) - 1 END, CASE WHEN contains(b, t) THEN instr(b, t) - 1 END, CASE WHEN contains(c, t) THEN instr(c, t) - 1 END))) AS first FROM asked, f),
+kb AS (SELECT *, row_number() OVER (PARTITION BY query_id, recording_id ORDER BY worst, type, occurrences DESC, first, document_key) AS b1 FROM m WHERE worst < 9),
+kw AS (SELECT query_id, recording_id, document_key, row_number() OVER (PARTITION BY query_id ORDER BY worst, type, occurrences DESC, first, document_key, recording_id) AS r FROM kb WHERE b1 = 1),
+sc AS (SELECT query_id, 'summary:' || vec_id AS document_key, {rid('vec_id % 100')} AS recording_id, list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS cosine FROM q, embeddings),
+sb AS (SELECT *, row_number() OVER (PARTITION BY query_id, recording_id ORDER BY cosine DESC, document_key) AS b1 FROM sc),
+sem AS (SELECT query_id, recording_id, document_key, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_key, recording_id) AS r FROM sb WHERE b1 = 1),
+z AS (SELECT query_id, recording_id, k.r AS keyword_rank, s.r AS semantic_rank, coalesce(1.0 / (60 + k.r), 0) + coalesce(1.0 / (60 + s.r), 0) AS score, coalesce(k.document_key, s.document_key) AS document_key, CASE WHEN k.r IS NULL THEN 'semantic' ELSE 'keyword' END AS found_by
+  FROM (SELECT * FROM kw WHERE r <= 200) k FULL JOIN (SELECT * FROM sem WHERE r <= 200) s USING (query_id, recording_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE WHEN keyword_rank IS NULL OR semantic_rank IS NULL THEN 1 ELSE 2 END DESC, least(keyword_rank, semantic_rank), greatest(keyword_rank, semantic_rank), recording_id) AS rank FROM z)"""
+
+
+@query(f"""WITH {HYBRID_SQL} SELECT query_id, recording_id, CAST(keyword_rank AS INT) AS keyword_rank, CAST(semantic_rank AS INT) AS semantic_rank, round(score, 9) AS score, CAST(rank AS INT) AS rank, document_key, found_by FROM o WHERE rank <= 50""")
 def hybrid_rrf(spark, sf_dir):
-    """Two rank lists of depth 200 a query, fused: cosine, and distance of ids as a stand-in for a keyword rank."""
-    q, v = _queries(spark, sf_dir), _vectors(spark, sf_dir)
-    scored = V.semantic_scores(q, v).filter(F.col("document_key") != F.concat(F.lit("segment:"), F.col("query_id").cast("string")))
-    sem = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "document_key"))).filter("rank <= 200")
-    near = Window.partitionBy("query_id").orderBy(F.abs(F.col("vec_id") - F.col("query_id") * 7), "vec_id")
-    kw = v.join(F.broadcast(q.select("query_id"))).withColumn("rank", F.row_number().over(near)).filter("rank <= 200")
-    return S.fuse(kw, sem, ["query_id", "document_key"]).withColumn("score", F.round("score", 9))
+    """Hybrid search: a document's vector and its first two longer words are a query; keyword and cosine lists of depth 200 are fused by recording."""
+    d = S.folded(search_documents(spark, sf_dir))
+    q = _queries(spark, sf_dir)
+    folded = X.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), T.fold("text").alias("t")).join(q.select("query_id"), "query_id")
+    terms = F.slice(F.filter(F.split("t", " "), lambda w: (F.length(w) >= 4) & ~w.rlike(r"\s")), 1, 2)
+    asked = folded.select("query_id", terms.alias("terms")).filter(F.size("terms") > 0)
+    kw = S.search_many(d, asked, limit=S.DEPTH)
+    v = _vectors(spark, sf_dir).select(F.concat(F.lit("summary:"), F.col("vec_id").cast("string")).alias("document_key"), X.recording_id(F.col("vec_id") % 100).alias("unit"), F.lit(0).alias("type"), "embedding")
+    sem = V.semantic_search(q.join(folded.select("query_id"), "query_id"), v, limit=S.DEPTH).withColumnRenamed("unit", "recording_id")
+    return S.hybrid_search(kw, sem, "recording_id").withColumn("score", F.round("score", 9))
 
 
 @query("""
-WITH a AS (SELECT conv_id * 1000 + turn AS question_id, turn % 4 AS k FROM conversations)
-SELECT question_id, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'unknown_citation' WHEN 2 THEN 'no_citation' ELSE 'undeclared_citation' END AS fault FROM a""")
+WITH c AS (SELECT conv_id * 1000 + turn AS question_id, turn % 4 AS k, least(length(text) % 3 + 1, 3) AS n FROM conversations)
+SELECT question_id, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'unknown_citation' WHEN 2 THEN 'no_citation' ELSE CASE WHEN n = 2 THEN 'ok' ELSE 'undeclared_citation' END END AS fault FROM c""")
 def answer_validation(spark, sf_dir):
+    """Answers that are whole turns with citations at their end: as many as the text's length says, one too many, none, or others than declared."""
     c = X.read(spark, sf_dir, "conversations")
-    k = F.col("turn") % 4
-    answer = F.when(k == 0, "Yes [C1], and [C2].").when(k == 1, "Yes [C9].").when(k == 2, "Yes.").otherwise("Yes [C1].")
-    declared = F.when(k == 0, F.array(F.lit(1), F.lit(2))).when(k == 1, F.array(F.lit(9))).otherwise(F.array(F.lit(2)))
-    return V.answer_faults(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), answer.alias("answer"), declared.alias("declared"), F.lit(3).alias("n_evidence")))
+    k, n = F.col("turn") % 4, F.length("text") % 3 + 1
+    cited = F.sequence(F.lit(1), n)
+    tail = F.when(k == 0, F.array_join(F.transform(cited, lambda i: F.concat(F.lit("[C"), i.cast("string"), F.lit("]"))), "")).when(k == 1, F.concat(F.lit("[C"), (n + 3).cast("string"), F.lit("]"))).when(k == 2, F.lit("")).otherwise(F.lit("[C2]"))
+    declared = F.when(k == 0, cited).when(k == 1, F.array((n + 3).cast("int"))).otherwise(F.array(n.cast("int")))
+    plain = F.regexp_replace("text", r"\[C\d+\]", "")
+    return V.answer_faults(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.concat(plain, tail).alias("answer"), declared.alias("declared"), F.lit(3).alias("n_evidence")))
 
 
 # ---- further library rows ------------------------------------------------------------------------
@@ -622,14 +697,12 @@ def duplicate_active(spark, sf_dir):
 @query(f"WITH {DOCS_SQL} SELECT count(*) FILTER (b.content_hash IS NULL) AS missing, count(*) FILTER (a.content_hash IS NULL) AS extra FROM hashed a FULL JOIN (SELECT * FROM hashed WHERE length(body_text) % 9 <> 0) b ON a.document_key = b.document_key AND a.content_hash = b.content_hash")
 def set_equality(spark, sf_dir):
     """Documents against a store that lacks some: rows in one and not in the other."""
-    d = search_documents(spark, sf_dir).select("document_key", "content_hash", "body_text")
-    keep = d.filter(F.length("body_text") % 9 != 0).drop("body_text")
-    whole = d.drop("body_text")
-    side = whole.exceptAll(keep).select(F.lit("missing").alias("s")).unionByName(keep.exceptAll(whole).select(F.lit("extra").alias("s")))
-    return side.agg(F.count_if(F.col("s") == "missing").alias("missing"), F.count_if(F.col("s") == "extra").alias("extra"))
+    d = search_documents(spark, sf_dir)
+    return D.set_difference(d, d.filter(F.length("body_text") % 9 != 0))
 
 
-@query()
+@query(f"""WITH {DOCS_SQL}, h AS (SELECT CAST('0x' || substr(sha256(document_key || '|' || content_hash), 1, 15) AS BIGINT) AS h FROM hashed)
+SELECT CAST(h % 256 AS INT) AS bucket, count(*) AS n, CAST(sum(h) AS VARCHAR) AS total, bit_xor(h) AS mix FROM h GROUP BY 1""")
 def set_digest(spark, sf_dir):
     return D.set_digest(search_documents(spark, sf_dir))
 
@@ -640,14 +713,15 @@ def embedding_texts(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'malformed_json' WHEN 1 THEN 'missing_title' WHEN 2 THEN 'invalid_point' ELSE 'ok' END AS fault,
+SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'malformed_json' WHEN doc_id % 5 = 1 OR text IS NULL OR trim(text) = '' THEN 'missing_title' WHEN length(text) > 255 THEN 'long_title' WHEN doc_id % 5 = 2 THEN 'invalid_point' ELSE 'ok' END AS fault,
   CASE WHEN doc_id % 5 = 0 OR lang NOT IN ('en', 'fr') THEN [] ELSE [lang] END AS tags, CASE WHEN doc_id % 5 = 0 THEN [] WHEN lang IN ('en', 'fr') THEN ['x'] ELSE list_sort([lang, 'x']) END AS unknown_tags FROM documents""")
 def payload_validation(spark, sf_dir):
+    """Payloads with whole texts as titles: some are broken, blank, too long, or have a point of an unknown level."""
     d = X.read(spark, sf_dir, "documents")
     k = F.col("doc_id") % 5
     point = F.struct(F.lit("p").alias("text"), F.when(k == 2, 7).otherwise(1).alias("level"))
-    raw = F.to_json(F.struct(F.when(k == 1, F.lit("")).otherwise(F.substring("text", 1, 20)).alias("title"), F.lit("o").alias("overview"), F.array(point).alias("key_points"), F.array("lang", F.lit("x"), "lang").alias("tags")))
-    title = F.when(k == 0, F.lit("{no")).otherwise(F.regexp_replace(raw, '"title":"[ \\\\\\\\n]*"', '"title":""'))
+    raw = F.to_json(F.struct(F.when(k == 1, F.lit("")).otherwise(F.col("text")).alias("title"), F.lit("o").alias("overview"), F.array(point).alias("key_points"), F.array("lang", F.lit("x"), "lang").alias("tags")))
+    title = F.when(k == 0, F.lit("{no")).otherwise(raw)
     return M.check_payloads(d.select(F.col("doc_id").alias("id"), title.alias("raw")), ["en", "fr"])
 
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxlake.functions.text import fold
+
 #: A start may lie this far before the greatest start so far.
 REGRESS_MS = 2000
 SEGMENTS_JSON = "text string, segments array<struct<start: string, end: string, speaker: string, text: string>>"
 
 
 def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("wav", "mp3", "m4a")) -> DataFrame:
-    """path, path_identity, length, modified_at and sha256 of every file below root with one of the extensions."""
+    """path, path_identity (case-folded), length, modified_at and sha256 of every file below root with one of the extensions, one an identity, in its order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     wanted = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*extensions)
-    return files.filter(wanted).select("path", F.lower("path").alias("path_identity"), "length", F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("sha256")).dropDuplicates(["path_identity"])
+    found = files.filter(wanted).select("path", fold("path").alias("path_identity"), "length", F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("sha256"))
+    return found.groupBy("path_identity").agg(F.min_by(F.struct("path", "length", "modified_at", "sha256"), "path").alias("f")).select("f.path", "path_identity", "f.length", "f.modified_at", "f.sha256").orderBy("path_identity")
 
 
 def deduplicate_content(files: DataFrame, order: str) -> DataFrame:
@@ -53,15 +56,41 @@ def parse_transcripts(files: DataFrame) -> DataFrame:
     rows = parsed.select("file_id", envelope.alias("broken"), F.posexplode_outer("j.segments").alias("ordinal", "s"))
     start, end = (F.col(f"s.{c}").try_cast("double") for c in ("start", "end"))
     rows = rows.select("file_id", "broken", "ordinal", F.col("s").isNull().alias("no_item"), start.alias("start_ms"), end.alias("end_ms"), F.col("s.start").alias("raw_start"), F.col("s.end").alias("raw_end"), F.col("s.speaker").alias("speaker"), F.col("s.text").alias("text"))
+    odd = lambda c, raw: (F.col(raw).isNotNull() & F.col(c).isNull()) | _odd_time(F.col(c))
+    shape = F.when(F.col("broken").isNotNull(), F.col("broken")).when(F.col("no_item"), "invalid_segment_item").when(F.col("text").isNull(), "invalid_segment_text").when(odd("start_ms", "raw_start") | odd("end_ms", "raw_end"), "invalid_timestamp")
+    return segment_faults(rows.withColumn("shape", shape))
+
+
+WORDS_JSON = "segments array<struct<words: array<struct<start: double, end: double, text: string>>>>"
+
+
+def parse_words(files: DataFrame) -> DataFrame:
+    """file_id, ordinal, word_no, start_ms, end_ms and text of the words that transcript files (file_id, raw) hold beside their segments."""
+    j = files.select("file_id", F.from_json("raw", WORDS_JSON).alias("j")).select("file_id", F.posexplode("j.segments").alias("ordinal", "s"))
+    w = j.select("file_id", "ordinal", F.posexplode("s.words").alias("word_no", "w"))
+    return w.select("file_id", "ordinal", "word_no", F.col("w.start").cast("long").alias("start_ms"), F.col("w.end").cast("long").alias("end_ms"), F.col("w.text").alias("text"))
+
+
+def _odd_time(c: Column) -> Column:
+    return F.isnan(c) | (F.abs(c) == float("inf")) | (c < 0)
+
+
+def segment_faults(rows: DataFrame) -> DataFrame:
+    """file_id, ordinal, start_ms, end_ms, speaker, text and category of flat segment rows; shape, if there is such a column, is a fault that was found before.
+
+    The running greatest start is a window over a file, sorted and spilled by the shuffle, never gathered.
+    """
     before = Window.partitionBy("file_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("top", F.max("start_ms").over(before))
-    odd = lambda c, raw: (F.col(raw).isNotNull() & F.col(c).isNull()) | F.isnan(c) | (F.abs(c) == float("inf")) | (F.col(c) < 0)
-    category = (
-        F.when(F.col("broken").isNotNull(), F.col("broken")).when(F.col("no_item"), "invalid_segment_item").when(F.col("text").isNull(), "invalid_segment_text")
-        .when(odd("start_ms", "raw_start") | odd("end_ms", "raw_end"), "invalid_timestamp").when(F.col("end_ms") < F.col("start_ms"), "end_before_start")
-        .when(F.col("start_ms") < F.col("top") - REGRESS_MS, "non_monotonic_start")
-    )
-    return rows.select("file_id", "ordinal", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "speaker", "text", category.alias("category"))
+    start, end = F.col("start_ms").cast("double"), F.col("end_ms").cast("double")
+    shape = F.col("shape") if "shape" in rows.columns else F.when(F.col("text").isNull(), "invalid_segment_text")
+    later = F.when(_odd_time(start) | _odd_time(end), "invalid_timestamp").when(end < start, "end_before_start").when(start < F.col("top") - REGRESS_MS, "non_monotonic_start")
+    return rows.select("file_id", "ordinal", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "speaker", "text", F.coalesce(shape, later).alias("category"))
+
+
+def regress_bucket(ms: Column) -> Column:
+    """How far a start lies before the greatest one so far, as a report shows it."""
+    return F.when(ms > 5000, "over_5000_ms").when(ms > REGRESS_MS, "2001_5000_ms")
 
 
 def quarantine(segments: DataFrame) -> DataFrame:
@@ -78,7 +107,15 @@ def timestamped_lines(segments: DataFrame) -> DataFrame:
     return segments.select("recording_id", "ordinal", F.concat(clock, speaker, F.coalesce("text", F.lit(""))).alias("line"))
 
 
-def export_text(lines: DataFrame, column: str) -> DataFrame:
-    """recording_id and body: a recording's lines in order, one below the other."""
+#: Lines of a part of an export: a part is what one row of the result holds.
+EXPORT_LINES = 5000
+
+
+def export_text(lines: DataFrame, column: str, rows: int = EXPORT_LINES) -> DataFrame:
+    """recording_id, part and body: a recording's lines in order, one below the other, `rows` ordinals a part.
+
+    Parts follow each other and are joined by a line end; a long recording is many bounded rows.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", column)))
-    return lines.groupBy("recording_id").agg(F.array_join(F.transform(ordered, lambda x: x[column]), "\n").alias("body"))
+    part = F.floor(F.col("ordinal") / rows).cast("int").alias("part")
+    return lines.groupBy("recording_id", part).agg(F.array_join(F.transform(ordered, lambda x: x[column]), "\n").alias("body"))
