@@ -335,11 +335,52 @@ def test_licences_over_several_lines(spark):
     bsd = "Redistribution and use in source\nand binary forms, with or without\nmodification, are permitted provided that"
     texts = {
         1: gpl, 2: "words before\n\n" + bsd + "\n \nwords after", 3: bsd.replace("\n", "\r\n") + "\n" + gpl, 4: gpl + "\n\n" + gpl,
-        5: "under the GNU Lesser General Public License", 6: "Redistribution and use in\n\nsource and binary forms with\n\nor without modification", 7: "one\ntwo\n\nthree",
+        5: "Licensed under the European Union Public License, version 1.2", 8: "under the GNU Lesser General Public License", 6: "Redistribution and use in\n\nsource and binary forms with\n\nor without modification", 7: "one\ntwo\n\nthree",
     }
     got = {r.doc_id: (r.licences, r.n_notices) for r in licences.scan_licences(frame(spark, texts.items())).collect()}
     assert {k: got[k] for k in (1, 2, 3, 4, 7)} == {1: (["gpl-3.0"], 1), 2: (["bsd-3-clause"], 1), 3: (["bsd-3-clause", "gpl-3.0"], 2), 4: (["gpl-3.0"], 2), 7: ([], 0)}
-    assert got[5] == (["unknown"], 1) and "bsd-3-clause" not in got[6][0]
+    assert got[5][0] in (["unknown"], []) and got[8][0] == ["lgpl-3.0"] and "bsd-3-clause" not in got[6][0]
+
+
+def test_licences_short_forms_and_negations(spark):
+    said = {
+        1: ("SPDX-License-Identifier: MIT", ["mit"]), 2: ("This code is MIT licensed.", ["mit"]), 3: ("Licensed under GPLv3", ["gpl-3.0"]), 4: ("# SPDX-License-Identifier: MPL-2.0", ["mpl-2.0"]),
+        5: ("Not licensed under the MIT License; all rights reserved.", []), 6: ("This work is not licensed under the GNU General Public License, version 3.", []), 7: ("You need a valid driver license.", []),
+        8: ("Text is available under the Creative Commons Attribution-ShareAlike License; other terms may apply.", ["cc-by-sa-4.0"]), 9: ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that", ["isc"]),
+    }
+    rows = [(k, t) for k, (t, _) in said.items()] + [(1, "SPDX-License-Identifier: MIT"), (None, "Licensed under the ISC License.")]
+    got = {}
+    for r in licences.scan_licences(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.licences, r.n_notices))
+    assert got[1] == [(["mit"], 1)] * 2 and got[None] == [(["isc"], 1)]  # rows of one id are judged together, equal places once
+    assert {k: got[k][0][0] for k in said if k != 1} == {k: want for k, (_, want) in said.items() if k != 1}
+
+
+def test_licence_scores_equal_brute_force(spark):
+    """The weights are those of gradient descent in numpy on the same examples, but for the corpus paragraphs, of which there are none here."""
+    few = {"mit": licences.TEMPLATES["mit"][:3], "isc": licences.TEMPLATES["isc"][:2]}
+    got = {(r.family, r.pair): r.w for r in licences.fit_licences(frame(spark, [], False), few, epochs=40).collect()}
+
+    def pairs(t):
+        w = [x for x in licences.re.split("[^a-z0-9]+", t.lower()) if x]
+        return [p for p in dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:])) if not set(p.split()) <= set(licences.STOP)]
+
+    own = [(f, pairs(t)) for f, ts in few.items() for t in ts]
+    bad = [("unknown", pairs(t)) for t in [*licences.HARD, *licences.negated(few)]]
+    vocabulary = sorted({p for _, ps in own + bad for p in ps})
+    fit = [(f, ps, 20) for f, ps in own] + [(f, ps[: len(ps) - len(ps) // 4], 20) for f, ps in own] + [(f, ps, 20) for f, ps in bad] + [("unknown", [], 1)]
+    x = np.array([[p in ps for p in vocabulary] + [True] for _, ps, _ in fit], float)
+    n = np.array([k for _, _, k in fit], float)
+    for family in few:
+        y, w = np.array([f == family for f, _, _ in fit], float), np.zeros(len(vocabulary) + 1)
+        for _ in range(40):
+            r = n / n.sum() * (y - 1 / (1 + np.exp(-x @ w)))
+            w = w + licences.RATE * (x.T @ r - licences.DECAY * w)
+        assert np.allclose([got[(family, p)] for p in [*vocabulary, ""]], w)
+        score = lambda ps: sum(w[vocabulary.index(p)] for p in ps) + w[-1]  # noqa: E731,B023
+        others = [score(ps) for f, ps, *_ in [*fit, *[(f, ps[len(ps) // 4 :]) for f, ps in own]] if f != family]
+        mine = [score(ps[len(ps) // 4 :]) for f, ps in own if f == family]
+        assert abs(got[(family, "?")] - (max(others) + min(mine)) / 2) < 1e-9
 
 
 def test_mixing_meets_targets_and_equals_brute_force(spark):
@@ -375,6 +416,53 @@ def test_mixing_tells_domains_by_words(spark):
     assert [r[0] for r in counts] == [3, 0, 0]
 
 
+def test_mixing_posteriors_equal_brute_force(spark):
+    """Traits, log-odds of words, and the Gaussian posteriors, all again in numpy."""
+    import regex
+
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.randint(1, 60)) + (" vile. " if i % 5 == 0 else "\n# ") + prose(rng, 9)) for i in range(150)] + [(200, None), (201, ""), (None, "a. b")]
+    labels = spark.createDataFrame([(i, "toxic" if i % 5 == 0 else "high") for i in range(0, 120)], "doc_id long, domain string")
+    domains = ["high", "low", "toxic"]
+    out = mixing.mixing_rates(frame(spark, rows), labels, {"toxic": 0.05, "high": 0.9, "low": 0.05}).toPandas()
+    few = {r.doc_id: (r.domain, r.fits_words) for r in mixing.few_labelled(labels).collect()}
+    text = {i: t or "" for i, t in rows}
+    words = {i: {w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w} for i, t in text.items()}
+    fit = [i for i, (_, f) in few.items() if f]
+    odds = {}
+    for w in set().union(*(words[i] for i in fit)):
+        n = sum(w in words[i] for i in fit)
+        row = []
+        for d in domains:
+            own, held = sum(few[i][0] == d for i in fit), sum(w in words[i] for i in fit if few[i][0] == d)
+            row.append(np.log((held + 0.5) / (own + 1)) - np.log((n - held + 0.5) / (len(fit) - own + 1)) if own and len(fit) - own else 0.0)
+        if n >= mixing.SUPPORT and max(row) >= mixing.STRONG:
+            odds[w] = row
+
+    def measures(i):
+        t = text[i]
+        size, lines = len(t), t.count("\n")
+        own = [odds[w] for w in words[i] if w in odds]
+        traits = [np.log1p(size), t.count(" ") / (size + 1), np.log1p(lines), min(2.0, sum(map(t.count, "%$&*#|@~^")) / (size + 1) * 10), 2 * t.count(". ") / (size + 1) * 10, np.log1p(size / (lines + 1)), np.log1p(len(t.encode()) - size)]
+        return traits + [max([0.0, *(o[k] for o in own)]) for k in range(3)]
+
+    x = {i: np.array(measures(i)) for i in text}
+    logs = {i: [] for i in text}
+    for d in domains:
+        own = [i for i in few if few[i][0] == d]
+        fresh = [i for i in own if not few[i][1]] or own
+        if own:
+            pick = lambda f: np.append(f([x[i][:7] for i in own], axis=0), f([x[i][7:] for i in fresh], axis=0))
+            prior, mean, dev = np.log(len(own) / len(few)), pick(np.mean), np.maximum(0.05, pick(np.std))
+        else:
+            prior, mean, dev = np.log(1e-3 / len(few)), np.zeros(10), np.ones(10)
+        for i in text:
+            logs[i].append(prior - (((x[i] - mean) / dev) ** 2).sum() / 2 - np.log(dev).sum())
+    for r in out.itertuples():
+        z = np.exp(np.array(logs[None if r.doc_id != r.doc_id else int(r.doc_id)]) - max(logs[None if r.doc_id != r.doc_id else int(r.doc_id)]))
+        assert np.allclose([r.p_high, r.p_low, r.p_toxic], z / z.sum(), atol=1e-9)
+
+
 def test_toxicity_finds_held_out_words(spark):
     rng = random.Random(6)
     bad = ["vile", "nasty", "foul"]
@@ -435,3 +523,20 @@ def test_pipeline_stages_equal_brute_force(spark):
         assert (cut[d] == t) == (gone == 0)
         if gone in (0, n):
             assert hashlib.sha256(cut[d].encode()).hexdigest() == sha
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_pipeline_stages_on_odd_tables(spark):
+    """Empty tables, null ids and texts, repeated rows and clashing names, for each stage."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({k: F.lit(v) for k, v in CLASH.items()})
+    blank = [(None, None), (None, ""), (7, None), (7, None), (None, "a text without an id"), (None, "a text without an id")]
+    odd = spark.createDataFrame(blank, "doc_id long, text string")
+    odd = docs.limit(20).unionByName(odd.withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes if c not in ("doc_id", "text")}))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        assert name == "bpe" or out.columns == docs.columns
+        rows = out.collect()
+        assert sum(r.doc_id is None for r in rows) == (3 if name == "ngram_jaccard_join" else 4), name
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -54,13 +54,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table that stored() wrote and that no later step reads."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/voxlake-" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that stored() wrote and that no later step reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/voxlake-" in parent:
+                path = context._jvm.org.apache.hadoop.fs.Path(parent)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

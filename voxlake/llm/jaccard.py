@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import returning_memory, small_batches, stored, table
+from voxlake.llm.common import forget, returning_memory, small_batches, stored, table
 from voxlake.llm.urls import listed_keys
 
 WORDS, NUM, DEN = 5, 75, 100
@@ -364,7 +364,8 @@ def connected(edges: DataFrame, label: str) -> DataFrame:
         low = large.filter("a <> b").distinct().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         floor = low.groupBy("a").agg(F.min("b").alias("m"))
         small = low.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(floor.select("a", F.col("m").alias("b")))
-        now = stored(small.filter("a <> b").distinct(), label)
+        before, now = now, stored(small.filter("a <> b").distinct(), label)
+        forget(before)
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("key"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
 
@@ -402,7 +403,8 @@ def _labelled_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame
         return _labelled(rows, None)
     again = _support(sets.select("key", "tokens"), _read_sets, False, _groups(spark, totals[0]))
     alive = _living(again.withColumn("doc_id", F.col("key")), num, den).select("key")
-    sets = stored(sets.join(alive, "key", "left_semi"), "living")
+    first, sets = sets, stored(sets.join(alive, "key", "left_semi"), "living")
+    forget(first)
     starts, groups = band_starts(int(totals[1]) * 2, num, den), _groups(spark, totals[0])
     links = roots = None
     for turn in range(ROUNDS):
@@ -413,10 +415,12 @@ def _labelled_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame
         likely = cells.join(center, "cell").filter("root <> c.root").groupBy(F.col("key").alias("b"), F.col("c.key").alias("a")).agg(F.sum("weight").alias("w"))
         likely = likely.groupBy("b").agg(F.expr(f"slice(sort_array(collect_list(struct(w, a)), false), 1, {TRIES})").alias("best")).select("b", F.explode("best.a").alias("a"))
         found = stored(_verified(likely, sets, num, den), "links")
+        forget(cells)
         links = found if links is None else links.unionByName(found)
         roots = stored(connected(links, "stars"), "roots")
     cells = stored(_candidates(_rooted(sets, roots), groups, starts, num, den, 1), "cells")
     links = links.unionByName(stored(_remaining_links(cells, sets, starts, num, den), "links"))
+    forget(cells, sets)
     return _labelled(rows, stored(connected(links, "stars"), "roots"))
 
 

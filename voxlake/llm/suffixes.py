@@ -23,13 +23,15 @@ from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import new_folder, returning_memory, small_batches, stored, table
+from voxlake.llm.common import forget, new_folder, returning_memory, small_batches, stored, table
 from voxlake.llm.jaccard import BLOB, GATHER, U, _frame, _groups, _received, _send, mixed
 from voxlake.llm.urls import listed_keys
 
 LENGTH, GRAM = 200, 50
 #: Distinct segments of one anchor that meet in a task; a larger collection is cut into chunks that meet pair by pair.
 CHUNK = 20_000
+#: Bytes of text for each group of collections that share their rounds, on average.
+GROUP_BYTES = 4_000_000
 #: Places of one segment that a task joins.
 PLACES = 100_000
 PAD = 256  # symbol outside a segment
@@ -108,8 +110,9 @@ def repeated_strings(segments: list[bytes], left: list[int], collection: np.ndar
         files.write("state-0", (order.astype(np.int32), common.astype(np.int16)))
         columns = files.read("columns")
         for turn, j in enumerate(range(width - 1, -1, -1)):
-            state = files.read(f"state-{turn % 2}")
+            state = files.read(f"state-{turn}")
             order, common = np.frombuffer(state.read(4 * m), np.int32), np.frombuffer(state.read(2 * m), np.int16).astype(np.int64)
+            files.drop(f"state-{turn}")
             g = group[order]
             key = g * (PAD + 1) + np.frombuffer(columns.read(2 * m), np.uint16)[order]  # the transform, by collection
             place = np.argsort(key, kind="stable")
@@ -120,7 +123,7 @@ def repeated_strings(segments: list[bytes], left: list[int], collection: np.ndar
             if len(at):
                 fresh[at] = np.minimum(length, 1 + _range_min(common, place[at - 1] + 1, place[at]))
             order, common = order[place], fresh
-            files.write(f"state-{1 - turn % 2}", (order, common.astype(np.int16)))
+            files.write(f"state-{turn + 1}", (order, common.astype(np.int16)))
             if j <= span:
                 hit = common >= length
                 both = hit.copy()
@@ -150,6 +153,9 @@ class _Files:
     def read(self, name: str):
         return self.fs.open_input_stream(f"{self.path}/{name}", buffer_size=1 << 20)
 
+    def drop(self, name: str) -> None:
+        self.fs.delete_file(f"{self.path}/{name}")
+
 
 def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Least of values[low..high] for each pair, both ends included, from doubling tables."""
@@ -325,7 +331,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     seen = stored(seen.join(some, "anchor", "left_semi"), "seen")  # collections of one place hold no repeat
     asked = seen.groupBy("key").agg(F.collect_set("seg").alias("wanted"))
     pieces = _segments(texts.select("key", "text").join(asked, "key").select("key", "text", "wanted"), True, length, gram).dropDuplicates(["anchor", "seg"])
-    compared = stored(_compare(pieces, seen, _groups(spark, size / 2000), length, gram).filter(F.size("firsts") > 0), "compared")
+    few = max(2 * spark.sparkContext.defaultParallelism, int(size // GROUP_BYTES) + 1)  # a round of a small group costs as much as one of a large one
+    compared = stored(_compare(pieces, seen, few, length, gram).filter(F.size("firsts") > 0), "compared")
 
     # a segment with very many places is dealt by text as well, so that no task holds all of them
     often = seen.groupBy("seg").agg(F.sum("n").alias("n")).filter(F.col("n") > PLACES)
@@ -336,7 +343,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     runs = mine.select("key", "seg", "part", "lo").join(told.select("seg", "part", "firsts", "lasts"), ["seg", "part"])
     runs = runs.select("key", F.transform("firsts", lambda x: F.col("lo") + x).alias("firsts"), F.transform("lasts", lambda x: F.col("lo") + x).alias("lasts"))
     found = runs.groupBy("key").agg(F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list("lasts")).alias("lasts"))
-    return rows, stored(_cut(texts.select("key", "text").join(found, "key"), length), "cuts")
+    cuts = stored(_cut(texts.select("key", "text").join(found, "key"), length), "cuts")
+    forget(shared, texts, places, seen, compared)
+    return rows, cuts
 
 
 def _cut(texts: DataFrame, length: int) -> DataFrame:

@@ -19,6 +19,8 @@ POSITIVES, UNLABELLED = 4000, 8000
 FEATURES = 4096
 #: Features must be this much more frequent among positives than in unlabelled text; it keeps out the words of a language.
 LIFT = 3.0
+#: And stand in so many texts of the sample.
+SUPPORT = 3
 STEMS = (4, 5)
 EDGES = ".,;:!?\"'()[]{}|*%$&#-_…«»“”"
 
@@ -145,9 +147,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
     prior = min(prior, 0.9)
     rate_p, rate_u = F.col("p") / n_p, F.col("u") / n_u
     spread = F.sqrt(rate_u * (1 - rate_u) / n_u + rate_p * (1 - rate_p) / n_p + 1 / (n_p * n_u))
-    least = 3 if n_p < 400 else 8
     chosen = (
-        counts.filter(f"f is not null and p + u >= {least}").select("f", "p", "u", ((rate_p - rate_u) / spread).alias("z"))
+        counts.filter(f"f is not null and p + u >= {SUPPORT}").select("f", "p", "u", ((rate_p - rate_u) / spread).alias("z"))
         .filter((F.col("z") >= 1 + 1.4 * np.log10(n_p)) & (rate_p >= LIFT * rate_u)).orderBy(F.desc("z"), "f").limit(FEATURES).collect()
     )
     index = {r["f"]: i for i, r in enumerate(sorted(chosen, key=lambda r: (-r["z"], r["f"])))}
