@@ -314,6 +314,17 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, new_folder(spark, "none")).count() == 0
 
 
+def test_warc_common_payloads_empty_tables_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MANY", 2)
+    rows = [(i, "u", "common") for i in range(6)] + [(7, "u", "twice"), (8, "u", "twice"), (9, "u", None), (9, "u", None), (None, "u", "common"), (10, "u", "common")]
+    got = Counter((r.page_id, r.record_type, r.refers_to, r.payload is None) for r in warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    want = Counter([(i, "revisit", 10, True) for i in range(6)] + [(10, "response", None, False), (7, "revisit", 8, True), (8, "response", None, False), (None, "revisit", 10, True)] + [(9, "response", None, False)] * 2)
+    assert got == want
+    path = new_folder(spark, "warc")
+    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.read_warc(spark, path).count() == 0
+
+
 def test_warc_pushes_header_predicates():
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"://([^/?#]*)([^?#]*)"
 WORDS = 4  # 64-bit words of a block
-#: The filter never has more blocks than this, whatever the list's length, so its broadcast is at most 2**15 rows of 40 bytes.
-BLOCKS = 1 << 15
+#: The filter never has more blocks than this, whatever the list's length, so its broadcast is at most 2**17 rows of 40 bytes; beyond some 4 million keys more and more rows pass it and the join decides.
+BLOCKS = 1 << 17
 
 
 def url_host(url: Column) -> Column:

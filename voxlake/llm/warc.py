@@ -217,6 +217,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
+#: Copies of a payload from which on it counts as very common.
+MANY = 10_000
+
+
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """A record for each row of pages (page_id, url, html), null html as an empty payload.
 
@@ -228,11 +232,20 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", F.col("url").alias("uri"), payload.alias("payload")).withColumns({"payload_digest": base32_sha1(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("long")})
     repeated = (
-        pages.select("page_id", payload.alias("payload")).select("page_id", base32_sha1(F.col("payload")).alias("payload_digest"), F.octet_length("payload").alias("n"))
-        .filter(F.col("n") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+        pages.select("page_id", payload.alias("payload")).select("page_id", base32_sha1(F.col("payload")).alias("key"), F.octet_length("payload").alias("n"))
+        .filter(F.col("n") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).filter("copies > 1")
     )
-    revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")) & (F.col("payload_bytes") >= least_bytes)
-    return rows.join(repeated, "payload_digest", "left").select(
+    # very common payloads are settled before the shuffle; there are never more of them than pages / MANY
+    common = repeated.filter(F.col("copies") > MANY).select(F.col("key").alias("payload_digest"), F.col("keeper").alias("known"))
+    rows = rows.join(F.broadcast(common), "payload_digest", "left")
+    again = lambda keeper: keeper.isNotNull() & ~F.col("page_id").eqNullSafe(keeper) & (F.col("payload_bytes") >= least_bytes)
+    rows = rows.withColumns({
+        "payload": F.when(~again(F.col("known")), F.col("payload")),
+        "key": F.when(F.col("known").isNull(), F.col("payload_digest")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))),  # no digest has this mark
+    })
+    rows = rows.join(repeated.drop("copies"), "key", "left").withColumn("keeper", F.coalesce("known", "keeper"))
+    revisit = again(F.col("keeper"))
+    return rows.select(
         "page_id", F.when(revisit, "revisit").otherwise("response").alias("record_type"), "uri", "payload_digest", "payload_bytes",
         F.when(revisit, F.col("keeper")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"),
     )
