@@ -427,7 +427,7 @@ def summary_json(spark, sf_dir):
     return j.select("transcript_id", F.get_json_object("j", "$.title").alias("title"), F.json_array_length(F.get_json_object("j", "$.key_points")).alias("points"))
 
 
-@query("SELECT conv_id AS transcript_id, sum(length(text)) AS characters, CASE WHEN sum(length(text)) > 2000 THEN 'too_long' ELSE 'ok' END AS status FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS transcript_id, CAST(sum(length(text)) AS BIGINT) AS characters, CASE WHEN sum(length(text)) > 2000 THEN 'too_long' ELSE 'ok' END AS status FROM conversations GROUP BY 1")
 def transcript_sizes(spark, sf_dir):
     return M.transcript_sizes(X.segments(spark, sf_dir), 2000)
 
