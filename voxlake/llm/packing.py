@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,15 @@ CACHE_TOKENS = 600_000
 MARKS = frozenset(".,;:!?")
 
 
+def rare_characters():
+    """Finds what the libraries at hand may take differently: separators at which Arrow parts words, and code points that this Python does not know."""
+    unknown = [c for c in range(0x20000) if unicodedata.category(chr(c)) == "Cn"]
+    first = [c for c, before in zip(unknown, [-2, *unknown]) if c != before + 1]
+    last = [c for c, after in zip(unknown, [*unknown[1:], -2]) if c != after - 1]
+    ranges = "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last))
+    return re.compile(f"[\x1c-\x1f{ranges}\U00020000-\U0010ffff]").search
+
+
 class WordEndBpe:
     """Encoder for a vocabulary file of the `tokenizers` library: BPE with word ends, lower case, white space dropped.
 
@@ -58,7 +68,7 @@ class WordEndBpe:
         self.keys, first = np.unique(keys, return_index=True)
         self.ranks, self.results = first.astype(np.int64), np.array([ids[a + b] for a, b in merges], np.int64)[first]
         self.find = regex.compile(SPLIT).findall
-        self.rare = regex.compile("[\U00020000-\U0010ffff]").search
+        self.rare = rare_characters()
         self.cache: dict[str, bytes] = {}
 
     def merge(self, words: list[str]) -> Iterator[bytes]:

@@ -52,7 +52,7 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def band_of(depth: Column) -> Column:
     """Bands 1, 2, 3-4, 5-8 and so on up to BAND depths, from there BAND depths each."""
     doubling = F.ceil(F.log2(F.greatest(depth, F.lit(1)).cast("double"))).cast("long")
-    return F.when(depth <= BAND, doubling).otherwise(F.floor((depth - 1) / BAND) + BAND.bit_length() - 2)
+    return F.when(depth <= BAND, doubling).otherwise(F.floor((depth - 1) / BAND) + BAND.bit_length() - 1)
 
 
 def band_floor(band: int) -> int:
