@@ -110,11 +110,15 @@ def test_routing(spark):
     few = {r.key: r.gate for r in R.routed(e.withColumn("loud", F.lit(1))).collect()}
     assert set(few.values()) == {None}
     cases = [("enabled", F.lit(False), "routing_disabled"), ("sampling", F.lit("too_short"), "too_short"), ("sampling", F.lit("io"), "sampling_failed"), ("silent", F.lit(True), "silent"), ("complete", F.lit(False), "candidates_disagree"),
-             ("classifier", F.lit("klingon"), "auto_confident_heuristic_invalid"), ("classifier", F.lit("european"), "contradictory_evidence"), ("classifier", F.lit("chinese"), "auto_confident")]
+             ("classifier", F.lit("klingon"), "auto_confident_heuristic_invalid"), ("classifier", F.lit("european"), "contradictory_evidence"), ("classifier", F.lit("cantonese"), "auto_confident"), ("classifier", F.lit("mandarin"), "zh_ambiguous"), ("classifier", F.lit("uncertain"), "low_confidence")]
     for column, value, reason in cases:
         assert R.routed(e.filter("key = 1").withColumn(column, value)).first().reason == reason
-    low = R.routed(e.filter("key = 1").withColumns({"classifier": F.lit("chinese"), "confidence": F.lit(0.5)})).first()
+    low = R.routed(e.filter("key = 1").withColumns({"classifier": F.lit("cantonese"), "confidence": F.lit(0.5)})).first()
     assert (low.reason, low.route) == ("low_confidence", "cantonese")
+    other = R.routed(e.filter("key = 1").withColumn("classifier", F.lit("mandarin"))).first()
+    assert (other.reason, other.route) == ("zh_ambiguous", "mandarin")  # the classifier's route stays
+    unsure = R.routed(e.filter("key = 1").withColumns({"classifier": F.lit("european"), "eu_cjk": F.lit(0.9), "zh_cjk": F.lit(0.1)})).first()
+    assert (unsure.family, unsure.reason, unsure.route) == ("uncertain", "auto_confident", "european")  # no family, no contradiction
 
 
 def test_classify(spark):

@@ -63,13 +63,18 @@ def test_pack():
 
 
 def test_transcript_faults(spark):
-    seg = '{"segments": [%s]}'
+    seg = '{"text": "t", "segments": [%s]}'
     one = '{"start": %s, "end": %s, "text": "t"}'
     files = [
         (1, "{broken"), (2, '{"text": "x"}'), (3, seg % (one % (5000, 6000) + "," + one % (3000, 3500))), (4, seg % (one % (5000, 6000) + "," + one % (2999, 3500))),
         (5, seg % (one % (-1, 5))), (6, seg % (one % (9, 5))), (7, seg % '{"start": true, "end": 5, "text": "t"}'), (8, seg % '{"start": 1, "end": 5}'),
+        (9, seg % ""), (10, seg % '"text"'), (11, seg % '{"text": 5}'), (12, seg % '{"text": "t", "speaker": 3}'), (13, seg % '{"text": "t", "start": "1"}'), (14, seg % '{"text": "t", "start": 1e999}'),
+        (15, '{"segments": []}'), (16, '{"text": 1, "segments": []}'), (17, '{"text": "t", "segments": {}}'), (18, "[]"), (19, "null"), (20, seg % "" + " more"), (21, None), (22, seg % "null"),
+        (23, seg % '{"text": "t", "speaker": null, "start": null}'), (24, seg % (one % (20000, 20001) + ',{"text": "t"},' + one % (1000, 1001))),
     ]
     got = {r.file_id: r.category for r in I.quarantine(I.parse_transcripts(spark.createDataFrame(files, "file_id long, raw string"))).collect()}
+    assert got.pop(24) == "non_monotonic_start" and {got.pop(i) for i in (10, 22)} == {"invalid_segment_item"} and {got.pop(i) for i in (15, 16, 17, 18, 19)} == {"invalid_envelope"} and {got.pop(i) for i in (20, 21)} == {"malformed_json"}
+    assert (got.pop(11), got.pop(12), got.pop(13), got.pop(14)) == ("invalid_segment_text", "invalid_segment_speaker", "invalid_timestamp", "invalid_timestamp")
     assert got == {1: "malformed_json", 2: "invalid_envelope", 4: "non_monotonic_start", 5: "invalid_timestamp", 6: "end_before_start", 7: "invalid_timestamp", 8: "invalid_segment_text"}
 
 

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from voxlake.plans import catalog  # noqa: F401  (adds its queries)
+from voxlake.plans import catalog, further  # noqa: F401  (add their queries)
 from voxlake.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

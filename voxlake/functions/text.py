@@ -127,8 +127,9 @@ def join_nonblank(parts: Column, separator: str = "\n") -> Column:
 
 
 def sanitize_error(text: Column, limit: int = 200) -> Column:
-    """Paths masked, then cut to limit characters."""
-    return F.substring(F.regexp_replace(text, r"(/[\w.\-]+)+", "<path>"), 1, limit)
+    """Paths masked (a slash behind a word character begins none), trimmed, then cut to limit characters."""
+    masked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)(?<!\w)/[\w./\\-]+", "<path>")
+    return F.substring(F.regexp_replace(masked, r"(?U)^\s+|\s+\z", ""), 1, limit)
 
 
 def error_detail(text: Column, limit: int = 200) -> Column:
@@ -148,5 +149,11 @@ def error_category(text: Column) -> Column:
 
 
 def citations(answer: Column) -> Column:
-    """Cited evidence numbers in order of appearance, repeats kept."""
+    """Cited evidence numbers in order of appearance, repeats kept; see odd_citations() for what else looks like one."""
     return F.transform(F.regexp_extract_all(answer, F.lit(r"\[C(\d+)\]"), 1), lambda x: x.cast("int"))
+
+
+def odd_citations(answer: Column) -> Column:
+    """Brackets whose trimmed content begins with C and is no evidence number: `[C]`, `[Cx]`, `[C 1]`, `[C1, C2]`."""
+    inside = F.transform(F.regexp_extract_all(answer, F.lit(r"\[([^\]]*)\]"), 1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+\z", ""))
+    return F.filter(inside, lambda x: x.startswith("C") & ~x.rlike(r"^C[0-9]+\z"))

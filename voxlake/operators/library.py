@@ -108,15 +108,34 @@ def status_counts(items: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
     return F.broadcast(known).join(found, "processing_status", "left").select("processing_status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def review_kinds(recordings: DataFrame) -> DataFrame:
+def _reviewable(recordings: DataFrame, split: DataFrame | None) -> tuple[DataFrame, Column]:
+    """Recordings that are not archived, and whether one awaits its first summary: a recording whose sections stand in its place (split: recording_id) does not."""
+    rows = recordings.filter("archived_at is null")
+    if split is None:
+        rows = rows.withColumn("_split", F.lit(False))
+    else:
+        rows = rows.join(split.select("recording_id", F.lit(True).alias("_split")).distinct(), "recording_id", "left").withColumn("_split", F.coalesce("_split", F.lit(False)))
+    return rows, (F.col("processing_status") == "transcribed") & (F.col("summary_status") == "missing") & ~F.col("_split")
+
+
+def review_kinds(recordings: DataFrame, split: DataFrame | None = None) -> DataFrame:
     """recording_id and kind, a row for each review category that a recording (not archived) is in, from one scan."""
+    rows, awaiting = _reviewable(recordings, split)
     status, summary = F.col("processing_status"), F.col("summary_status")
     kinds = [
         F.when(status == "needs_review", "needs_review_before_transcription"), F.when((status == "transcribed") & F.col("retranscription_failed"), "failed_retranscription"),
-        F.when(status == "failed", F.concat(F.lit("failed_"), F.coalesce("failure_stage", F.lit("unknown")))), F.when((status == "transcribed") & (summary == "missing"), "awaiting_summary"),
+        F.when(status == "failed", F.concat(F.lit("failed_"), F.coalesce("failure_stage", F.lit("unknown")))), F.when(awaiting, "awaiting_summary"),
         F.when(summary == "failed", "failed_summary"), F.when(F.col("resummarization_failed"), "failed_resummarization"), F.when(F.col("audio_status") == "missing", "missing_audio"),
     ]
-    return recordings.filter("archived_at is null").select("recording_id", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
+    return rows.select("recording_id", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
+
+
+def review_badge(recordings: DataFrame, split: DataFrame | None = None) -> DataFrame:
+    """One row, badge: recordings (not archived) that ask for attention in any way, each counted once, without a shuffle of them."""
+    rows, awaiting = _reviewable(recordings, split)
+    status = F.col("processing_status")
+    asks = status.isin("needs_review", "failed") | F.col("retranscription_failed") | F.col("resummarization_failed") | (F.col("summary_status") == "failed") | awaiting | (F.col("audio_status") == "missing")
+    return rows.agg(F.count_if(F.coalesce(asks, F.lit(False))).alias("badge"))
 
 
 def summary_counts(recordings: DataFrame) -> DataFrame:
@@ -146,16 +165,6 @@ def status_report(recordings: DataFrame, attempts: DataFrame, statuses: tuple[st
     return counts.unionByName(summary).unionByName(row(failed, "failure", F.col("stage"), F.col("n"))).unionByName(row(errors, "recent_error", F.col("name"), F.col("n")))
 
 
-def review_report(state: DataFrame) -> DataFrame:
-    """recording_id and kind, a row for each review category that a recording is in, from one scan."""
-    kinds = {
-        "needs_review": F.col("unfinished") > 5, "failed_last": F.col("last_outcome") == "failed", "failed_often": F.col("failed") > F.col("succeeded"),
-        "awaiting": (F.col("succeeded") == 0) & (F.col("failed") == 0),
-    }
-    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))
-    return state.select("recording_id", F.explode(found).alias("kind"))
-
-
 def attempt_state(attempts: DataFrame) -> DataFrame:
     """One row a recording: finished and unfinished counts, last finished outcome, number of attempts."""
     return attempts.groupBy("recording_id").agg(

@@ -16,6 +16,7 @@ MANDARIN = ("吗", "嗎", "们", "們", "什么", "什麼", "怎么", "怎麼",
 SIMPLIFIED = "们这说对吗么没车东学给语读见谓语让证"
 TRADITIONAL = "們這說對嗎麼沒車東學給語讀見謂語讓證"
 
+ROUTES = ("cantonese", "mandarin", "european", "uncertain")
 CHINESE_CJK, NONSENSE, CONFIDENT = 0.25, 0.5, 0.8
 #: The gate's defaults.
 WINDOWS, GATE_CJK, GATE_SCORE, DOMINANCE, OPPOSING = 2, 0.6, 4.0, 3.0, 0.5
@@ -24,11 +25,11 @@ WINDOWS, GATE_CJK, GATE_SCORE, DOMINANCE, OPPOSING = 2, 0.6, 4.0, 3.0, 0.5
 def evidence(texts: DataFrame, cantonese: tuple[str, ...] = CANTONESE, mandarin: tuple[str, ...] = MANDARIN) -> DataFrame:
     """texts (hk_text, cn_text, eu_text, other columns) with evidence columns, rounded before anything compares them.
 
-    zh_cjk takes the Chinese candidate with more of it; scores are hits for each hundred visible characters.
+    zh_cjk is that of the Cantonese candidate; scores are hits for each hundred visible characters.
     """
     hk, cn, eu = F.col("hk_text"), F.col("cn_text"), F.col("eu_text")
     return texts.withColumns({
-        "zh_cjk": F.round(F.greatest(cjk_ratio(hk), cjk_ratio(cn)), 3), "eu_cjk": F.round(cjk_ratio(eu), 3), "nonsense": F.round(nonsense_ratio(eu), 3),
+        "zh_cjk": F.round(cjk_ratio(hk), 3), "eu_cjk": F.round(cjk_ratio(eu), 3), "nonsense": F.round(nonsense_ratio(eu), 3),
         "hk_cantonese": F.round(marker_score(hk, cantonese), 2), "hk_mandarin": F.round(marker_score(hk, mandarin), 2),
         "cn_cantonese": F.round(marker_score(cn, cantonese), 2), "cn_mandarin": F.round(marker_score(cn, mandarin), 2),
         "hk_trad": F.round(script_ratio(hk, TRADITIONAL, SIMPLIFIED), 3), "cn_trad": F.round(script_ratio(cn, TRADITIONAL, SIMPLIFIED), 3),
@@ -67,7 +68,7 @@ def gate(windows: Column, loud: Column, least: float = GATE_SCORE) -> Column:
 
 
 def classify(texts: DataFrame, classifier: Callable[[list[str]], list[tuple[str | None, float | None]]], batch: int = 64) -> DataFrame:
-    """texts (key, sample) with the family and confidence that a caller's function gives, in batches; null where it gives none."""
+    """texts (key, sample) with the route and confidence that a caller's function gives, in batches; null where it gives none."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             for at in range(0, len(df), batch):
@@ -82,20 +83,24 @@ def route(confident: float = CONFIDENT) -> tuple[Column, Column]:
     """(reason, route) of the automatic decision, in the order of the checks.
 
     Columns: enabled, sampling (null, too_short or failed), silent, complete (all candidates are there), family,
-    verdict, gate, classifier (null: unavailable; other than chinese or european: invalid), confidence.
+    verdict, gate, classifier (a route of ROUTES; null: unavailable; anything else: invalid), confidence.
+    The classifier's own route is what is suggested. It contradicts the evidence only if both name a family; a
+    Chinese route that the verdict does not share stays, as zh_ambiguous.
     """
-    chinese = F.col("family") == "chinese"
-    known = F.col("classifier").isin("chinese", "european")
+    said = F.col("classifier")
+    chinese = said.isin("cantonese", "mandarin")
+    known = said.isin(*ROUTES)
+    sure = (F.col("family") != "uncertain") & (said != "uncertain")
     failed = F.when(F.col("classifier").isNull(), "unavailable").otherwise("invalid")
     reason = (
         F.when(~F.col("enabled"), "routing_disabled").when(F.col("sampling") == "too_short", "too_short").when(F.col("sampling").isNotNull(), "sampling_failed")
         .when(F.col("silent"), "silent").when(~F.col("complete"), "candidates_disagree")
         .when(~F.coalesce(known, F.lit(False)), F.concat(F.when(F.col("gate").isNotNull(), "auto_confident_heuristic_").otherwise("classifier_"), failed))
-        .when(F.col("classifier") != F.col("family"), "contradictory_evidence").when(chinese & (F.col("verdict") == "uncertain"), "zh_ambiguous")
-        .when(F.col("confidence") >= confident, "auto_confident").otherwise("low_confidence")
+        .when(sure & (F.when(chinese, "chinese").otherwise("european") != F.col("family")), "contradictory_evidence").when(chinese & (F.col("verdict") != said), "zh_ambiguous")
+        .when((said != "uncertain") & (F.col("confidence") >= confident), "auto_confident").otherwise("low_confidence")
     )
     taken = (
-        F.when(F.col("reason").isin("auto_confident", "low_confidence"), F.when(chinese, F.col("verdict")).otherwise(F.col("family")))
+        F.when(F.col("reason").isin("auto_confident", "low_confidence", "zh_ambiguous"), said)
         .when(F.startswith("reason", F.lit("auto_confident_heuristic")), F.col("gate")).otherwise("uncertain")
     )
     return reason, taken

@@ -189,17 +189,26 @@ def ask(questions: DataFrame, chosen: DataFrame, chat: Callable[[list[str]], lis
 
 
 def _parsed_answer(reply: str, n_evidence: int) -> tuple[str, str | None, list[int]] | None:
+    """State, answer and citations of a reply, or None if it breaks a rule: exactly the three keys with their types, each bracket that begins with C a
+    given evidence number, the declared numbers those in the text, each once, and none of either in an insufficient reply."""
     try:
         said = json.loads(reply)
-        if said.get("insufficient") is True:
-            return "insufficient", None, []
-        answer, declared = said["answer"], said["citations"]
-        inline = {int(c) for c in re.findall(r"\[C(\d+)\]", answer)}
-    except (ValueError, KeyError, TypeError, AttributeError):
+    except (ValueError, TypeError):
         return None
-    if not inline or any(type(c) is not int for c in declared) or len(set(declared)) != len(declared) or set(declared) != inline or not inline <= set(range(1, n_evidence + 1)):
+    if type(said) is not dict or set(said) != {"answer", "citations", "insufficient"}:
         return None
-    return "answered", answer, sorted(inline)
+    answer, declared = said["answer"], said["citations"]
+    if type(answer) is not str or type(declared) is not list or type(said["insufficient"]) is not bool:
+        return None
+    inside = [c for c in (b.strip() for b in re.findall(r"\[([^\]]*)\]", answer)) if c.startswith("C")]
+    inline = {int(c[1:]) for c in inside if re.fullmatch(r"C[0-9]+", c)}
+    if not all(re.fullmatch(r"C[0-9]+", c) for c in inside) or not inline <= set(range(1, n_evidence + 1)):
+        return None
+    if said["insufficient"]:
+        return None if declared or inline else ("insufficient", None, [])
+    if not declared or any(type(c) is not int for c in declared) or len(set(declared)) != len(declared) or set(declared) != inline:
+        return None
+    return "answered", answer, declared
 
 
 def fault_counts(classified: DataFrame) -> DataFrame:
@@ -220,14 +229,15 @@ def hash_embedder(dimensions: int = 16) -> Callable[[list[str]], list[list[float
 def answer_faults(answers: DataFrame) -> DataFrame:
     """question_id and fault of answers (question_id, answer, declared, n_evidence): what a citation check finds, `ok` if nothing.
 
-    Inline citations must name evidence that was given, be the declared ones, and not repeat inside the declared list.
+    Every bracket that begins with C must be a citation; citations must name evidence that was given, be the declared ones, and not repeat
+    inside the declared list.
     """
-    from voxlake.functions.text import citations
+    from voxlake.functions.text import citations, odd_citations
 
     inline: Column = F.array_sort(F.array_distinct(citations(F.col("answer"))))
     declared = F.array_sort("declared")
     fault = (
-        F.when(F.size(inline) == 0, "no_citation").when(F.exists(inline, lambda c: (c < 1) | (c > F.col("n_evidence"))), "unknown_citation")
+        F.when(F.size(odd_citations(F.col("answer"))) > 0, "odd_citation").when(F.size(inline) == 0, "no_citation").when(F.exists(inline, lambda c: (c < 1) | (c > F.col("n_evidence"))), "unknown_citation")
         .when(F.size("declared") != F.size(F.array_distinct("declared")), "repeated_citation").when(declared != inline, "undeclared_citation").otherwise("ok")
     )
     return answers.select("question_id", fault.alias("fault"))

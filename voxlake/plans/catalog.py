@@ -219,12 +219,24 @@ def item_cards(spark, sf_dir):
     return N.cards(placed, model(spark, sf_dir, "m_summaries"), model(spark, sf_dir, "m_tags"), model(spark, sf_dir, "m_sources"))
 
 
-@query(f"""WITH {ctes('m_recordings')}, r AS (SELECT * FROM m_recordings WHERE archived_at IS NULL)
+@query(f"""WITH {ctes('m_recordings', 'm_valid')}, r AS (SELECT * FROM m_recordings WHERE archived_at IS NULL)
 SELECT recording_id, 'needs_review_before_transcription' AS kind FROM r WHERE processing_status = 'needs_review' UNION ALL SELECT recording_id, 'failed_retranscription' FROM r WHERE processing_status = 'transcribed' AND retranscription_failed
-UNION ALL SELECT recording_id, 'failed_' || failure_stage FROM r WHERE processing_status = 'failed' UNION ALL SELECT recording_id, 'awaiting_summary' FROM r WHERE processing_status = 'transcribed' AND summary_status = 'missing'
+UNION ALL SELECT recording_id, 'failed_' || failure_stage FROM r WHERE processing_status = 'failed' UNION ALL SELECT recording_id, 'awaiting_summary' FROM r WHERE processing_status = 'transcribed' AND summary_status = 'missing' AND recording_id NOT IN (SELECT transcript_id FROM m_valid)
 UNION ALL SELECT recording_id, 'failed_summary' FROM r WHERE summary_status = 'failed' UNION ALL SELECT recording_id, 'failed_resummarization' FROM r WHERE resummarization_failed UNION ALL SELECT recording_id, 'missing_audio' FROM r WHERE audio_status = 'missing'""")
 def review_kinds(spark, sf_dir):
-    return L.review_kinds(model(spark, sf_dir, "m_recordings"))
+    return L.review_kinds(model(spark, sf_dir, "m_recordings"), _split_recordings(spark, sf_dir))
+
+
+@query(f"""WITH {ctes('m_recordings', 'm_valid')}
+SELECT count(*) AS badge FROM m_recordings WHERE archived_at IS NULL AND (processing_status IN ('needs_review', 'failed') OR retranscription_failed OR resummarization_failed OR summary_status = 'failed' OR audio_status = 'missing'
+  OR (processing_status = 'transcribed' AND summary_status = 'missing' AND recording_id NOT IN (SELECT transcript_id FROM m_valid)))""")
+def review_badge(spark, sf_dir):
+    return L.review_badge(model(spark, sf_dir, "m_recordings"), _split_recordings(spark, sf_dir))
+
+
+def _split_recordings(spark, sf_dir) -> DataFrame:
+    """Recordings whose sections stand in their place."""
+    return model(spark, sf_dir, "m_valid").select(F.col("transcript_id").alias("recording_id"))
 
 
 STATUSES = ("discovered", "routing", "ready_to_transcribe", "transcribed", "needs_review", "failed")
@@ -613,8 +625,9 @@ def question_answers(spark, sf_dir):
     asked = q.select("query_id", F.concat(F.lit("kind "), (F.floor(F.col("query_id") / 100) % 5).cast("string")).alias("question"))
 
     def chat(prompts: list[str]) -> list[str]:
-        replies = {"1": {"insufficient": True}, "2": {"answer": "Yes [C99].", "citations": [99]}}
-        return [json.dumps(replies.get(p.split("\n")[0].split()[1], {"answer": "Yes [C1].", "citations": [1]})) for p in prompts]
+        told = lambda answer, citations, insufficient=False: {"answer": answer, "citations": citations, "insufficient": insufficient}
+        replies = {"1": told("", [], True), "2": told("Yes [C1] and [C2, C3] [Cx].", [1])}
+        return [json.dumps(replies.get(p.split("\n")[0].split()[1], told("Yes [C1].", [1]))) for p in prompts]
 
     return V.ask(asked, V.evidence(q, v, texts), chat)
 

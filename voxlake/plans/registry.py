@@ -90,8 +90,8 @@ WITH f AS (
   FROM conversations WHERE conv_id % 17 <> 5),
 c AS (SELECT *, max(s) OVER (PARTITION BY file_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM f),
 k AS (SELECT *, CASE WHEN s < 0 OR e < 0 THEN 'invalid_timestamp' WHEN e < s THEN 'end_before_start' WHEN s < top - 2000 THEN 'non_monotonic_start' END AS category FROM c)
-SELECT file_id, arg_min(category, turn) AS category, CAST(min(turn) AS INT) AS ordinal FROM k WHERE category IS NOT NULL GROUP BY 1
-UNION ALL SELECT DISTINCT conv_id, 'malformed_json', NULL FROM conversations WHERE conv_id % 17 = 5""")
+SELECT file_id, arg_min(category, turn) AS category, CAST(min(turn) AS INT) AS ordinal, arg_min(CASE WHEN category <> 'non_monotonic_start' THEN '' WHEN top - s > 5000 THEN 'over_5000_ms' ELSE '2001_5000_ms' END, turn) AS regression FROM k WHERE category IS NOT NULL GROUP BY 1
+UNION ALL SELECT DISTINCT conv_id, 'malformed_json', NULL, '' FROM conversations WHERE conv_id % 17 = 5""")
 def transcript_quarantine(spark, sf_dir):
     """Conversations as transcript files with planted faults; the first fault of each file. Broken files have no rows to check."""
     c = X.read(spark, sf_dir, "conversations")
@@ -100,7 +100,7 @@ def transcript_quarantine(spark, sf_dir):
     end = F.when((i % 7 == 2) & (turn == 2), turn * 1000 - 1).otherwise((turn + 1) * 1000)
     rows = c.filter(i % 17 != 5).select(i.alias("file_id"), turn.cast("int").alias("ordinal"), start.alias("start_ms"), end.alias("end_ms"), F.col("role").alias("speaker"), "text")
     broken = I.parse_transcripts(c.filter(i % 17 == 5).select(i.alias("file_id"), F.lit("{broken").alias("raw")).distinct())
-    return I.quarantine(I.segment_faults(rows).unionByName(broken))
+    return I.quarantine(I.segment_faults(rows).unionByName(broken)).withColumn("regression", F.coalesce("regression", F.lit("")))
 
 
 LINES_SQL = f"""lines AS (
@@ -189,19 +189,6 @@ def attempt_state(spark, sf_dir):
     return L.attempt_state(X.attempts(spark, sf_dir))
 
 
-@query(f"""
-WITH {STATE_SQL}
-SELECT recording_id, 'needs_review' AS kind FROM state WHERE unfinished > 5 UNION ALL SELECT recording_id, 'failed_last' FROM state WHERE last_outcome = 'failed'
-UNION ALL SELECT recording_id, 'failed_often' FROM state WHERE failed > succeeded UNION ALL SELECT recording_id, 'awaiting' FROM state WHERE succeeded = 0 AND failed = 0""")
-def review_report(spark, sf_dir):
-    return L.review_report(L.attempt_state(X.attempts(spark, sf_dir)))
-
-
-@query(f"WITH {STATE_SQL} SELECT count(*) AS badge FROM state WHERE unfinished > 5 OR last_outcome = 'failed' OR failed > succeeded OR (succeeded = 0 AND failed = 0)")
-def review_badge(spark, sf_dir):
-    return L.review_report(L.attempt_state(X.attempts(spark, sf_dir))).agg(F.countDistinct("recording_id").alias("badge"))
-
-
 @query(f"""
 WITH {X.ATTEMPTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY ordinal DESC) AS place, count(*) OVER (PARTITION BY recording_id) AS n FROM attempts)
 SELECT recording_id, attempt_id, CAST(place AS INT) AS place, n > 100 AS truncated FROM r WHERE place <= 100""")
@@ -312,17 +299,18 @@ m AS (SELECT doc_id, k, length(regexp_replace(t, '\\s', '', 'g')) AS n, len(rege
   len(regexp_extract_all(t, '[{R.TRADITIONAL}]')) AS trad, len(regexp_extract_all(t, '[{R.SIMPLIFIED}]')) AS simp FROM t),
 r AS (SELECT doc_id, k, CASE WHEN n > 0 THEN cjk / n ELSE 0 END AS cjk, CASE WHEN n > 0 THEN round(yue * 100.0 / n, 2) ELSE 0 END AS yue, CASE WHEN n > 0 THEN round(cmn * 100.0 / n, 2) ELSE 0 END AS cmn,
   CASE WHEN trad + simp > 0 THEN round(trad / (trad + simp), 3) ELSE 0.5 END AS trad, CASE WHEN len(tokens) > 0 THEN round(len(list_filter(tokens, lambda x: length(x) <= 2 AND NOT regexp_matches(x, '[一-鿿]'))) / len(tokens), 3) ELSE 1.0 END AS nonsense FROM m),
-e AS (SELECT h.doc_id, h.yue AS hk_cantonese, h.cmn AS hk_mandarin, c.yue AS cn_cantonese, c.cmn AS cn_mandarin, h.trad AS hk_trad, c.trad AS cn_trad, round(greatest(h.cjk, c.cjk), 3) AS zh_cjk, round(u.cjk, 3) AS eu_cjk, u.nonsense
+e AS (SELECT h.doc_id, h.yue AS hk_cantonese, h.cmn AS hk_mandarin, c.yue AS cn_cantonese, c.cmn AS cn_mandarin, h.trad AS hk_trad, c.trad AS cn_trad, round(h.cjk, 3) AS zh_cjk, round(u.cjk, 3) AS eu_cjk, u.nonsense
   FROM r h JOIN r c ON c.doc_id = h.doc_id AND c.k = 'cn' JOIN r u ON u.doc_id = h.doc_id AND u.k = 'eu' WHERE h.k = 'hk'),
-v AS (SELECT *, hk_cantonese + 0.1 * hk_trad AS hk, cn_mandarin + 0.1 * (1 - cn_trad) AS cn, doc_id % 4 AS q FROM e),
+v AS (SELECT *, hk_cantonese + 0.1 * hk_trad AS hk, cn_mandarin + 0.1 * (1 - cn_trad) AS cn, [NULL, 'cantonese', 'cantonese', 'mandarin', 'european', 'uncertain', 'klingon'][1 + doc_id % 7] AS said, doc_id % 7 <> 1 AS sure FROM e),
 w AS (SELECT *, CASE WHEN hk <= 0 AND cn <= 0 THEN 'uncertain' WHEN hk >= 2 * greatest(cn, 0.001) THEN 'cantonese' WHEN cn >= 2 * greatest(hk, 0.001) THEN 'mandarin' ELSE 'uncertain' END AS verdict,
   CASE WHEN zh_cjk >= 0.25 AND eu_cjk < 0.25 THEN 'chinese' WHEN eu_cjk < 0.25 AND nonsense < 0.5 THEN 'european' WHEN zh_cjk >= 0.25 THEN 'chinese' ELSE 'uncertain' END AS family FROM v),
 g AS (SELECT *, family = 'chinese' AND zh_cjk >= 0.6 AND verdict = 'cantonese' AND hk_cantonese >= 4 AND hk_cantonese >= 3 * greatest(hk_mandarin, cn_mandarin, 0.01) AND greatest(hk_mandarin, cn_mandarin) <= 0.5 AS ghk,
   family = 'chinese' AND zh_cjk >= 0.6 AND verdict = 'mandarin' AND cn_mandarin >= 4 AND cn_mandarin >= 3 * greatest(hk_cantonese, cn_cantonese, 0.01) AND greatest(hk_cantonese, cn_cantonese) <= 0.5 AS gcn FROM w),
 x AS (SELECT *, CASE WHEN ghk AND NOT gcn THEN 'cantonese' WHEN gcn AND NOT ghk THEN 'mandarin' END AS gate FROM g),
-y AS (SELECT *, CASE WHEN doc_id % 31 = 0 THEN 'silent' WHEN q = 0 THEN CASE WHEN gate IS NOT NULL THEN 'auto_confident_heuristic_unavailable' ELSE 'classifier_unavailable' END WHEN family <> 'chinese' THEN 'contradictory_evidence'
-  WHEN verdict = 'uncertain' THEN 'zh_ambiguous' WHEN q = 1 THEN 'low_confidence' ELSE 'auto_confident' END AS reason FROM x)
-SELECT doc_id AS key, hk_cantonese, cn_mandarin, zh_cjk, family, verdict, gate, reason, CASE WHEN reason IN ('auto_confident', 'low_confidence') THEN CASE WHEN family = 'chinese' THEN verdict ELSE family END WHEN reason LIKE 'auto_confident_heuristic%' THEN gate ELSE 'uncertain' END AS route FROM y"""
+y AS (SELECT *, CASE WHEN doc_id % 31 = 0 THEN 'silent' WHEN said IS NULL OR said = 'klingon' THEN CASE WHEN gate IS NOT NULL THEN 'auto_confident_heuristic_' ELSE 'classifier_' END || CASE WHEN said IS NULL THEN 'unavailable' ELSE 'invalid' END
+  WHEN (family = 'chinese' AND said = 'european') OR (family = 'european' AND said IN ('cantonese', 'mandarin')) THEN 'contradictory_evidence'
+  WHEN said IN ('cantonese', 'mandarin') AND said <> verdict THEN 'zh_ambiguous' WHEN said <> 'uncertain' AND sure THEN 'auto_confident' ELSE 'low_confidence' END AS reason FROM x)
+SELECT doc_id AS key, hk_cantonese, cn_mandarin, zh_cjk, family, verdict, gate, reason, CASE WHEN reason IN ('auto_confident', 'low_confidence', 'zh_ambiguous') THEN said WHEN reason LIKE 'auto_confident_heuristic%' THEN gate ELSE 'uncertain' END AS route FROM y"""
 
 
 @query(f"WITH {CANDIDATES_SQL}")
@@ -340,7 +328,7 @@ def route_verdict(spark, sf_dir):
     rows = R.evidence(d.select(i.alias("key"), candidate(0).alias("hk_text"), candidate(1).alias("cn_text"), F.col("text").alias("eu_text")))
     rows = rows.withColumns({
         "enabled": F.lit(True), "sampling": F.lit(None).cast("string"), "silent": F.col("key") % 31 == 0, "complete": F.lit(True), "windows": F.lit(3), "loud": F.lit(2),
-        "classifier": F.when(F.col("key") % 4 != 0, F.lit("chinese")), "confidence": F.when(F.col("key") % 4 == 1, 0.5).otherwise(0.9),
+        "classifier": F.element_at(F.array(*map(F.lit, (None, "cantonese", "cantonese", "mandarin", "european", "uncertain", "klingon"))), (F.col("key") % 7 + 1).cast("int")), "confidence": F.when(F.col("key") % 7 == 1, 0.5).otherwise(0.9),
     })
     return R.routed(rows).select("key", "hk_cantonese", "cn_mandarin", "zh_cjk", "family", "verdict", "gate", "reason", "route")
 
@@ -624,16 +612,16 @@ def hybrid_rrf(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT conv_id * 1000 + turn AS question_id, turn % 4 AS k, least(length(text) % 3 + 1, 3) AS n FROM conversations)
-SELECT question_id, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'unknown_citation' WHEN 2 THEN 'no_citation' ELSE CASE WHEN n = 2 THEN 'ok' ELSE 'undeclared_citation' END END AS fault FROM c""")
+SELECT conv_id * 1000 + turn AS question_id, CASE (conv_id + turn) % 9 WHEN 0 THEN 'ok' WHEN 1 THEN 'unknown_citation' WHEN 2 THEN 'no_citation' WHEN 3 THEN 'undeclared_citation' WHEN 4 THEN 'repeated_citation' WHEN 8 THEN 'ok' ELSE 'odd_citation' END AS fault
+FROM conversations""")
 def answer_validation(spark, sf_dir):
-    """Answers that are whole turns with citations at their end: as many as the text's length says, one too many, none, or others than declared."""
+    """Whole turns as answers with citations at their end: right ones, unknown, none, undeclared, repeated in the declaration, and brackets that only look like citations or are none."""
     c = X.read(spark, sf_dir, "conversations")
-    k, n = F.col("turn") % 4, F.length("text") % 3 + 1
-    cited = F.sequence(F.lit(1), n)
-    tail = F.when(k == 0, F.array_join(F.transform(cited, lambda i: F.concat(F.lit("[C"), i.cast("string"), F.lit("]"))), "")).when(k == 1, F.concat(F.lit("[C"), (n + 3).cast("string"), F.lit("]"))).when(k == 2, F.lit("")).otherwise(F.lit("[C2]"))
-    declared = F.when(k == 0, cited).when(k == 1, F.array((n + 3).cast("int"))).otherwise(F.array(n.cast("int")))
-    plain = F.regexp_replace("text", r"\[C\d+\]", "")
+    k = (F.col("conv_id") + F.col("turn")) % 9
+    of = lambda *cases: F.element_at(F.array(*cases), (k + 1).cast("int"))
+    tail = of(*map(F.lit, ("[C1] and [C2]", "[C1][C9]", "", "[C1][C3]", "[C2]", "[C1] and [C2, C3]", "[C1][Cx]", "[C1] [C 2]", "[C1], [1] and [note]")))
+    declared = of(*(F.array(*map(F.lit, d)) for d in ((1, 2), (1, 9), (1,), (1,), (2, 2), (1,), (1,), (1,), (1,))))
+    plain = F.regexp_replace("text", r"[\[\]]", "")
     return V.answer_faults(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.concat(plain, tail).alias("answer"), declared.alias("declared"), F.lit(3).alias("n_evidence")))
 
 
@@ -727,11 +715,11 @@ def payload_validation(spark, sf_dir):
 
 @query("""
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'missing' WHEN 2 THEN 'resources' ELSE 'other' END AS category,
-  CASE event_id % 4 WHEN 0 THEN 'Read timed out' WHEN 1 THEN 'No such file <path>' WHEN 2 THEN 'Out of memory' ELSE 'odd ' || event_type END AS message FROM events WHERE event_type = 'error'""")
+  CASE event_id % 4 WHEN 0 THEN 'Read timed out' WHEN 1 THEN 'No such file <path>' WHEN 2 THEN 'Out of memory: use and/or drop, http:<path>' ELSE 'odd ' || event_type || ' <path> end' END AS message FROM events WHERE event_type = 'error'""")
 def error_categories(spark, sf_dir):
     e = X.read(spark, sf_dir, "events").filter("event_type = 'error'")
     k = F.col("event_id") % 4
-    said = F.when(k == 0, F.lit("Read timed out")).when(k == 1, F.concat(F.lit("No such file /data/in/"), F.col("event_id").cast("string"), F.lit(".wav"))).when(k == 2, F.lit("Out of memory")).otherwise(F.concat(F.lit("odd "), "event_type"))
+    said = F.when(k == 0, F.lit("Read timed out")).when(k == 1, F.concat(F.lit("No such file /data/in/"), F.col("event_id").cast("string"), F.lit(".wav"))).when(k == 2, F.lit("Out of memory: use and/or drop, http://x.y/z")).otherwise(F.concat(F.lit(" \t odd "), "event_type", F.lit(" /a\\b-c/d.e end\n")))
     return e.select("event_id", T.error_category(said).alias("category"), T.sanitize_error(said).alias("message"))
 
 

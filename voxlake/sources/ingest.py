@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.functions.text import fold
+from voxlake.operators.scans import running
 
 #: A start may lie this far before the greatest start so far.
 REGRESS_MS = 2000
-SEGMENTS_JSON = "text string, segments array<struct<start: string, end: string, speaker: string, text: string>>"
 
 
 def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("wav", "mp3", "m4a")) -> DataFrame:
@@ -45,20 +45,43 @@ def recorded_at(name: Column, zone: str = "UTC") -> Column:
     return F.when(name.rlike(shape), F.to_utc_timestamp(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")), zone))
 
 
+def parse_envelopes(files: DataFrame) -> DataFrame:
+    """file_id, category, text and segments (ARRAY<VARIANT>) of transcript files (file_id, raw).
+
+    category: malformed_json for what is no single JSON value (trailing text and repeated keys included), invalid_envelope for
+    one that is no object with a string `text` and an array `segments`, else null. Types decide, nothing is converted.
+    """
+    v = files.select("file_id", F.try_parse_json("raw").alias("v"))
+    text, segments = F.try_variant_get("v", "$.text", "variant"), F.try_variant_get("v", "$.segments", "array<variant>")
+    v = v.select("file_id", F.col("v").isNull().alias("bad"), text.alias("text"), segments.alias("segments"))
+    category = F.when(F.col("bad"), "malformed_json").when(F.col("segments").isNull() | ~F.coalesce(_is(F.col("text"), "STRING"), F.lit(False)), "invalid_envelope")
+    return v.select("file_id", category.alias("category"), F.when(category.isNull(), F.try_variant_get("text", "$", "string")).alias("text"), F.when(category.isNull(), F.col("segments")).alias("segments"))
+
+
+def _is(value: Column, *types: str) -> Column:
+    """Whether a VARIANT is of one of these types, as schema_of_variant() names them; null for an absent one."""
+    return F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0).isin(*types)
+
+
 def parse_transcripts(files: DataFrame) -> DataFrame:
-    """file_id, ordinal, start_ms, end_ms, speaker, text and category of every segment of files (file_id, raw).
+    """file_id, ordinal, start_ms, end_ms, speaker, text, category and regression of every segment of files (file_id, raw).
 
-    category is null for a good segment, else its first failing rule; a file that is no JSON object
-    with segments gives one row with a null ordinal.
+    category is null for a good segment, else its first failing rule; a file with a broken envelope gives one row with a
+    null ordinal, one without segments none (parse_envelopes() has it). An absent or null start, end or speaker is no fault.
     """
-    parsed = files.select("file_id", F.get_json_object("raw", "$").isNull().alias("bad"), F.from_json("raw", SEGMENTS_JSON).alias("j"))
-    envelope = F.when(F.col("bad") | F.col("j").isNull(), "malformed_json").when(F.col("j.segments").isNull(), "invalid_envelope")
-    rows = parsed.select("file_id", envelope.alias("broken"), F.posexplode_outer("j.segments").alias("ordinal", "s"))
-    start, end = (F.col(f"s.{c}").try_cast("double") for c in ("start", "end"))
-    rows = rows.select("file_id", "broken", "ordinal", F.col("s").isNull().alias("no_item"), start.alias("start_ms"), end.alias("end_ms"), F.col("s.start").alias("raw_start"), F.col("s.end").alias("raw_end"), F.col("s.speaker").alias("speaker"), F.col("s.text").alias("text"))
-    odd = lambda c, raw: (F.col(raw).isNotNull() & F.col(c).isNull()) | _odd_time(F.col(c))
-    shape = F.when(F.col("broken").isNotNull(), F.col("broken")).when(F.col("no_item"), "invalid_segment_item").when(F.col("text").isNull(), "invalid_segment_text").when(odd("start_ms", "raw_start") | odd("end_ms", "raw_end"), "invalid_timestamp")
-    return segment_faults(rows.withColumn("shape", shape))
+    rows = parse_envelopes(files).select("file_id", F.col("category").alias("broken"), F.posexplode_outer("segments").alias("ordinal", "s")).filter("broken is not null or ordinal is not null")
+    field = lambda c: F.try_variant_get("s", f"$.{c}", "variant")
+    absent = lambda c: F.coalesce(_is(F.col(c), "VOID"), F.lit(True))
+    rows = rows.select("file_id", "broken", "ordinal", F.try_variant_get("s", "$", "map<string, variant>").isNull().alias("no_item"), *(field(c).alias(c) for c in ("start", "end", "speaker", "text")))
+    number = lambda c: F.when(_is(F.col(c), "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(c, "$", "double"))
+    odd = lambda c: ~absent(c) & F.coalesce(_odd_time(number(c)), F.lit(True))
+    is_text = lambda c: F.coalesce(_is(F.col(c), "STRING"), F.lit(False))
+    shape = (
+        F.when(F.col("broken").isNotNull(), F.col("broken")).when(F.col("no_item"), "invalid_segment_item").when(~is_text("text"), "invalid_segment_text")
+        .when(~absent("speaker") & ~is_text("speaker"), "invalid_segment_speaker").when(odd("start") | odd("end"), "invalid_timestamp")
+    )
+    said = lambda c: F.when(is_text(c), F.try_variant_get(c, "$", "string"))
+    return segment_faults(rows.select("file_id", "ordinal", number("start").alias("start_ms"), number("end").alias("end_ms"), F.when(~F.col("no_item"), F.coalesce(said("speaker"), F.lit(""))).alias("speaker"), said("text").alias("text"), shape.alias("shape")))
 
 
 WORDS_JSON = "segments array<struct<words: array<struct<start: double, end: double, text: string>>>>"
@@ -76,16 +99,22 @@ def _odd_time(c: Column) -> Column:
 
 
 def segment_faults(rows: DataFrame) -> DataFrame:
-    """file_id, ordinal, start_ms, end_ms, speaker, text and category of flat segment rows; shape, if there is such a column, is a fault that was found before.
+    """file_id, ordinal, start_ms, end_ms, speaker, text, category and regression of flat segment rows; shape, if there is such a column, is a fault that was found before.
 
-    The running greatest start is a window over a file, sorted and spilled by the shuffle, never gathered.
+    The greatest start so far is a two-level scan over blocks of ordinals, so a file with a third of all segments is many groups.
+    regression is regress_bucket() of a start that lies too far back.
     """
-    before = Window.partitionBy("file_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("top", F.max("start_ms").over(before))
     start, end = F.col("start_ms").cast("double"), F.col("end_ms").cast("double")
+    whole = F.when(~_odd_time(start), start.cast("long"))
     shape = F.col("shape") if "shape" in rows.columns else F.when(F.col("text").isNull(), "invalid_segment_text")
-    later = F.when(_odd_time(start) | _odd_time(end), "invalid_timestamp").when(end < start, "end_before_start").when(start < F.col("top") - REGRESS_MS, "non_monotonic_start")
-    return rows.select("file_id", "ordinal", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "speaker", "text", F.coalesce(shape, later).alias("category"))
+    rows = rows.withColumns({"_start": whole, "_shape": shape})
+    placed = running(rows.filter("ordinal is not null"), "file_id", "ordinal", {"_top": F.max("_start")})
+    if "shape" in rows.columns:
+        placed = placed.unionByName(rows.filter("ordinal is null").withColumn("_top", F.lit(None).cast("long")))
+    later = F.when(_odd_time(start) | _odd_time(end), "invalid_timestamp").when(end < start, "end_before_start").when(F.col("_start") < F.col("_top") - REGRESS_MS, "non_monotonic_start")
+    category = F.coalesce("_shape", later)
+    regression = F.when(category == "non_monotonic_start", regress_bucket(F.col("_top") - F.col("_start")))
+    return placed.select("file_id", "ordinal", whole.alias("start_ms"), F.when(~_odd_time(end), end.cast("long")).alias("end_ms"), "speaker", "text", category.alias("category"), regression.alias("regression"))
 
 
 def regress_bucket(ms: Column) -> Column:
@@ -94,9 +123,10 @@ def regress_bucket(ms: Column) -> Column:
 
 
 def quarantine(segments: DataFrame) -> DataFrame:
-    """file_id, category and place of the first failing segment of each failing file."""
+    """file_id, category, ordinal and regression of the first failing segment of each failing file."""
     bad = segments.filter("category is not null")
-    return bad.groupBy("file_id").agg(F.min_by("category", F.coalesce("ordinal", F.lit(-1))).alias("category"), F.min("ordinal").alias("ordinal"))
+    first = bad.groupBy("file_id").agg(F.min_by(F.struct("category", "ordinal", "regression"), F.coalesce("ordinal", F.lit(-1))).alias("f"))
+    return first.select("file_id", "f.category", "f.ordinal", "f.regression")
 
 
 def timestamped_lines(segments: DataFrame) -> DataFrame:
