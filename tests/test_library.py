@@ -246,7 +246,7 @@ def test_ask_retries_once(spark):
     e = spark.createDataFrame([(1, "C1", "text"), (1, "C2", "more"), (2, "C1", "text")], "query_id long, citation string, excerpt string")
 
     def chat(prompts):
-        return [json.dumps({"answer": "So [C2][C1].", "citations": [1, 2]}) if p.startswith("good") else "no json" for p in prompts]
+        return [json.dumps({"answer": "So [C2][C1].", "citations": [1, 2], "insufficient": False}) if p.startswith("good") else "no json" for p in prompts]
 
     got = {r.query_id: (r.state, r.citations, r.calls) for r in V.ask(q, e, chat).collect()}
     assert got == {1: ("answered", [1, 2], 1), 2: ("failed", [], 2), 3: ("insufficient", [], 0)}
@@ -257,7 +257,7 @@ def test_summaries_over_the_cap(spark):
     got = {r.transcript_id: (r.status, r.summary) for r in M.summarise(c, lambda ts: ts, lambda ts: f"{len(ts)}", cap=25).collect()}
     assert got == {1: ("ok", "2"), 2: ("ok", "1"), 3: ("too_long", None)}
     s = spark.createDataFrame([(1, 0, "a" * 30), (2, 0, "b")], "transcript_id long, ordinal int, text string")
-    assert {r.transcript_id for r in M.plan_chunks(s, 10, 2, max_chars=20).collect()} == {2}
+    assert {(r.transcript_id, r.status, r.chunks, r.text) for r in M.planned(s, 10, 2, max_chars=20).collect()} == {(1, "too_long", 3, None), (2, "ok", 1, "b")}
     assert {r.transcript_id: r.status for r in M.transcript_sizes(s, 20).collect()} == {1: "too_long", 2: "ok"}
     assert {r.transcript_id: r.status for r in M.chunk_limits(c, max_chunks=3).collect()} == {1: "too_many_chunks", 2: "ok", 3: "too_many_chunks"}
 

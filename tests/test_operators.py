@@ -111,3 +111,35 @@ def test_sections_of_empty_tables(spark):
     lay = spark.createDataFrame([], "transcript_id long, is_active boolean, start_ordinal int, end_ordinal int")
     sec = spark.createDataFrame([], "section_id long, transcript_id long, ordinal int, title string, start_ordinal int, end_ordinal int")
     assert L.valid_layouts(lay, sec).count() == 0
+
+
+def packed_step_by_step(texts, limit, overlap):
+    """One piece after the other, with the chunk in hand as a list."""
+    done, held = [], []
+    for piece in (t[i : i + limit] for t in texts for i in range(0, len(t), limit)):
+        if held and len("\n".join([*held, piece])) > limit:
+            done.append("\n".join(held))
+            while held and (len("\n".join(held)) > overlap or len("\n".join([*held, piece])) > limit):
+                held = held[1:]
+        held = [*held, piece]
+        if len("\n".join(held)) == limit:
+            done.append("\n".join(held))
+            held = []
+    return done + ["\n".join(held)] * bool(held)
+
+
+def test_chunks_of_long_transcripts(spark):
+    """Pointer doubling over many blocks equals packing step by step, also where a transcript holds most segments."""
+    import random
+
+    rng = random.Random(7)
+    texts = {1: ["x" * rng.choice([0, 1, 2, 5, 9, 10, 11, 25]) for _ in range(700)], 2: ["one"], 3: ["y" * 10] * 40, 4: ["z"] * 300, 5: ["", ""]}
+    rows = [(t, i * 3, s) for t, ss in texts.items() for i, s in enumerate(ss)] + [(5, 99, None)]
+    df = spark.createDataFrame(rows, "transcript_id long, ordinal int, text string").repartition(3)
+    for limit, overlap, blocks in ((10, 3, 1), (10, 0, 2), (10, 10, 3), (24, 7, 64)):
+        got = {}
+        for r in sorted(M.plan_chunks(df, limit, overlap, blocks).collect(), key=lambda r: (r.transcript_id, r.chunk_no)):
+            assert r.chunk_no == len(got.setdefault(r.transcript_id, []))
+            got[r.transcript_id].append(r.text)
+        assert got == {t: packed_step_by_step(ss, limit, overlap) for t, ss in texts.items() if any(ss)}
+        assert all(M.pack(ss, limit, overlap) == packed_step_by_step(ss, limit, overlap) for ss in texts.values())

@@ -5,59 +5,135 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.functions.text import CJK, canonical_language, strip, visible
+from voxlake.operators.scans import kept, running
 
 CHUNK, OVERLAP, MAX_CHUNKS, MAX_CHARS = 24000, 1000, 8, 960000
 
 
-def pack(texts: list[str], limit: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """Whole texts packed into chunks of at most limit characters, joined by line ends.
+#: Chunk lengths of a block of a transcript that is planned in one task.
+BLOCK_CHUNKS = 64
+
 
-    Longer texts are cut. A chunk that closes early hands its trailing whole pieces of at most
-    overlap characters on; one that is full hands on nothing.
+def chunk_from(places: np.ndarray, at: int, limit: int, overlap: int) -> tuple[int, int | None]:
+    """(end, next start) of the chunk that starts with piece `at`; places: where pieces start, with the end of the last one, in characters of the
+    transcript written with a line end behind each piece. The next start is None behind the last piece.
+
+    A chunk takes all pieces that fit, so its end is a search in the places. A full chunk hands nothing on; else the next one starts with the
+    first piece from which on the trailing pieces have at most `overlap` characters and leave room for the piece that did not fit.
     """
-    chunks: list[str] = []
-    held: list[str] = []
-    size = lambda parts: sum(map(len, parts)) + max(0, len(parts) - 1)
-    for piece in (t[i : i + limit] for t in texts if t for i in range(0, len(t), limit)):
-        if held and size([*held, piece]) > limit:
-            chunks.append("\n".join(held))
-            tail: list[str] = []
-            while len(tail) < len(held) and size([held[-len(tail) - 1], *tail]) <= overlap:
-                tail.insert(0, held[-len(tail) - 1])
-            while tail and size([*tail, piece]) > limit:
-                tail.pop(0)
-            held = tail
-        held.append(piece)
-        if size(held) >= limit:
-            chunks.append("\n".join(held))
-            held = []
-    return [*chunks, "\n".join(held)] if held else chunks
+    end = int(np.searchsorted(places, places[at] + limit + 1, "right")) - 1
+    if end == len(places) - 1:
+        return end, None
+    if places[end] - places[at] - 1 == limit:
+        return end, end
+    return end, int(np.searchsorted(places, max(places[end] - 1 - overlap, places[end + 1] - 1 - limit)))
+
+
+def pack(texts: list[str], limit: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """Whole texts in chunks of at most limit characters, joined by line ends; longer texts are cut, empty ones left out. See chunk_from()."""
+    pieces = [t[i : i + limit] for t in texts for i in range(0, len(t), limit)]
+    places = np.cumsum([0, *(len(p) + 1 for p in pieces)])
+    chunks, at = [], 0 if pieces else None
+    while at is not None:
+        end, after = chunk_from(places, at, limit, overlap)
+        chunks.append("\n".join(pieces[at:end]))
+        at = after
+    return chunks
 
 
 def transcript_sizes(segments: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """transcript_id, characters and status: too_long for transcripts that no plan is made for."""
+    """transcript_id, characters and status: too_long for transcripts that are refused."""
     found = segments.groupBy("transcript_id").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("characters"))
     return found.withColumn("status", F.when(F.col("characters") > max_chars, "too_long").otherwise("ok"))
 
 
-def plan_chunks(segments: DataFrame, limit: int = CHUNK, overlap: int = OVERLAP, max_chars: int = MAX_CHARS) -> DataFrame:
-    """transcript_id, chunk_no and text of transcripts of at most max_chars characters (see transcript_sizes() for the others).
+def plan_chunks(segments: DataFrame, limit: int = CHUNK, overlap: int = OVERLAP, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
+    """transcript_id, chunk_no and text of the chunks of transcripts (transcript_id, ordinal, text) of any length; segments without text carry nothing.
 
-    Packing is sequential inside a transcript, hence grouped by it; sizes are summed before, so that only
-    bounded groups are gathered. Rows without text carry nothing and do not count.
+    A running sum gives each piece its place, and a transcript is cut into blocks of places. A task has a block and as much of the
+    next as a chunk can reach. For each place where a chunk can enter a block it follows the chunks to where they leave it; pointer doubling over
+    these links finds the chunks that really start, in as many rounds as the greatest number of blocks has binary digits; then
+    each block writes its chunks. So a transcript with a third of all segments is planned in many tasks.
     """
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        chunks = pack(df.sort_values("ordinal")["text"].tolist(), limit, overlap)
-        return pd.DataFrame({"transcript_id": df["transcript_id"].iloc[0], "chunk_no": range(len(chunks)), "text": chunks})
-
-    fits = transcript_sizes(segments, max_chars).filter("status = 'ok'").select("transcript_id")
-    held = segments.select("transcript_id", "ordinal", "text").filter(F.coalesce("text", F.lit("")) != "").join(fits, "transcript_id", "left_semi")
-    return held.groupBy("transcript_id").applyInPandas(run, "transcript_id long, chunk_no int, text string")
+    overlap = min(overlap, limit)
+    width = block_chunks * (limit + 1)
+    length = F.length("text")
+    held = segments.select("transcript_id", F.col("ordinal").cast("long").alias("ordinal"), "text").filter(F.coalesce("text", F.lit("")) != "")
+    size = (length + F.ceil(length / limit)).cast("long")
+    placed = running(held.withColumn("size", size), "transcript_id", "ordinal", {"before": F.sum("size")})
+    cut = F.posexplode(F.sequence(F.lit(0), (length - 1).cast("int"), F.lit(limit))).alias("no", "pos")
+    pieces = placed.select("transcript_id", F.coalesce("before", F.lit(0)).alias("before"), "text", cut)
+    pieces = pieces.select("transcript_id", (F.col("before") + F.col("pos") + F.col("no")).alias("place"), F.expr(f"substr(text, pos + 1, {limit})").alias("text"))
+    blocks = placed.agg(F.floor(F.max(F.coalesce("before", F.lit(0)) + F.col("size")) / width)).first()[0]
+    block = F.floor(F.col("place") / width)
+    both = F.when((F.col("place") >= width) & (F.col("place") % width <= limit + 1), F.array(block, block - 1)).otherwise(F.array(block))
+    pieces = pieces.withColumn("block", F.explode(both))
+    starts = held.select("transcript_id").distinct().select("transcript_id", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("chunk_no"))
+    if blocks:
+        starts = _entered(pieces, starts, limit, overlap, width, blocks)
+    rows = pieces.select("transcript_id", "block", "place", "text", F.lit(None).cast("long").alias("chunk_no")).unionByName(starts.withColumn("text", F.lit(None).cast("string")))
+
+    def write(df: pd.DataFrame) -> pd.DataFrame:
+        if not df["text"].isna().any():  # the last chunk began in the block before
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("transcript_id", "chunk_no", "text")})
+        entry = df[df["text"].isna()].iloc[0]
+        own = df[df["text"].notna()].sort_values("place")
+        texts, places = own["text"].tolist(), _places(own["place"].to_numpy(), own["text"].str.len().to_numpy())
+        edge, out, at = (entry["block"] + 1) * width, [], int(np.searchsorted(places, entry["place"]))
+        while at is not None and places[at] < edge:
+            end, after = chunk_from(places, at, limit, overlap)
+            out.append("\n".join(texts[at:end]))
+            at = after
+        return pd.DataFrame({"transcript_id": entry["transcript_id"], "chunk_no": int(entry["chunk_no"]) + np.arange(len(out)), "text": out})
+
+    return rows.groupBy("transcript_id", "block").applyInPandas(write, "transcript_id long, chunk_no int, text string")
+
+
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return np.append(starts, starts[-1:] + lengths[-1:] + 1).astype(np.int64)
+
+
+def _entered(pieces: DataFrame, starts: DataFrame, limit: int, overlap: int, width: int, blocks: int) -> DataFrame:
+    """transcript_id, block, place and chunk_no of the first chunk that starts in each block."""
+    def leave(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("place")
+        number = int(df["block"].iloc[0])
+        places, edge = _places(df["place"].to_numpy(), df["n"].to_numpy()), (number + 1) * width
+        out: dict[int, tuple[int | None, int]] = {}
+        for start in range(len(places) - 2, -1, -1):  # from behind, so that a link is one step
+            if places[start] < edge:
+                after = chunk_from(places, start, limit, overlap)[1]
+                far, n = out.get(after, (None, 0)) if after is None or places[after] < edge else (int(places[after]), 0)
+                out[start] = far, n + 1
+        near = [s for s in out if places[s] - number * width <= limit + 1 or s == 0 and number == 0]
+        return pd.DataFrame({"transcript_id": df["transcript_id"].iloc[0], "place": places[near] if near else [], "after": pd.array([out[s][0] for s in near], "Int64"), "chunks": [out[s][1] for s in near]})
+
+    links = pieces.select("transcript_id", "block", "place", F.length("text").alias("n")).groupBy("transcript_id", "block").applyInPandas(leave, "transcript_id long, place long, after long, chunks long")
+    links = kept(links.filter("after is not null"), "links")
+    found = starts.select("transcript_id", "place", "chunk_no")
+    for _ in range(int(blocks).bit_length()):
+        step = found.join(links, ["transcript_id", "place"]).select("transcript_id", F.col("after").alias("place"), (F.col("chunk_no") + F.col("chunks")).alias("chunk_no"))
+        found = kept(found.unionByName(step), "entries")
+        far = links.select("transcript_id", F.col("place").alias("after"), F.col("after").alias("far"), F.col("chunks").alias("more"))
+        links = kept(links.join(far, ["transcript_id", "after"]).select("transcript_id", "place", F.col("far").alias("after"), (F.col("chunks") + F.col("more")).alias("chunks")), "links")
+    return found.select("transcript_id", F.floor(F.col("place") / width).alias("block"), "place", "chunk_no")
+
+
+def planned(segments: DataFrame, limit: int = CHUNK, overlap: int = OVERLAP, max_chunks: int = MAX_CHUNKS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """transcript_id, status, chunks, characters, chunk_no and text: plan_chunks() of transcripts within the limits, and for each other one row
+    without a chunk that tells what it exceeds (too_long before too_many_chunks) and how many chunks it has."""
+    chunks = kept(plan_chunks(segments, limit, overlap), "chunks")
+    counts = transcript_sizes(segments, max_chars).join(chunks.groupBy("transcript_id").agg(F.count("*").alias("chunks")), "transcript_id", "left")
+    counts = counts.withColumn("chunks", F.coalesce("chunks", F.lit(0))).withColumn("status", F.when((F.col("status") == "ok") & (F.col("chunks") > max_chunks), "too_many_chunks").otherwise(F.col("status")))
+    good = chunks.join(counts.filter("status = 'ok'"), "transcript_id")
+    bad = counts.filter("status <> 'ok'").withColumns({"chunk_no": F.lit(None).cast("int"), "text": F.lit(None).cast("string")})
+    return good.select("transcript_id", "status", "chunks", "characters", "chunk_no", "text").unionByName(bad)
 
 
 def chunk_limits(chunks: DataFrame, max_chunks: int = MAX_CHUNKS, max_chars: int = MAX_CHARS) -> DataFrame:

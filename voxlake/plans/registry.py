@@ -410,9 +410,19 @@ closed AS (SELECT conv_id, i, 0 AS part, closed AS text FROM steps WHERE closed
 chunks AS (SELECT conv_id AS transcript_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY i, part) - 1 AS INT) AS chunk_no, text FROM closed)"""
 
 
-@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT transcript_id, chunk_no, CAST(length(text) AS INT) AS characters, sha256(text) AS digest FROM chunks")
+@query(f"""WITH RECURSIVE {CHUNKS_SQL}, n AS (SELECT conv_id AS transcript_id, CAST(sum(length(text)) AS BIGINT) AS total, (SELECT count(*) FROM chunks WHERE transcript_id = conv_id) AS chunks FROM conversations GROUP BY conv_id),
+  s AS (SELECT *, CASE WHEN total > 5000 THEN 'too_long' WHEN chunks > 12 THEN 'too_many_chunks' ELSE 'ok' END AS status FROM n)
+SELECT transcript_id, status, chunks, chunk_no, CAST(length(text) AS INT) AS characters, sha256(text) AS digest FROM s JOIN chunks USING (transcript_id) WHERE status = 'ok'
+UNION ALL SELECT transcript_id, status, chunks, NULL, NULL, NULL FROM s WHERE status <> 'ok'""")
 def chunk_plan(spark, sf_dir):
-    return M.plan_chunks(X.segments(spark, sf_dir), 400, 80).select("transcript_id", "chunk_no", F.length("text").alias("characters"), F.sha2("text", 256).alias("digest"))
+    p = M.planned(X.segments(spark, sf_dir), 400, 80, 12, 5000)
+    return p.select("transcript_id", "status", "chunks", "chunk_no", F.length("text").alias("characters"), F.sha2("text", 256).alias("digest"))
+
+
+@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT transcript_id, chunk_no, sha256(text) AS digest FROM chunks")
+def chunk_plan_in_blocks(spark, sf_dir):
+    """The same chunks without limits, in blocks of two chunks, so that nearly every transcript is planned by several tasks."""
+    return M.plan_chunks(X.segments(spark, sf_dir), 400, 80, block_chunks=2).select("transcript_id", "chunk_no", F.sha2("text", 256).alias("digest"))
 
 
 @query(f"""WITH RECURSIVE {CHUNKS_SQL}, n AS (SELECT transcript_id, count(*) AS n FROM chunks GROUP BY 1)

@@ -51,7 +51,10 @@ def parse_envelopes(files: DataFrame) -> DataFrame:
     category: malformed_json for what is no single JSON value (trailing text and repeated keys included), invalid_envelope for
     one that is no object with a string `text` and an array `segments`, else null. Types decide, nothing is converted.
     """
-    v = files.select("file_id", F.try_parse_json("raw").alias("v"))
+    end = F.md5("raw")  # a key that raw cannot hold: it is only there if raw was one whole value
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), "raw", F.lit(',"'), end, F.lit('":0}'))).try_cast("map<string, variant>")
+    whole = F.when((F.size("held") == 2) & F.map_contains_key("held", F.col("end")), F.col("held")["v"])
+    v = files.select("file_id", held.alias("held"), end.alias("end")).select("file_id", whole.alias("v"))
     text, segments = F.try_variant_get("v", "$.text", "variant"), F.try_variant_get("v", "$.segments", "array<variant>")
     v = v.select("file_id", F.col("v").isNull().alias("bad"), text.alias("text"), segments.alias("segments"))
     category = F.when(F.col("bad"), "malformed_json").when(F.col("segments").isNull() | ~F.coalesce(_is(F.col("text"), "STRING"), F.lit(False)), "invalid_envelope")
