@@ -18,7 +18,7 @@ from voxlake.operators import vectors as V
 from voxlake.plans import registry
 from voxlake.sources import ingest as I  # noqa: E741
 from voxlake.sources import versions as G
-from voxlake.streaming import jobs as J
+from voxlake.streaming.changelog import IndexLog, no_faults
 
 SF = "/root/testdata/sf0.001"
 
@@ -273,13 +273,32 @@ def test_index_report_when_healthy(spark):
 def test_sync_marks_removed_documents(spark, tmp_path):
     seg = spark.createDataFrame([("r1", 1, 0, "s", "one"), ("r2", 2, 0, "s", "two"), ("r2", 2, 1, "s", "three")], "recording_id string, transcript_id long, ordinal int, speaker string, text string")
     docs = D.documents_from_segments(seg)
-    path = f"{tmp_path}/index"
-    J.write_index(docs, path)
-    run = J.index_sync(path, docs.filter("document_key <> 'segment:2:1' and document_key <> 'segment:1:0'"))
+    docs = docs.withColumn("index_hash", F.col("content_hash"))
+    index = IndexLog(spark, f"{tmp_path}/index", docs.schema)
+    index.write(docs.filter("document_key <> 'segment:1:0'"))
+    one = lambda *ids: spark.createDataFrame([(i,) for i in ids], "recording_id string")
+    fault = lambda *ids: spark.createDataFrame([(i, "broken") for i in ids], "recording_id string, fault string")
+    run = index.sync(lambda ids: (docs.filter("document_key <> 'segment:2:1'"), fault("r1")), attempts=2)
     for _ in range(2):  # delivered twice
-        run(spark.createDataFrame([("r2",)], "recording_id string"), 0)
-    assert sorted(r.document_key for r in J.read_index(spark, path).collect()) == ["segment:1:0", "segment:2:0"]
-    assert [r.document_key for r in J.removed_since(spark, path).collect()] == ["segment:2:1"]
+        run(one("r1", "r2"), 0)
+    assert sorted(r.document_key for r in index.read().collect()) == ["segment:2:0"]
+    assert [r.document_key for r in index.removed().collect()] == ["segment:2:1"]
+    said = lambda: {r.recording_id: (r.attempt, r.outcome, r.inserted, r.deleted, r.skipped) for r in index.outcomes().collect()}
+    assert said() == {"r1": (1, "failed", 0, 0, 0), "r2": (1, "synced", 0, 1, 1)}
+    index.sync(lambda ids: (docs, no_faults(ids)), attempts=2)(one(), 1)  # the failed recording comes along
+    assert said()["r1"] == (2, "synced", 1, 0, 0) and index.read().count() == 2
+    assert spark.read.parquet(f"{tmp_path}/index/batch=2/changes").count() == 1  # only what changed is written
+    before = sorted(map(str, index.rows().collect()))
+    assert index.compact() == 2 == index.compact() and sorted(map(str, index.rows().collect())) == before
+    hurt = docs.withColumns({"index_hash": F.when(F.col("segment_ordinal") == 0, F.lit(None).cast("string")).otherwise(F.col("index_hash")), "title_text": F.when(F.col("segment_ordinal") == 1, "new").otherwise(F.col("title_text"))})
+    index.sync(lambda ids: (hurt, no_faults(ids)))(one("r2", "nobody"), 2)
+    (r2,) = index.outcomes().filter("recording_id = 'r2'").collect()
+    assert (r2.repaired, r2.inserted, r2.updated, r2.skipped) == (1, 1, 0, 0)
+    give_up = index.sync(lambda ids: (docs, fault("r3")), attempts=2)
+    give_up(one("r3"), 3)
+    give_up(one(), 4)
+    give_up(one(), 5)
+    assert [(r.attempt, r.outcome, r.batch) for r in index.outcomes().filter("recording_id = 'r3'").collect()] == [(2, "given_up", 5)]
     gone = D.removed_keys(docs, docs.filter("segment_ordinal = 0"), spark.createDataFrame([("r2",)], "recording_id string"))
     assert [r.document_key for r in gone.collect()] == ["segment:2:1"]
 

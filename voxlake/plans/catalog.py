@@ -21,6 +21,7 @@ from voxlake.plans.registry import COSINE_SQL, DOCS_SQL, QUERIES, QUERY, SCORED_
 from voxlake.sources import ingest as I  # noqa: E741
 from voxlake.sources import versions as G
 from voxlake.streaming import jobs as J
+from voxlake.streaming.changelog import IndexLog, no_faults
 
 # ---- sources -------------------------------------------------------------------------------------
 
@@ -678,9 +679,10 @@ WHERE NOT (recording_id IN (SELECT recording_id FROM t) AND CAST(split_part(docu
 def stream_index_sync(spark, sf_dir):
     """A stored index after a stream of touched recordings: theirs is as expected now, a ninth of it gone, the rest as it was."""
     docs = search_documents(spark, sf_dir).filter("doc_type = 'summary'")
-    path = J.shared_folder(spark, "index")
-    J.write_index(docs.withColumn("content_hash", F.lit("old")), path)
+    docs = docs.withColumn("index_hash", F.col("content_hash"))
+    index = IndexLog(spark, J.shared_folder(spark, "index"), docs.schema)
+    index.write(docs.withColumn("content_hash", F.lit("old")))
     expected = docs.filter(F.split_part("document_key", F.lit(":"), F.lit(2)).cast("long") % 9 != 0)
     changes = _stream(spark, sf_dir, "labels").filter("toxic = 1").select(X.recording_id(F.col("doc_id") % 100).alias("recording_id"))
-    J.sync_stream(changes, J.index_sync(path, expected), J.shared_folder(spark, "sync")).awaitTermination()
-    return J.read_index(spark, path).select("document_key", "content_hash", (F.col("content_hash") != "old").alias("touched"))
+    J.sync_stream(changes, index.sync(lambda ids: (expected, no_faults(ids))), J.shared_folder(spark, "sync")).awaitTermination()
+    return index.read().select("document_key", "content_hash", (F.col("content_hash") != "old").alias("touched"))

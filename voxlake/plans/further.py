@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.plans import fixtures as X
-from voxlake.plans.registry import query
+from voxlake.plans.catalog import _stream, search_documents
+from voxlake.plans.registry import query, rid
 from voxlake.sources import ingest as I  # noqa: E741
+from voxlake.streaming import jobs as J
+from voxlake.streaming.changelog import IndexLog
 
 # ---- transcript files ----------------------------------------------------------------------------
 
@@ -51,3 +54,35 @@ def transcript_validation(spark, sf_dir):
     found = I.quarantine(I.parse_transcripts(files)).select("file_id", F.col("category").alias("c"), "ordinal", "regression")
     whole = I.parse_envelopes(files).select("file_id", F.size("segments").cast("long").alias("segments"))
     return whole.join(found, "file_id", "left").select("file_id", F.col("c").alias("category"), "ordinal", "regression", "segments")
+
+
+# ---- index upkeep --------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH t AS (SELECT DISTINCT doc_id % 100 AS r FROM labels WHERE toxic = 1), d AS (SELECT doc_id % 100 AS r, doc_id % 9 <> 0 AS wanted, doc_id % 4 AS k FROM documents),
+c AS (SELECT r, count(*) FILTER (WHERE wanted AND k = 3) AS inserted, count(*) FILTER (WHERE wanted AND k = 0) AS updated, count(*) FILTER (WHERE wanted AND k = 1) AS repaired, count(*) FILTER (WHERE NOT wanted AND k <> 3) AS deleted,
+  count(*) FILTER (WHERE wanted AND k = 2) AS skipped FROM d GROUP BY r),
+s AS (SELECT *, CASE WHEN t.r % 20 = 3 THEN 0 ELSE 1 END AS ok FROM t JOIN c USING (r))
+SELECT {rid('r')} AS recording_id, CASE r % 20 WHEN 3 THEN 3 WHEN 13 THEN 2 ELSE 1 END AS attempt, CASE ok WHEN 1 THEN 'synced' ELSE 'given_up' END AS outcome, CASE ok WHEN 0 THEN 'no layout' END AS fault,
+  inserted * ok AS inserted, updated * ok AS updated, repaired * ok AS repaired, deleted * ok AS deleted, skipped * ok AS skipped FROM s""")
+def stream_sync_outcomes(spark, sf_dir):
+    """What became of each touched recording: a stream's batch in which a tenth of them fails, and two further batches that try those again; half of them succeed then."""
+    docs = search_documents(spark, sf_dir).filter("doc_type = 'summary'").withColumn("index_hash", F.sha2(F.concat_ws("|", "title_text", "body_text"), 256))
+    number = F.split_part("document_key", F.lit(":"), F.lit(2)).cast("long")
+    index = IndexLog(spark, J.shared_folder(spark, "index"), docs.schema)
+    held = docs.filter(number % 4 != 3)
+    index.write(held.withColumns({"content_hash": F.when(number % 4 == 0, "old").otherwise(F.col("content_hash")), "index_hash": F.when(number % 4 != 1, F.col("index_hash"))}))
+
+    def expected(*cases: int):
+        last = F.substring("recording_id", -12, 12).cast("long") % 20
+        return lambda ids: (docs.filter(number % 9 != 0), ids.filter(last.isin(*cases)).select("recording_id", F.lit("no layout").alias("fault")))
+
+    changes = _stream(spark, sf_dir, "labels").filter("toxic = 1").select(X.recording_id(F.col("doc_id") % 100).alias("recording_id"))
+    J.sync_stream(changes, index.sync(expected(3, 13)), J.shared_folder(spark, "sync")).awaitTermination()
+    last = max(index._committed("batch", "/outcomes"))
+    none = index.outcomes().select("recording_id").limit(0)
+    for batch in (last, last + 1):  # the stream's next batches
+        index.sync(expected(3))(none, batch)
+    index.compact()
+    return index.outcomes().drop("batch")

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: stability gate, duplicate-safe ingest, incremental index sync, time-outs, running counts."""
+"""Structured Streaming jobs: stability gate, duplicate-safe ingest, time-outs, running counts; streaming.changelog has the index sync."""
 
 from __future__ import annotations
 
@@ -7,12 +7,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from voxlake.sources.versions import replace_partitions
-
 STABLE_SECONDS = 30
 
 
@@ -75,50 +73,6 @@ def sync_stream(changes: DataFrame, touched: Callable[[DataFrame, int], None], c
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def index_bucket(recording_id: str = "recording_id", buckets: int = 64) -> Column:
-    """The partition of a stored index row: a recording's documents lie in one."""
-    return F.pmod(F.xxhash64(recording_id), F.lit(buckets)).cast("int")
-
-
-def write_index(documents: DataFrame, path: str) -> None:
-    """Store documents as an index that index_sync() keeps up to date; rows that are gone stay as is_live = false."""
-    documents.withColumns({"is_live": F.lit(True), "bucket": index_bucket()}).write.partitionBy("bucket").parquet(path)
-
-
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).filter("is_live").drop("is_live", "bucket")
-
-
-def index_sync(path: str, expected: DataFrame) -> Callable[[DataFrame, int], None]:
-    """What a batch of touched recordings does to a stored index: their documents become the expected ones, nothing else changes.
-
-    Only the partitions of touched recordings are rewritten, from a staged copy, so a batch that runs
-    twice ends the same. A document that is no longer expected stays as a mark (is_live = false): its
-    vector goes too (removed_since()).
-    """
-    def run(touched: DataFrame, batch_id: int) -> None:
-        spark = touched.sparkSession
-        touched = touched.withColumn("bucket", index_bucket())
-        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # never more than there are partitions
-        if not buckets:
-            return
-        ids = touched.select("recording_id")
-        old = spark.read.parquet(path).filter(F.col("bucket").isin(buckets))
-        new = expected.join(ids, "recording_id", "left_semi").withColumns({"is_live": F.lit(True), "bucket": index_bucket()}).select(*old.columns)
-        gone = old.join(ids, "recording_id", "left_semi").join(new.select("document_key"), "document_key", "left_anti").withColumn("is_live", F.lit(False)).select(*old.columns)
-        stage = f"{path}-stage-{batch_id}"
-        kept = old.join(ids, "recording_id", "left_anti").select(*old.columns)
-        kept.unionByName(new).unionByName(gone).write.mode("overwrite").partitionBy("bucket").parquet(stage)
-        replace_partitions(spark.read.schema(old.schema).parquet(stage), path, "bucket")
-
-    return run
-
-
-def removed_since(spark: SparkSession, path: str) -> DataFrame:
-    """document_key of documents that syncs took out of a stored index."""
-    return spark.read.parquet(path).filter("not is_live").select("document_key")
-
-
 def replay(spark: SparkSession, path: str, schema: str, files: int | None = 1) -> DataFrame:
     """Parquet files as a stream, so many files a batch; all in one with None."""
     reader = spark.readStream.schema(schema)
