@@ -34,12 +34,21 @@ MARKS = frozenset(".,;:!?")
 
 
 def rare_characters():
-    """Finds what the libraries at hand may take differently: separators at which Arrow parts words, and code points that this Python does not know."""
-    unknown = [c for c in range(0x20000) if unicodedata.category(chr(c)) == "Cn"]
-    first = [c for c, before in zip(unknown, [-2, *unknown]) if c != before + 1]
-    last = [c for c, after in zip(unknown, [*unknown[1:], -2]) if c != after - 1]
-    ranges = "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last))
-    return re.compile(f"[\x1c-\x1f{ranges}\U00020000-\U0010ffff]").search
+    """A test for what the libraries at hand may take differently: separators at which Arrow parts words, and code points that this Python does not know.
+
+    Three patterns, as one with all planes would try its ranges one by one at each character.
+    """
+    def pattern(start: int, end: int):
+        unknown = [c for c in range(start, end) if unicodedata.category(chr(c)) == "Cn"]
+        first = [c for c, before in zip(unknown, [-2, *unknown]) if c != before + 1]
+        last = [c for c, after in zip(unknown, [*unknown[1:], -2]) if c != after - 1]
+        return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last))
+
+    separators = re.compile("[\x1c-\x1f]").search
+    basic = re.compile(f"[\x1c-\x1f{pattern(0x80, 0x10000)}]").search
+    beyond = re.compile("[\U00010000-\U0010ffff]").search
+    unknown = re.compile(f"[{pattern(0x10000, 0x20000)}\U00020000-\U0010ffff]").search
+    return lambda text: separators(text) if text.isascii() else basic(text) or (beyond(text) and unknown(text))
 
 
 class WordEndBpe:
