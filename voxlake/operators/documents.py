@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from voxlake.operators.scans import covering
 
 from voxlake.functions.text import content_hash, join_nonblank, strip
 
@@ -73,10 +74,10 @@ def document_items(documents: DataFrame, valid: DataFrame, sections: DataFrame)
     valid: recording_id and transcript_id of validly split transcripts; sections: their sections.
     """
     split = valid.select(F.col("recording_id").alias("_r"), F.lit(True).alias("_split")).distinct()
-    s = sections.join(valid.select("transcript_id"), "transcript_id", "left_semi").select(F.col("section_id").alias("_s"), F.col("transcript_id").alias("_t"), F.col("start_ordinal").alias("_lo"), F.col("end_ordinal").alias("_hi"))
+    s = sections.join(valid.select("transcript_id"), "transcript_id", "left_semi").select("transcript_id", F.col("start_ordinal").alias("lo"), F.col("end_ordinal").alias("hi"), F.col("section_id").alias("id"))
     d = documents.join(split, F.col("recording_id") == F.col("_r"), "left")
-    d = d.join(s, (F.col("transcript_id") == F.col("_t")) & (F.col("segment_ordinal") >= F.col("_lo")) & (F.col("segment_ordinal") < F.col("_hi")), "left")
-    own = s.select(F.col("_s").alias("_o"))
+    d = covering(d, s, "transcript_id", "segment_ordinal", "_s")
+    own = s.select(F.col("id").alias("_o"))
     d = d.join(own, F.col("section_id") == F.col("_o"), "left")
     key = F.when(F.col("_split").isNull(), F.concat(F.lit("r:"), F.col("recording_id"))).otherwise(F.concat(F.lit("s:"), F.coalesce("_s", "_o").cast("string")))
     return d.withColumn("item_key", key).select(*documents.columns, "item_key")

@@ -7,6 +7,7 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from voxlake.operators.scans import covering
 
 
 def title_fault(title: Column) -> Column:
@@ -45,19 +46,19 @@ def valid_layouts(layouts: DataFrame, sections: DataFrame) -> DataFrame:
 def segment_items(segments: DataFrame, layouts: DataFrame, sections: DataFrame) -> DataFrame:
     """transcript_id, ordinal and item_key: `s:<section>` inside a valid split, `r:<recording>` without one, null between sections."""
     valid = valid_layouts(layouts, sections).filter("valid").select("transcript_id")
-    live = sections.join(valid, "transcript_id", "left_semi").select("transcript_id", "section_id", F.col("start_ordinal").alias("lo"), F.col("end_ordinal").alias("hi"))
-    s, split = segments.alias("s"), valid.withColumn("split", F.lit(True))
-    held = (F.col("s.transcript_id") == F.col("l.transcript_id")) & (F.col("s.ordinal") >= F.col("l.lo")) & (F.col("s.ordinal") < F.col("l.hi"))
-    out = s.join(live.alias("l"), held, "left").join(split.alias("v"), F.col("s.transcript_id") == F.col("v.transcript_id"), "left")
-    key = F.when(F.col("v.split").isNull(), F.concat(F.lit("r:"), F.col("s.recording_id"))).when(F.col("l.section_id").isNotNull(), F.concat(F.lit("s:"), F.col("l.section_id").cast("string")))
-    return out.select("s.transcript_id", "s.ordinal", key.alias("item_key"))
+    live = sections.join(valid, "transcript_id", "left_semi").select("transcript_id", F.col("start_ordinal").alias("lo"), F.col("end_ordinal").alias("hi"), F.col("section_id").alias("id"))
+    placed = covering(segments.select("transcript_id", "ordinal", "recording_id"), live, "transcript_id", "ordinal", "section_id")
+    placed = placed.join(valid.withColumn("split", F.lit(True)), "transcript_id", "left")
+    key = F.when(F.col("split").isNull(), F.concat(F.lit("r:"), "recording_id")).when(F.col("section_id").isNotNull(), F.concat(F.lit("s:"), F.col("section_id").cast("string")))
+    return placed.select("transcript_id", "ordinal", key.alias("item_key"))
 
 
 def section_durations(segments: DataFrame, sections: DataFrame) -> DataFrame:
-    """section_id and duration in seconds from first start to last end of its segments; null unless positive."""
-    held = (F.col("g.transcript_id") == F.col("s.transcript_id")) & (F.col("g.ordinal") >= F.col("s.start_ordinal")) & (F.col("g.ordinal") < F.col("s.end_ordinal"))
-    d = sections.alias("s").join(segments.alias("g"), held, "left").groupBy("s.section_id").agg(((F.max("g.end_ms") - F.min("g.start_ms")) / 1000).alias("d"))
-    return d.select("section_id", F.when(F.col("d") > 0, F.col("d")).alias("duration"))
+    """section_id and duration in seconds from first start to last end of its segments; null unless positive. Sections of a transcript do not overlap."""
+    spans = sections.select("transcript_id", F.col("start_ordinal").alias("lo"), F.col("end_ordinal").alias("hi"), F.col("section_id").alias("id"))
+    held = covering(segments.select("transcript_id", "ordinal", "start_ms", "end_ms"), spans, "transcript_id", "ordinal", "section_id")
+    d = held.filter("section_id is not null").groupBy("section_id").agg(((F.max("end_ms") - F.min("start_ms")) / 1000).alias("d"))
+    return sections.select("section_id").join(d, "section_id", "left").select("section_id", F.when(F.col("d") > 0, F.col("d")).alias("duration"))
 
 
 def local_day_bounds(day: str, zone: str) -> tuple[Column, Column]:

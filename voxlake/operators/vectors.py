@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from voxlake.functions.vectors import usability
+from voxlake.operators.scans import covering
 
 EVIDENCE, PER_RECORDING, EVIDENCE_CHARS, BUDGET_CHARS = 12, 3, 1000, 8000
 
@@ -147,9 +148,9 @@ def without_archived(documents: DataFrame, recordings: DataFrame, sections: Data
     """
     gone = sections.filter("archived_at is not null")
     live = documents.join(recordings.filter("archived_at is not null").select("recording_id"), "recording_id", "left_anti")
-    live = live.join(gone.select("section_id"), "section_id", "left_anti").alias("d")
-    inside = (F.col("d.transcript_id") == F.col("s.transcript_id")) & (F.col("d.segment_ordinal") >= F.col("s.start_ordinal")) & (F.col("d.segment_ordinal") < F.col("s.end_ordinal"))
-    return live.join(gone.alias("s"), inside, "left_anti").select(*documents.columns)
+    live = live.join(gone.select("section_id"), "section_id", "left_anti")
+    spans = gone.select("transcript_id", F.col("start_ordinal").alias("lo"), F.col("end_ordinal").alias("hi"), F.col("section_id").alias("id"))
+    return covering(live, spans, "transcript_id", "segment_ordinal", "_gone").filter("_gone is null").select(*documents.columns)
 
 
 def revalidated(chosen: DataFrame, live: DataFrame) -> DataFrame:
