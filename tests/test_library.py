@@ -18,6 +18,8 @@ from voxlake.operators import vectors as V
 from voxlake.plans import registry
 from voxlake.sources import ingest as I  # noqa: E741
 from voxlake.sources import versions as G
+from voxlake.operators.postings import TrigramIndex
+from voxlake.streaming.jobs import shared_folder
 from voxlake.streaming.changelog import IndexLog, no_faults
 
 SF = "/root/testdata/sf0.001"
@@ -178,6 +180,14 @@ def test_search_many_equals_one_by_one(spark):
     got = {(r.query_id, r["rank"]): (r.recording_id, r.document_key, r.worst, r.occurrences, r["first"]) for r in S.search_many(d, q).collect()}
     want = {(i, r["rank"]): (r.recording_id, r.document_key, r.worst, r.occurrences, r["first"]) for i, t in enumerate(asked) for r in S.keyword_search(d, t).collect()}
     assert got == want
+    index = TrigramIndex(spark, shared_folder(spark, "trigrams")).build(d.repartition(5))
+    for t in asked:
+        held = {r.document_key for r in S.keyword_matches(index.matching(t), t).collect()}
+        assert held == {r.document_key for r in S.keyword_matches(d, t).collect()} and index.candidates(t).count() <= 80
+    blocks = index.blocks.collect()
+    assert all(len(b.places) == 2 * b.n and list(np.frombuffer(b.places, np.uint16)) == sorted(set(np.frombuffer(b.places, np.uint16))) for b in blocks) and len({b.range for b in blocks}) > 1
+    many = q.select("query_id", "terms", F.explode(F.sequence(F.lit(0), F.lit(20_000), F.lit(10))).alias("more")).select((F.col("query_id") + F.col("more")).alias("query_id"), "terms")
+    assert S.search_many(d, many).select("query_id").distinct().count() == 4 * 2001
     stored = S.search_many(d, q, postings=S.trigram_postings(d))
     assert {(r.query_id, r["rank"]): r.recording_id for r in stored.collect()} == {k: v[0] for k, v in want.items()}
     with pytest.raises(ValueError):

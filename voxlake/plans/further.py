@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.operators import search as S
+from voxlake.operators import vectors as V
+from voxlake.operators.postings import TrigramIndex
 from voxlake.plans import fixtures as X
 from voxlake.plans.catalog import _stream, search_documents
-from voxlake.plans.registry import query, rid
+from voxlake.plans.registry import DOCS_SQL, query, rid
+from voxlake.sources import generations as G
 from voxlake.sources import ingest as I  # noqa: E741
 from voxlake.streaming import jobs as J
 from voxlake.streaming.changelog import IndexLog
@@ -86,3 +91,53 @@ def stream_sync_outcomes(spark, sf_dir):
         index.sync(expected(3))(none, batch)
     index.compact()
     return index.outcomes().drop("batch")
+
+
+# ---- stored trigram index ------------------------------------------------------------------------
+
+PHRASES = ("tion the", "ment", "que des", "keit", "zzq")
+
+
+@query(f"""WITH {DOCS_SQL}, f AS (SELECT document_key, [replace(lower(nfc_normalize(title_text)), 'ß', 'ss'), replace(lower(nfc_normalize(body_text)), 'ß', 'ss'), replace(lower(nfc_normalize(aux_text)), 'ß', 'ss')] AS fields FROM docs),
+q AS (SELECT unnest([{', '.join(f"'{p}'" for p in PHRASES)}]) AS phrase)
+SELECT phrase, document_key FROM q, f WHERE len(list_filter(string_split(phrase, ' '), lambda t: NOT list_bool_or(list_transform(fields, lambda x: coalesce(contains(x, t), false))))) = 0""")
+def trigram_index_search(spark, sf_dir):
+    """Documents with every term of each of some phrases, by an index that is built once; each query reads its own blocks and the rows that they leave."""
+    index = TrigramIndex(spark, J.shared_folder(spark, "trigrams")).build(S.folded(search_documents(spark, sf_dir)))
+    found = None
+    for phrase in PHRASES:
+        hit = S.keyword_matches(index.matching(phrase), phrase).select(F.lit(phrase).alias("phrase"), "document_key")
+        found = hit if found is None else found.unionByName(hit)
+    return found
+
+
+# ---- vector generations --------------------------------------------------------------------------
+
+
+@query("""
+SELECT 'summary:' || doc_id AS document_key, CASE WHEN doc_id % 3 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS source_content_hash, 'third' AS generation, 16 AS dimensions, 2 AS refused,
+  round((CAST('0x' || substr(CASE WHEN doc_id % 3 = 0 THEN sha256(text || '!') ELSE sha256(text) END, 3, 2) AS INT) - 127.5) / 127.5, 5) AS second
+FROM documents""")
+def generation_rebuild(spark, sf_dir):
+    """Whole texts embedded and published as a generation; then one whose model fails at some texts and one with vectors of two sizes, both refused; then
+    one of changed texts. What the active generation holds at the end."""
+    d = X.read(spark, sf_dir, "documents").select(F.concat(F.lit("summary:"), F.col("doc_id").cast("string")).alias("document_key"), "doc_id", "text")
+    versioned = lambda df: df.withColumn("content_hash", F.sha2("text", 256))
+    path, embedder, refused = J.shared_folder(spark, "vectors"), V.hash_embedder(16), 0
+    G.rebuilt(versioned(d), path, "first", embedder)
+
+    def failing(texts: list[str]) -> list[list[float]]:
+        return [v if len(t) % 50 else [0.0] * 16 for t, v in zip(texts, embedder(texts))]
+
+    def of_two_sizes(texts: list[str]) -> list[list[float]]:
+        return [v if len(t) % 50 else v[:8] for t, v in zip(texts, embedder(texts))]
+
+    for bad in (failing, of_two_sizes):
+        try:
+            G.rebuilt(versioned(d), path, "second", bad)
+        except PySparkException:
+            refused += G.active(spark, path)[0]["generation"] == "first"
+    G.rebuilt(versioned(d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))), path, "third", embedder)
+    known, vectors = G.active(spark, path)
+    second = F.round(F.element_at("embedding", 2).cast("double"), 5)
+    return vectors.select("document_key", "source_content_hash", F.lit(known["generation"]).alias("generation"), F.size("embedding").alias("dimensions"), F.lit(refused).alias("refused"), second.alias("second"))

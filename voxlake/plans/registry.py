@@ -12,6 +12,7 @@ from voxlake.operators import routing as R
 from voxlake.operators import search as S
 from voxlake.operators import summaries as M
 from voxlake.operators import vectors as V
+from voxlake.operators.scans import kept
 from voxlake.plans import fixtures as X
 from voxlake.sources import ingest as I  # noqa: E741
 
@@ -610,7 +611,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CA
 @query(f"""WITH {HYBRID_SQL} SELECT query_id, recording_id, CAST(keyword_rank AS INT) AS keyword_rank, CAST(semantic_rank AS INT) AS semantic_rank, round(score, 9) AS score, CAST(rank AS INT) AS rank, document_key, found_by FROM o WHERE rank <= 50""")
 def hybrid_rrf(spark, sf_dir):
     """Hybrid search: a document's vector and its first two longer words are a query; keyword and cosine lists of depth 200 are fused by recording."""
-    d = S.folded(search_documents(spark, sf_dir))
+    d = kept(S.folded(search_documents(spark, sf_dir)), "folded")  # an application stores this once
     q = _queries(spark, sf_dir)
     folded = X.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), T.fold("text").alias("t")).join(q.select("query_id"), "query_id")
     terms = F.slice(F.filter(F.split("t", " "), lambda w: (F.length(w) >= 4) & ~w.rlike(r"\s")), 1, 2)
