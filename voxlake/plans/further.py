@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,7 +134,7 @@ def generation_rebuild(spark, sf_dir):
     for bad in (failing, of_two_sizes):
         try:
             G.rebuilt(versioned(d), path, "second", bad)
-        except PySparkException:
+        except G.GenerationError:
             refused += G.active(spark, path)[0]["generation"] == "first"
     G.rebuilt(versioned(d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))), path, "third", embedder)
     known, vectors = G.active(spark, path)

@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -115,7 +117,7 @@ class VectorGenerations(DataSource):
 def rebuilt(documents: DataFrame, path: str, generation: str, embedder: Callable[[list[str]], list[list[float]]], batch: int = BATCH) -> None:
     """Embed documents (document_key, content_hash, text) in batches, store the vectors as a generation and make it the active one.
 
-    GenerationError or the embedder's own error, as Spark reports it, leaves the former generation active; files of tasks that were
+    A GenerationError, whose cause is what Spark reports of a task, the embedder or the commit, leaves the former generation active; files of tasks that were
     not committed lie unnamed in the folder. The expected set is a count and a sum that Spark takes over all documents, so nothing
     but a row a task reaches the driver.
     """
@@ -126,7 +128,11 @@ def rebuilt(documents: DataFrame, path: str, generation: str, embedder: Callable
     number = F.conv(F.substring(F.sha2(F.concat_ws("|", "document_key", "content_hash"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     rows, total = documents.agg(F.count("*"), F.coalesce(F.sum(number), F.lit(0).cast("decimal(38,0)"))).first()
     vectors = embed(documents, embedder, batch)
-    vectors.write.format(FORMAT).mode("append").option("path", path).option("generation", generation).option("rows", str(rows)).option("total", str(int(total))).save()
+    writer = vectors.write.format(FORMAT).mode("append").option("path", path).option("generation", generation).option("rows", str(rows)).option("total", str(int(total)))
+    try:
+        writer.save()
+    except (PySparkException, Py4JJavaError) as error:
+        raise GenerationError(f"generation {generation} was not published") from error
 
 
 def active(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
