@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -15,16 +16,77 @@ from voxlake.operators import routing as R
 from voxlake.operators import search as S
 from voxlake.operators import summaries as M
 from voxlake.operators import vectors as V
+from voxlake.operators.hashtree import HashTree, tree_differences, unequal_leaves
+from voxlake.operators.postings import TrigramIndex
+from voxlake.operators.scans import covering
 from voxlake.plans import registry
+from voxlake.sources import generations as E
 from voxlake.sources import ingest as I  # noqa: E741
 from voxlake.sources import versions as G
-from voxlake.operators.postings import TrigramIndex
-from voxlake.streaming.jobs import shared_folder
 from voxlake.streaming.changelog import IndexLog, no_faults
+from voxlake.streaming.jobs import shared_folder
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_places_of_matches(spark):
+    """Against a search that tries every place, where folding lengthens characters too."""
+    for text, term in (("Straße STRASSE sßs", "ss"), ("ßßß", "sss"), ("ﬃ office", "ffi"), ("xﬃ", "fi"), ("aaaa", "aa"), ("e\u0301té", "é"), ("", "a"), ("İi", "i")):
+        plain = unicodedata.normalize("NFC", text)
+        owner = [i for i, c in enumerate(plain) for _ in c.casefold()]
+        flat, at, want = "".join(c.casefold() for c in plain), 0, []
+        while at <= len(flat) - len(term):
+            if flat[at : at + len(term)] == term:
+                want.append((owner[at], owner[at + len(term) - 1] + 1))
+                at += len(term)
+            else:
+                at += 1
+        assert S.places_of(text, [term]) == {term: want}
+    d = documents(spark, [("segment:1:0", "segment", "r", None, "Aha aha", "ha")])
+    assert sorted((r.field, r.start, r.end) for r in S.match_positions(d, "ha").collect()) == [("aux", 0, 2), ("body", 1, 3), ("body", 5, 7)]
+
+
+def test_hash_trees(spark):
+    """The same faults as the three-way join, from few rows."""
+    rows = [(f"k{i}", f"h{i}", "2") for i in range(4000)]
+    e = spark.createDataFrame(rows, "document_key string, content_hash string, index_version string")
+    odd = F.col("document_key").isin("k5", "k77")
+    r = e.filter("document_key <> 'k9'").withColumns({"content_hash": F.when(odd, "old").otherwise(F.col("content_hash")), "index_version": F.when(F.col("document_key") == "k11", "1").otherwise(F.col("index_version"))})
+    i = r.filter("document_key <> 'k13'").withColumn("content_hash", F.when(F.col("document_key") == "k17", "old").otherwise(F.col("content_hash"))).drop("index_version")
+    trees = [HashTree(spark, shared_folder(spark, "tree")).build(x) for x in (e, r, i)]
+    assert sorted(map(tuple, tree_differences(*trees).collect())) == sorted(map(tuple, D.index_differences(e, r, i).collect()))
+    leaves = unequal_leaves(trees[0], trees[1])
+    assert len(leaves) <= 4 and trees[0].rows(leaves).count() < 40
+    assert unequal_leaves(trees[0], trees[0]) == [] and tree_differences(trees[0], trees[0], trees[0]).count() == 0
+    none = HashTree(spark, shared_folder(spark, "tree")).build(e.limit(0))
+    assert tree_differences(none, none, none).count() == 0 and tree_differences(trees[0], none, none).count() == 4000
+
+
+def test_generations(spark):
+    path = shared_folder(spark, "vectors")
+    assert E.active(spark, path)[0]["generation"] is None and E.active(spark, path)[1].count() == 0
+    d = spark.createDataFrame([(f"d{i}", f"h{i}", f"text {i}") for i in range(500)], "document_key string, content_hash string, text string").repartition(3)
+    E.rebuilt(d, path, "a", V.hash_embedder(4))
+    known, vectors = E.active(spark, path)
+    assert known == {"generation": "a", "rows": 500, "dimensions": 4} and vectors.count() == 500
+    with pytest.raises(E.GenerationError):
+        E.rebuilt(d, path, "b", lambda ts: [[float("nan")] * 4 for _ in ts])
+    with pytest.raises(E.GenerationError):  # a batch fails
+        E.rebuilt(d, path, "b", lambda ts: [[1.0] * 4 for t in ts if 1 / (t != "text 77")])
+    assert E.active(spark, path)[0]["generation"] == "a" and E.active(spark, path)[1].count() == 500
+    E.rebuilt(d.limit(0), path, "c", V.hash_embedder(4))
+    assert E.active(spark, path)[0] == {"generation": "c", "rows": 0, "dimensions": None}
+
+
+def test_covering_a_hot_key(spark):
+    """A sweep equals a range join, also where a key holds most points; points without a key or a place lie in nothing."""
+    points = spark.createDataFrame([(1, i % 900, i) for i in range(2000)] + [(2, 5, -1), (None, 5, -2), (1, None, -3)], "k long, at int, v int")
+    spans = spark.createDataFrame([(1, 10, 20, 7), (1, 20, 25, 8), (1, 100, 800, 9), (2, 6, 9, 1), (3, 0, 9, 2)], "k long, lo int, hi int, id int")
+    got = covering(points, spans, "k", "at", "span")
+    want = points.alias("p").join(spans.alias("s"), F.expr("p.k = s.k and at >= lo and at < hi"), "left").selectExpr("p.k", "at", "v", "id as span")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("é", " Straße ", "a \n b  c"), ("é", "\x1fx ", "")], "a string, b string, c string")
     got = df.select(T.nfc("a").alias("a"), T.tag_name_key(F.col("b")).alias("k"), T.strip("b").alias("s"), T.excerpt(F.col("c"), 3).alias("x")).collect()
@@ -240,7 +302,9 @@ def test_integrity_fails_closed(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, query array<double>")
     with pytest.raises(V.IntegrityError):
         V.semantic_search(q, v, documents=docs, dimensions=2)
-    assert V.semantic_search(q, v).count() == 1
+    with pytest.raises(ValueError):
+        V.semantic_search(q, v)
+    assert V.semantic_search(q, v, unchecked=True).count() == 1
 
 
 def test_evidence_budget_is_a_prefix(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions.text import nfc, strip
 from voxlake.operators.library import local_day_bounds, temporary_title, title_fault
+from voxlake.operators.search import keyword_search
 
 PLACEHOLDER = "Untitled recording"
 #: The one shape that recording rows and section rows share.
@@ -17,6 +18,8 @@ ITEM_COLUMNS = (
     "audio_status", "retranscription_failed", "resummarization_failed", "route_unverified", "recorded_at", "range_start", "range_end", "duration",
 )
 SORTS = ("newest", "oldest", "title_az", "title_za")
+#: Winners of a search that a listing shows.
+SEARCH_WINNERS = 200
 MAX_TAGS = 10
 
 
@@ -291,6 +294,30 @@ def winners_in_order(winners: DataFrame, items: DataFrame, sort: str = "relevanc
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # over at most 200 winners
 
 
+def search_request(f: Filters, sort: str | None, known_tags: set[str], known_status: set[str]) -> tuple[Filters, str, bool]:
+    """(filters, sort, unscoped) of a search inside a listing: an unknown or missing sort is relevance and changes nothing else; see scope_filters()."""
+    f, unscoped = scope_filters(f, known_tags, known_status)
+    return f, sort if sort in (*SORTS, "relevance") else "relevance", unscoped
+
+
+def search_page(documents: DataFrame, query: str, items: DataFrame, sort: str = "relevance", number: int = 1, size: int = 25, limit: int = SEARCH_WINNERS) -> DataFrame:
+    """A page of search results as the listing shows them: item columns with document_key, rank, place, page, pages and matched (all winners), truncated (more items matched).
+
+    documents: folded search documents with an item_key; items: the filtered listing (item_listing()), which is the search's scope. The best
+    `limit` items by relevance are placed by the sort, all of them before a page is cut; a page number outside the range is
+    moved to its nearest end. One plan: nothing is counted beforehand.
+    """
+    if sort not in (*SORTS, "relevance"):
+        raise ValueError(f"sort is relevance or one of {SORTS}")
+    won = keyword_search(documents, query, unit="item_key", scope=items.select("item_key"), limit=limit + 1)
+    cut = F.count("*").over(Window.partitionBy()) > limit  # over at most limit + 1 winners, as are the windows below
+    won = won.withColumn("truncated", cut).filter(F.col("rank") <= limit).select("item_key", "document_key", "rank", "truncated")
+    placed = winners_in_order(won, items, sort).withColumn("matched", F.count("*").over(Window.partitionBy()))
+    pages = F.ceil(F.col("matched") / size).cast("int")
+    placed = placed.withColumn("pages", pages).withColumn("page", F.least(F.greatest(F.lit(number), F.lit(1)), F.col("pages")))
+    return placed.filter(F.ceil(F.col("place") / size) == F.col("page"))
+
+
 def scope_filters(f: Filters, known_tags: set[str], known_status: set[str]) -> tuple[Filters, bool]:
     """(filters, unscoped) for a search inside a listing: unknown tags or statuses make it an unscoped search, with a flag."""
     bad = any(t not in known_tags for t in f.tags) or (f.status is not None and f.status not in known_status)

@@ -107,13 +107,15 @@ def best_documents(queries: DataFrame, vectors: DataFrame, per_unit: int, total:
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= total).drop("_u")
 
 
-def semantic_search(queries: DataFrame, vectors: DataFrame, limit: int = 50, documents: DataFrame | None = None, dimensions: int | None = None) -> DataFrame:
+def semantic_search(queries: DataFrame, vectors: DataFrame, limit: int = 50, documents: DataFrame | None = None, dimensions: int | None = None, unchecked: bool = False) -> DataFrame:
     """query_id, unit, document_key, cosine and rank: each unit's best document, then the best units.
 
-    With documents (document_key, content_hash) and dimensions the whole index is checked first, and one
-    faulty vector anywhere fails the search; without them the caller has done so.
+    The whole index is checked first against its documents (document_key, content_hash) and dimensions, and one faulty vector anywhere
+    fails the search with an IntegrityError. unchecked: the caller has done so (assert_whole()).
     """
-    if documents is not None:
+    if not unchecked:
+        if documents is None or dimensions is None:
+            raise ValueError("a search needs the documents and dimensions to check the vectors against")
         assert_whole(documents, vectors, dimensions)
     return best_documents(queries, vectors, 1, limit).select("query_id", "unit", "document_key", "cosine", "rank")
 

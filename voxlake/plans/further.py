@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.operators import items as N
 from voxlake.operators import search as S
 from voxlake.operators import vectors as V
 from voxlake.operators.hashtree import HashTree, tree_differences
 from voxlake.operators.postings import TrigramIndex
+from voxlake.operators.scans import kept
 from voxlake.plans import fixtures as X
-from voxlake.plans.catalog import _stream, search_documents
-from voxlake.plans.registry import DOCS_SQL, query, rid
+from voxlake.plans.catalog import ITEMS_SQL, _items, _stream, search_documents
+from voxlake.plans.registry import DOCS_SQL, QUERY, SCORED_SQL, query, rid
 from voxlake.sources import generations as G
 from voxlake.sources import ingest as I  # noqa: E741
 from voxlake.streaming import jobs as J
@@ -159,3 +161,47 @@ def index_status_by_tree(spark, sf_dir):
     registry = d.filter(mark != 1).withColumns({"content_hash": F.when(mark == 2, "old").otherwise(F.col("content_hash")), "index_version": F.when(mark == 3, "0").otherwise(F.col("index_version"))})
     index = d.filter(~mark.isin(1, 4)).withColumn("content_hash", F.when(mark == 5, "old").otherwise(F.col("content_hash"))).drop("index_version")
     return tree_differences(*(HashTree(spark, J.shared_folder(spark, "tree")).build(x) for x in (expected, registry, index)))
+
+
+# ---- search results as the listing shows them ----------------------------------------------------
+
+PAGES = (("relevance", 1), ("title_az", 2), ("title_za", 99), ("newest", 1), ("oldest", -3), ("sideways", 2))
+_PLACES = {"title_az": "title_fold", "title_za": "title_fold DESC", "newest": "effective_at DESC", "oldest": "effective_at", "relevance": "rank", "sideways": "rank"}
+
+
+@query(f"""WITH {SCORED_SQL.format(docs=DOCS_SQL)}, {ITEMS_SQL},
+own AS (SELECT i.*, s.document_key, s.worst, s.occurrences, s.first FROM scored s JOIN items i ON i.item_key = 'r:' || split_part(s.document_key, ':', 2) WHERE s.doc_type = 'summary' AND s.worst < 9 AND i.audio_status = 'present'),
+ranked AS (SELECT *, row_number() OVER (ORDER BY worst, occurrences DESC, first, document_key, item_key) AS rank, count(*) OVER () AS n FROM own),
+top AS (SELECT *, least(n, 60) AS matched, n > 60 AS truncated, greatest(CAST(ceil(least(n, 60) / 7.0) AS INT), 1) AS pages FROM ranked WHERE rank <= 60)
+{' UNION ALL '.join(f"SELECT '{sort}' AS sort, item_key, title, document_key, CAST(rank AS INT) AS rank, CAST(place AS INT) AS place, matched, truncated, pages, least(greatest({number}, 1), pages) AS page FROM (SELECT *, row_number() OVER (ORDER BY {_PLACES[sort]}, item_key) AS place FROM top) WHERE (place - 1) // 7 + 1 = least(greatest({number}, 1), pages)" for sort, number in PAGES)}""")
+def search_listing_page(spark, sf_dir):
+    """Pages of a search among recordings whose audio is present, in every order; the last order does not exist, which leaves the filters as they are."""
+    d = S.folded(search_documents(spark, sf_dir)).filter("doc_type = 'summary'").withColumn("item_key", F.concat(F.lit("r:"), F.split_part("document_key", F.lit(":"), F.lit(2))))
+    d, found, listings = kept(d, "folded"), None, {}
+    for sort, number in PAGES:
+        wanted, order, _ = N.search_request(N.Filters(audio="present"), sort, set(), set())
+        if wanted not in listings:
+            listings[wanted] = kept(_items(spark, sf_dir, wanted), "items")
+        page = N.search_page(d, QUERY, listings[wanted], order, number, 7, 60)
+        page = page.select(F.lit(sort).alias("sort"), "item_key", "title", "document_key", "rank", "place", "matched", "truncated", "pages", "page")
+        found = page if found is None else found.unionByName(page)
+    return found
+
+
+# ---- places of matches ---------------------------------------------------------------------------
+
+MATCHED = ("tion", "ss", "ee", "é")
+
+
+@query(f"""WITH {DOCS_SQL}, f AS (SELECT document_key, unnest(['title', 'body', 'aux']) AS field, unnest([title_text, body_text, aux_text]) AS t FROM docs),
+x AS (SELECT document_key, field, replace(nfc_normalize(t), 'ß', chr(1) || chr(2)) AS wide FROM f WHERE t <> ''),
+y AS (SELECT *, replace(replace(lower(wide), chr(1), 's'), chr(2), 's') AS folded FROM x),
+q AS (SELECT unnest([{', '.join(f"'{m}'" for m in MATCHED)}]) AS term),
+z AS (SELECT document_key, field, term, wide, length(term) AS n, list_transform(string_split(folded, term), lambda p: length(p)) AS parts FROM y, q WHERE contains(folded, term)),
+p AS (SELECT *, unnest(range(1, len(parts))) AS k FROM z),
+m AS (SELECT document_key, field, term, wide, n, CAST(list_sum(parts[1:k]) + (k - 1) * n AS BIGINT) AS at FROM p),
+w AS (SELECT *, length(replace(left(wide, at), chr(2), '')) AS before, length(replace(left(wide, at + n), chr(2), '')) AS upto, substr(wide, at + 1, 1) = chr(2) AS inside FROM m)
+SELECT document_key, field, term, CAST(before - CASE WHEN inside THEN 1 ELSE 0 END AS INT) AS start, CAST(upto AS INT) AS "end" FROM w""")
+def match_positions(spark, sf_dir):
+    """Every place of some terms in every field, in characters of the text itself."""
+    return S.match_positions(search_documents(spark, sf_dir), " ".join(MATCHED))

@@ -567,6 +567,11 @@ COSINE_SQL = """q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddi
 s AS (SELECT query_id, 'segment:' || vec_id AS document_key, label AS unit, list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS cosine FROM q, embeddings)"""
 
 
+def _checked(v: DataFrame, limit: int = 50) -> tuple[DataFrame, int, DataFrame, int]:
+    """Vectors with the version of their documents, a limit, and those documents and dimensions, for a search that checks them."""
+    return v.withColumn("source_content_hash", F.col("document_key")), limit, v.select("document_key", F.col("document_key").alias("content_hash")), 64
+
+
 def _queries(spark, sf_dir):
     return X.read(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
@@ -576,7 +581,7 @@ WITH {COSINE_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id, uni
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_key, unit) AS INT) AS rank FROM b WHERE b = 1)
 SELECT query_id, unit, document_key, round(cosine, 6) AS cosine, rank FROM r WHERE rank <= 50""")
 def semantic_item_topk(spark, sf_dir):
-    return V.semantic_search(_queries(spark, sf_dir), _vectors(spark, sf_dir)).withColumn("cosine", F.round("cosine", 6))
+    return V.semantic_search(_queries(spark, sf_dir), *_checked(_vectors(spark, sf_dir))).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"""
@@ -618,7 +623,8 @@ def hybrid_rrf(spark, sf_dir):
     asked = folded.select("query_id", terms.alias("terms")).filter(F.size("terms") > 0)
     kw = S.search_many(d, asked, limit=S.DEPTH)
     v = _vectors(spark, sf_dir).select(F.concat(F.lit("summary:"), F.col("vec_id").cast("string")).alias("document_key"), X.recording_id(F.col("vec_id") % 100).alias("unit"), F.lit(0).alias("type"), "embedding")
-    sem = V.semantic_search(q.join(folded.select("query_id"), "query_id"), v, limit=S.DEPTH).withColumnRenamed("unit", "recording_id")
+    v, depth, own, size = _checked(v, S.DEPTH)
+    sem = V.semantic_search(q.join(folded.select("query_id"), "query_id"), v, depth, own, size).withColumnRenamed("unit", "recording_id")
     return S.hybrid_search(kw, sem, "recording_id").withColumn("score", F.round("score", 9))
 
 
