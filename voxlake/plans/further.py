@@ -199,8 +199,8 @@ y AS (SELECT *, replace(replace(lower(wide), chr(1), 's'), chr(2), 's') AS folde
 q AS (SELECT unnest([{', '.join(f"'{m}'" for m in MATCHED)}]) AS term),
 z AS (SELECT document_key, field, term, wide, length(term) AS n, list_transform(string_split(folded, term), lambda p: length(p)) AS parts FROM y, q WHERE contains(folded, term)),
 p AS (SELECT *, unnest(range(1, len(parts))) AS k FROM z),
-m AS (SELECT document_key, field, term, wide, n, CAST(list_sum(parts[1:k]) + (k - 1) * n AS BIGINT) AS at FROM p),
-w AS (SELECT *, length(replace(left(wide, at), chr(2), '')) AS before, length(replace(left(wide, at + n), chr(2), '')) AS upto, substr(wide, at + 1, 1) = chr(2) AS inside FROM m)
+m AS (SELECT document_key, field, term, wide, n, CAST(list_sum(parts[1:k]) + (k - 1) * n AS BIGINT) AS spot FROM p),
+w AS (SELECT *, length(replace(left(wide, spot), chr(2), '')) AS before, length(replace(left(wide, spot + n), chr(2), '')) AS upto, substr(wide, spot + 1, 1) = chr(2) AS inside FROM m)
 SELECT document_key, field, term, CAST(before - CASE WHEN inside THEN 1 ELSE 0 END AS INT) AS start, CAST(upto AS INT) AS "end" FROM w""")
 def match_positions(spark, sf_dir):
     """Every place of some terms in every field, in characters of the text itself."""
