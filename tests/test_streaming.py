@@ -15,8 +15,9 @@ def at(s):
 
 
 def drain(spark, stream, name, mode="append"):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    with J.timers_on(spark):
+        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination(120)
     return spark.table(name).collect()
 
 
@@ -29,6 +30,18 @@ def test_stability_gate(spark, tmp_path):
     assert sorted((r.path, r.length) for r in got) == [("a", 1), ("b", 2)]
 
 
+def test_stability_gate_restarts(spark, tmp_path):
+    """State comes back from the checkpoint: a file that stood still before a restart passes after it, and only once."""
+    schema = "path string, length long, mtime double, seen_at timestamp"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for part in ([("a", 1, 1.0, at(0)), ("b", 1, 1.0, at(0))], [("a", 1, 1.0, at(31)), ("b", 2, 1.0, at(31))], [("a", 1, 1.0, at(70)), ("b", 2, 1.0, at(62))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        with J.timers_on(spark):
+            J.stability_gate(J.replay(spark, f"{tmp_path}/in", schema)).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r.path, r.length) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 1), ("b", 2)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
 def test_interrupted(spark, tmp_path):
     rows = [[(1, "start", at(0)), (2, "start", at(10))], [(1, "finish", at(600))], [(3, "start", at(90000))], [(4, "start", at(180000))]]
     for part in rows:

@@ -12,11 +12,8 @@ from voxlake.operators.library import local_day_bounds, temporary_title, title_f
 from voxlake.operators.search import keyword_search
 
 PLACEHOLDER = "Untitled recording"
-#: The one shape that recording rows and section rows share.
-ITEM_COLUMNS = (
-    "item_key", "item_kind", "recording_id", "section_id", "title", "title_fold", "effective_at", "default_language", "processing_status", "summary_status",
-    "audio_status", "retranscription_failed", "resummarization_failed", "route_unverified", "recorded_at", "range_start", "range_end", "duration",
-)
+#: Columns of both branches that only filters look at.
+FILTER_ONLY = ("archived_at", "has_summary")
 SORTS = ("newest", "oldest", "title_az", "title_za")
 #: Winners of a search that a listing shows.
 SEARCH_WINNERS = 200
@@ -179,7 +176,8 @@ def section_rows(sections: DataFrame, rows: DataFrame, summaries: DataFrame, sta
 
 
 def item_listing(recordings: DataFrame, sections: DataFrame) -> DataFrame:
-    """One row of ITEM_COLUMNS for each filtered recording without a valid split, and for each filtered section.
+    """One row for each filtered recording without a valid split, and for each filtered section: item_key, item_kind, the range of segments, title_fold,
+    section_id, duration, and what both have in common (but FILTER_ONLY).
 
     recordings: recording_rows() after filter_recordings(), without the split ones; sections: section_rows()
     after filter_sections(). The keys are disjoint, so the union needs no distinct.
@@ -193,7 +191,10 @@ def item_listing(recordings: DataFrame, sections: DataFrame) -> DataFrame:
     parts = sections.withColumns({
         "item_key": F.concat(F.lit("s:"), F.col("section_id").cast("string")), "item_kind": F.lit("section"), "range_start": F.col("start_ordinal"), "range_end": F.col("end_ordinal"),
     })
-    both = [df.withColumn("title_fold", fold("title")).select(*ITEM_COLUMNS) for df in (whole, parts)]
+    if "duration" not in whole.columns:
+        whole = whole.withColumn("duration", F.lit(None).cast("double"))
+    shape = [c for c in whole.columns if c in parts.columns and c not in FILTER_ONLY]
+    both = [df.select(*shape, fold("title").alias("title_fold")) for df in (whole, parts)]
     return both[0].unionByName(both[1])
 
 

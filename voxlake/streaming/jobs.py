@@ -5,42 +5,67 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STABLE_SECONDS = 30
 
 
+class StabilityGate(StatefulProcessor):
+    """A file's size and time since when they stand, as value state; an event-time timer drops it when no listing has named the file for 20 waiting times."""
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.file = handle.getValueState("file", "length long, mtime double, since double, done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        length, mtime, since, done = self.file.get() if self.file.exists() else (None, None, None, False)
+        for r in sorted(rows, key=lambda r: r.seen_at):
+            now = r.seen_at.timestamp()
+            if (r.length, r.mtime) != (length, mtime):
+                length, mtime, since, done = r.length, r.mtime, now, False
+            elif not done and now - since >= self.seconds:
+                yield Row(path=key[0], length=length, mtime=mtime)
+                done = True
+        self.file.update((length, mtime, since, done))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int(max(since * 1000, timerValues.getCurrentWatermarkInMs() + 1000) + 20 * self.seconds * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.file.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def stability_gate(listings: DataFrame, seconds: int = STABLE_SECONDS) -> DataFrame:
     """path, length and mtime of files whose size and time did not change for `seconds`, once for each version.
 
     listings: a stream of (path, length, mtime, seen_at); state is one row a path and goes with the
-    watermark of ten waiting times.
+    watermark of ten waiting times. Run it inside timers_on().
     """
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        length, mtime, since, done = state.get if state.exists else (None, None, None, False)
-        out = []
-        if not state.hasTimedOut:
-            rows = pd.concat(frames).sort_values("seen_at")
-            for r in rows.itertuples():
-                now = r.seen_at.timestamp()
-                if (r.length, r.mtime) != (length, mtime):
-                    length, mtime, since, done = int(r.length), float(r.mtime), now, False
-                elif not done and now - since >= seconds:
-                    out.append((key[0], length, mtime))
-                    done = True
-            state.update((length, mtime, since, done))
-            state.setTimeoutTimestamp(int(max(since, state.getCurrentWatermarkMs() / 1000 + 1) * 1000 + 20 * seconds * 1000))
-        else:
-            state.remove()
-        yield pd.DataFrame(out, columns=["path", "length", "mtime"])
-
     seen = listings.withWatermark("seen_at", f"{10 * seconds} seconds")
-    schema = "path string, length long, mtime double"
-    return seen.groupBy("path").applyInPandasWithState(run, schema, "length long, mtime double, since double, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return seen.groupBy("path").transformWithState(StabilityGate(seconds), "path string, length long, mtime double", "append", "EventTime")
+
+
+@contextmanager
+def timers_on(spark: SparkSession) -> Iterator[None]:
+    """The state store that processors with timers need, for streams that start inside; the session's own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def first_contents(files: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -99,7 +124,8 @@ def drained(stream: DataFrame, label: str, counts: str | None = None) -> DataFra
     path = shared_folder(spark, label)
     writer = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if counts is None:
-        writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+        with timers_on(spark):
+            writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
     def update(batch: DataFrame, batch_id: int) -> None:
