@@ -9,6 +9,7 @@ from voxlake.operators import items as N
 from voxlake.operators import search as S
 from voxlake.operators import vectors as V
 from voxlake.operators.hashtree import HashTree, tree_differences
+from voxlake.operators.payloads import checked_replies
 from voxlake.operators.postings import TrigramIndex
 from voxlake.operators.scans import kept
 from voxlake.plans import fixtures as X
@@ -205,3 +206,50 @@ SELECT document_key, field, term, CAST(before - CASE WHEN inside THEN 1 ELSE 0 E
 def match_positions(spark, sf_dir):
     """Every place of some terms in every field, in characters of the text itself."""
     return S.match_positions(search_documents(spark, sf_dir), " ".join(MATCHED))
+
+
+# ---- replies of a summarising model --------------------------------------------------------------
+
+#: By the number of the case: what replaces fields of a good reply, the source language, and the field that is at fault.
+REPLIES = {
+    0: ({}, "", None), 1: ({"title": '" \\t "'}, "", "title"), 2: ({"title": "5"}, "", "title"), 3: ({"key_points": '[{"text": "a", "level": 1}, {"text": "b", "level": 3}]'}, "", "key_points"),
+    4: ({"key_points": '[{"text": "a", "level": 4}]'}, "", "key_points"), 5: ({"key_points": '[{"text": "a", "level": true}]'}, "", "key_points"), 6: ({"key_points": '[{"text": "a", "level": 1}, {"text": "b", "level": 2}, {"text": "n", "level": 0}, {"text": "c", "level": 3}]'}, "", None),
+    7: ({"action_items": '["do"]'}, "", "action_items"), 8: ({"action_items": '[{"text": "do", "owner": 1}]'}, "", "action_items"), 9: ({"action_items": '[{"text": "do", "owner": null, "due_date": "soon"}]'}, "", None), 10: ({"people": '"Ann"'}, "", "people"),
+    11: ({"people": "null"}, "", None), 12: ({"organizations": '["a", ""]'}, "", "organizations"), 13: ({"topics": "[" + ", ".join(['"t"'] * 51) + "]"}, "", "topics"), 14: ({"language": "7"}, "", "language"), 15: ({"language": '"no tag!"'}, "", "language"),
+    16: ({"language": '"no tag!"'}, "zh_hant", None), 17: ({"suggested_tags": '"a"'}, "", "suggested_tags"), 18: ({"suggested_tags": '["Unknown"]'}, "fi", None), 19: ({"suggested_tags": '["unknown", "ZZ", "beta", "Beta"]'}, "", None), 20: ({"suggested_tags": "[5]"}, "", "suggested_tags"),
+}
+_GOOD = {"title": '" A title "', "overview": "", "key_points": '[{"text": "a", "level": 1}]', "action_items": "[]", "people": '["Ann", "Bo"]', "organizations": "[]", "topics": "[]", "language": '"EN-gb"', "suggested_tags": '["STRASSE", "new", "Unknown", "straße"]'}
+_SHAPES = len(REPLIES) + 4  # further: in a fence, an array, text behind the object, a repeated key
+
+
+@query(f"""
+WITH d AS (SELECT doc_id AS id, doc_id % {_SHAPES} AS k, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents),
+f AS (SELECT id, k, text, CASE WHEN k > {len(REPLIES)} THEN 'malformed_json' WHEN k = 1 OR k = 2 THEN 'title' WHEN length(text) NOT BETWEEN 1 AND 8000 THEN 'overview' {' '.join(f"WHEN k = {k} THEN '{f}'" for k, (_, _, f) in REPLIES.items() if f)} END AS fault FROM d)
+SELECT id, fault, CASE WHEN fault IS NULL THEN 'A title' END AS title, CASE WHEN fault IS NULL THEN sha256(text) END AS overview, CASE WHEN fault IS NULL THEN CASE k WHEN 6 THEN [1, 2, 0, 3] ELSE [1] END END AS levels,
+  CASE WHEN fault IS NULL THEN CASE k WHEN 9 THEN 'soon' ELSE '' END END AS due, CASE WHEN fault IS NULL THEN CASE k WHEN 11 THEN 0 ELSE 2 END END AS people,
+  CASE WHEN fault IS NULL THEN CASE k WHEN 16 THEN 'zh-Hant' WHEN 18 THEN 'fi' ELSE 'en-GB' END END AS language, CASE WHEN fault IS NULL THEN CASE k WHEN 18 THEN ['Unknown'] WHEN 19 THEN ['Beta'] ELSE ['Straße'] END END AS suggested,
+  CASE WHEN fault IS NULL THEN CASE k WHEN 18 THEN [] WHEN 19 THEN ['ZZ'] ELSE ['new'] END END AS rejected FROM f""")
+def reply_validation(spark, sf_dir):
+    """Replies whose overviews are whole texts, right ones and with a fault in each field; what is left of them."""
+    d = X.read(spark, sf_dir, "documents")
+    k = F.col("doc_id") % _SHAPES
+    overview = F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1)
+
+    def field(name: str):
+        good = overview if name == "overview" else F.lit(_GOOD[name])
+        for case, (changes, _, _) in REPLIES.items():
+            if name in changes:
+                good = F.when(k == case, F.lit(changes[name])).otherwise(good)
+        return F.concat(F.lit(f'"{name}": '), good)
+
+    reply = F.concat(F.lit("{"), F.concat_ws(", ", *map(field, _GOOD)), F.lit("}"))
+    n = len(REPLIES)
+    raw = F.when(k == n, F.concat(F.lit(" ```json\n"), reply, F.lit("\n```\n"))).when(k == n + 1, F.concat(F.lit("["), reply, F.lit("]"))).when(k == n + 2, F.concat(reply, F.lit(" so"))).when(k == n + 3, F.concat(F.lit('{"title": "b", '), F.substring(reply, 2, 2**31 - 1))).otherwise(reply)
+    source = F.lit("")
+    for case, (_, code, _) in REPLIES.items():
+        source = F.when(k == case, code).otherwise(source) if code else source
+    tags = spark.createDataFrame([("strasse", "Straße"), ("beta", "Beta"), ("unknown", "Unknown")], "name_key string, name string")
+    replies = kept(d.select(F.col("doc_id").alias("id"), raw.alias("raw"), source.alias("source_language")), "replies")
+    found = checked_replies(replies, tags)
+    due = F.when(F.col("fault").isNull(), F.coalesce(F.try_element_at("action_items", F.lit(1))["due_date"], F.lit("")))
+    return found.select("id", "fault", "title", F.sha2("overview", 256).alias("overview"), F.transform("key_points", lambda p: p["level"]).alias("levels"), due.alias("due"), F.when(F.col("fault").isNull(), F.size("people")).alias("people"), "language", "suggested", "rejected")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.functions.text import fold
+from voxlake.functions.variants import is_kind, whole_json
 from voxlake.operators.scans import running
 
 #: A start may lie this far before the greatest start so far.
@@ -51,21 +52,13 @@ def parse_envelopes(files: DataFrame) -> DataFrame:
     category: malformed_json for what is no single JSON value (trailing text and repeated keys included), invalid_envelope for
     one that is no object with a string `text` and an array `segments`, else null. Types decide, nothing is converted.
     """
-    end = F.md5("raw")  # a key that raw cannot hold: it is only there if raw was one whole value
-    held = F.try_parse_json(F.concat(F.lit('{"v":'), "raw", F.lit(',"'), end, F.lit('":0}'))).try_cast("map<string, variant>")
-    whole = F.when((F.size("held") == 2) & F.map_contains_key("held", F.col("end")), F.col("held")["v"])
-    v = files.select("file_id", held.alias("held"), end.alias("end")).select("file_id", whole.alias("v"))
+    v = files.select("file_id", whole_json(F.col("raw")).alias("v"))
     text, segments = F.try_variant_get("v", "$.text", "variant"), F.try_variant_get("v", "$.segments", "array<variant>")
     v = v.select("file_id", F.col("v").isNull().alias("bad"), text.alias("text"), segments.alias("segments"))
-    category = F.when(F.col("bad"), "malformed_json").when(F.col("segments").isNull() | ~F.coalesce(_is(F.col("text"), "STRING"), F.lit(False)), "invalid_envelope")
+    category = F.when(F.col("bad"), "malformed_json").when(F.col("segments").isNull() | ~F.coalesce(is_kind(F.col("text"), "STRING"), F.lit(False)), "invalid_envelope")
     return v.select("file_id", category.alias("category"), F.when(category.isNull(), F.try_variant_get("text", "$", "string")).alias("text"), F.when(category.isNull(), F.col("segments")).alias("segments"))
 
 
-def _is(value: Column, *types: str) -> Column:
-    """Whether a VARIANT is of one of these types, as schema_of_variant() names them; null for an absent one."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0).isin(*types)
-
-
 def parse_transcripts(files: DataFrame) -> DataFrame:
     """file_id, ordinal, start_ms, end_ms, speaker, text, category and regression of every segment of files (file_id, raw).
 
@@ -74,11 +67,11 @@ def parse_transcripts(files: DataFrame) -> DataFrame:
     """
     rows = parse_envelopes(files).select("file_id", F.col("category").alias("broken"), F.posexplode_outer("segments").alias("ordinal", "s")).filter("broken is not null or ordinal is not null")
     field = lambda c: F.try_variant_get("s", f"$.{c}", "variant")
-    absent = lambda c: F.coalesce(_is(F.col(c), "VOID"), F.lit(True))
+    absent = lambda c: F.coalesce(is_kind(F.col(c), "VOID"), F.lit(True))
     rows = rows.select("file_id", "broken", "ordinal", F.try_variant_get("s", "$", "map<string, variant>").isNull().alias("no_item"), *(field(c).alias(c) for c in ("start", "end", "speaker", "text")))
-    number = lambda c: F.when(_is(F.col(c), "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(c, "$", "double"))
+    number = lambda c: F.when(is_kind(F.col(c), "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(c, "$", "double"))
     odd = lambda c: ~absent(c) & F.coalesce(_odd_time(number(c)), F.lit(True))
-    is_text = lambda c: F.coalesce(_is(F.col(c), "STRING"), F.lit(False))
+    is_text = lambda c: F.coalesce(is_kind(F.col(c), "STRING"), F.lit(False))
     shape = (
         F.when(F.col("broken").isNotNull(), F.col("broken")).when(F.col("no_item"), "invalid_segment_item").when(~is_text("text"), "invalid_segment_text")
         .when(~absent("speaker") & ~is_text("speaker"), "invalid_segment_speaker").when(odd("start") | odd("end"), "invalid_timestamp")
