@@ -143,3 +143,45 @@ def test_chunks_of_long_transcripts(spark):
             got[r.transcript_id].append(r.text)
         assert got == {t: packed_step_by_step(ss, limit, overlap) for t, ss in texts.items() if any(ss)}
         assert all(M.pack(ss, limit, overlap) == packed_step_by_step(ss, limit, overlap) for ss in texts.values())
+
+
+def test_scans_equal_windows(spark):
+    """Row numbers and running values, with null keys, ties and a key that holds most rows, against plain windows."""
+    import random
+
+    from pyspark.sql import Window
+
+    from voxlake.operators.scans import numbered, running
+
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 1, 1, 1, 1, 2, 3, 4]), rng.choice([None, 1, 2, 3]), rng.random()) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "k long, o long, x double").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that the hot key lies in several partitions
+    try:
+        got = numbered(df, "k", ["o", "x"])
+        want = df.withColumn("number", F.row_number().over(Window.partitionBy("k").orderBy(F.col("o").asc_nulls_first(), "x")))
+        assert sorted(map(repr, got.drop("pos").collect())) == sorted(map(repr, want.collect()))
+        assert got.filter("k = 1").select(F.countDistinct(F.shiftright("pos", 33))).first()[0] > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert numbered(df.limit(0), "k", ["o"]).count() == 0
+    d = spark.createDataFrame([(k, o, rng.choice([None, 1, 5, -3])) for k in (None, 1, 2) for o in range(300)], "k long, o long, v long")
+    for before in (True, False):
+        w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+        want = d.withColumns({"s": F.sum("v").over(w), "m": F.max("v").over(w), "n": F.min("v").over(w)})
+        got = running(d, "k", "o", {"s": F.sum("v"), "m": F.max("v"), "n": F.min("v")}, before, block=64)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_replies(spark):
+    """Unknown tags, a level that is skipped, a fence, and replies about parts."""
+    from voxlake.operators.payloads import checked_parts, checked_replies
+
+    good = '{"title": " T ", "overview": "o", "key_points": [{"text": "a", "level": 1}], "suggested_tags": ["X", "unknown", "no"], "language": "%s"}'
+    rows = [(1, good % "fi", ""), (2, "```json\n" + good % "" + "\n```", "EN"), (3, good.replace('"level": 1', '"level": 2') % "", ""), (4, good % "?", ""), (5, good % "?", "sv"), (6, None, ""), (7, "[]", ""), (8, good.replace('"o"', "null") % "", "")]
+    tags = spark.createDataFrame([("x", "X"), ("unknown", "Unknown")], "name_key string, name string")
+    got = {r.id: (r.fault, r.title, r.language, r.suggested, r.rejected) for r in checked_replies(spark.createDataFrame(rows, "id long, raw string, source_language string"), tags).collect()}
+    fine = ("T", "fi", ["X"], ["no"])
+    assert got == {1: (None, *fine), 2: (None, "T", "en", *fine[2:]), 3: ("key_points", None, None, None, None), 4: ("language", None, None, None, None), 5: (None, "T", "sv", *fine[2:])} | {i: (f, None, None, None, None) for i, f in ((6, "malformed_json"), (7, "malformed_json"), (8, "overview"))}
+    parts = [(1, '{"overview": "o", "key_points": [" a ", "b"]}'), (2, '{"overview": "o", "key_points": [1]}'), (3, '{"overview": "%s"}' % ("x" * 4001)), (4, '{"overview": "o"}')]
+    assert {r.id: (r.fault, r.key_points) for r in checked_parts(spark.createDataFrame(parts, "id long, raw string")).collect()} == {1: (None, ["a", "b"]), 2: ("key_points", None), 3: ("overview", None), 4: (None, [])}

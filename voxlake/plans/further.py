@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.functions import text as T
 from voxlake.operators import items as N
 from voxlake.operators import search as S
 from voxlake.operators import vectors as V
@@ -253,3 +254,28 @@ def reply_validation(spark, sf_dir):
     found = checked_replies(replies, tags)
     due = F.when(F.col("fault").isNull(), F.coalesce(F.try_element_at("action_items", F.lit(1))["due_date"], F.lit("")))
     return found.select("id", "fault", "title", F.sha2("overview", 256).alias("overview"), F.transform("key_points", lambda p: p["level"]).alias("levels"), due.alias("due"), F.when(F.col("fault").isNull(), F.size("people")).alias("people"), "language", "suggested", "rejected")
+
+
+# ---- small functions over whole tables -----------------------------------------------------------
+
+_MASK = r"regexp_replace({}, '(^|[^\p{{L}}\p{{N}}\p{{M}}_])/[\p{{L}}\p{{N}}\p{{M}}_./\\-]+', '\1<path>', 'g')"
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'head' || chr(10) || '  error: /var/x and/or ' || doc_id || chr(13) || chr(10) || chr(10) || text ELSE text || chr(10) || 'last http://a/b line ' || doc_id END AS text FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: trim(x)), lambda x: x <> '') AS lines FROM t),
+p AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda x: starts_with(lower(x), 'error:')), true) AS at1 FROM l)
+SELECT doc_id, left(trim({_MASK.format("array_to_string(CASE WHEN coalesce(at1, 0) > 0 THEN lines[at1:at1 + 2] ELSE lines[len(lines):] END, ' | ')")}), 200) AS detail FROM p""")
+def error_details(spark, sf_dir):
+    """What a report shows of whole texts as error output: an error line and two more, or the last line, with paths masked."""
+    d, k = X.read(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    number = F.col("doc_id").cast("string")
+    said = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("head\n  error: /var/x and/or "), number, F.lit("\r\n\n"), "text")).otherwise(F.concat("text", F.lit("\nlast http://a/b line "), number))
+    return d.select("doc_id", T.error_detail(said).alias("detail"))
+
+
+@query("SELECT lang, count(DISTINCT replace(lower(nfc_normalize(text)), 'ß', 'ss')) AS texts, count(*) FILTER (WHERE contains(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'ss')) AS with_ss FROM documents GROUP BY lang")
+def folded_in_sql(spark, sf_dir):
+    """The fold function called from Spark SQL."""
+    T.register(spark)
+    return spark.sql("SELECT lang, count(DISTINCT fold(text)) AS texts, count_if(contains(fold(text), 'ss')) AS with_ss FROM {d} GROUP BY lang", d=X.read(spark, sf_dir, "documents"))
