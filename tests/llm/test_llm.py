@@ -474,6 +474,43 @@ def test_mixing_posteriors_equal_brute_force(spark):
         assert np.allclose([r.p_high, r.p_low, r.p_toxic], z / z.sum(), atol=1e-9)
 
 
+def test_mixing_measures_texts_in_generated_code(spark, monkeypatch):
+    """No lambda in what is stored: it would be interpreted, and keep the explosion of words out of generated code."""
+    plans, kept = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, label: (plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())), kept(df, label))[1])
+    rows = [(i, ("vile " if i % 5 == 0 else "kind ") * 5 + str(i)) for i in range(60)] + [(None, None)]
+    labels = spark.createDataFrame([(i, "toxic" if i % 5 == 0 else "high") for i in range(50)], "doc_id long, domain string")
+    assert mixing.mixing_rates(frame(spark, rows), labels, {"toxic": 0.1, "high": 0.9}).count() == len(rows)
+    assert {"lexicon", "posteriors"} <= {label for label, _ in plans}
+    assert [label for label, plan in plans if "lambdafunction" in plan.lower()] == []
+
+
+def test_mixing_measures_of_odd_texts(spark):
+    import regex
+
+    texts = ["", " ", "a", " a", "a ", "\t\n\x0b\f\r", "a\x0bb\fc\rd", "a\u00a0b\u2028c", "%$&*#|@~^", "%\n^ \U0001f600|é", "%%a%%\n\n##", "ÄÖ١٢x²-Ⅷ", "-a-", "--", "İstanbul ẞ", "x" * 5000 + "~"]
+    symbols = mixing.TRAITS.index("symbols")
+    got = frame(spark, list(enumerate(texts)), clash=False).select("doc_id", mixing.token_count(F.col("text")).alias("n"), mixing.words_of(F.col("text")).alias("w"), mixing.traits(F.col("text"))[symbols].alias("s")).collect()
+    for r in got:
+        t = texts[r.doc_id]
+        assert r.n == len([w for w in regex.split(r"[ \t\n\x0b\f\r]+", t) if w])
+        assert r.w == [w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w]
+        assert abs(r.s - min(2.0, sum(map(t.count, "%$&*#|@~^")) / (len(t) + 1) * 10)) < 1e-12
+    nothing = spark.createDataFrame([(None,)], "text string").select(mixing.token_count(F.col("text")), mixing.words_of(F.col("text"))).first()
+    assert tuple(nothing) == (0, None)
+
+
+def test_mixing_rates_of_many_pulls(spark):
+    rng = np.random.default_rng(3)
+    p, pulls = rng.random((20, 3)), (rng.normal(size=(400, 3)) * 0.3).tolist()
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(p)], "id long, p array<double>")
+    want = np.ones(20)
+    for v in pulls:
+        want = np.maximum(0, want + p @ np.array(v))
+    got = {r["id"]: r["rate"] for r in rows.select("id", mixing.rate_of(pulls).alias("rate")).collect()}
+    assert np.allclose([got[i] for i in range(20)], want) and {r[0] for r in rows.select(mixing.rate_of([])).collect()} == {1.0}
+
+
 def test_toxicity_finds_held_out_words(spark):
     rng = random.Random(6)
     bad = ["vile", "nasty", "foul"]

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import stored, table
+from voxlake.llm.common import forget, stored, table
 
 #: Most labelled rows that the classifier is fitted on (least hash first).
 LABELLED = 50_000
@@ -27,7 +27,7 @@ def traits(text: Column) -> list[Column]:
     size = F.length(text)
     gone = lambda part: (size - F.length(F.replace(text, F.lit(part))))
     share = lambda n: n / (size + 1)
-    symbols = reduce(lambda a, b: a + b, [gone(c) for c in "%$&*#|@~^"])
+    symbols = F.length(F.regexp_replace(text, r"[^%$&*#|@~^]+", ""))
     lines = gone("\n")
     return [
         F.log1p(size), share(gone(" ")), F.log1p(lines), F.least(share(symbols) * 10, F.lit(2.0)),
@@ -37,12 +37,12 @@ def traits(text: Column) -> list[Column]:
 
 def token_count(text: Column) -> Column:
     """Words of a text, which blanks of any kind and number part; 0 for a blank or null text."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), "")).cast("long")
 
 
 def words_of(text: Column) -> Column:
-    """Runs of letters and digits of the lower-cased text."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Runs of letters and digits of the lower-cased text. No lambda: one would keep the explosion of words out of generated code."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def fit_words(docs: DataFrame, few: DataFrame, domains: list[str]) -> DataFrame:
@@ -71,10 +71,10 @@ def with_words(rows: DataFrame, docs: DataFrame, lexicon: DataFrame, domains: li
     return rows.join(found, "text_hash", "left").withColumn("x", F.concat("x", F.coalesce("_w", none))).drop("_w", "text_hash")
 
 
-def measured(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, more, tokens, text_hash and x (the traits, as an array) of each row; a null text is an empty one."""
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, tokens, text_hash and x (the traits, as an array) of each row; a null text is an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", *more, token_count(text).alias("tokens"), F.xxhash64("text").alias("text_hash"), F.array(*[c.cast("double") for c in traits(text)]).alias("x"))
+    return docs.select("doc_id", token_count(text).alias("tokens"), F.xxhash64("text").alias("text_hash"), F.array(*[c.cast("double") for c in traits(text)]).alias("x"))
 
 
 def few_labelled(labelled: DataFrame, limit: int = LABELLED) -> DataFrame:
@@ -83,16 +83,15 @@ def few_labelled(labelled: DataFrame, limit: int = LABELLED) -> DataFrame:
     return few.withColumn("fits_words", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)) == 0)
 
 
-def fit_posteriors(docs: DataFrame, few: DataFrame, lexicon: DataFrame, domains: list[str]) -> tuple[list, list, list]:
+def fit_posteriors(rows: DataFrame, few: DataFrame, domains: list[str]) -> tuple[list, list, list]:
     """(prior logs, means, deviations a domain) of a naive Gaussian classifier over the traits and the strongest words.
 
-    few: as from few_labelled. Aggregation alone fits it; the driver gets one row a domain. What the
+    rows: as from with_words; few: as from few_labelled. Aggregation alone fits it; the driver gets one row a domain. What the
     lexicon was fitted on does not count for the words, unless a domain has nothing else. A domain
     without rows gets a prior of almost nothing.
     """
     width = len(TRAITS) + len(domains)
-    own = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    seen = with_words(measured(own, "domain", "fits_words"), own, lexicon, domains)
+    seen = rows.select("doc_id", "x").join(F.broadcast(few), "doc_id")
     fresh = lambda i: F.col("x")[i] if i < len(TRAITS) else F.when(~F.col("fits_words"), F.col("x")[i])
     both = lambda f, i: F.coalesce(f(fresh(i)), f(F.col("x")[i]))
     got = {r["domain"]: r for r in seen.groupBy("domain").agg(F.count("*").alias("n"), *[both(F.avg, i).alias(f"m{i}") for i in range(width)], *[both(F.stddev_pop, i).alias(f"s{i}") for i in range(width)]).collect()}
@@ -103,17 +102,20 @@ def fit_posteriors(docs: DataFrame, few: DataFrame, lexicon: DataFrame, domains:
     return prior, mean, dev
 
 
-def posterior(x: Column, fit: tuple[list, list, list]) -> Column:
-    """Array of domain posteriors, summing to 1."""
+def with_posteriors(rows: DataFrame, fit: tuple[list, list, list]) -> DataFrame:
+    """(doc_id, tokens, p): p is the array of domain posteriors, summing to 1, for x. Each step is a projection of its own, so that nothing is computed twice."""
     logs = []
     for prior, mean, dev in zip(*fit):
         z = F.lit(prior)
         for i, (m, s) in enumerate(zip(mean, dev)):
-            z = z - ((x[i] - m) / s) * ((x[i] - m) / s) / 2 - float(np.log(s))
+            z = z - ((F.col("x")[i] - m) / s) * ((F.col("x")[i] - m) / s) / 2 - float(np.log(s))
         logs.append(z)
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    raw = F.array(*[F.exp(z - top) for z in logs])
-    return F.transform(raw, lambda v: v / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+    names = [f"z{i}" for i in range(len(logs))]
+    z = [F.col(n) for n in names]
+    scored = rows.select("doc_id", "tokens", *[log.alias(n) for log, n in zip(logs, names)])
+    top = scored.withColumn("top", F.greatest(*z) if len(z) > 1 else z[0])
+    raw = top.select("doc_id", "tokens", *[F.exp(c - F.col("top")).alias(n) for c, n in zip(z, names)])
+    return raw.withColumn("total", reduce(lambda a, b: a + b, z)).select("doc_id", "tokens", F.array(*[c / F.col("total") for c in z]).alias("p"))
 
 
 def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> list[list[float]]:
@@ -148,8 +150,8 @@ def rate_of(pulls: list[list[float]]) -> Column:
     if not pulls:
         return F.lit(1.0)
     steps = F.array(*[F.array(*map(F.lit, v)) for v in pulls])
-    dot = lambda v: F.aggregate(F.zip_with(v, F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(steps, F.lit(1.0), lambda w, v: F.greatest(F.lit(0.0), w + dot(v)))
+    dot = lambda v: reduce(lambda a, b: a + b, [v[i] * F.col("p")[i] for i in range(len(pulls[0]))])
+    return F.aggregate(steps, F.lit(1.0), lambda w, v: F.greatest(F.lit(0.0), w + dot(v)))  # a fold: nested expressions fail at some hundred steps
 
 
 def domains_of_labels(labels: DataFrame) -> DataFrame:
@@ -171,8 +173,9 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     share = sum(targets.values())
     few = stored(few_labelled(labelled), "labelled")
     lexicon = stored(fit_words(docs, few.filter("fits_words"), domains), "lexicon")
-    base = with_words(measured(docs), docs, lexicon, domains)
-    rows = stored(base.withColumn("p", posterior(F.col("x"), fit_posteriors(docs, few, lexicon, domains))).select("doc_id", "tokens", "p"), "posteriors")
+    base = stored(with_words(measured(docs), docs, lexicon, domains), "measures")
+    rows = stored(with_posteriors(base, fit_posteriors(base, few, domains)), "posteriors")
+    forget(base)
     pulls = fit_rates(rows.select("tokens", "p"), [budget * targets[d] / share for d in domains], steps)
     return rows.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], rate_of(pulls).alias("rate"))
 
