@@ -51,6 +51,12 @@ def cjk_ratio(text: Column) -> Column:
     return F.when(n > 0, F.regexp_count(text, F.lit(CJK)) / n).otherwise(F.lit(0.0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double to some digits, halves away from zero, by its binary value as C and DuckDB do it; F.round goes by its decimal digits (41 / 640 is a little less than 0.0640625)."""
+    scale = float(10**digits)
+    return F.round(x * scale, 0) / scale
+
+
 def script_ratio(text: Column, traditional: str, simplified: str) -> Column:
     """Traditional-only hits among traditional-only and simplified-only ones; 0.5 without either."""
     trad, simp = (F.regexp_count(text, F.lit(f"[{s}]")) for s in (traditional, simplified))
