@@ -55,12 +55,17 @@ def covering(points: DataFrame, spans: DataFrame, key: str, at: str, name: str)
 
     A sweep instead of a range join: the starts of spans and the points lie on one line per key, and the last start so far, a running
     maximum, is the only span that can hold a point, as the spans of a key do not overlap. A key with a third of all points is swept in blocks.
+    Points without a key or place, which no span holds, take no part in the sweep, where they would all be one block.
     """
+    placed = F.col(key).isNotNull() & F.col(at).isNotNull()
+    none = points.filter(~placed)
+    points = points.filter(placed)
     span = F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.col("id").alias("id"))
     starts = spans.select(F.col(key).alias("_of"), (F.col("lo").cast("long") * 2).alias("_at"), span.alias("_span"))
     line = points.select(F.col(key).alias("_of"), (F.col(at).cast("long") * 2 + 1).alias("_at"), F.struct(*points.columns).alias("_point"))
     swept = running(line.unionByName(starts, allowMissingColumns=True), "_of", "_at", {"_last": F.max("_span")}).filter("_point is not null")
-    return swept.select("_point.*", F.when(F.col(f"_point.{at}") < F.col("_last.hi"), F.col("_last.id")).alias(name))
+    found = swept.select("_point.*", F.when(F.col(f"_point.{at}") < F.col("_last.hi"), F.col("_last.id")).alias(name))
+    return found.unionByName(none.withColumn(name, F.lit(None).cast(found.schema[name].dataType)))
 
 
 def numbered(df: DataFrame, key: str, order: list[Column | str], name: str = "number") -> DataFrame:

@@ -15,6 +15,7 @@ from voxlake.operators import routing as R
 from voxlake.operators import search as S
 from voxlake.operators import summaries as M
 from voxlake.operators import vectors as V
+from voxlake.operators.scans import kept
 from voxlake.plans import fixtures as X
 from voxlake.plans.model import ctes, model
 from voxlake.plans.registry import COSINE_SQL, DOCS_SQL, QUERIES, QUERY, SCORED_SQL, _queries, _vectors, query, rid, search_documents
@@ -524,10 +525,14 @@ def item_search(spark, sf_dir):
 w AS (SELECT item_key, document_key, row_number() OVER (ORDER BY worst, type, occurrences DESC, first, document_key, item_key) AS rank FROM scoped WHERE b2 = 1), top AS (SELECT * FROM w WHERE rank <= 200)
 SELECT item_key, document_key, CAST(rank AS INT) AS rank, CAST(row_number() OVER (ORDER BY item_key DESC) AS INT) AS place FROM top""")
 def listing_search(spark, sf_dir):
-    """A search inside a filtered listing, its winners in a library order."""
-    d = _item_documents(spark, sf_dir)
-    items = d.select("item_key").filter(F.length("item_key") % 2 == 1).distinct()
-    won = S.keyword_search(d, QUERY, unit="item_key", scope=items, limit=200)
+    """A search inside a filtered listing, its winners in a library order. Texts are read where they lie: matches and items go on without them."""
+    valid, sec = _conversation_layouts(spark, sf_dir)
+    place = ("recording_id", "transcript_id", "segment_ordinal", "section_id")
+    d = search_documents(spark, sf_dir)
+    matches = kept(S.keyword_matches(S.folded(d), QUERY, carry=place[1:]), "matches")
+    items = D.document_items(d.select(*place).distinct(), valid, sec).select("item_key").filter(F.length("item_key") % 2 == 1).distinct()
+    items = kept(items, "items")
+    won = S.ranked(D.document_items(matches, valid, sec).join(items, "item_key", "left_semi"), unit="item_key", limit=200)
     listed = items.select("item_key", F.lit("").alias("title_fold"), F.reverse("item_key").alias("r"))
     order = N.winners_in_order(won, listed.withColumn("effective_at", F.lit(None).cast("timestamp")), "relevance")
     place = F.row_number().over(N.Window.orderBy(F.desc("item_key")))  # over the winners
