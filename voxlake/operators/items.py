@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from voxlake.functions.text import nfc, strip
 from voxlake.operators.library import local_day_bounds, temporary_title, title_fault
+from voxlake.operators.scans import kept
 from voxlake.operators.search import keyword_search
+from voxlake.streaming.jobs import clearing
 
 PLACEHOLDER = "Untitled recording"
 #: Columns of both branches that only filters look at.
@@ -204,27 +206,58 @@ def item_keys(recordings: DataFrame, sections: DataFrame) -> DataFrame:
     return key(recordings, "r:", "recording_id").unionByName(key(sections, "s:", "section_id"))
 
 
-def item_order(sort: str) -> list[Column]:
-    """A total order of items."""
+def item_order(sort: str, backwards: bool = False) -> list[Column]:
+    """A total order of items, or the same from its end."""
     if sort not in SORTS:
         raise ValueError(f"sort is one of {SORTS}")
-    first = {"newest": F.desc("effective_at"), "oldest": F.asc("effective_at"), "title_az": F.asc("title_fold"), "title_za": F.desc("title_fold")}[sort]
-    return [first, F.asc("item_key")]
+    column, falls = {"newest": ("effective_at", True), "oldest": ("effective_at", False), "title_az": ("title_fold", False), "title_za": ("title_fold", True)}[sort]
+    return [F.desc(column) if falls != backwards else F.asc(column), F.desc("item_key") if backwards else F.asc("item_key")]
+
+
+#: Rows from either end of a listing up to which a page is taken by its first or last rows alone.
+NEAR_END = 10_000
 
 
 def item_page(items: DataFrame, keys: DataFrame, sort: str, number: int, size: int = 25) -> DataFrame:
-    """One page of items with page and pages; a page number outside the range is moved to its nearest end."""
-    total = keys.count()
+    """One page of items with page and pages; a page number outside the range is moved to its nearest end.
+
+    A page near an end is that end's first rows. For any other the keys are sorted across all tasks and counted by task, so that no task or
+    driver holds what lies before the page.
+    """
+    with clearing(keys.sparkSession):
+        total = keys.count()
     pages = max(1, -(-total // size))
     number = min(max(1, number), pages)
-    rows = items.orderBy(*item_order(sort)).offset((number - 1) * size).limit(size)
-    return rows.withColumns({"page": F.lit(number), "pages": F.lit(pages)})
+    begin, end = (number - 1) * size, min(number * size, total)
+    order = item_order(sort)
+    if end <= NEAR_END:
+        rows = items.orderBy(*order).offset(begin).limit(size)
+    elif total - begin <= NEAR_END:
+        rows = items.orderBy(*item_order(sort, backwards=True)).offset(total - end).limit(end - begin)
+    else:
+        rows = items.join(F.broadcast(_placed(items, sort, begin, end)), "item_key", "left_semi")  # one page
+    return rows.orderBy(*order).limit(size).withColumns({"page": F.lit(number), "pages": F.lit(pages)})
+
+
+def _placed(items: DataFrame, sort: str, begin: int, end: int) -> DataFrame:
+    """item_key of the items from place `begin` to `end` (from 0, without) of an order."""
+    order = item_order(sort)
+    ranged = items.select("item_key", "title_fold", "effective_at").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = kept(ranged.select("item_key", F.monotonically_increasing_id().alias("pos")), "order")
+    part, at = F.shiftright("pos", 33), F.col("pos").bitwiseAND((1 << 33) - 1)
+    before, wanted = 0, F.lit(False)
+    for p, n in sorted(map(tuple, rows.groupBy(part).count().collect())):  # one row a task
+        lo, hi = max(begin - before, 0), min(end - before, n)
+        if lo < hi:
+            wanted = wanted | ((part == p) & (at >= lo) & (at < hi))
+        before += n
+    return rows.filter(wanted).select("item_key")
 
 
 def cards(page: DataFrame, summaries: DataFrame, tags: DataFrame, sources: DataFrame) -> DataFrame:
     """A page of items (item_key, recording_id, section_id, place) with languages of its summaries, tags and file names; vanished keys drop out.
 
-    Children are cut to the page by a semi join before they are gathered.
+    Children are cut to the page by a semi join before they are gathered. The page is read several times: store one that is costly to make.
     """
     on = page.select("item_key", "recording_id", "section_id", "place")
     here = on.select("recording_id").distinct()

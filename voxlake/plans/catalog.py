@@ -218,6 +218,8 @@ def item_cards(spark, sf_dir):
     items = N.item_listing(whole.withColumn("duration", F.lit(None).cast("double")), parts)
     page = N.item_page(items, N.item_keys(whole, parts), "title_az", 10**6)
     placed = page.withColumn("place", F.row_number().over(N.Window.orderBy("title_fold", "item_key")))  # over one page
+    with J.clearing(spark):
+        placed = kept(placed.select("item_key", "recording_id", "section_id", "place"), "page")
     return N.cards(placed, model(spark, sf_dir, "m_summaries"), model(spark, sf_dir, "m_tags"), model(spark, sf_dir, "m_sources"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, MapType, StructField, StructType
 
 from voxlake.functions.text import content_hash
+from voxlake.streaming.jobs import clearing
 
 #: The documents that recordings (recording_id) should have now, and those recordings of which that cannot be said (recording_id, fault).
 Expected = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
@@ -32,14 +33,9 @@ def _named(ids: DataFrame) -> list | None:
 
 
 def write_and_clear(df: DataFrame, path: str) -> None:
-    """Write df, after which its shuffle files go; else they stay until the driver happens to collect its garbage."""
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name, None)
-    conf.set(name, "true")
-    try:
+    """Write df, after which its shuffle files go."""
+    with clearing(df.sparkSession):
         df.write.mode("overwrite").parquet(path)
-    finally:
-        conf.unset(name) if before is None else conf.set(name, before)
 
 
 @dataclass

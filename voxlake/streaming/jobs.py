@@ -68,6 +68,18 @@ def timers_on(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs inside go when it ends; else they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def first_contents(files: DataFrame, delay: str = "1 day") -> DataFrame:
     """A stream of files (sha256, seen_at) without repeated contents inside the watermark."""
     return files.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["sha256"])
